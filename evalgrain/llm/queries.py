@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrain.llm import decontaminate, language, sharding, topk, url_filter
+from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, secret_scan, sharding, token_files, topk, url_filter
 from evalgrain.llm.base import utf8_crc32
 
 #: The rules of the URL query.
@@ -49,8 +50,55 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "found.host", "found.path", "found.rule", "found.verdict")
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    out = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        files = token_files.write_token_files(docs, f.read(), public_tokenizers.PATTERN, end_id=2, vocabulary=50_257)
+    return token_files.read_documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = secret_scan.train(secret_scan.labelled_samples(docs))
+    out = secret_scan.scan(docs, model, out="found")
+    return out.select("doc_id", "found.n_assign", "found.n_access", "found.n_hex", "found.base_sha256", "found.spans")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_dedup.dedup_lines(docs)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.components(ngram_join.join(docs, n=3, num=90, den=100))
+
+
+OPERATORS = (
+    op1_histogram_sort_shards,
+    op2_byte_bpe,
+    op3_benchmark_decontamination,
+    op4_token_files,
+    op5_secret_scan,
+    op6_exact_topk,
+    op7_line_dedup,
+    op8_ngram_jaccard,
+    op9_language_id,
+    op10_url_filter,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_histogram_sort_shards, op3_benchmark_decontamination, op6_exact_topk, op9_language_id, op10_url_filter)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
