@@ -60,7 +60,7 @@ def version_counts(trials: DataFrame) -> DataFrame:
 
 def work_list(items: DataFrame, done: DataFrame, attempts: int) -> DataFrame:
     """Every item and attempt without a finished trial: an anti join on (item_id, attempt)."""
-    wanted = items.select("item_id", F.explode(F.sequence(F.lit(1), F.lit(attempts))).cast("long").alias("attempt"))
+    wanted = items.select("item_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(attempts).cast("long"))).alias("attempt"))
     return wanted.join(done.select("item_id", "attempt"), ["item_id", "attempt"], "left_anti")
 
 
