@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables, each with an SQL twin where one can be written."""
 
-from evalgrain.plans import run_queries, text_queries
+from evalgrain.plans import log_queries, run_queries, text_queries
 from evalgrain.plans.registry import QUERIES, SQL
 from evalgrain.plans.run_queries import flagship
 
-__all__ = ["QUERIES", "SQL", "flagship", "run_queries", "text_queries"]
+__all__ = ["QUERIES", "SQL", "flagship", "log_queries", "run_queries", "text_queries"]
