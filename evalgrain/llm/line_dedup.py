@@ -9,16 +9,18 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalgrain.llm.base import materialize
 from evalgrain.llm.blocks import beside_blocks, write_blocks
+from evalgrain.llm.words import mix, range_hashes, words_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What is cut off a line's ends before it is compared, and what parts words.
 BLANK = " \t\r\x0b\x0c"
+_BLANK = BLANK.encode()
 SAME, SHORT, LONG = 0, 1, 2
 _ORDER = "struct<none:boolean,doc_id:{id},line:int,node:long>"
 
@@ -27,39 +29,62 @@ def split_lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def _hash2(line: Column) -> list[Column]:
-    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+def profile_lines(text: str | None, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of each line that isn't blank: number, both 64-bit halves of its hash, number of words, and four keys (a row each).
 
-
-def halves(words: Column) -> Column:
-    """Keys that two lines one word apart share at least one of, as (key, base, tail).
-
-    base is the number of words of the shorter line. If the edit lies at or behind the middle of it, both lines begin
-    with the same base div 2 words (tail true: the edit is in the tail); otherwise they end with the same others.
+    Two lines of min_words words or more that are one word apart share a key. base is the number of words of the shorter
+    line: if the edit lies at or behind the middle of it, both lines begin with the same base div 2 words (the tail
+    holds the edit); otherwise they end with the same others. A line has the keys (own words, tail), (own words, front),
+    (one less, tail) and (one less, front); they are 0 for short lines. All lines are worked out at once.
     """
-    n = F.size(words)
-
-    def one(base: Column, tail: bool) -> Column:
-        h = F.floor(base / 2).cast("int")
-        part = F.slice(words, F.lit(1), h) if tail else F.slice(words, n - (base - h) + 1, base - h)
-        return F.struct(F.xxhash64(F.lit(tail), base, part).alias("key"), base.alias("base"), F.lit(tail).alias("tail"))
-
-    return F.array(one(n, True), one(n, False), one(n - 1, True), one(n - 1, False))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _B
-    return (x ^ (x >> np.uint64(29))) * _A
-
-
-def variants(words: list[str], where: list[tuple[int, bool]]) -> list[tuple[int, int]]:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    parts = data.split(b"\n")
+    at = [k for k, p in enumerate(parts) if p.strip(_BLANK)]
+    digests = [xxhash.xxh3_128_intdigest(parts[k].strip(_BLANK)) for k in at]
+    h = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digests], np.uint64).reshape(-1, 2).view(np.int64)
+    places, words = words_of(data)
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    first = np.searchsorted(places, np.concatenate([[0], ends[:-1]]))[at]
+    last = np.searchsorted(places, ends)[at]
+    n = last - first
+    keys = np.zeros((4, len(at)), np.int64)
+    long = np.flatnonzero(n >= min_words)
+    if len(long):
+        a, b, size = first[long], last[long], n[long]
+        for k, (base, tail) in enumerate(((size, True), (size, False), (size - 1, True), (size - 1, False))):
+            part = (a, a + base // 2) if tail else (b - (base - base // 2), b)
+            keys[k, long] = mix(range_hashes(words, *part) + mix(base.astype(np.uint64) * np.uint64(2) + np.uint64(tail))).view(np.int64)
+    return np.array(at, np.int32), h[:, 0], h[:, 1], n.astype(np.int32), keys
+
+
+def _profile_rows(min_words: int):
+    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [profile_lines(t, min_words) for t in batch["text"]]
+            sizes = [len(f[0]) for f in found]
+            if not sum(sizes):
+                continue
+            line, h1, h2, n = (np.concatenate([f[k] for f in found]) for k in range(4))
+            keys = np.concatenate([f[4] for f in found], axis=1)
+            own = np.repeat(np.arange(len(batch)), sizes)
+            out = {"node": batch["node"].to_numpy()[own], "doc_id": batch["doc_id"].iloc[own].reset_index(drop=True), "line": line, "h1": h1, "h2": h2, "words": n}
+            yield pd.DataFrame(out | {f"k{i}": keys[i] for i in range(4)})
+
+    return profile
+
+
+def line_words(line: str) -> list[bytes]:
+    return line.encode("utf-8", "surrogatepass").split()
+
+
+def variants(words: list[bytes], where: list[tuple[int, bool]]) -> list[tuple[int, int]]:
     """(key, role) of the variants with one word deleted, at the places where a (base, tail) allows the edit.
 
     SAME: the place is in the key, so lines that share it differ in that word only. LONG: the key is of the words left,
     and meets the SHORT key of a line that has just these.
     """
     n = len(words)
-    w = np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in words], np.uint64)
+    w = np.array([xxhash.xxh3_64_intdigest(x) for x in words], np.uint64)
     powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _A))])
     front = np.concatenate([[np.uint64(0)], np.cumsum(w * powers[:n])])
     shifted = np.concatenate([[np.uint64(0)], np.cumsum(w[1:] * powers[: n - 1])])
@@ -69,16 +94,16 @@ def variants(words: list[str], where: list[tuple[int, bool]]) -> list[tuple[int,
         h = base // 2
         places = np.arange(h, n) if tail else np.arange(0, h + (base < n))
         if base == n:
-            keys = _mix(left[places] + _mix(places.astype(np.uint64) * _A + np.uint64(4 * n + 1)))
+            keys = mix(left[places] + mix(places.astype(np.uint64) * _A + np.uint64(4 * n + 1)))
             out += [(int(k), SAME) for k in keys.view(np.int64)]
-            out.append((int(_mix(front[n:] + _mix(np.array([4 * n + 2], np.uint64))).view(np.int64)[0]), SHORT))
+            out.append((int(mix(front[n:] + mix(np.array([4 * n + 2], np.uint64))).view(np.int64)[0]), SHORT))
         else:
-            keys = _mix(left[places] + _mix(np.array([4 * (n - 1) + 2], np.uint64)))
+            keys = mix(left[places] + mix(np.array([4 * (n - 1) + 2], np.uint64)))
             out += [(int(k), LONG) for k in keys.view(np.int64)]
     return list(dict.fromkeys(out))
 
 
-def within_one(a: list[str], b: list[str]) -> bool:
+def within_one(a: list, b: list) -> bool:
     """Whether the word edit distance is at most 1."""
     if len(a) > len(b):
         a, b = b, a
@@ -93,7 +118,7 @@ def _variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for h1, h2, line, where in zip(batch["h1"], batch["h2"], batch["text"], batch["where"], strict=True):
             at = sorted({(int(x["base"]), bool(x["tail"])) for x in where})
-            out += [(key, role, h1, h2) for key, role in variants(line.split(), at)]
+            out += [(key, role, h1, h2) for key, role in variants(line_words(line), at)]
         yield pd.DataFrame(out, columns=["key", "role", "h1", "h2"])
 
 
@@ -107,7 +132,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_lines and n_dropped are replaced; an empty table gives an empty result.
 
     Plan: the rows are written once in blocks. Distinct lines are found by 128-bit hashes with partial sums. Halves of
-    lines (halves()) tell which distinct lines can have a neighbour at all, and in which half; only these are fetched and
+    lines (profile_lines()) tell which distinct lines can have a neighbour at all, and in which half; only these are fetched and
     emit the variants with one word deleted. Keys are joined, the earliest line of each key is compared word by word,
     and the lines to drop go back to the blocks. No group is gathered: each key keeps its least line only.
     """
@@ -117,14 +142,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = write_blocks(docs.select(*[F.col(f"`{c}`") for c in keep]), "lines", keep)
     text, doc = f"c{keep.index(text_col)}", f"c{keep.index(id_col)}"
     id_type = docs.schema[id_col].dataType.simpleString()
-    split = rows.select("node", F.col(doc).alias("doc_id"), F.posexplode(F.split(F.col(text).cast("string"), "\n")).alias("line", "raw"))
-    lines = split.select("node", "doc_id", "line", F.btrim("raw", F.lit(BLANK)).alias("text")).where("text <> ''")
-    lines = lines.select("*", *_hash2(F.col("text")))
+    texts = rows.select("node", F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    profile = f"node long, doc_id {id_type}, line int, h1 long, h2 long, words int, k0 long, k1 long, k2 long, k3 long"
+    lines = materialize(texts.mapInPandas(_profile_rows(min_words), profile), "line-profiles")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "node").cast(_ORDER.format(id=id_type))
-    words = F.split("text", f"[{BLANK}]+")
-    shape = lines.select("h1", "h2", place.alias("place"), F.when(F.size(words) >= min_words, halves(words)).alias("halves"))
-    distinct = materialize(shape.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count("*").alias("uses"), F.any_value("halves").alias("halves")), "distinct-lines")
-    near = _near(rows, distinct, text) if max_edits else distinct.select("h1", "h2").limit(0)
+    keys = [F.any_value(c).alias(c) for c in ("words", "k0", "k1", "k2", "k3")]
+    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("uses"), *keys)
+    distinct = materialize(distinct, "distinct-lines")
+    near = _near(rows, distinct, text, min_words) if max_edits else distinct.select("h1", "h2").limit(0)
     acted = distinct.where("uses > 1").select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full_outer")
     again = lines.select("h1", "h2", "node", "line").join(acted, ["h1", "h2"])
     is_first = (F.col("node") == F.col("first.node")) & (F.col("line") == F.col("first.line"))
@@ -174,9 +199,11 @@ def _fetch_lines(text: str):
     return fetch
 
 
-def _near(rows: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
+def _near(rows: DataFrame, distinct: DataFrame, text: str, min_words: int) -> DataFrame:
     """h1, h2 of the distinct lines that are one word from an earlier line."""
-    half = distinct.where("halves IS NOT NULL").select("h1", "h2", F.inline("halves"))
+    base = lambda k: F.col("words") - k // 2
+    keyed = F.array(*[F.struct(F.col(f"k{k}").alias("key"), base(k).alias("base"), F.lit(k % 2 == 0).alias("tail")) for k in range(4)])
+    half = distinct.where(F.col("words") >= min_words).select("h1", "h2", F.inline(keyed))
     shared = half.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
     alive = half.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("base", "tail")).alias("where"))
     alive = materialize(alive.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "neighbours")
@@ -196,7 +223,7 @@ def _near(rows: DataFrame, distinct: DataFrame, text: str) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within_one(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series([within_one(line_words(x), line_words(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     checked = pairs.join(own, ["h1", "h2"]).join(earlier, ["o1", "o2"]).where(near("own", "earlier"))
     return checked.select("h1", "h2").distinct()
