@@ -1,19 +1,33 @@
-"""Byte-level BPE over a corpus: each distinct word is encoded once, ids are joined back and put in order by position."""
+"""Byte-level BPE over a corpus: each distinct word is encoded once, ids are joined back and put in order by position.
+
+A word is a run of white space with what follows it up to the next (or the start of a text). No match of the pattern
+crosses the start of such a run, so a text's matches are those of its words one after another; each is merged separately.
+"""
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrain.llm.base import materialize_by_block, partitions
+from evalgrain.llm.packing import WORD, pack_ids, squeeze, unpack_ids
+
+
+class Numbers(dict):
+    """Numbers of words in order of first use."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -22,63 +36,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in f if line.strip())}
 
 
-def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge neighbours of least rank first, the leftmost on ties, until no pair has a rank."""
-    if word in ranks:
-        return [ranks[word]]
-    if len(word) > 48:
-        return _encode_long(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = min(((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-        if best == 1 << 60:
-            break
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
-
-
-def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The same in n log n for long words: a heap of pairs over a linked list."""
-    n = len(word)
-    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-
-    def rank(i: int) -> int | None:
-        j = end[i]
-        return ranks.get(word[i : end[j]]) if j < n else None
-
-    heap = [(r, i, end[i + 1]) for i in range(n - 1) if (r := rank(i)) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        j = end[i] if alive[i] else n
-        if j >= n or not alive[i] or end[j] != stop:
-            continue
-        alive[j] = False
-        end[i] = stop
-        if stop < n:
-            before[stop] = i
-        for k in (before[i], i):
-            if k >= 0 and (r := rank(k)) is not None:
-                heapq.heappush(heap, (r, k, end[end[k]]))
-    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
-
-
-def _squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2**32 by byte planes: the high planes are nearly constant and compress away."""
-    return _squeeze(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _unplanes(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-
-
 def _pack_words(words: list[bytes]) -> bytes:
-    return _squeeze(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
+    return squeeze(np.array([len(words), *map(len, words)], "<u4").tobytes() + b"".join(words))
 
 
 def _unpack_words(data: bytes) -> list[bytes]:
@@ -89,54 +48,65 @@ def _unpack_words(data: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(starts, starts[1:])]
 
 
-_BLOCKS = "block string, kind int, bucket int, doc_id {id}, data binary, places binary"
+_BLOCKS = "block string, kind int, tier int, bucket int, doc_id {id}, data binary"
+#: So many of a block's most frequent words get the numbers below 256, which pack well.
+FREQUENT = 255
 
 
-def _cut(pattern: str, block_chars: int, buckets: int):
+def _cut(block_chars: int, buckets: int):
     """Rows of documents to blocks: a row per document with the numbers of its words in order (kind 0), and the block's
-    distinct words, a row for each bucket of their hash (kind 1). Frequent words get small numbers."""
-
-    def close(block: str, docs: list, words: dict[str, int]) -> pd.DataFrame:
-        texts = list(words)
-        used = np.zeros(len(texts), np.int64)
+    distinct words, a row for each tier and bucket of their hash (kind 1). A word's number is its place in the order of
+    tier (frequent words first), bucket and bytes."""
+
+    def close(block: str, docs: list, words: dict[str, int]) -> Iterator[pd.DataFrame]:
+        raw = [t.encode("utf-8", "surrogatepass") for t in words]
+        bucket = (pd.util.hash_array(np.array(list(words), dtype=object), categorize=False) % np.uint64(buckets)).astype(np.int64)
+        words.clear()
+        used = np.zeros(len(raw), np.int64)
         for _, seen in docs:
-            used += np.bincount(seen, minlength=len(texts))
-        number = np.empty(len(texts), np.int64)
-        number[np.argsort(-used, kind="stable")] = np.arange(len(texts))
-        rows = [(block, 0, None, doc, _planes(number[seen]), None) for doc, seen in docs]
-        if texts:
-            bucket = pd.util.hash_array(np.array(texts, dtype=object), categorize=False) % np.uint64(buckets)
-            raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-            order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                part = sorted(part.tolist(), key=raw.__getitem__)
-                rows.append((block, 1, int(bucket[part[0]]), None, _pack_words([raw[i] for i in part]), _planes(number[part])))
-        return pd.DataFrame(rows, columns=["block", "kind", "bucket", "doc_id", "data", "places"]).astype({"bucket": "Int32", "doc_id": object})
+            used += np.bincount(seen, minlength=len(raw))
+        tier = np.ones(len(raw), np.int64)
+        tier[np.argsort(-used, kind="stable")[:FREQUENT]] = 0
+        order = np.array(sorted(range(len(raw)), key=raw.__getitem__), np.int64)
+        lot = (tier * buckets + bucket)[order]
+        order = order[np.argsort(lot, kind="stable")]
+        number = np.empty(len(raw), np.int32)
+        number[order] = np.arange(len(raw), dtype=np.int32)
+        rows = [(block, 0, None, None, doc, pack_ids(number[seen])) for doc, seen in docs]
+        docs.clear()
+        lot = np.sort(lot)
+        for part in np.split(order, np.flatnonzero(np.diff(lot)) + 1) if len(raw) else ():
+            rows.append((block, 1, int(tier[part[0]]), int(bucket[part[0]]), None, _pack_words([raw[i] for i in part.tolist()])))
+        yield pd.DataFrame(rows, columns=["block", "kind", "tier", "bucket", "doc_id", "data"]).astype({"tier": "Int32", "bucket": "Int32", "doc_id": object})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import regex
-
-        # \s of the pattern means Unicode white space, which leaves out the separators U+001C to U+001F.
-        find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        task, n, size, docs, words = TaskContext.get().partitionId(), 0, 0, [], {}
+        task, n, size, docs, words = TaskContext.get().partitionId(), 0, 0, [], Numbers()
         for batch in batches:
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                found = find(text or "")
-                docs.append((doc, np.fromiter((words.setdefault(w, len(words)) for w in found), np.int64, len(found))))
+                found = WORD.findall(text or "")
+                docs.append((doc, np.fromiter(map(words.__getitem__, found), np.int32, len(found))))
                 size += len(text or "")
                 if size >= block_chars:
-                    yield close(f"{task}-{n}", docs, words)
-                    n, size, docs, words = n + 1, 0, [], {}
+                    yield from close(f"{task}-{n}", docs, words)
+                    n, size = n + 1, 0
         if docs:
-            yield close(f"{task}-{n}", docs, words)
+            yield from close(f"{task}-{n}", docs, words)
 
     return cut
 
 
-def _encode_words(ranks):
-    """Words of a bucket to ids. Every copy of a word is in one bucket, so a word is merged once."""
+@lru_cache(maxsize=1)
+def _library(pattern: str, tokens: tuple[bytes, ...]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
+
+
+def _encode_words(shared):
+    """Words of a bucket to ids. Every copy of a word is in one bucket, so a word is encoded once."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = _library(*shared.value).encode_ordinary
         known: dict[bytes, list[int]] = {}
         bucket = None
         for batch in batches:
@@ -147,60 +117,79 @@ def _encode_words(ranks):
                 ids = []
                 for w in _unpack_words(packed):
                     if (got := known.get(w)) is None:
-                        got = known[w] = encode_word(w, ranks.value)
+                        got = known[w] = of(w.decode("utf-8", "surrogatepass"))
                     ids.append(got)
-                flat = np.array([i for x in ids for i in x], np.int64)
-                lengths = np.array([len(ids), *map(len, ids)], np.int64)
-                data.append(_planes(np.concatenate([lengths, flat])))
-            yield pd.DataFrame({"block": batch["block"], "places": batch["places"], "data": data})
+                flat = np.array([i for x in ids for i in x], np.uint32)
+                lengths = np.array([len(ids), *map(len, ids)], np.uint32)
+                data.append(pack_ids(np.concatenate([lengths, flat])))
+            yield pd.DataFrame({"block": batch["block"], "tier": batch["tier"], "bucket": batch["bucket"], "data": data})
 
     return encode
 
 
-def _assemble(docs: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
-    """The ids of a block's documents from those of its words."""
-    lengths, flats, places = [], [], []
-    for data, place in zip(words["data"], words["places"], strict=True):
-        numbers = _unplanes(data)
-        n = int(numbers[0])
-        lengths.append(numbers[1 : n + 1])
-        flats.append(numbers[n + 1 :])
-        places.append(_unplanes(place))
-    lengths, flat, places = (np.concatenate([np.empty(0, np.int64), *x]) for x in (lengths, flats, places))
-    length, start = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
-    length[places] = lengths
-    start[places] = np.cumsum(lengths) - lengths
-    out = []
-    for data in docs["data"]:
-        seen = _unplanes(data)
-        n = length[seen]
-        out.append(flat[np.repeat(start[seen] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int32))
-    return pd.DataFrame({"doc_id": docs["doc_id"], "ids": out})
-
-
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 32_000_000) -> DataFrame:
+def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[start[0] : start[0] + length[0]], then the next, and so on."""
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    return flat[np.repeat((start - (end - length)).astype(np.int32), length) + np.arange(total, dtype=np.int32)]
+
+
+def _assemble(token_bytes=None):
+    """The ids of a block's documents from those of its words, and, given a broadcast token-byte table, the ids' bytes."""
+
+    def assemble(docs: pa.Table, words: pa.Table) -> pa.Table:
+        words = words.sort_by([("tier", "ascending"), ("bucket", "ascending")])
+        lengths, flats = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+        for numbers in map(unpack_ids, words.column("data").to_pylist()):
+            n = int(numbers[0])
+            lengths.append(numbers[1 : n + 1])
+            flats.append(numbers[n + 1 :])
+        length, flat = np.concatenate(lengths).astype(np.int64), np.concatenate(flats).astype(np.int32)
+        start = np.cumsum(length) - length
+        ids = [_gather(flat, start[x], length[x]) for x in map(unpack_ids, docs.column("data").to_pylist())]
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        out = {"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))}
+        if token_bytes is not None:
+            out["decoded"] = pa.array([_text(*token_bytes.value, x) for x in ids], pa.binary())
+        return pa.table(out)
+
+    return assemble
+
+
+def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 20_000_000, decoded: bool = False) -> DataFrame:
     """doc_id and ids (array<int>) of every row, as merging each match of `pattern` by `ranks` gives them.
 
     1. Blocks of about block_chars characters (a longer text is a block of its own) are tokenised once and written: per
        document the numbers of its words by position, and the block's distinct words in lots by hash.
-    2. The lots are exchanged by hash bucket; every distinct word of the corpus is then in one task and merged once.
+    2. The lots are exchanged by hash bucket; every distinct word of the corpus is then in one task and encoded once.
        A frequent word comes once per block, not once per use.
     3. The ids go back to their blocks and are put in order by position. The blocks lie in buckets already, so the
-       documents' part is not exchanged.
+       documents' part is not exchanged. With `decoded`, the ids are decoded there too (as decode() does, from the ids and
+       the token-byte table alone), which saves passing them to Python twice.
 
     Null text counts as empty (no ids); repeated rows each give a row; null ids are kept; an empty table gives an empty
-    result; other columns of docs are not used. `ranks` is broadcast: its size is that of the vocabulary.
+    result; other columns of docs are not used. `ranks` (from 0 on, without a gap) is broadcast: its size is the vocabulary's.
     """
     spark = docs.sparkSession
     n = partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize_by_block(rows.mapInPandas(_cut(pattern, block_chars, n), _BLOCKS.format(id=kind)), "bpe", n)
-    lots = blocks.where("kind = 1").select("block", "bucket", "data", "places")
-    shared = spark.sparkContext.broadcast(ranks)
-    words = lots.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(shared), "block string, places binary, data binary")
+    blocks = materialize_by_block(rows.mapInPandas(_cut(block_chars, n), _BLOCKS.format(id=kind)), "bpe", n)
+    lots = blocks.where("kind = 1").select("block", "tier", "bucket", "data")
+    shared = spark.sparkContext.broadcast((pattern, tuple(sorted(ranks, key=ranks.get))))
+    words = lots.repartition(n, "bucket").sortWithinPartitions("bucket").mapInPandas(_encode_words(shared), "block string, tier int, bucket int, data binary")
     texts = blocks.where("kind = 0").select("block", "doc_id", "data")
-    return texts.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(_assemble, f"doc_id {kind}, ids array<int>")
+    both = texts.groupBy("block").cogroup(words.groupBy("block"))
+    if decoded:
+        return both.applyInArrow(_assemble(spark.sparkContext.broadcast(token_table(ranks))), f"doc_id {kind}, ids array<int>, decoded binary")
+    return both.applyInArrow(_assemble(), f"doc_id {kind}, ids array<int>")
+
+
+def token_table(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all tokens by rank, one after another, with the start and size of each."""
+    tokens = [np.frombuffer(t, np.uint8) for t in sorted(ranks, key=ranks.get)]
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return np.concatenate(tokens), np.cumsum(sizes) - sizes, sizes
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", out: str = "decoded") -> DataFrame:
@@ -209,11 +198,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
     Null ids give null, an empty list no bytes; an id outside the table is an error; other columns pass through. The
     table is as large as the vocabulary, so each task joins it on the map side and positions keep their order.
     """
-    table = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    table = encoded.sparkSession.sparkContext.broadcast(token_table(ranks))
 
     @F.pandas_udf("binary")
     def bytes_of(ids: pd.Series) -> pd.Series:
-        at = table.value.__getitem__
-        return pd.Series([None if x is None else b"".join(map(at, x.tolist() if hasattr(x, "tolist") else x)) for x in ids], dtype=object)
+        return pd.Series([None if x is None else _text(*table.value, np.asarray(x, np.int64)) for x in ids], dtype=object)
 
     return encoded.withColumn(out, bytes_of(F.col(ids_col)))
+
+
+def _text(flat: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, step: int = 1 << 20) -> bytes:
+    parts = (ids[k : k + step] for k in range(0, len(ids), step))
+    return b"".join(_gather(flat, start[x], size[x]).tobytes() for x in parts)
