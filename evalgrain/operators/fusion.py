@@ -102,7 +102,7 @@ def path_mirror(query: Column, url: Column) -> Column:
     """Short form: at least five terms on both sides, five shared, and 0.65 of the query's."""
     q, p = T.terms(query), F.array_distinct(F.regexp_extract_all(F.lower(U.unquoted(U.path(url))), F.lit("[a-z0-9]+"), 0))
     both = T.overlap(q, p)
-    return (F.size(q) >= 5) & (F.size(p) >= 5) & (both >= 5) & (both / F.size(q) >= 0.65)
+    return (F.size(q) >= 5) & (F.size(p) >= 5) & (both >= 5) & (both >= 0.65 * F.size(q))
 
 
 def query_mirror(question: Column, url: Column) -> Column:
@@ -117,7 +117,7 @@ def query_mirror(question: Column, url: Column) -> Column:
     both = T.overlap(q, p)
     solver = F.lower(spaced).rlike("crossword solver|crossword clue|question answer")
     long = (F.size(q) >= 7) & (F.char_length(spaced) >= 80) & (F.size(p) >= 8) & (both >= 8)
-    covers = (both / F.size(q) >= 0.5) | (both / F.size(p) >= 0.65) | (solver & (both / F.size(p) >= 0.5))
+    covers = (both >= 0.5 * F.size(q)) | (both >= 0.65 * F.size(p)) | (solver & (both >= 0.5 * F.size(p)))
     return social | jobs | F.coalesce(long & covers, F.lit(False))
 
 
