@@ -28,12 +28,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go, and with them texts of which nothing is left."""
-    out = line_dedup.dedup_lines(docs)
+    aside = {c: _free(f"own_{c}", docs) for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    out = line_dedup.dedup_lines(docs.withColumnsRenamed(aside))
     left = F.coalesce(F.btrim("text", F.lit(line_dedup.BLANK + "\n")), F.lit(""))
     kept = out.where((F.col("n_dropped") == 0) | (left != ""))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.when(F.col("n_dropped") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return kept.select(*docs.columns)
+    return kept.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
