@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from evalgrain.llm.base import materialize
 from evalgrain.llm.blocks import beside_blocks, write_blocks
-from evalgrain.llm.words import mix, range_hashes, words_of
+from evalgrain.llm.words import lots, mix, range_hashes, words_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What is cut off a line's ends before it is compared, and what parts words.
@@ -29,15 +29,14 @@ def split_lines(text: str | None) -> list[str]:
     return (text or "").split("\n")
 
 
-def profile_lines(text: str | None, min_words: int) -> tuple[np.ndarray, ...]:
-    """Of each line that isn't blank: number, both 64-bit halves of its hash, number of words, and four keys (a row each).
+def profile_lines(data: bytes, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of each line of some text that isn't blank: number, both 64-bit halves of its hash, number of words, and four keys (a row each).
 
     Two lines of min_words words or more that are one word apart share a key. base is the number of words of the shorter
     line: if the edit lies at or behind the middle of it, both lines begin with the same base div 2 words (the tail
     holds the edit); otherwise they end with the same others. A line has the keys (own words, tail), (own words, front),
     (one less, tail) and (one less, front); they are 0 for short lines. All lines are worked out at once.
     """
-    data = (text or "").encode("utf-8", "surrogatepass")
     parts = data.split(b"\n")
     at = [k for k, p in enumerate(parts) if p.strip(_BLANK)]
     digests = [xxhash.xxh3_128_intdigest(parts[k].strip(_BLANK)) for k in at]
@@ -60,15 +59,15 @@ def profile_lines(text: str | None, min_words: int) -> tuple[np.ndarray, ...]:
 def _profile_rows(min_words: int):
     def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [profile_lines(t, min_words) for t in batch["text"]]
-            sizes = [len(f[0]) for f in found]
-            if not sum(sizes):
-                continue
-            line, h1, h2, n = (np.concatenate([f[k] for f in found]) for k in range(4))
-            keys = np.concatenate([f[4] for f in found], axis=1)
-            own = np.repeat(np.arange(len(batch)), sizes)
-            out = {"node": batch["node"].to_numpy()[own], "doc_id": batch["doc_id"].iloc[own].reset_index(drop=True), "line": line, "h1": h1, "h2": h2, "words": n}
-            yield pd.DataFrame(out | {f"k{i}": keys[i] for i in range(4)})
+            first = 0
+            for lot in lots(batch["text"]):
+                line, h1, h2, n, keys = profile_lines(b"\n".join(lot), min_words)
+                start = np.cumsum([0, *(data.count(b"\n") + 1 for data in lot)])
+                own = np.searchsorted(start, line, side="right") - 1
+                rows = batch.iloc[first + own]
+                first += len(lot)
+                out = {"node": rows["node"].to_numpy(), "doc_id": rows["doc_id"].reset_index(drop=True), "line": (line - start[own]).astype(np.int32), "h1": h1, "h2": h2, "words": n}
+                yield pd.DataFrame(out | {f"k{i}": keys[i] for i in range(4)})
 
     return profile
 

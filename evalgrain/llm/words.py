@@ -1,8 +1,9 @@
-"""Hashes of a text's words, all at once: a word's hash comes from prefix sums over the bytes, not from a loop over words."""
+"""Hashes of texts' words, many at once: a word's hash comes from prefix sums over the bytes, not from a loop over words."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -75,3 +76,24 @@ def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(text: str | None) -> np.ndarray:
     return words_of((text or "").encode("utf-8", "surrogatepass"))[1]
+
+
+def lots(texts: Iterable[str | None], size: int = 1 << 16) -> Iterator[list[bytes]]:
+    """The texts' bytes in lists of about `size` bytes: short texts are worth a step of numpy only together."""
+    lot, n = [], 0
+    for text in texts:
+        lot.append((text or "").encode("utf-8", "surrogatepass"))
+        n += len(lot[-1])
+        if n >= size:
+            yield lot
+            lot, n = [], 0
+    if lot:
+        yield lot
+
+
+def many_word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """word_hashes() of each text."""
+    for lot in lots(texts):
+        places, hashes = words_of(b"\n".join(lot))
+        ends = np.cumsum([len(data) + 1 for data in lot])
+        yield from np.split(hashes, np.searchsorted(places, ends[:-1]))
