@@ -9,45 +9,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrain.llm.base import materialize
 from evalgrain.llm.blocks import beside_blocks, write_blocks
 from evalgrain.llm.components import connected_components
+from evalgrain.llm.words import many_word_hashes, mix, word_hashes
 
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Coordinates of a count vector; points in a leaf; ratio of the sizes that share a level.
 GROUPS, LEAF, RATIO = 64, 32, 1.5
 
 
-class _WordHashes(dict):
-    """64-bit hashes of words, remembered; emptied at a million words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _B
-    return x ^ (x >> np.uint64(29))
-
-
-def shingles(text: str | None, n: int, hashes: dict) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's n-word shingles; with fewer words the whole sequence is one."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+def shingles(w: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the n-word shingles of word hashes; fewer words are one shingle."""
     size = min(n, len(w))
+    if not size:
+        return w
     x = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
-        x = _mix((x ^ w[k : len(w) - size + 1 + k]) * _A)
+        x = mix((x ^ w[k : len(w) - size + 1 + k]) * _A)
     return np.unique(x)
 
 
@@ -89,18 +71,20 @@ def signatures(x: np.ndarray, t: Threshold) -> np.ndarray:
     """
     n = len(x)
     keys = []
+    y = mix(x * _A)
+    halves = (y & np.uint64(0xFFFFFFFF)).astype(np.float64), (y >> np.uint64(32)).astype(np.float64)
     for level in range(t.level(max(1, -(-n * t.num // t.den))), t.level(n) + 1):
         d = t.difference(level)
         if d == 0:
             continue
-        g = (x >> np.uint64(20)) % np.uint64(d + 2 + (3 * d + 9) // 10)
-        order = np.argsort(g, kind="stable")
-        g = g[order]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        content = np.add.reduceat(_mix(x[order] * _A), first)
-        keys.append(_mix(_mix(content + g[first] * _B) + np.array([level + 1], np.uint64) * _A))
+        groups = d + 2 + (3 * d + 9) // 10
+        g = ((x >> np.uint64(40)) * np.uint64(groups) >> np.uint64(24)).astype(np.int64)
+        first = np.flatnonzero(np.bincount(g, minlength=groups))
+        # Halves of 32 bits sum exactly in floating point.
+        low, high = (np.bincount(g, half, groups)[first].astype(np.uint64) for half in halves)
+        keys.append(mix(mix(low * _A + mix(high)) + first.astype(np.uint64) * _B + np.array([level + 1], np.uint64) * _A))
         if len(first) <= d:
-            keys.append(_mix(np.array([level + 1], np.uint64) * _A))
+            keys.append(mix(np.array([level + 1], np.uint64) * _A))
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
@@ -160,9 +144,8 @@ def _keys(n: int, t: Threshold):
 
     def keys(rows: pa.Table, firsts: pa.Table) -> pa.Table:
         rows = _of(rows, firsts)
-        hashes = _WordHashes()
         nodes = rows.column("node").to_numpy()
-        found = [signatures(shingles(text, n, hashes), t) for text in rows.column("text").to_pylist()]
+        found = [signatures(shingles(w, n), t) for w in many_word_hashes(rows.column("text").to_pylist())]
         every = np.concatenate([np.empty(0, np.int64), *found])
         owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
         order = np.lexsort((owner, every))
@@ -193,14 +176,13 @@ def _texts_of(rows: pa.Table, wanted: pa.Table) -> pa.Table:
 
 def _verify(n: int, t: Threshold):
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
         last, other = None, np.empty(0, np.uint64)
         for batch in batches:
             ok = np.zeros(len(batch), bool)
             for k, (b, text_a, text_b) in enumerate(zip(batch["b"], batch["text_a"], batch["text_b"], strict=True)):
                 if b != last:
-                    last, other = b, shingles(text_b, n, hashes)
-                own = shingles(text_a, n, hashes)
+                    last, other = b, shingles(word_hashes(text_b), n)
+                own = shingles(word_hashes(text_a), n)
                 both = len(np.intersect1d(own, other, assume_unique=True))
                 ok[k] = t.linked(both, len(own) + len(other))
             yield batch.loc[ok, ["a", "b"]]
@@ -289,13 +271,12 @@ def _written(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
     @F.pandas_udf("n int, h1 long, h2 long, counts binary")
     def profile(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        hashes = _WordHashes()
         for texts in batches:
             out = []
-            for text in texts:
-                x = shingles(text, n, hashes)
-                h1 = _mix(x * _B).sum(dtype=np.uint64).astype(np.int64)
-                h2 = np.bitwise_xor.reduce(_mix(x * _A), initial=np.uint64(0)).astype(np.int64)
+            for w in many_word_hashes(texts):
+                x = shingles(w, n)
+                h1 = mix(x * _B).sum(dtype=np.uint64).astype(np.int64)
+                h2 = np.bitwise_xor.reduce(mix(x * _A), initial=np.uint64(0)).astype(np.int64)
                 out.append((len(x), int(h1), int(h2), counts(x).tobytes()))
             yield pd.DataFrame(out, columns=["n", "h1", "h2", "counts"])
 
