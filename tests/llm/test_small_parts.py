@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, topk
+from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, packing, topk, words
 
 
 def noise(rng: random.Random, n: int) -> str:
@@ -22,36 +22,21 @@ def ranks():
     return bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-def test_words_are_cut_and_merged_as_the_library_does(ranks):
-    import regex
-
+def test_encoding_words_gives_what_encoding_texts_gives(ranks):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    pattern = public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
     rng = random.Random(5)
-    for text in [noise(rng, n) for n in range(0, 400, 3)] + ["a" * 3000, "ab" * 500 + "!" * 200, " " * 300 + "x"]:
-        words = regex.findall(pattern, text)
-        assert [i for w in words for i in bpe.encode_word(w.encode(), ranks)] == library.encode_ordinary(text)
-
-
-def test_long_words_are_merged_as_short_ones(ranks):
-    rng = random.Random(6)
-    for _ in range(200):
-        word = bytes(rng.choice(b"abcde tion") for _ in range(rng.randrange(2, 60)))
-        parts = [word[i : i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        assert bpe._encode_long(word, ranks) == [ranks[p] for p in parts]
+    for text in [noise(rng, n) for n in range(0, 600, 2)] + ["a" * 3000, "ab" * 500 + "!" * 200, " " * 300 + "x"]:
+        words = packing.WORD.findall(text)
+        assert "".join(words) == text
+        assert [i for w in words for i in library.encode_ordinary(w)] == library.encode_ordinary(text)
 
 
 def test_packed_words_and_numbers_come_back():
     words = [b"", b"a", b"\x00\n", "é".encode() * 300]
     assert bpe._unpack_words(bpe._pack_words(words)) == words
     numbers = np.array([0, 1, 255, 256, 70000, 2**32 - 1])
-    assert bpe._unplanes(bpe._planes(numbers)).tolist() == numbers.tolist()
-    assert bpe._unplanes(bpe._planes(np.empty(0, np.int64))).tolist() == []
+    assert packing.unpack_ids(packing.pack_ids(numbers)).tolist() == numbers.tolist()
+    assert packing.unpack_ids(packing.pack_ids(np.empty(0, np.int64))).tolist() == []
 
 
 def test_folded_words_are_those_of_the_pattern():
@@ -157,3 +142,43 @@ def test_pruning_keeps_every_row_that_reaches_the_floor():
         floor = float(np.sort(scores)[-5])
         kept = topk.survivors(norms, matrix / norms[:, None], query, float(np.sqrt((query**2).sum())), floor, 3, 0.3)
         assert set(np.flatnonzero(scores >= floor)) <= set(kept)
+
+
+def test_word_hashes_tell_words_apart_and_cut_as_the_pattern():
+    rng = random.Random(12)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [noise(rng, rng.randrange(300)) for _ in range(40)] + [None, "", " "]
+    assert [x.tolist() for x in words.many_word_hashes(texts)] == [words.word_hashes(t).tolist() for t in texts]
+    segment, words.SEGMENT = words.SEGMENT, 40
+    try:
+        known: dict[str, int] = {}
+        for _ in range(200):
+            text = noise(rng, 150)
+            wanted = re.findall("[^\x20\x09-\x0D]+", text.translate(lower))
+            found = words.word_hashes(text).tolist()
+            assert len(found) == len(wanted)
+            for w, h in zip(wanted, found, strict=True):
+                assert known.setdefault(w, h) == h
+        assert len(set(known.values())) == len(known)
+    finally:
+        words.SEGMENT = segment
+
+
+def test_lines_one_word_apart_share_a_half():
+    rng = random.Random(13)
+    for _ in range(400):
+        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(8, 14))]
+        b = list(a)
+        at = rng.randrange(len(b))
+        kind = rng.choice(["put", "take", "change"])
+        if kind == "put":
+            b.insert(at, "x")
+        elif kind == "take":
+            b.pop(at)
+        else:
+            b[at] = "x"
+        text = "\n\n " + "  ".join(a) + "\t\n" + " ".join(b) + "\nshort"
+        at, h1, h2, n, keys = line_dedup.profile_lines(text.encode(), 7)
+        assert at.tolist() == [2, 3, 4] and n.tolist() == [len(a), len(b), 1] and keys[:, 2].tolist() == [0] * 4
+        assert set(keys[:, 0]) & set(keys[:, 1])
+        assert h1[0] != h1[1] and h2[0] != h2[1]
