@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, secret_scan, sharding, token_files, topk, url_filter
+from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
 from evalgrain.llm.base import utf8_crc32
 
 #: The rules of the URL query.
@@ -102,4 +102,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_benchmark_decontamination": sql.OP3, "op6_exact_topk": sql.OP6, "op8_ngram_jaccard": sql.OP8}
