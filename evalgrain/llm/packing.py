@@ -24,3 +24,10 @@ def pack_ids(numbers: np.ndarray, level: int = 5) -> bytes:
 def unpack_ids(data: bytes) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+
+
+def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """flat[start[0] : start[0] + length[0]], then the next, and so on."""
+    end = np.cumsum(length)
+    total = int(end[-1]) if len(end) else 0
+    return flat[np.repeat((start - (end - length)).astype(np.int32), length) + np.arange(total, dtype=np.int32)]

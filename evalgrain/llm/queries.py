@@ -61,7 +61,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        files = token_files.write_token_files(docs, f.read(), public_tokenizers.PATTERN, end_id=2, vocabulary=50_257)
+        files = token_files.write_token_files(docs, f.read(), end_id=2, vocabulary=50_257)
     return token_files.read_documents(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

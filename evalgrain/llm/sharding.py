@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from evalgrain.llm.base import materialize, partitions
 
-_LEAST = -(1 << 63)
+LEAST = -(1 << 63)
 _TOP = 1 << 128
 
 
@@ -73,6 +73,30 @@ def find_splitters(keys: DataFrame, targets: list[int], tolerances: list[int], l
         known |= dict(zip(new, counts_below(keys, new), strict=True))
 
 
+def dealt_parts(keys: DataFrame, parts: int, tolerance: float = 0.1):
+    """A function of (key, tie) arrays to parts of about equal size in order: keys (key, tie, size).
+
+    Each boundary is within tolerance of a part's size, or at the closest position; rows of a position at which several
+    boundaries lie are dealt over the parts between them.
+    """
+    low, high, total, n = keys.agg(F.min("key"), F.max("key"), F.sum("size"), F.count("*")).first()
+    found = []
+    if n:
+        flip = 1 << 63
+        targets = [total * j // parts for j in range(1, parts)]
+        found = find_splitters(keys, targets, [int(tolerance * total / parts)] * len(targets), (low + flip) << 64, min(_TOP - 1, (high + flip + 1) << 64), (total, n))
+    probes = [x[0] for x in found]
+
+    def part_of(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        at, edges = _as_bytes(key, tie), _edges(probes)
+        first, last = np.searchsorted(edges, at, side="left"), np.searchsorted(edges, at, side="right")
+        # A row below the first of equal boundaries is its left neighbour's; one at them is dealt over the parts between.
+        first = np.minimum(first + 1, last)
+        return (first + np.random.default_rng(len(key)).integers(0, last - first + 1)).astype(np.int32)
+
+    return part_of
+
+
 def shard(
     df: DataFrame,
     key: Column,
@@ -99,7 +123,7 @@ def shard(
     rows = materialize(
         df.select(
             F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-            F.coalesce(key.cast("long"), F.lit(_LEAST)).alias("key"),
+            F.coalesce(key.cast("long"), F.lit(LEAST)).alias("key"),
             F.xxhash64(F.monotonically_increasing_id()).alias("tie"),
             F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
         ),

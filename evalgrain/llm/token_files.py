@@ -2,54 +2,106 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgrain.llm import sharding
 from evalgrain.llm.base import materialize, new_path, partitions
+from evalgrain.llm.packing import WORD, gather, pack_ids, unpack_ids
 
-_MEMO = 1_000_000
+_MEMO, _CHARS = 700_000, 500_000
 
 
-def _encoder(tokenizer_json: str, pattern: str, end_id: int):
-    """Texts to little-endian unsigned 32-bit ids with the end id.
+class _Words(dict):
+    """Numbers of words, and the ids of each: flat[start[n] : start[n] + length[n]]."""
 
-    The library encodes each match of `pattern` once per task and the ids are remembered (the memory is emptied at
-    _MEMO words); texts that hold an added token's string go to the library whole.
-    """
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.flat, self.length = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+    def learn(self, library) -> None:
+        """The library encodes the new words."""
+        flat, length = array("I"), array("q")
+        for e in library.encode_batch_fast(self.new, add_special_tokens=False):
+            ids = e.ids
+            flat.extend(ids)
+            length.append(len(ids))
+        self.new.clear()
+        self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.uint32)])
+        self.length = np.concatenate([self.length, np.frombuffer(length, np.int64)])
+        self.start = np.cumsum(self.length) - self.length
+
+
+@lru_cache(maxsize=1)
+def _library(tokenizer_json: str):
+    """The library's tokenizer, its added tokens, and a holder of the words encoded so far, kept from task to task of a worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_str(tokenizer_json)
+    return library, [t.content for t in library.get_added_tokens_decoder().values()], [_Words()]
 
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import regex
-        from tokenizers import Tokenizer
-
-        library = Tokenizer.from_str(tokenizer_json)
-        added = [t.content for t in library.get_added_tokens_decoder().values()]
-        find = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                self[word] = ids
-                return ids
-
-        words, end = Words(), np.array([end_id], "<u4").tobytes()
-        for texts in batches:
-            out = []
-            for text in texts:
-                text = text or ""
-                if any(t in text for t in added):
-                    out.append(np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end)
-                else:
-                    out.append(b"".join(map(words.__getitem__, find(text))) + end)
-                if len(words) > _MEMO:
-                    words.clear()
-            yield pd.Series(out, dtype=object)
+
+def _ids_of(texts: list[str], tokenizer_json: str, end: int) -> Iterator[np.ndarray]:
+    """Ids of each text with the end id.
+
+    The library gets each word once (the memory is emptied at _MEMO words): no match of its pattern crosses the start of
+    a run of white space, so words are encoded apart. Texts that hold an added token's string go to it whole.
+    """
+    library, added, held = _library(tokenizer_json)
+    if len(held[0]) > _MEMO:
+        held[0] = _Words()
+    words, last = held[0], np.array([end], np.uint32)
+    seen: list[np.ndarray | str] = []
+    for text in texts:
+        if any(t in text for t in added):
+            seen.append(text)
+        else:
+            found = WORD.findall(text)
+            seen.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+    if words.new:
+        words.learn(library)
+    for x in seen:
+        if isinstance(x, str):
+            ids = np.array(library.encode(x, add_special_tokens=False).ids, np.uint32)
+        else:
+            ids = gather(words.flat, words.start[x], words.length[x]) if len(x) else last[:0]
+        yield np.concatenate([ids, last])
+
+
+def _encoder(tokenizer_json: str, end_id: int, part_of):
+    """Rows (doc_id, key, tie, text) to (doc_id, tie, part, ids, n_tokens), about _CHARS characters of text at a time."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.utf8_length(pc.fill_null(batch.column("text"), "")).to_numpy())
+            first = 0
+            while first < batch.num_rows:
+                before = ends[first - 1] if first else 0
+                last = max(first + 1, int(np.searchsorted(ends, before + _CHARS, side="right")))
+                rows = batch.slice(first, last - first)
+                ids = list(_ids_of([t or "" for t in rows.column("text").to_pylist()], tokenizer_json, end_id))
+                part = part_of(rows.column("key").to_numpy(), rows.column("tie").to_numpy())
+                out = [rows.column("doc_id"), rows.column("tie"), pa.array(part, pa.int32()), pa.array([pack_ids(x, 1) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "tie", "part", "ids", "n_tokens"])
+                first = last
 
     return encode
 
@@ -82,14 +134,14 @@ def _writer(folder: str, width: int, batch: int, narrow: bool):
                 store.create_dir(root, recursive=True)
                 files = store.open_output_stream(f"{root}/{name}.arrow"), store.open_output_stream(f"{root}/{name}.index.arrow")
                 out, index = pa.ipc.new_stream(files[0], schema), pa.ipc.new_stream(files[1], index_schema)
-                first = pdf["doc_id"].iloc[0], int(pdf["deal"].iloc[0])
+                first = int(pdf["part"].iloc[0])
             lengths = pdf["n_tokens"].to_numpy(np.int64)
             ends = n_tokens + np.cumsum(lengths)
             ids = pa.array(pdf["doc_id"], pa.int64(), from_pandas=True)
             index.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(ends - lengths), pa.array(lengths)], schema=index_schema))
             n_docs, n_tokens = n_docs + len(pdf), int(ends[-1])
             for data in pdf["ids"]:
-                held.append(np.frombuffer(data, "<u4"))
+                held.append(unpack_ids(data))
                 waiting += len(held[-1])
                 while waiting >= full:
                     flat = np.concatenate(held)
@@ -100,7 +152,7 @@ def _writer(folder: str, width: int, batch: int, narrow: bool):
                 out.write_batch(sequences(np.concatenate(held), waiting))
             for x in (out, index, *files):
                 x.close()
-            yield pd.DataFrame({"path": [path], "index_path": [index_path], "first_id": pd.array([first[0]], "Int64") if not pd.isna(first[0]) else pd.array([None], "Int64"), "first_deal": [first[1]], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pd.DataFrame({"path": [path], "index_path": [index_path], "place": [first], "n_docs": [n_docs], "n_tokens": [n_tokens]})
 
     return write
 
@@ -108,7 +160,6 @@ def _writer(folder: str, width: int, batch: int, narrow: bool):
 def write_token_files(
     docs: DataFrame,
     tokenizer_json: str,
-    pattern: str,
     end_id: int,
     vocabulary: int,
     id_col: str = "doc_id",
@@ -125,25 +176,24 @@ def write_token_files(
     it has doc_id, start within the file, n_tokens. Files lie in `folder`, a URI that executors can write to (the
     shared folder if not given); only files of the manifest count, so a repeated task does no harm.
 
-    Texts are encoded once and their ids written, then exchanged once by range of (id, random), so that repeated ids
-    are split too. Null text counts as empty (the end id only); null ids come first; rows with one id come in any
-    order; an empty table writes nothing and gives an empty manifest; other columns are not used.
+    The places at which the order is cut come from exact counts of bytes below candidate ids (see sharding), so files are
+    about equal and a task's part is bounded; rows with one id and text are dealt over the parts they span. Then texts are
+    encoded once, on the way into the one exchange. Null text counts as empty (the end id only); null ids come first; rows
+    with one id come in any order; an empty table writes nothing and gives an empty manifest; other columns are not used.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "token-files")
-    run = _encoder(tokenizer_json, pattern, end_id)
-
-    def ids_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from run(texts)
-
-    ids_of.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"), F.pandas_udf(ids_of, "binary")(F.col(text_col).cast("string")).alias("ids"))
-    encoded = materialize(rows.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long")), "token-ids")
-    ordered = encoded.repartitionByRange(partitions(spark), "doc_id", "deal").sortWithinPartitions("doc_id", "deal")
-    files = "path string, index_path string, first_id long, first_deal long, n_docs long, n_tokens long"
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(sharding.LEAST)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    parts = partitions(spark)
+    sizes = rows.select("key", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    part_of = sharding.dealt_parts(materialize(sizes, "token-keys"), parts)
+    encoded = rows.mapInArrow(_encoder(tokenizer_json, end_id, part_of), "doc_id long, tie long, part int, ids binary, n_tokens long")
+    ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
+    files = "path string, index_path string, place int, n_docs long, n_tokens long"
     written = materialize(ordered.mapInPandas(_writer(folder, width, batch, vocabulary <= 1 << 16), files), "token-manifest")
     parts, start = [], 0
-    for k, r in enumerate(written.orderBy(F.asc_nulls_first("first_id"), "first_deal").collect()):
+    for k, r in enumerate(sorted(written.collect(), key=lambda r: r.place)):
         parts.append((k, r.path, r.index_path, r.n_docs, r.n_tokens, start))
         start += r.n_tokens
     return spark.createDataFrame(parts, "part int, path string, index_path string, n_docs long, n_tokens long, start long")
