@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrain.llm.base import materialize_by_block, partitions
-from evalgrain.llm.packing import WORD, pack_ids, squeeze, unpack_ids
+from evalgrain.llm.packing import WORD, gather, pack_ids, squeeze, unpack_ids
 
 
 class Numbers(dict):
@@ -127,13 +127,6 @@ def _encode_words(shared):
     return encode
 
 
-def _gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """flat[start[0] : start[0] + length[0]], then the next, and so on."""
-    end = np.cumsum(length)
-    total = int(end[-1]) if len(end) else 0
-    return flat[np.repeat((start - (end - length)).astype(np.int32), length) + np.arange(total, dtype=np.int32)]
-
-
 def _assemble(token_bytes=None):
     """The ids of a block's documents from those of its words, and, given a broadcast token-byte table, the ids' bytes."""
 
@@ -146,7 +139,7 @@ def _assemble(token_bytes=None):
             flats.append(numbers[n + 1 :])
         length, flat = np.concatenate(lengths).astype(np.int64), np.concatenate(flats).astype(np.int32)
         start = np.cumsum(length) - length
-        ids = [_gather(flat, start[x], length[x]) for x in map(unpack_ids, docs.column("data").to_pylist())]
+        ids = [gather(flat, start[x], length[x]) for x in map(unpack_ids, docs.column("data").to_pylist())]
         offsets = np.cumsum([0, *map(len, ids)], dtype=np.int32)
         out = {"doc_id": docs.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *ids])))}
         if token_bytes is not None:
@@ -209,4 +202,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids_col: str = "ids", ou
 
 def _text(flat: np.ndarray, start: np.ndarray, size: np.ndarray, ids: np.ndarray, step: int = 1 << 20) -> bytes:
     parts = (ids[k : k + step] for k in range(0, len(ids), step))
-    return b"".join(_gather(flat, start[x], size[x]).tobytes() for x in parts)
+    return b"".join(gather(flat, start[x], size[x]).tobytes() for x in parts)
