@@ -68,6 +68,19 @@ def test_sharding_law_slots_and_hot_keys(spark, docs, empty, rows):
     assert len(sums) == 8 and sums.max() - sums.min() <= 60
 
 
+def test_sharding_query_moves_whole_texts(spark, sf_dir, monkeypatch):
+    before = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in queries.op1_histogram_sort_shards(spark, sf_dir).collect():
+        raw = (before[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    # The digest is of what the operator gives: another text there is another digest.
+    shard = sharding.shard
+    monkeypatch.setattr(sharding, "shard", lambda *a, **b: shard(*a, **b).withColumn("text", F.concat("text", F.lit("!"))))
+    for r in queries.op1_histogram_sort_shards(spark, sf_dir).where("text_crc32 IS NOT NULL").collect():
+        if before[r.doc_id] is not None:
+            assert r.text_crc32 == zlib.crc32((before[r.doc_id] + "!").encode())
+
+
 def test_bpe_round_trip_as_the_library(docs, empty, rows):
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
