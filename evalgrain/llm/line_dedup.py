@@ -1,8 +1,9 @@
-"""Line dedup: equal lines, and lines one word apart by a deletion-neighbourhood join; the earliest line stays."""
+"""Line dedup: equal lines, and lines a few words apart by a deletion-neighbourhood join; the earliest line stays."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, islice, product
 
 import numpy as np
 import pandas as pd
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalgrain.llm.base import materialize
+from evalgrain.llm.base import materialize, partitions
 from evalgrain.llm.blocks import beside_blocks, write_blocks
-from evalgrain.llm.words import lots, mix, range_hashes, words_of
+from evalgrain.llm.words import lots, mix, powers, range_hashes, words_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What is cut off a line's ends before it is compared, and what parts words.
@@ -112,6 +113,81 @@ def within_one(a: list, b: list) -> bool:
     return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
 
 
+def segment_keys(words: np.ndarray, edits: int) -> dict[int, bool]:
+    """Keys of some hashed words, and whether a key is of the line's own segments.
+
+    Of two lines at most `edits` words apart, a segment of the shorter one, cut into edits + 1, lies unchanged in the other one
+    near its place: an own key of one is a key of the other. Where it can lie follows from the edits left on both sides of it.
+    """
+    n, start, end, salt = len(words), [], [], []
+    for base in range(n, max(n - edits, edits + 1) - 1, -1):
+        more = n - base
+        for i in range(edits + 1):
+            at, size = base * i // (edits + 1), base * (i + 1) // (edits + 1) - base * i // (edits + 1)
+            for x in range(max(at - i, at + more - (edits - i), 0), min(at + i, at + more + (edits - i), n - size) + 1):
+                start.append(x)
+                end.append(x + size)
+                salt.append(((base * (edits + 1) + i) << 1) + (more == 0 and x == at))
+    salts = np.array(salt, np.uint64)
+    keys = mix(range_hashes(words, np.array(start, np.int64), np.array(end, np.int64)) + mix((salts >> np.uint64(1)) + _A))
+    out: dict[int, bool] = {}
+    for key, own in zip(keys.view(np.int64).tolist(), (salts & np.uint64(1)).astype(bool).tolist(), strict=True):
+        out[key] = out.get(key, False) or own
+    return out
+
+
+def edit_variants(words: np.ndarray, edits: int, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(marked, left out, keys) of some hashed words with up to `edits` of them marked in place or left out.
+
+    Two lines are at most `edits` words apart just if they share a key with one number marked, and this and what both leave
+    out are at most `edits` together: a replaced word is marked in both lines, one put in or left out is missing in one.
+    At most about `most` keys come at once.
+    """
+    n = len(words)
+    up, down = powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * up[:n])])
+    for number in range(min(edits, n) + 1):
+        places = combinations(range(n), number)
+        while len(lot := list(islice(places, max(1, most // (1 << number))))):
+            at = np.array(lot, np.int64).reshape(len(lot), number)
+            for kinds in product((0, 1), repeat=number):
+                gone, last = 0, np.zeros(len(lot), np.int64)
+                total = np.zeros(len(lot), np.uint64)
+                for column, out in enumerate(kinds):
+                    p = at[:, column]
+                    total += (sums[p] - sums[last]) * down[gone]
+                    if out:
+                        gone += 1
+                    else:
+                        total += _B * up[p] * down[gone]
+                    last = p + 1
+                total += (sums[n] - sums[last]) * down[gone]
+                marked = number - gone
+                yield marked, gone, mix(total + mix(np.full(1, ((n - gone) << 8) + marked, np.uint64))).view(np.int64)
+
+
+def within(a: list, b: list, edits: int) -> bool:
+    """Whether the word edit distance is at most `edits`: only the diagonals that so many edits can reach are filled."""
+    n, m = len(a), len(b)
+    if abs(n - m) > edits:
+        return False
+    # reach[d]: how far into a the diagonal d can be followed with the edits so far.
+    reach: dict[int, int] = {}
+    for used in range(edits + 1):
+        made = {}
+        for d in range(-used, used + 1):
+            x = min(max(reach.get(d, -1) + 1, reach.get(d - 1, 0), reach.get(d + 1, -1) + 1), n, m - d)
+            if x < 0:
+                continue
+            while x < n and x + d < m and a[x] == b[x + d]:
+                x += 1
+            made[d] = x
+        reach = made
+        if reach.get(m - n, -1) >= n:
+            return True
+    return False
+
+
 def _variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
@@ -124,8 +200,8 @@ def _variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 8) -> DataFrame:
     """docs without lines that an earlier line repeats, plus n_lines and n_dropped (longs); all rows are kept.
 
-    Lines are parted by '\\n' and compared without blanks at their ends. A line goes if an earlier one is equal or, with
-    max_edits 1 and both of min_words words at least, differs in one word (replaced, left out or put in). Earlier:
+    Lines are parted by '\\n' and compared without blanks at their ends. A line goes if an earlier one is equal or, both
+    of min_words words at least, is at most max_edits words apart (replaced, left out or put in). Earlier:
     smaller id (null last), then smaller line number, then any fixed order. Blank lines stay. Texts without a dropped
     line stay as they are; null texts stay null with no lines; repeated rows repeat each other's lines; columns named
     n_lines and n_dropped are replaced; an empty table gives an empty result.
@@ -133,22 +209,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Plan: the rows are written once in blocks. Distinct lines are found by 128-bit hashes with partial sums. Halves of
     lines (profile_lines()) tell which distinct lines can have a neighbour at all, and in which half; only these are fetched and
     emit the variants with one word deleted. Keys are joined, the earliest line of each key is compared word by word,
-    and the lines to drop go back to the blocks. No group is gathered: each key keeps its least line only.
+    and the lines to drop go back to the blocks. No group is gathered: each key keeps its least line only. With max_edits of
+    2 or more see _near_by_segments().
     """
-    if max_edits not in (0, 1):
-        raise ValueError("max_edits is 0 or 1")
+    if max_edits < 0 or min_words <= 2 * max_edits:
+        raise ValueError("max_edits is 0 or more, and min_words more than twice that")
     keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     rows = write_blocks(docs.select(*[F.col(f"`{c}`") for c in keep]), "lines", keep)
     text, doc = f"c{keep.index(text_col)}", f"c{keep.index(id_col)}"
     id_type = docs.schema[id_col].dataType.simpleString()
     texts = rows.select("node", F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
     profile = f"node long, doc_id {id_type}, line int, h1 long, h2 long, words int, k0 long, k1 long, k2 long, k3 long"
-    lines = materialize(texts.mapInPandas(_profile_rows(min_words), profile), "line-profiles")
+    lines = materialize(texts.mapInPandas(_profile_rows(min_words if max_edits == 1 else 1 << 62), profile), "line-profiles")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "node").cast(_ORDER.format(id=id_type))
     keys = [F.any_value(c).alias(c) for c in ("words", "k0", "k1", "k2", "k3")]
     distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("uses"), *keys)
     distinct = materialize(distinct, "distinct-lines")
-    near = _near(rows, distinct, text, min_words) if max_edits else distinct.select("h1", "h2").limit(0)
+    if max_edits > 1:
+        near = _near_by_segments(rows, distinct, text, min_words, max_edits)
+    else:
+        near = _near(rows, distinct, text, min_words) if max_edits else distinct.select("h1", "h2").limit(0)
     acted = distinct.where("uses > 1").select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full_outer")
     again = lines.select("h1", "h2", "node", "line").join(acted, ["h1", "h2"])
     is_first = (F.col("node") == F.col("first.node")) & (F.col("line") == F.col("first.line"))
@@ -179,7 +259,7 @@ def _rebuild(text: str, names: list[str]):
     return rebuild
 
 
-def _fetch_lines(text: str):
+def _fetch_lines(text: str, keep: tuple[str, ...] = ("h1", "h2")):
     """The texts of the wanted lines of a block."""
 
     def fetch(rows: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -193,7 +273,7 @@ def _fetch_lines(text: str):
                 parts = split_lines(value)
                 for k in want[node]:
                     found[k] = parts[numbers[k]].strip(BLANK)
-        return wanted.select(["h1", "h2"]).append_column("text", pa.array(found, pa.string()))
+        return wanted.select(list(keep)).append_column("text", pa.array(found, pa.string()))
 
     return fetch
 
@@ -226,3 +306,78 @@ def _near(rows: DataFrame, distinct: DataFrame, text: str, min_words: int) -> Da
 
     checked = pairs.join(own, ["h1", "h2"]).join(earlier, ["o1", "o2"]).where(near("own", "earlier"))
     return checked.select("h1", "h2").distinct()
+
+
+def _segment_rows(text: str, edits: int):
+    """key, place and own of the keys of a block's wanted lines."""
+
+    def keys_of(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        want: dict[int, list[int]] = {}
+        for node, line in zip(wanted.column("node").to_pylist(), wanted.column("line").to_pylist(), strict=True):
+            want.setdefault(node, []).append(line)
+        out: list[tuple[int, int, int, bool]] = []
+        if want:
+            for node, value in zip(rows.column("node").to_pylist(), rows.column(text).to_pylist(), strict=True):
+                parts = split_lines(value) if node in want else []
+                for k in want.get(node, ()):
+                    out += [(key, node, k, own) for key, own in segment_keys(hashed_words(parts[k]), edits).items()]
+        key, node, line, own = zip(*out) if out else ((), (), (), ())
+        return pa.table({"key": pa.array(key, pa.int64()), "node": pa.array(node, pa.int64()), "line": pa.array(line, pa.int32()), "own": pa.array(own, pa.bool_())})
+
+    return keys_of
+
+
+def hashed_words(line: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in line_words(line)], np.uint64)
+
+
+def _edit_rows(edits: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, line in enumerate(batch.column("text").to_pylist()):
+                place = batch.select(["first"]).slice(k, 1)
+                for marked, gone, keys in edit_variants(hashed_words(line), edits):
+                    same = place.take(pa.array(np.zeros(len(keys), np.int32))).column(0)
+                    yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), marked, np.int8)), pa.array(np.full(len(keys), gone, np.int8)), same], ["key", "marked", "gone", "first"])
+
+    return rows
+
+
+def _near_by_segments(rows: DataFrame, distinct: DataFrame, text: str, min_words: int, edits: int, most: int = 32) -> DataFrame:
+    """h1, h2 of the distinct lines that are at most `edits` words from an earlier line.
+
+    Lines that share no key of segment_keys() are far apart. The lines of a key that at most `most` lines have are held
+    against each other, so pairs grow with the lines; those of other keys emit edit_variants(), of which each key
+    keeps its least line by what it leaves out. Both ways find every pair, and all that is found is compared by its words.
+    """
+    known = distinct.where(F.col("words") >= min_words).select("h1", "h2", "first", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
+    place = ["node", "line"]
+    keyed = materialize(beside_blocks(rows, known.select(*place), _segment_rows(text, edits), "key long, node long, line int, own boolean"), "segment-keys")
+    uses = keyed.groupBy("key").agg(F.count("*").alias("uses"), F.bool_or("own").alias("any_own")).where("uses > 1 AND any_own").select("key", "uses")
+    alive = materialize(keyed.join(uses, "key"), "shared-segments")
+    needed = alive.groupBy(*place).agg((F.max("uses") > most).alias("crowded")).join(known, place)
+    texts = materialize(beside_blocks(rows, needed, _fetch_lines(text, ("h1", "h2", "first", "crowded")), T.StructType([*known.select("h1", "h2", "first").schema, T.StructField("crowded", T.BooleanType()), T.StructField("text", T.StringType())])), "segment-texts")
+
+    few = alive.where(F.col("uses") <= most)
+    one = few.where("own").select("key", *[F.col(c).alias(f"own_{c}") for c in place])
+    met = few.select("key", *place).join(one, "key").where("node != own_node OR line != own_line")
+    a, b = F.struct(*place), F.struct(F.col("own_node").alias("node"), F.col("own_line").alias("line"))
+    pairs = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("marked", T.ByteType()), T.StructField("gone", T.ByteType()), T.StructField("first", texts.schema["first"].dataType)])
+    crowded = texts.where("crowded").select("first", "text").repartition(partitions(rows.sparkSession))
+    emitted = materialize(crowded.mapInArrow(_edit_rows(edits), schema), "edit-variants")
+    least = emitted.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high"), *[F.min(F.when(F.col("gone") == g, F.col("first"))).alias(f"least{g}") for g in range(edits + 1)]).where("low < high").drop("low", "high")
+    able = [F.when(F.col("marked") + F.col("gone") + g <= edits, F.col(f"least{g}")) for g in range(edits + 1)]
+    other = emitted.join(least, "key").withColumn("other", F.least(*able)).where(F.col("other") < F.col("first"))
+    at = lambda c: F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.line").alias("line"))
+    pairs = pairs.unionByName(other.select(at("first").alias("a"), at("other").alias("b"))).distinct()
+
+    @F.pandas_udf("boolean")
+    def near(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([within(line_words(p), line_words(q), edits) for p, q in zip(x, y, strict=True)], dtype=bool)
+
+    side = lambda c: texts.select(at("first").alias(c), F.struct("first", "h1", "h2").alias(f"{c}_line"), F.col("text").alias(f"{c}_text"))
+    checked = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_text", "b_text"))
+    later = F.greatest("a_line", "b_line")
+    return checked.select(later.getField("h1").alias("h1"), later.getField("h2").alias("h2")).distinct()

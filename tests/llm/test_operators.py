@@ -240,6 +240,34 @@ def plain_components(rows, n, num, den):
     return sets, [(a, len(sets[k]), least.get(root(k)) if sets[k] else a) for k, (a, _, _) in enumerate(rows)], [root(k) for k in range(len(rows))]
 
 
+@pytest.mark.parametrize("edits, most", [(2, 32), (2, 2), (3, 3)])
+def test_line_dedup_within_a_larger_bound(spark, edits, most, monkeypatch):
+    by_segments = line_dedup._near_by_segments
+    monkeypatch.setattr(line_dedup, "_near_by_segments", lambda *a: by_segments(*a, most=most))
+    rng = random.Random(15)
+    lines = [[rng.choice("abcdefghijkl") for _ in range(rng.choice([7, 8, 9, 12, 20]))] for _ in range(12)]
+    for _ in range(90):
+        line = list(rng.choice(lines))
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(line))
+            line[at : at + rng.randrange(2)] = rng.choice([[], ["x"], [rng.choice("abcdefghijkl")]])
+        lines.append(line or ["x"])
+    rows = [(rng.choice([k // 4, None]), "\n".join(" ".join(x) for x in lines[k : k + 3])) for k in range(0, len(lines), 3)]
+    rows = [(k if i is not None else None, t) for k, (i, t) in enumerate(rows)]
+    rows = [r for n, r in enumerate(rows) if r[0] is not None or n == next(m for m, q in enumerate(rows) if q[0] is None)]
+    seen, wanted = [], {}
+    for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+        kept = []
+        for line in t.split("\n"):
+            w = line.split()
+            if not any(line == o or (min(len(w), len(v)) >= 8 and line_dedup.within(v, w, edits)) for o, v in seen):
+                kept.append(line)
+            seen.append((line, w))
+        wanted[i] = "\n".join(kept)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, max_edits=edits).collect()} == wanted
+
+
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
 def test_ngram_join(docs, empty, rows, n, num):
     sets, wanted, roots = plain_components(rows, n, num, 100)

@@ -182,3 +182,37 @@ def test_lines_one_word_apart_share_a_half():
         assert at.tolist() == [2, 3, 4] and n.tolist() == [len(a), len(b), 1] and keys[:, 2].tolist() == [0] * 4
         assert set(keys[:, 0]) & set(keys[:, 1])
         assert h1[0] != h1[1] and h2[0] != h2[1]
+
+
+def edited(rng, words, times, letters):
+    out = list(words)
+    for _ in range(times):
+        kind, at = rng.random(), rng.randrange(len(out))
+        if kind < 0.4:
+            out[at] = rng.choice(letters)
+        elif kind < 0.7:
+            out.insert(at, rng.choice(letters))
+        elif len(out) > 5:
+            out.pop(at)
+    return out
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_lines_within_a_larger_bound_share_a_segment_and_variants_are_exact(edits):
+    rng = random.Random(14)
+    met = 0
+    for _ in range(400):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(7, 11))]
+        b = edited(rng, a, rng.randrange(1, edits + 3), "abcd")
+        table = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, j in product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        near = table[-1][-1] <= edits
+        found = [{(int(k), m, g) for m, g, keys in line_dedup.edit_variants(line_dedup.hashed_words(" ".join(x)), edits, most=64) for k in keys} for x in (a, b)]
+        share = any((k, m, h) in found[1] for k, m, g in found[0] for h in range(edits + 1 - m - g))
+        assert line_dedup.within(a, b, edits) == near == share
+        if near:
+            x, y = (line_dedup.segment_keys(line_dedup.hashed_words(" ".join(v)), edits) for v in (a, b))
+            assert any(k in y and (x[k] or y[k]) for k in x)
+            met += 1
+    assert met > 100
