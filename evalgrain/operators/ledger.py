@@ -76,8 +76,10 @@ def seeded_order(work: DataFrame, seed: int, key: tuple[str, ...] = ("item_id",
 
 def retry_states(trials: DataFrame, max_attempts: int) -> DataFrame:
     """Per item: next attempt, state, and the distinct answers tried in order of attempt."""
-    tried = F.array_sort(F.collect_list(F.when(F.col("extracted_answer").isNotNull(), F.struct("attempt", "extracted_answer"))))
     right = F.coalesce(F.bool_or("correct"), F.lit(False))
+    # An answer counts once, at its first attempt, before any list is made: a list is as long as what it gives.
+    once = trials.groupBy("run_id", "item_id", "extracted_answer").agg(F.max("attempt").alias("last"), right.alias("solved"), F.min(F.struct("attempt", "extracted_answer")).alias("first"))
+    tried = F.array_sort(F.collect_list(F.when(F.col("extracted_answer").isNotNull(), F.col("first"))))
     state = F.when(F.col("solved"), "completed").when(F.col("last") < max_attempts, "retry_pending").otherwise("failed")
-    per = trials.groupBy("run_id", "item_id").agg(F.max("attempt").alias("last"), right.alias("solved"), F.array_distinct(F.transform(tried, lambda x: x["extracted_answer"])).alias("tried"))
+    per = once.groupBy("run_id", "item_id").agg(F.max("last").alias("last"), F.bool_or("solved").alias("solved"), F.transform(tried, lambda x: x["extracted_answer"]).alias("tried"))
     return per.select("run_id", "item_id", (F.col("last") + 1).alias("next_attempt"), state.alias("state"), F.array_join("tried", "|").alias("tried"))

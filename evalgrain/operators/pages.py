@@ -162,6 +162,21 @@ def url_safety(pages: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("rejection", F.coalesce("rejection", F.when(F.col("bad"), "address"))).drop("literal", "bad")
 
 
+def with_best_overlap(rows: DataFrame, queries: DataFrame, group: str) -> DataFrame:
+    """rows with overlap instead of terms: the most terms shared with one query of the group, 0 without any.
+
+    Terms meet terms by an equi-join and are counted by pair, so no group's queries are listed and only pairs that
+    share a term are made. Rows of a group with equal terms are counted once.
+    """
+    key = lambda c: F.unhex(F.md5(F.array_join(c, " ")))
+    told = rows.withColumn("said", key(F.array_sort("terms")))
+    asked = queries.select(group, F.array_sort(T.terms(F.col("query"), T.LINK_STOPWORDS)).alias("asked")).distinct()
+    asked = asked.select(group, key(F.col("asked")).alias("query_key"), F.explode("asked").alias("term"))
+    met = told.select(group, "said", F.explode("terms").alias("term")).join(asked, [group, "term"]).distinct()
+    best = met.groupBy(group, "said", "query_key").agg(F.count("*").alias("shared")).groupBy(group, "said").agg(F.max("shared").cast("int").alias("overlap"))
+    return told.drop("terms").join(best, [group, "said"], "left").drop("said").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+
+
 def passages(docs: DataFrame, queries: DataFrame, key: str = "doc_id", group: str = "group", per_page: int = 2, limit: int = 6) -> DataFrame:
     """The strongest passages for the queries of a group: docs (group, key, text), queries (group, query).
 
@@ -173,15 +188,13 @@ def passages(docs: DataFrame, queries: DataFrame, key: str = "doc_id", group: st
     words = F.size(F.regexp_extract_all(F.lower("passage"), F.lit("[a-z0-9]+"), 0))
     prose = F.size(F.regexp_extract_all(F.lower(F.regexp_replace("passage", r"\[[^\]]+\]\([^)]+\)", " ")), F.lit("[a-z0-9]+"), 0))
     rows = rows.where((prose >= 8) & (prose * 3 >= words)).withColumn("terms", T.terms(F.col("passage"), T.LINK_STOPWORDS))
-    asked = queries.groupBy(group).agg(F.collect_set(F.array_sort(T.terms(F.col("query"), T.LINK_STOPWORDS))).alias("asked"))
-    rows = rows.join(asked, group, "left")
-    best = F.coalesce(F.array_max(F.transform("asked", lambda q: F.size(F.array_intersect(q, F.col("terms"))))), F.lit(0))
     signal = T.overlap(F.col("terms"), T.words_array(T.SIGNAL_TERMS))
     research = T.overlap(F.col("terms"), T.words_array(T.RESEARCH_TERMS))
     after = F.regexp_extract("passage", r"(?i)\b(?:according to|attributed to|credited (?:to|with)|documented by|described by|reported by|written by)\b(.{0,120})", 1)
     named = after.rlike(r"\b[A-Z][A-Za-z'’-]+(?:\s+[A-Z][A-Za-z'’-]+)+\b")
-    rows = rows.withColumn("overlap", best).withColumn("signal", signal).where("overlap >= 2 OR signal > 0")
-    score = F.col("overlap") * 10 + F.col("signal") * 24 + research * 2 + F.when(named, 80).otherwise(0)
+    rows = rows.select(group, key, "passage_no", "passage", "terms", signal.alias("signal"), research.alias("research"), named.alias("named"))
+    rows = with_best_overlap(rows, queries, group).where("overlap >= 2 OR signal > 0")
+    score = F.col("overlap") * 10 + F.col("signal") * 24 + F.col("research") * 2 + F.when(F.col("named"), 80).otherwise(0)
     rows = rows.withColumn("score", score)
     of_page = rows.withColumn("n", F.row_number().over(Window.partitionBy(group, key).orderBy(F.desc("score"), "passage_no"))).where(F.col("n") <= per_page)
     strongest = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key, "passage_no"))

@@ -271,3 +271,30 @@ def test_unified_status(spark):
     rows = [("a", 3, None, None, None, 1, 2, "running", "t", None), ("b", None, 5, 8, [1, 2], 0, None, None, "t", 8)]
     df = spark.createDataFrame(rows, "run_id string, completed int, finished_items int, current_records int, done array<int>, failed int, remaining int, state string, updated_at string, target_total_questions int")
     assert {(r.run_id, r.done, r.remaining, r.state) for r in live.unify_status(df).collect()} == {("a", 3, 2, "running"), ("b", 5, 0, "completed")}
+
+
+def lists(df):
+    """Inputs of the lists that a plan gathers."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line for line in plan.splitlines() if "collect_list(" in line or "collect_set(" in line]
+
+
+def test_retry_states_list_an_answer_once(spark):
+    rows = [(1, 1, k, "b" if k % 2 else "a", False) for k in range(1, 40)] + [(1, 1, 40, "c", None), (1, 1, 0, None, None), (1, 2, 3, None, False), (1, 3, 2, "x", True), (1, 3, 1, "y", False)]
+    t = spark.createDataFrame(rows, "run_id int, item_id int, attempt int, extracted_answer string, correct boolean")
+    out = ledger.retry_states(t, 40)
+    assert {r.item_id: (r.next_attempt, r.state, r.tried) for r in out.collect()} == {1: (41, "failed", "b|a|c"), 2: (4, "retry_pending", ""), 3: (3, "completed", "y|x")}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # The list is made of rows that are grouped by answer.
+    assert lists(out) and plan.count("Aggregate [") == 2
+
+
+def test_passages_meet_queries_by_terms(spark):
+    p = [(1, 1, ["a", "b", "c"]), (1, 2, ["c", "b", "a"]), (1, 3, ["z"]), (1, 4, []), (2, 5, ["a", "b"]), (3, 6, ["a"]), (None, 7, ["a"])]
+    q = [(1, "b a q"), (1, "a c b b x"), (1, "z"), (1, "q z"), (1, ""), (1, None), (2, "a x"), (2, "b y"), (None, "a")]
+    rows = spark.createDataFrame(p, "group int, k int, terms array<string>")
+    out = pages.with_best_overlap(rows, spark.createDataFrame(q, "group int, query string"), "group")
+    # "a" is no search term.
+    assert {r.k: r.overlap for r in out.collect()} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0}
+    docs = spark.createDataFrame([(1, 1, "x")], "group int, doc_id int, text string")
+    assert not lists(pages.passages(docs, spark.createDataFrame(q, "group int, query string")))
