@@ -10,6 +10,9 @@ from pyspark.sql import SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster (spark.checkpoint.dir); on this machine only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
+    """A new path in the shared folder of the cluster (spark.checkpoint.dir); on this machine only where none is set and all runs in this process."""
+    base, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not base and master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return f"{base.rstrip('/')}/evalgrain-{name}-{uuid.uuid4().hex}"
