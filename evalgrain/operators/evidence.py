@@ -29,6 +29,41 @@ def is_abstention(answer: Column) -> Column:
     return F.trim(F.coalesce(answer, F.lit(""))).rlike(ABSTENTION)
 
 
+# Questions for somebody's identity, answers that name a category only, and words that mark a clue restated.
+IDENTITY_QUESTION = (
+    r"(?i)(?:^\s*who\b|\b(?:tell\s+me|determine|find\s+out)\s+who\b|\bwhat\s+(?:is|was)\s+(?:the\s+)?name\s+of|"
+    r"what\s+(?:is|was)\s+(?:this|the)\s+(?:person|individual|celebrity|actor|actress|author|artist|scientist|researcher|politician|athlete)['’]s\s+name|"
+    r"\bidentify\s+(?:this|the)\s+(?:person|individual|celebrity|actor|actress|author|artist|scientist|researcher|politician|athlete|professor|director)|"
+    r"^\s*(?:what|which)\s+(?:person|individual|celebrity|actor|actress|author|artist|scientist|researcher|politician|athlete|professor|director))\b"
+)
+CATEGORY_ANSWER = (
+    r"(?i)^(?:the|a|an)?\s*(?:(?:likely|possible|probable|specific|unnamed|implied|famous|notable|leading|well[- ]known)\s+)*"
+    r"(?:person|individual|celebrity|woman|man|female|male|actor|actress|artist|playwright|figure|candidate|producer|author|scientist|researcher|politician|athlete|"
+    r"professor|academic|director|filmmaker|musician|singer|footballer|player|model|personality|inventor|doctor|physician|engineer|architect|composer)\b"
+)
+CLUE_WORD = r"(?i)\b(?:who|that|which|likely|possibly|probably|specific|unnamed|implied|candidate)\b"
+ENDS_WITH = r"(?i)\b(?:ends?|ending)\s+with\s+the\s+word\s+[\"'“”‘’]*\s*([a-z0-9][a-z0-9'’-]*)"
+STARTS_WITH = r"(?i)\b(?:starts?|begins?|starting|beginning)\s+with\s+the\s+word\s+[\"'“”‘’]*\s*([a-z0-9][a-z0-9'’-]*)"
+SURFACE_WORD = r"(?i)[a-z0-9]+(?:['’-][a-z0-9]+)*"
+
+
+def restates_category(question: Column, answer: Column) -> Column:
+    """Whether a question for an identity is answered by a category: of three words at most, or with a clue restated."""
+    plain = F.trim(F.regexp_replace(F.coalesce(answer, F.lit("")), r"\s+", " "))
+    tail = F.regexp_replace(plain, CATEGORY_ANSWER, "")
+    words = F.size(F.regexp_extract_all(plain, F.lit(r"(?U)[\w&&[^_]]+(?:['’-][\w&&[^_]]+)*"), 0))
+    return F.coalesce(question, F.lit("")).rlike(IDENTITY_QUESTION) & plain.rlike(CATEGORY_ANSWER) & ((words <= 3) | tail.rlike(CLUE_WORD))
+
+
+def surface_faults(question: Column, answer: Column) -> Column:
+    """What a question says of the answer's first or last word and the answer breaks: an array of 'ends with x', 'starts with x'."""
+    said = F.transform(F.regexp_extract_all(F.coalesce(answer, F.lit("")), F.lit(SURFACE_WORD), 0), F.lower)
+    asked = lambda p: F.transform(F.regexp_extract_all(F.coalesce(question, F.lit("")), F.lit(p), 1), F.lower)
+    broken = lambda p, at: F.filter(asked(p), lambda w: ~F.coalesce(F.try_element_at(said, F.lit(at)) == w, F.lit(False)))
+    ends = F.transform(broken(ENDS_WITH, -1), lambda w: F.concat(F.lit("ends with "), w))
+    return F.concat(ends, F.transform(broken(STARTS_WITH, 1), lambda w: F.concat(F.lit("starts with "), w)))
+
+
 def cited_pages(trials: DataFrame, opened: DataFrame, key: str = "trial_id") -> DataFrame:
     """Citations of a trial that it opened: trials (key, citations), opened (key, requested_url, final_url, page_id).
 
@@ -51,8 +86,11 @@ def page_matches_question(question: Column, page: Column) -> Column:
 def answer_windows(pairs: DataFrame, around: int = 24) -> DataFrame:
     """pairs (key, question, answer, page_id, page) with `windows`: the text `around` words about each place of the answer.
 
-    Only pairs whose page holds the answer's first word go to Python, by a native test before.
+    Only pairs whose page holds the answer's first run of ASCII letters and digits (if it has one) go to Python, by a native
+    test before; the others have no windows.
     """
+    start = F.regexp_extract(F.lower(F.coalesce("answer", F.lit(""))), "[a-z0-9]+", 0)
+    able = F.contains(F.lower(F.coalesce("page", F.lit(""))), start)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word = regex.compile(ANSWER_WORD)
@@ -71,7 +109,8 @@ def answer_windows(pairs: DataFrame, around: int = 24) -> DataFrame:
             yield batch.assign(windows=out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return pairs.mapInPandas(cut, f"{fields}, windows array<string>")
+    none = pairs.where(~able).withColumn("windows", F.array().cast("array<string>"))
+    return pairs.where(able).mapInPandas(cut, f"{fields}, windows array<string>").unionByName(none)
 
 
 def relation_terms(question: Column, answer: Column) -> Column:

@@ -34,7 +34,7 @@ def fuse(hits: DataFrame, count: int, group: str = "query_id") -> DataFrame:
     return ranked.where(F.col("fused_rank") <= count).drop("again", "key", "place")
 
 
-def list_status(hits: DataFrame, lists: DataFrame, group: str = "query_id") -> DataFrame:
+def list_status(lists: DataFrame, group: str = "query_id") -> DataFrame:
     """Groups of which every list failed (lists: group, list, ok): one failed list is tolerated, all failed is an error."""
     return lists.groupBy(group).agg(F.bool_or("ok").alias("usable")).where(~F.col("usable")).select(group, F.lit("all lists failed").alias("error"))
 
@@ -47,6 +47,29 @@ def candidates(hits: DataFrame, limit: int, group: str = "query_id") -> DataFram
     return first.withColumn("choice", F.row_number().over(Window.partitionBy(group).orderBy("at"))).where(F.col("choice") <= limit).select(group, "url", "choice")
 
 
+_LINK = r"https?://[^\s<>\]\[{}|\\^`\"]+"
+
+
+def wide_candidates(citations: DataFrame, hits: DataFrame, highlights: DataFrame, said: DataFrame, limit: int, group: str = "query_id") -> DataFrame:
+    """group, url, choice: what to open next, from all that helpers and searches gave.
+
+    One citation of every helper before any second one (citations: group, list, rank, url), then hits in the same way (hits:
+    alike), then passages (highlights: group, rank, url), then links in what helpers said (said: group, list, text). The
+    first of a candidate key counts; fragments and punctuation at the end are cut. One union and two windows on the group.
+    """
+    part = lambda df, k, place, order, url: df.select(group, F.lit(k).alias("part"), place.cast("long").alias("place"), order.cast("long").alias("order"), url.alias("url"))
+    none = F.lit(0)
+    by_list = lambda df: F.row_number().over(Window.partitionBy(group, "list").orderBy("rank"))
+    links = said.select(group, "list", F.posexplode(F.regexp_extract_all("text", F.lit(_LINK), 0)).alias("at", "url"))
+    rows = part(citations, 0, by_list(citations), F.col("list"), F.col("url")).unionByName(part(hits, 1, by_list(hits), F.col("list"), F.col("url")))
+    rows = rows.unionByName(part(highlights, 2, F.col("rank"), none, F.col("url"))).unionByName(part(links, 3, F.col("list"), F.col("at"), F.col("url")))
+    clean = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.trim("url"), _LINK, 0), "#.*$", ""), r"[.,;:!?)\"']+$", "")
+    rows = rows.withColumn("url", clean).where("url <> ''").withColumn("key", F.rtrim(F.lower("url"), F.lit("/")))
+    at = F.struct("part", "place", "order")
+    first = rows.groupBy(group, "key").agg(F.min(at).alias("at"), F.min_by("url", at).alias("url"))
+    return first.withColumn("choice", F.row_number().over(Window.partitionBy(group).orderBy("at"))).where(F.col("choice") <= limit).select(group, "url", "choice")
+
+
 def unopened(chosen: DataFrame, opened: DataFrame, limit: int, group: str = "query_id") -> DataFrame:
     """Candidates that are not opened yet; groups in which all are opened fall back to the opened ones."""
     marked = chosen.join(opened.select(group, "url").distinct().withColumn("opened", F.lit(True)), [group, "url"], "left")

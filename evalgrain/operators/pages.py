@@ -223,20 +223,21 @@ def related_links(page_links: DataFrame, queries: DataFrame, opened: DataFrame,
 
 
 def find_in_pages(pages: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", limit: int = 20, around: int = 500) -> DataFrame:
-    """key, place, offset, found and the text around it: up to `limit` case-insensitive matches of each page, in order."""
+    """key, place, offset, found and the text around it: up to `limit` case-insensitive matches of each page, in order.
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
-
-        compiled = re.compile(pattern, re.IGNORECASE)
-        for batch in batches:
-            out = []
-            for k, t in zip(batch["key"], batch["text"], strict=True):
-                for place, m in enumerate(compiled.finditer(t), start=1):
-                    if place > limit:
-                        break
-                    out.append((k, place, m.start(), m.group(), t[max(0, m.start() - around) : m.end() + around]))
-            yield pd.DataFrame(out, columns=["key", "place", "offset", "found", "context"])
-
-    hits = pages.where(F.col(text).rlike(f"(?i){pattern}")).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    return hits.mapInPandas(find, "key string, place int, offset int, found string, context string")
+    Java's patterns; one that can match nothing finds nothing there. Offsets are the summed lengths of what is before a match.
+    """
+    said = f"(?i){pattern}"
+    rows = pages.where(F.col(text).rlike(said)).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    rows = rows.withColumn("m", F.slice(F.filter(F.regexp_extract_all("text", F.lit(said), 0), lambda x: x != ""), 1, limit)).withColumn("p", F.split("text", said, limit + 1))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
+
+    def step(state: Column, x: Column) -> Column:
+        begin = state["end"] + F.char_length(x["p"])
+        return F.struct((begin + F.char_length(x["m"])).alias("end"), F.concat(state["at"], F.array(begin)).alias("at"))
+
+    offsets = F.aggregate(F.filter(F.arrays_zip("m", "p"), lambda x: x["m"].isNotNull()), start, step, lambda s: s["at"])
+    found = rows.select("key", "text", F.posexplode(F.arrays_zip(F.col("m").alias("found"), offsets.alias("offset"))).alias("place", "x"))
+    first = F.greatest(F.col("x.offset") - around, F.lit(0))
+    context = F.substring("text", first + 1, F.col("x.offset") + F.char_length("x.found") + around - first)
+    return found.select("key", (F.col("place") + 1).alias("place"), F.col("x.offset").alias("offset"), F.col("x.found").alias("found"), context.alias("context"))

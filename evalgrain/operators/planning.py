@@ -117,20 +117,26 @@ def compressed(text: Column, n: int = 9) -> Column:
     return F.array_join(F.transform(ordered, lambda x: x["w"]), " ")
 
 
-def anchors(questions: DataFrame, key: str = "item_id", text: str = "question", limit: int = 14) -> DataFrame:
-    """key, anchor, score, place: quoted spans, names and compressed segments of a question, the `limit` best."""
-    quoted = F.regexp_extract_all(text, F.lit('["“]([^"”]{3,120})["”]'), 1)
+def anchors(questions: DataFrame, key: str = "item_id", text: str = "question", limit: int = 14, route: str | None = None) -> DataFrame:
+    """key, anchor, score, place, exact: quoted spans, names, route anchors and compressed segments of a question, the `limit` best.
+
+    exact: said so in the question (all but compressed segments). route names an array column of anchors from elsewhere.
+    Only phrases that tell something count; the first of those equal in any case.
+    """
+    quoted = F.regexp_extract_all(text, F.lit('["“]([^"”]{4,120})["”]'), 1)
     name = r"[A-Z][A-Za-z0-9'’&-]*"
     names = F.regexp_extract_all(text, F.lit(rf"\b{name}(?:\s+(?:(?:of|the|and|for|in|on|at|to|&|de|la|van|von)\s+)?{name}){{1,7}}\b"), 0)
-    lead = "|".join(GENERIC_LEADS)
-    names = F.filter(F.transform(names, lambda v: F.regexp_replace(v, rf"^(?i:{lead})\s+", "")), is_informative)
-    parts = F.transform(segments(F.col(text)), compressed)
-    every = F.transform(F.concat(quoted, names, parts), lambda v: F.btrim(squeeze(v), F.lit(" ,;:.?\"'()[]")))
-    rows = questions.select(key, F.posexplode(every).alias("pos", "anchor")).where("anchor <> ''")
-    first = rows.groupBy(key, F.lower("anchor").alias("folded")).agg(F.min_by("anchor", "pos").alias("anchor"), F.min("pos").alias("pos"))
+    names = F.transform(names, lambda v: F.regexp_replace(v, rf"^(?i:{'|'.join(GENERIC_LEADS)})\s+", ""))
+    given = F.coalesce(F.col(route), F.array().cast("array<string>")) if route else F.array().cast("array<string>")
+    plain = lambda x: F.transform(x, lambda v: F.btrim(squeeze(v), F.lit(" ,;:.?\"'()[]")))
+    said = F.filter(plain(F.concat(quoted, names, given)), lambda v: F.contains(F.lower(squeeze(F.col(text))), F.lower(v)))
+    tagged = lambda x, exact: F.transform(x, lambda v: F.struct(v.alias("anchor"), F.lit(exact).alias("exact")))
+    every = F.concat(tagged(said, True), tagged(plain(F.transform(segments(F.col(text)), compressed)), False))
+    rows = questions.select(key, F.posexplode(every).alias("pos", "a")).select(key, "pos", "a.*").where((F.col("anchor") != "") & is_informative(F.col("anchor")))
+    first = rows.groupBy(key, F.lower("anchor").alias("folded")).agg(F.min_by("anchor", "pos").alias("anchor"), F.min("pos").alias("pos"), F.bool_or("exact").alias("exact"))
     first = first.withColumn("score", phrase_score(F.col("anchor")))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), F.desc(F.length("anchor")), "pos"))
-    return first.withColumn("place", place).where(F.col("place") <= limit).select(key, "anchor", F.round("score", 6).alias("score"), "place")
+    return first.withColumn("place", place).where(F.col("place") <= limit).select(key, "anchor", F.round("score", 6).alias("score"), "place", "exact")
 
 
 def query_key(text: Column) -> Column:
@@ -150,6 +156,33 @@ def query_pairs(anchors_df: DataFrame, key: str = "item_id", limit: int = 7, max
     return once.withColumn("place", place).where(F.col("place") <= limit).select(key, "query", "place")
 
 
+def query_rungs(anchors_df: DataFrame, source_terms: DataFrame, seeds: DataFrame | None = None, key: str = "item_id", limit: int = 7, max_chars: int = 280) -> DataFrame:
+    """key, rung, query, place: three rungs of queries of a question, `limit` at most in each.
+
+    1: exact anchors of 7 words at most, quoted, then the others; 2: pairs of the first 8 anchors without a common word; 3: the
+    first 5 anchors with the first 4 source terms (key, source_terms). Exact anchors are quoted. seeds (key, rung, pos, query)
+    come last in their rungs if they tell something and score 4 at least. Of queries with one set of words the first counts,
+    and a query has two words at least. A question without anchors has no rows, unless its seeds do.
+    """
+    quoted = F.concat(F.lit('"'), "anchor", F.lit('"'))
+    rows = anchors_df.withColumn("said", F.when(F.col("exact"), quoted).otherwise(F.col("anchor")))
+    one = rows.where(~F.col("exact") | (F.size(words(F.col("anchor"))) <= 7)).select(key, F.lit(1).alias("rung"), F.when(F.col("exact"), 0).otherwise(1).alias("a"), F.col("place").alias("b"), F.lit(0).alias("c"), F.col("said").alias("query"))
+    left = rows.where("place <= 8").select(key, F.col("place").alias("a"), F.col("said").alias("x"), F.transform(content_words(F.col("anchor")), F.lower).alias("xw"))
+    right = left.select(key, F.col("a").alias("b"), F.col("x").alias("y"), F.col("xw").alias("yw"))
+    two = left.join(right, key).where((F.col("a") < F.col("b")) & ~F.arrays_overlap("xw", "yw")).select(key, F.lit(2).alias("rung"), "a", "b", F.lit(0).alias("c"), F.concat_ws(" ", "x", "y").alias("query"))
+    terms = source_terms.select(key, F.posexplode(F.slice("source_terms", 1, 4)).alias("b", "term"))
+    three = rows.where("place <= 5").join(terms, key).select(key, F.lit(3).alias("rung"), F.col("place").alias("a"), "b", F.lit(0).alias("c"), F.concat_ws(" ", "said", "term").alias("query"))
+    made = one.unionByName(two).unionByName(three)
+    if seeds is not None:
+        bare = F.regexp_replace("query", r"\bsite:\S+", "")
+        able = seeds.where(is_informative(bare) & (phrase_score(bare) >= 4))
+        made = made.unionByName(able.select(key, "rung", F.lit(1 << 20).alias("a"), F.col("pos").alias("b"), F.lit(0).alias("c"), "query"))
+    made = made.withColumn("query", squeeze(F.col("query"))).withColumn("set", F.array_sort(F.array_distinct(F.transform(content_words(F.col("query")), F.lower)))).where(F.size("set") >= 2)
+    first = made.withColumn("n", F.row_number().over(Window.partitionBy(key, "rung", "set").orderBy("a", "b"))).where("n = 1")
+    place = F.row_number().over(Window.partitionBy(key, "rung").orderBy("a", "b"))
+    return first.withColumn("place", place).where(F.col("place") <= limit).select(key, "rung", F.left("query", F.lit(max_chars)).alias("query"), "place")
+
+
 def select_items(rows: DataFrame, ranks: DataFrame, prefix: str = "item") -> DataFrame:
     """Rows chosen by a rank list (subset_rank, source_index) with a stable item_id; the list is small and joined by index."""
     item = F.format_string(f"{prefix}-%03d-row-%04d", "subset_rank", "source_index")

@@ -65,6 +65,20 @@ def repeat_streaks(log: DataFrame, group: str = "user_id") -> DataFrame:
     return log.withColumn("same", same).withColumn("island", island).withColumn("streak", F.row_number().over(Window.partitionBy(group, "island").orderBy("step"))).drop("same", "island")
 
 
+def redundant_streaks(log: DataFrame, queries: DataFrame, group: str = "user_id") -> DataFrame:
+    """repeat_streaks() in which an action of whose queries all are redundant repeats too: queries (group, pos, step, query).
+
+    A repeat goes on with the streak; it doesn't become what the next action is compared with. streak is 0 for a fresh action.
+    """
+    judged = novelty(queries, group).groupBy(group, "step").agg(F.bool_and("redundant").alias("redundant"))
+    w = Window.partitionBy(group).orderBy("step")
+    rows = log.join(judged, [group, "step"], "left").withColumn("act", F.struct("action", "payload"))
+    rows = rows.withColumn("last", F.last(F.when(~F.coalesce("redundant", F.lit(False)), F.col("act")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    again = F.coalesce("redundant", F.lit(False)) | F.coalesce(F.col("last") == F.col("act"), F.lit(False))
+    rows = rows.withColumn("again", again).withColumn("island", F.sum(F.when(again, 0).otherwise(1)).over(w))
+    return rows.withColumn("streak", F.sum(F.when(F.col("again"), 1).otherwise(0)).over(Window.partitionBy(group, "island").orderBy("step"))).select(*log.columns, "streak")
+
+
 def search_streaks(log: DataFrame, threshold: int, searches=("search",), resets=("open",), group: str = "user_id") -> DataFrame:
     """log (group, step, action, ok) with search_streak (successful searches since the last successful reset) and inspect."""
     w = Window.partitionBy(group).orderBy("step")
@@ -147,6 +161,12 @@ def page_evidence(events: DataFrame, limit: int = 16_000, trace: str = "trace_id
     return last.select(trace, "url", place.alias("place"), F.left("text", F.lit(limit)).alias("text"))
 
 
+def latest_search(events: DataFrame, trace: str = "trace_id") -> DataFrame:
+    """The result of each trace's last successful search: events (trace, seq, action, ok, result)."""
+    found = events.where(F.col("action").isin("search", "search_many") & F.coalesce("ok", F.lit(False)))
+    return found.groupBy(trace).agg(F.max("seq").alias("seq"), F.max_by("result", "seq").alias("result"))
+
+
 def recovered_partials(events: DataFrame, queries: int = 12, urls: int = 12, trace: str = "trace_id") -> DataFrame:
     """Of timed-out helpers: the last reasoning, the last distinct queries and the first distinct URLs.
 
@@ -164,24 +184,25 @@ def recovered_partials(events: DataFrame, queries: int = 12, urls: int = 12, tra
     return said.join(kept("query", queries, True), trace, "left").join(kept("url", urls, False), trace, "left")
 
 
-def compact(messages: DataFrame, limit: int, keep_last: int = 8, notes: int = 20, conv: str = "conv_id") -> DataFrame:
-    """Transcripts over `limit` characters keep their first message, up to `notes` cut notes and the last messages.
+def compact(messages: DataFrame, limit: int, keep_last: int = 8, notes: int = 20, pages: int = 30, milestones: int = 4, conv: str = "conv_id") -> DataFrame:
+    """Transcripts over `limit` characters keep their first message, the last messages, and of what lies between the last
+    `notes` assistant messages, opened pages (kind 'page') and milestone tool results (kind 'milestone').
 
-    messages (conv, pos, role, content). A kept tail does not begin with a tool message. Each kept content is cut to an
-    equal share of the limit. Transcripts within the limit stay whole.
+    messages (conv, pos, role, kind, content). A kept tail does not begin with a tool message. Each kept content is cut to an
+    equal share of the limit. Transcripts within the limit stay whole. Ranks are counted within what lies between, so a late
+    run of one kind doesn't push out another.
     """
     length = F.char_length(F.coalesce("content", F.lit("")))
-    back = F.row_number().over(Window.partitionBy(conv).orderBy(F.desc("pos")))
-    front = F.row_number().over(Window.partitionBy(conv).orderBy("pos"))
-    sized = messages.join(messages.groupBy(conv).agg(F.sum(length).alias("size")), conv)
-    marked = sized.withColumn("back", back).withColumn("front", front)
+    by = Window.partitionBy(conv)
+    sized = messages.withColumns({"size": F.sum(length).over(by), "back": F.row_number().over(by.orderBy(F.desc("pos"))), "front": F.row_number().over(by.orderBy("pos"))})
     tail = F.col("back") <= keep_last
-    start = F.max(F.when(tail & (F.col("role") != "tool"), F.col("back"))).over(Window.partitionBy(conv))
-    marked = marked.withColumn("start", start)
-    in_tail = tail & (F.col("back") <= F.coalesce("start", F.lit(0)))
-    in_notes = ~in_tail & (F.col("front") > 1) & (F.col("role") == "assistant") & (F.col("back") <= keep_last + notes)
-    part = F.when(F.col("size") <= limit, "whole").when(F.col("front") == 1, "head").when(in_tail, "tail").when(in_notes, "note")
-    share = limit // (1 + keep_last + notes)
+    marked = sized.withColumn("start", F.coalesce(F.max(F.when(tail & (F.col("role") != "tool"), F.col("back"))).over(by), F.lit(0)))
+    between = (F.col("back") > F.col("start")) & (F.col("front") > 1)
+    sort = F.when(~between, "").when(F.col("kind") == "page", "page").when(F.col("kind") == "milestone", "milestone").when(F.col("role") == "assistant", "note").otherwise("")
+    marked = marked.withColumn("sort", sort).withColumn("nth", F.row_number().over(Window.partitionBy(conv, "sort").orderBy(F.desc("pos"))))
+    most = F.when(F.col("sort") == "note", notes).when(F.col("sort") == "page", pages).when(F.col("sort") == "milestone", milestones).otherwise(0)
+    part = F.when(F.col("size") <= limit, "whole").when(F.col("front") == 1, "head").when(F.col("back") <= F.col("start"), "tail").when(F.col("nth") <= most, F.col("sort"))
+    share = limit // (1 + keep_last + notes + pages + milestones)
     text = F.when(part == "whole", F.col("content")).otherwise(truncate_middle(F.col("content"), share))
     return marked.select(conv, "pos", "role", part.alias("part"), text.alias("content")).where("part IS NOT NULL")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalgrain.operators import consensus, geo, planning, trajectory
 from evalgrain.plans.fixtures import rounded, table
 from evalgrain.plans.registry import query
+from evalgrain.sources.scratch import scratch_path
 from evalgrain.streaming import live
 
 
@@ -74,11 +75,14 @@ def novelty(spark, sf_dir):
     return trajectory.novelty(_turns(spark, sf_dir).withColumnRenamed("content", "query")).select("conv_id", "pos", "redundant")
 
 
-@query("win_11_compaction", """WITH s AS (SELECT conv_id, turn AS pos, role, text, sum(length(text)) OVER (PARTITION BY conv_id) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS front FROM conversations),
- p AS (SELECT *, CASE WHEN size <= 1500 THEN 'whole' WHEN front = 1 THEN 'head' WHEN back <= 3 THEN 'tail' WHEN role = 'assistant' AND back <= 8 THEN 'note' END AS part FROM s)
+@query("win_11_compaction", """WITH s AS (SELECT conv_id, turn AS pos, role, text, CASE WHEN role <> 'assistant' AND turn % 3 = 0 THEN 'page' WHEN role <> 'assistant' AND turn % 5 = 0 THEN 'milestone' END AS kind, sum(length(text)) OVER (PARTITION BY conv_id) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS front FROM conversations),
+ m AS (SELECT *, CASE WHEN back <= 3 OR front = 1 THEN '' WHEN kind IS NOT NULL THEN kind WHEN role = 'assistant' THEN 'note' ELSE '' END AS sort FROM s), n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, sort ORDER BY pos DESC) AS nth FROM m),
+ p AS (SELECT *, CASE WHEN size <= 1500 THEN 'whole' WHEN front = 1 THEN 'head' WHEN back <= 3 THEN 'tail' WHEN (sort = 'note' AND nth <= 2) OR (sort = 'page' AND nth <= 2) OR (sort = 'milestone' AND nth <= 1) THEN sort END AS part FROM n)
  SELECT conv_id, pos, role, part, sha256(CASE WHEN part = 'whole' OR length(text) <= 166 THEN text ELSE left(text, 53) || chr(10) || '...[' || (length(text) - 106) || ' chars omitted]...' || chr(10) || right(text, 53) END) AS digest FROM p WHERE part IS NOT NULL""")
 def compaction(spark, sf_dir):
-    out = trajectory.compact(_turns(spark, sf_dir), 1500, keep_last=3, notes=5)
+    other = F.col("role") != "assistant"
+    kind = F.when(other & (F.col("pos") % 3 == 0), "page").when(other & (F.col("pos") % 5 == 0), "milestone")
+    out = trajectory.compact(_turns(spark, sf_dir).withColumn("kind", kind), 1500, keep_last=3, notes=2, pages=2, milestones=1)
     return out.select("conv_id", "pos", "role", "part", F.sha2("content", 256).alias("digest"))
 
 
@@ -308,10 +312,18 @@ def geo_categories(spark, sf_dir):
 # Streams
 
 
+BATCHES = 4
+
+
 def _stream(spark, sf_dir) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
-    e = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return live.ingest(e)
+    """events as a stream of several micro-batches in order of time: written in parts one after another, read a file at a time."""
+    e = table(spark, sf_dir, "events")
+    first, last = e.select(F.min(F.unix_micros(F.col("ts").cast("timestamp"))), F.max(F.unix_micros(F.col("ts").cast("timestamp")))).first()
+    part = F.least(F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) * BATCHES / (last - first + 1)).cast("int"), F.lit(BATCHES - 1))
+    root = scratch_path(spark, "events")
+    for k in range(BATCHES):
+        e.where(part == k).coalesce(1).write.parquet(f"{root}/part={k}")
+    return live.ingest(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/part=*"))
 
 
 def _stream_trials(spark, sf_dir) -> DataFrame:
@@ -333,11 +345,12 @@ def stream_counters(spark, sf_dir):
     return live.latest(out, "run_id", ("finished", "correct", "graded_incorrect", "strict_incorrect", "failed"))
 
 
-@query("str_02_once", "SELECT user_id, min(1) AS n FROM events GROUP BY user_id")
+@query("str_02_once", "SELECT event_id, 1 AS n FROM events")
 def stream_once(spark, sf_dir):
-    """Every user's trial once, though each has many events, in one watermark's memory."""
-    rows = live.once(_stream(spark, sf_dir).select("user_id", "ts"), ("user_id",))
-    return live.run_to_end(rows.select("user_id"), "append").select("user_id").distinct().select("user_id", F.lit(1).alias("n"))
+    """Every event comes twice in its micro-batch, and is counted as often as it is emitted: once."""
+    twice = _stream(spark, sf_dir).select("event_id", "ts", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"))
+    out = live.run_to_end(live.once(twice, ("event_id",)).select("event_id"), "append")
+    return out.groupBy("event_id").agg(F.count("*").alias("n"))
 
 
 @query("str_04_active", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS action, arg_max(event_type, event_id) <> 'purchase' AS active FROM events GROUP BY user_id")
@@ -348,23 +361,38 @@ def stream_active(spark, sf_dir):
 
 
 @query("str_05_07_rate_and_state", f"""WITH c AS ({_COUNTERS}), t AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'run_a' ELSE 'run_b' END AS run_id, epoch(max(ts)) - epoch(min(ts)) AS seconds FROM events GROUP BY 1)
- SELECT run_id, round(finished * 3600.0 / seconds, 3) AS per_hour, round(10.0 / (finished * 3600.0 / seconds), 3) AS hours_left, 'running' AS state FROM c JOIN t USING (run_id)""")
+ SELECT run_id, round(finished * 3600.0 / seconds, 3) AS per_hour, round(10.0 / (finished * 3600.0 / seconds), 3) AS hours_left, CASE WHEN run_id = 'run_a' THEN 'running' WHEN failed > 0 THEN 'completed_with_errors' ELSE 'completed' END AS state FROM c JOIN t USING (run_id)""")
 def stream_rate(spark, sf_dir):
     t = _stream_trials(spark, sf_dir)
     seen = t.groupBy("run_id").agg(F.count("*").alias("finished"), F.count_if(F.col("status") == "error").alias("failed"), F.min("ts").alias("first"), F.max("ts").alias("last"))
     out = live.latest(live.run_to_end(seen, "update"), "run_id", ("finished", "failed", "first", "last"))
     seconds = F.col("last").cast("double") - F.col("first").cast("double")
     per_hour, left = live.rate(F.col("finished"), F.lit(10), seconds)
-    state = live.run_state(F.col("finished"), F.col("finished") + 10, F.col("failed"), F.lit(False))
+    given = F.col("finished") + F.when(F.col("run_id") == "run_a", 10).otherwise(0)
+    state = live.run_state(F.col("finished"), given, F.col("failed"), F.lit(False))
     return rounded(out.select("run_id", per_hour.alias("per_hour"), left.alias("hours_left"), state.alias("state")), "per_hour", "hours_left", digits=3)
 
 
-@query("str_06_stale", """WITH m AS (SELECT max(ts) AS now FROM events), u AS (SELECT CAST(user_id AS VARCHAR) AS run_id, max(ts) AS last_seen FROM events GROUP BY user_id)
- SELECT run_id, last_seen FROM u, m WHERE floor(epoch(now)) - floor(epoch(last_seen)) > 86400""")
+@query("str_06_stale", """WITH m AS (SELECT max(ts) AS now, min(ts) AS first FROM events), u AS (SELECT CAST(user_id AS VARCHAR) AS run_id, max(ts) AS last_seen, arg_max(event_type, ts) AS last FROM events GROUP BY user_id),
+ w AS (SELECT epoch_ms(max(ts)) - 3600000 AS before FROM events, m WHERE (epoch_us(ts) - epoch_us(first)) * 4 // (epoch_us(now) - epoch_us(first) + 1) < 3)
+ SELECT run_id, CASE WHEN last = 'purchase' THEN 'cleared' ELSE 'stale' END AS alert FROM u, m, w WHERE last = 'purchase' OR (epoch_ms(last_seen) + 86400000 < before AND epoch_ms(last_seen) + 87000000 < epoch_ms(now) - 3600000)""")
 def stale_runs(spark, sf_dir):
+    """Users as runs that a purchase ends: the alert that holds at the end, confirmed by a second check ten minutes on.
+
+    A check is made in the micro-batch after the watermark has passed it, so the first must be due by the last batch but one.
+    """
+    state = F.when(F.col("event_type") == "purchase", "completed").otherwise("running")
+    status = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("run_id"), "ts", state.alias("state"))
+    out = live.run_to_end(live.stale_alerts(status, 86_400, confirmations=2, check_seconds=600), "append")
+    e = table(spark, sf_dir, "events")
+    last = e.groupBy(F.col("user_id").cast("string").alias("run_id")).agg(F.max(F.date_trunc("millisecond", F.col("ts").cast("timestamp"))).alias("last_seen"))
+    return out.join(last, ["run_id", "last_seen"]).select("run_id", "alert").distinct()
+
+
+@query("str_06_stale_now", """WITH m AS (SELECT max(ts) AS now FROM events), u AS (SELECT CAST(user_id AS VARCHAR) AS run_id, max(ts) AS last_seen, arg_max(event_type, ts) AS last FROM events GROUP BY user_id)
+ SELECT run_id, last_seen FROM u, m WHERE last <> 'purchase' AND floor(epoch(now)) - floor(epoch(last_seen)) > 86400""")
+def stale_now(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    now = e.agg(F.max("ts").alias("now"))
-    status = e.select(F.col("user_id").cast("string").alias("run_id"), "ts", F.lit("running").alias("state"))
-    last = status.groupBy("run_id").agg(F.max("ts").alias("last_seen"), F.lit("running").alias("state"))
-    late = last.join(F.broadcast(now)).where(F.unix_timestamp("now") - F.unix_timestamp("last_seen") > 86_400)
-    return late.select("run_id", "last_seen")
+    now = e.agg(F.max("ts")).first()[0]
+    status = e.select(F.col("user_id").cast("string").alias("run_id"), "ts", F.when(F.col("event_type") == "purchase", "completed").otherwise("running").alias("state"))
+    return live.stale_now(status, 86_400, F.lit(now)).select("run_id", "last_seen")

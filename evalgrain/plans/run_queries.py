@@ -56,7 +56,8 @@ def costs(spark, sf_dir):
  round(median(duration_seconds), 6) AS duration_median, round(quantile_cont(duration_seconds, 0.9), 6) AS duration_p90,
  round(quantile_cont(duration_seconds, 0.95), 6) AS duration_p95 FROM trials GROUP BY run_id"""))
 def durations(spark, sf_dir):
-    out = metrics.summarize(trials(spark, sf_dir), metrics.duration_columns())
+    t = trials(spark, sf_dir)
+    out = metrics.with_duration_quantiles(metrics.summarize(t, metrics.duration_columns()), t)
     return rounded(rounded(out, "duration_total", digits=4), "duration_mean", "duration_median", "duration_p90", "duration_p95")
 
 
@@ -159,8 +160,9 @@ def mean_differences(spark, sf_dir):
 @query("agg_17_run_table", with_trials("""SELECT run_id, count(*) AS n_records, round(count(*) FILTER (correct) / count(*)::DOUBLE, 6) AS accuracy, round(sum(total_cost), 6) AS cost_usd,
  round(median(duration_seconds), 6) AS duration_median FROM trials GROUP BY run_id"""))
 def run_table(spark, sf_dir):
-    t = metrics.summarize(trials(spark, sf_dir), [*metrics.accuracy_columns(), *metrics.cost_columns(), *metrics.duration_columns()])
-    return rounded(t.select("run_id", "n_records", "accuracy", "cost_usd", "duration_median"), "accuracy", "cost_usd", "duration_median")
+    t = trials(spark, sf_dir)
+    out = metrics.with_duration_quantiles(metrics.summarize(t, [*metrics.accuracy_columns(), *metrics.cost_columns(), *metrics.duration_columns()]), t)
+    return rounded(out.select("run_id", "n_records", "accuracy", "cost_usd", "duration_median"), "accuracy", "cost_usd", "duration_median")
 
 
 @query("set_01_key_sets", with_trials("""SELECT 'both' AS part, source_index, attempt FROM (SELECT source_index, attempt FROM trials WHERE run_id = 'run_a' INTERSECT SELECT source_index, attempt FROM trials WHERE run_id = 'run_b')

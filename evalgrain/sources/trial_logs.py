@@ -51,16 +51,21 @@ def strict_lines(lines: DataFrame) -> DataFrame:
 
 
 def csv_checks(table: DataFrame, required: tuple[str, ...], expected_rows: int) -> DataFrame:
-    """check, detail: one row for each check that a source table fails (columns, row count, empty required fields)."""
+    """check, detail: one row for each check that a source table fails: columns, row count, and empty required fields with the
+    numbers (from 0) of the first 10 rows that have them. A row's number is the rows of the parts before it, by one count a
+    part, and its place in its part."""
     spark = table.sparkSession
     missing = [c for c in required if c not in table.columns]
     if missing:
         return spark.createDataFrame([("missing_columns", ", ".join(missing))], "check string, detail string")
     empty = F.exists(F.array(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in required]), lambda x: x)
-    numbered = table.select(empty.alias("empty"), F.monotonically_increasing_id().alias("id"))
-    counts = numbered.agg(F.count("*").alias("rows"), F.count_if("empty").alias("n_empty"))
+    marked = table.select(empty.alias("empty"), F.monotonically_increasing_id().alias("id")).withColumn("part", F.shiftright("id", 33)).withColumn("at", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
+    parts = marked.groupBy("part").agg(F.count("*").alias("n"))
+    before = parts.alias("a").join(parts.select(F.col("part").alias("earlier"), F.col("n").alias("m")), F.col("earlier") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    counts = marked.agg(F.count("*").alias("rows"), F.count_if("empty").alias("n_empty"))
+    first = marked.where("empty").orderBy("id").limit(10).join(before, "part").agg(F.array_join(F.array_sort(F.collect_list(F.col("before") + F.col("at"))).cast("array<string>"), ", ").alias("first"))
     wrong = counts.where(F.col("rows") != expected_rows).select(F.lit("row_count").alias("check"), F.concat(F.col("rows").cast("string"), F.lit(f" rows, not {expected_rows}")).alias("detail"))
-    gaps = counts.where("n_empty > 0").select(F.lit("empty_fields").alias("check"), F.concat(F.col("n_empty").cast("string"), F.lit(" rows")).alias("detail"))
+    gaps = counts.where("n_empty > 0").join(first).select(F.lit("empty_fields").alias("check"), F.concat(F.col("n_empty").cast("string"), F.lit(" rows: "), "first").alias("detail"))
     return wrong.unionByName(gaps)
 
 
@@ -102,10 +107,12 @@ def public_projection(trials: DataFrame) -> DataFrame:
     )
 
 
-def write_ledgers(ledgers: DataFrame, summary: DataFrame, folder: str) -> None:
-    """One JSON folder for each policy and one for the summary; the ledger is read once per policy, partition by partition."""
+def write_ledgers(ledgers: DataFrame, summary: DataFrame, folder: str, parsed: DataFrame | None = None) -> None:
+    """JSON folders: the ledgers by policy, the summary, and of parsed log lines (parse_lines()) those unscored and quarantined."""
     ledgers.write.partitionBy("policy").json(f"{folder}/ledgers")
     summary.write.json(f"{folder}/summary")
+    for kind in ("unscored", "quarantined") if parsed is not None else ():
+        parsed.where(kind).drop("terminal", "unscored", "quarantined").write.json(f"{folder}/{kind}")
 
 
 def latest_entries(cache_log: DataFrame) -> DataFrame:

@@ -61,47 +61,37 @@ def run_state(finished: Column, assigned: Column, failed: Column, interrupted: C
     return F.when(interrupted, "interrupted").when(finished < assigned, "running").when(failed > 0, "completed_with_errors").otherwise("completed")
 
 
-_ACTIVE = "user_id long, event_id long, action string, active boolean"
-
-
 def active(events: DataFrame, end: str = "purchase") -> DataFrame:
-    """The latest action of each open trial, updated as events come; a trial that ends is emitted once as not active.
+    """The latest action of each trial, updated as events come, and whether the trial is still open.
 
-    events: user_id (the trial), event_id (order), action. State: one row a trial, dropped when it ends.
+    events: user_id (the trial), event_id (order), action. The state is the greatest event of each trial, an ended one's too,
+    so a late event with a smaller number neither changes nor revives it. Built-in aggregation, no Python.
     """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, action = state.get if state.exists else (-1, "")
-        for batch in batches:
-            newest = batch.loc[batch["event_id"].idxmax()]
-            if newest["event_id"] > last:
-                last, action = int(newest["event_id"]), str(newest["action"])
-        if action == end:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((last, action))
-        yield pd.DataFrame({"user_id": [key[0]], "event_id": [last], "action": [action], "active": [action != end]})
-
-    return events.groupBy("user_id").applyInPandasWithState(step, _ACTIVE, "event_id long, action string", "update", GroupStateTimeout.NoTimeout)
+    last = F.max(F.struct("event_id", "action"))
+    return events.groupBy("user_id").agg(last.alias("last")).select("user_id", "last.event_id", "last.action", (F.col("last.action") != end).alias("active"))
 
 
 _ALERT = "run_id string, last_seen timestamp, state string, alert string"
 
 
-def stale_alerts(status: DataFrame, stale_seconds: int) -> DataFrame:
-    """An alert when a run that hasn't ended is silent for stale_seconds of event time; ending or new activity clears it.
+def stale_alerts(status: DataFrame, stale_seconds: int, confirmations: int = 1, check_seconds: int = 60) -> DataFrame:
+    """An alert when a run that hasn't ended is silent for stale_seconds of event time and still is at each of the next
+    confirmations - 1 checks, check_seconds apart; ending or new activity clears it.
 
-    status: run_id, ts (with watermark), state. The timer is an event-time timeout, so replays give the same alerts.
+    status: run_id, ts (with watermark), state. Checks are event-time timeouts, so replays give the same alerts. State: when
+    a run was last seen, its state, and the checks passed in silence.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, name, checks = state.get if state.exists else (0, "", 0)
         if state.hasTimedOut:
-            seen, name = state.get
+            if checks + 1 < confirmations:
+                state.update((seen, name, checks + 1))
+                state.setTimeoutTimestamp(max(seen + 1000 * (stale_seconds + (checks + 1) * check_seconds), state.getCurrentWatermarkMs() + 1))
+                return
             state.remove()
             yield pd.DataFrame({"run_id": [key[0]], "last_seen": [pd.Timestamp(seen, unit="ms")], "state": [name], "alert": ["stale"]})
             return
-        seen, name = state.get if state.exists else (0, "")
         for batch in batches:
             newest = batch.loc[batch["ts"].idxmax()]
             at = int(newest["ts"].timestamp() * 1000)
@@ -112,10 +102,10 @@ def stale_alerts(status: DataFrame, stale_seconds: int) -> DataFrame:
                 state.remove()
             yield pd.DataFrame({"run_id": [key[0]], "last_seen": [pd.Timestamp(seen, unit="ms")], "state": [name], "alert": ["cleared"]})
             return
-        state.update((seen, name))
+        state.update((seen, name, 0))
         state.setTimeoutTimestamp(max(seen + 1000 * stale_seconds, state.getCurrentWatermarkMs() + 1))
 
-    return status.groupBy("run_id").applyInPandasWithState(step, _ALERT, "seen long, name string", "append", GroupStateTimeout.EventTimeTimeout)
+    return status.groupBy("run_id").applyInPandasWithState(step, _ALERT, "seen long, name string, checks int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stale_now(status: DataFrame, stale_seconds: int, now: Column) -> DataFrame:

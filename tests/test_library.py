@@ -28,7 +28,8 @@ def trials(spark, *rows):
 
 def test_errors_count_as_wrong_and_missing_metrics_as_zero(spark):
     t = trials(spark, {"correct": True, "confidence": 80.0, "metrics": {"duration_seconds": 4.0, "search_calls": 2}}, {"item_id": "b", "status": "error"})
-    out = metrics.summarize(t, [*metrics.accuracy_columns(), *metrics.error_columns(), *metrics.rate_columns(), *metrics.duration_columns(), *metrics.cost_columns()]).first()
+    out = metrics.summarize(t, [*metrics.accuracy_columns(), *metrics.error_columns(), *metrics.rate_columns(), *metrics.duration_columns(), *metrics.cost_columns()])
+    out = metrics.with_duration_quantiles(out, t).first()
     assert (out.n_records, out.n_graded, out.n_correct, out.accuracy, out.n_errors) == (2, 1, 1, 0.5, 1)
     assert (out.duration_mean, out.duration_median, out.zero_search_rate, out.cost_per_correct_usd) == (2.0, 2.0, 0.5, 0.0)
     cal = metrics.calibration(t).first()
@@ -135,7 +136,7 @@ def test_fusion_keeps_first_and_tolerates_one_failed_list(spark):
     hits = spark.createDataFrame([(1, 0, 1, "http://a.com/x"), (1, 0, 2, "http://b.com"), (1, 1, 1, "http://www.a.com/x/"), (1, 1, 2, "http://c.com")], "query_id int, list int, rank int, url string")
     assert [r.url for r in fusion.fuse(hits, 10).orderBy("fused_rank").collect()] == ["http://a.com/x", "http://b.com", "http://c.com"]
     lists = spark.createDataFrame([(1, 0, True), (1, 1, False), (2, 0, False)], "query_id int, list int, ok boolean")
-    assert [r.query_id for r in fusion.list_status(hits, lists).collect()] == [2]
+    assert [r.query_id for r in fusion.list_status(lists).collect()] == [2]
 
 
 def test_mirrors(spark):
@@ -173,7 +174,7 @@ def test_contained_by_pieces_equals_the_loop(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
     p = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")
     wanted = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(patterns) if y and y in x}
-    assert {tuple(r) for r in leaks.contained(t, p, few=3).collect()} == wanted == {tuple(r) for r in leaks.contained(t, p).collect()}
+    assert {tuple(r) for r in leaks.contained(t, p, by_words=False).collect()} == wanted == {tuple(r) for r in leaks.contained(t, p).collect()}
 
 
 def test_label_leaks_and_manifest(spark, tmp_path):
