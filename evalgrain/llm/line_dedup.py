@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations, islice, product
 
 import numpy as np
@@ -14,126 +15,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalgrain.llm.base import materialize, partitions
-from evalgrain.llm.blocks import beside_blocks, write_blocks
-from evalgrain.llm.words import lots, mix, powers, range_hashes, words_of
+from evalgrain.llm.base import drop, materialize, partitions, recorded, without
+from evalgrain.llm.blocks import BLOCK_BITS, beside_blocks, write_blocks
+from evalgrain.llm.packing import pack_ids, unpack_ids
+from evalgrain.llm.words import grouped, lots, mix, powers, prefix_sums, sum_hashes, words_of
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: What is cut off a line's ends before it is compared, and what parts words.
 BLANK = " \t\r\x0b\x0c"
 _BLANK = BLANK.encode()
-SAME, SHORT, LONG = 0, 1, 2
 _ORDER = "struct<none:boolean,doc_id:{id},line:int,node:long>"
+#: Lines of a key that are held against each other (those of a key with more emit variants of single words), characters
+#: profiled at once, and earlier lines listed for a line at first.
+MOST, LOT, LISTED = 1024, 1 << 22, 8
 
 
-def split_lines(text: str | None) -> list[str]:
-    return (text or "").split("\n")
+@dataclass(frozen=True)
+class Bound:
+    """Two lines are near if they are at most edits(words of the shorter one) words apart: replaced, left out or put in."""
 
+    max_edits: int
+    words_per_edit: int
 
-def profile_lines(data: bytes, min_words: int) -> tuple[np.ndarray, ...]:
-    """Of each line of some text that isn't blank: number, both 64-bit halves of its hash, number of words, and four keys (a row each).
+    def edits(self, words):
+        return np.minimum(self.max_edits, words // self.words_per_edit)
 
-    Two lines of min_words words or more that are one word apart share a key. base is the number of words of the shorter
-    line: if the edit lies at or behind the middle of it, both lines begin with the same base div 2 words (the tail
-    holds the edit); otherwise they end with the same others. A line has the keys (own words, tail), (own words, front),
-    (one less, tail) and (one less, front); they are 0 for short lines. All lines are worked out at once.
-    """
-    parts = data.split(b"\n")
-    at = [k for k, p in enumerate(parts) if p.strip(_BLANK)]
-    digests = [xxhash.xxh3_128_intdigest(parts[k].strip(_BLANK)) for k in at]
-    h = np.array([(d >> 64, d & 0xFFFFFFFFFFFFFFFF) for d in digests], np.uint64).reshape(-1, 2).view(np.int64)
-    places, words = words_of(data)
-    ends = np.cumsum([len(p) + 1 for p in parts])
-    first = np.searchsorted(places, np.concatenate([[0], ends[:-1]]))[at]
-    last = np.searchsorted(places, ends)[at]
-    n = last - first
-    keys = np.zeros((4, len(at)), np.int64)
-    long = np.flatnonzero(n >= min_words)
-    if len(long):
-        a, b, size = first[long], last[long], n[long]
-        for k, (base, tail) in enumerate(((size, True), (size, False), (size - 1, True), (size - 1, False))):
-            part = (a, a + base // 2) if tail else (b - (base - base // 2), b)
-            keys[k, long] = mix(range_hashes(words, *part) + mix(base.astype(np.uint64) * np.uint64(2) + np.uint64(tail))).view(np.int64)
-    return np.array(at, np.int32), h[:, 0], h[:, 1], n.astype(np.int32), keys
-
-
-def _profile_rows(min_words: int):
-    def profile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            first = 0
-            for lot in lots(batch["text"]):
-                line, h1, h2, n, keys = profile_lines(b"\n".join(lot), min_words)
-                start = np.cumsum([0, *(data.count(b"\n") + 1 for data in lot)])
-                own = np.searchsorted(start, line, side="right") - 1
-                rows = batch.iloc[first + own]
-                first += len(lot)
-                out = {"node": rows["node"].to_numpy(), "doc_id": rows["doc_id"].reset_index(drop=True), "line": (line - start[own]).astype(np.int32), "h1": h1, "h2": h2, "words": n}
-                yield pd.DataFrame(out | {f"k{i}": keys[i] for i in range(4)})
 
-    return profile
+def split_lines(text: str | None) -> list[str]:
+    return (text or "").split("\n")
+
+
+def _hash_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Number and both 64-bit halves of the hash of each line that isn't blank."""
+    for batch in batches:
+        first = 0
+        for lot in lots(batch["text"]):
+            own, line, digests = [], [], []
+            for k, data in enumerate(lot):
+                for n, part in enumerate(data.split(b"\n")):
+                    if part := part.strip(_BLANK):
+                        own.append(first + k)
+                        line.append(n)
+                        digests.append(xxhash.xxh3_128_digest(part))
+            first += len(lot)
+            h = np.frombuffer(b"".join(digests), ">i8").reshape(-1, 2).astype(np.int64)
+            rows = batch.iloc[own]
+            yield pd.DataFrame({"node": rows["node"].to_numpy(), "doc_id": rows["doc_id"].reset_index(drop=True), "line": np.array(line, np.int32), "h1": h[:, 0], "h2": h[:, 1]})
 
 
 def line_words(line: str) -> list[bytes]:
     return line.encode("utf-8", "surrogatepass").split()
 
 
-def variants(words: list[bytes], where: list[tuple[int, bool]]) -> list[tuple[int, int]]:
-    """(key, role) of the variants with one word deleted, at the places where a (base, tail) allows the edit.
-
-    SAME: the place is in the key, so lines that share it differ in that word only. LONG: the key is of the words left,
-    and meets the SHORT key of a line that has just these.
-    """
-    n = len(words)
-    w = np.array([xxhash.xxh3_64_intdigest(x) for x in words], np.uint64)
-    powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _A))])
-    front = np.concatenate([[np.uint64(0)], np.cumsum(w * powers[:n])])
-    shifted = np.concatenate([[np.uint64(0)], np.cumsum(w[1:] * powers[: n - 1])])
-    left = front[:n] + (shifted[-1] - shifted)  # front[p] and what follows p, moved up by one
-    out = []
-    for base, tail in where:
-        h = base // 2
-        places = np.arange(h, n) if tail else np.arange(0, h + (base < n))
-        if base == n:
-            keys = mix(left[places] + mix(places.astype(np.uint64) * _A + np.uint64(4 * n + 1)))
-            out += [(int(k), SAME) for k in keys.view(np.int64)]
-            out.append((int(mix(front[n:] + mix(np.array([4 * n + 2], np.uint64))).view(np.int64)[0]), SHORT))
-        else:
-            keys = mix(left[places] + mix(np.array([4 * (n - 1) + 2], np.uint64)))
-            out += [(int(k), LONG) for k in keys.view(np.int64)]
-    return list(dict.fromkeys(out))
-
-
-def within_one(a: list, b: list) -> bool:
-    """Whether the word edit distance is at most 1."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    k = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
-    return a[k + 1 :] == b[k + 1 :] if len(a) == len(b) else a[k:] == b[k + 1 :]
+def hashed_words(line: str) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in line_words(line)], np.uint64)
 
 
-def segment_keys(words: np.ndarray, edits: int) -> dict[int, bool]:
-    """Keys of some hashed words, and whether a key is of the line's own segments.
+def segment_variants(data: bytes, bound: Bound) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Variants of the lines of some text with runs of words deleted: key, number of the line, and whether it is an own one.
 
-    Of two lines at most `edits` words apart, a segment of the shorter one, cut into edits + 1, lies unchanged in the other one
-    near its place: an own key of one is a key of the other. Where it can lie follows from the edits left on both sides of it.
+    The shorter of two near lines, with n words and e = bound.edits(n), is cut into e + 1 segments. At most e of them are
+    touched by edits, so deleting these leaves one segment that lies unchanged in the other line, near its place. So a line
+    emits what is left when all its segments but one are deleted (its own variants), and the same segments of each shorter
+    length that a near line can have, at each place to which the edits around it can move one; n and the number of the
+    segment are in the key. An own variant of one near line is a variant of the other. All lines are worked out at once.
     """
-    n, start, end, salt = len(words), [], [], []
-    for base in range(n, max(n - edits, edits + 1) - 1, -1):
-        more = n - base
-        for i in range(edits + 1):
-            at, size = base * i // (edits + 1), base * (i + 1) // (edits + 1) - base * i // (edits + 1)
-            for x in range(max(at - i, at + more - (edits - i), 0), min(at + i, at + more + (edits - i), n - size) + 1):
-                start.append(x)
-                end.append(x + size)
-                salt.append(((base * (edits + 1) + i) << 1) + (more == 0 and x == at))
-    salts = np.array(salt, np.uint64)
-    keys = mix(range_hashes(words, np.array(start, np.int64), np.array(end, np.int64)) + mix((salts >> np.uint64(1)) + _A))
-    out: dict[int, bool] = {}
-    for key, own in zip(keys.view(np.int64).tolist(), (salts & np.uint64(1)).astype(bool).tolist(), strict=True):
-        out[key] = out.get(key, False) or own
-    return out
+    sizes = np.cumsum([len(p) + 1 for p in data.split(b"\n")])
+    places, words = words_of(data)
+    sums = prefix_sums(words)
+    first = np.searchsorted(places, np.concatenate([[0], sizes[:-1]]))
+    n = np.searchsorted(places, sizes) - first
+    keys, lines, own = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
+    for more in range(bound.max_edits + 1):
+        edits = bound.edits(n - more)
+        for e in range(max(1, more), bound.max_edits + 1):
+            at = np.flatnonzero((edits == e) & (n - more > e))
+            base, begin, size = n[at] - more, first[at], n[at]
+            for i in range(e + 1 if len(at) else 0):
+                start = base * i // (e + 1)
+                length = base * (i + 1) // (e + 1) - start
+                salt = mix((base * (e + 1) + i).astype(np.uint64) + _A)
+                for move in range(max(-i, more - (e - i)), min(i, more + (e - i)) + 1):
+                    x = start + move
+                    ok = np.flatnonzero((x >= 0) & (x + length <= size))
+                    a = begin[ok] + x[ok]
+                    keys.append(mix(sum_hashes(sums, a, a + length[ok]) + salt[ok]))
+                    lines.append(at[ok])
+                    own.append(np.full(len(ok), more == 0 and move == 0))
+    return np.concatenate(keys), np.concatenate(lines), np.concatenate(own)
 
 
 def edit_variants(words: np.ndarray, edits: int, most: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -188,51 +157,45 @@ def within(a: list, b: list, edits: int) -> bool:
     return False
 
 
-def _variant_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        out = []
-        for h1, h2, line, where in zip(batch["h1"], batch["h2"], batch["text"], batch["where"], strict=True):
-            at = sorted({(int(x["base"]), bool(x["tail"])) for x in where})
-            out += [(key, role, h1, h2) for key, role in variants(line_words(line), at)]
-        yield pd.DataFrame(out, columns=["key", "role", "h1", "h2"])
-
-
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 1, min_words: int = 8) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = 2, words_per_edit: int = 5) -> DataFrame:
     """docs without lines that an earlier line repeats, plus n_lines and n_dropped (longs); all rows are kept.
 
-    Lines are parted by '\\n' and compared without blanks at their ends. A line goes if an earlier one is equal or, both
-    of min_words words at least, is at most max_edits words apart (replaced, left out or put in). Earlier:
-    smaller id (null last), then smaller line number, then any fixed order. Blank lines stay. Texts without a dropped
-    line stay as they are; null texts stay null with no lines; repeated rows repeat each other's lines; columns named
-    n_lines and n_dropped are replaced; an empty table gives an empty result.
-
-    Plan: the rows are written once in blocks. Distinct lines are found by 128-bit hashes with partial sums. Halves of
-    lines (profile_lines()) tell which distinct lines can have a neighbour at all, and in which half; only these are fetched and
-    emit the variants with one word deleted. Keys are joined, the earliest line of each key is compared word by word,
-    and the lines to drop go back to the blocks. No group is gathered: each key keeps its least line only. With max_edits of
-    2 or more see _near_by_segments().
+    Lines are parted by '\\n' and compared without blanks at their ends. A line goes if an earlier line that stays is equal
+    or near: at most max_edits words apart (replaced, left out or put in), and at most one for each words_per_edit words of
+    the shorter line (so at most a fifth of it; of lines of fewer words only equal ones are near). Earlier: smaller id (null
+    last), then smaller line number, then any fixed order. Blank lines stay. Texts without a dropped line stay as they are;
+    null texts stay null with no lines; repeated rows repeat each other's lines; columns named n_lines and n_dropped are
+    replaced, whatever their case; an empty table gives an empty result.
+
+    Plan: the rows are written once in blocks. Distinct lines are found by 128-bit hashes with partial sums. Each distinct
+    line emits segment_variants(), packed by block and exchanged by hash; lines that share one are fetched and compared
+    word by word with the earlier lines of the key. Keys of more than MOST lines aren't searched so: their lines emit all
+    variants of single words (edit_variants()), of which a key's lines are all near. Each line lists the first LISTED near
+    lines before it, more only where all of these go; so no group is paired with itself. From these lists it follows round by
+    round which lines stay (_settled()), and the lines to drop go back to the blocks.
     """
-    if max_edits < 0 or min_words <= 2 * max_edits:
-        raise ValueError("max_edits is 0 or more, and min_words more than twice that")
-    keep = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    if max_edits < 0 or words_per_edit < 1:
+        raise ValueError("max_edits is 0 or more, words_per_edit 1 or more")
+    bound, spark = Bound(max_edits, words_per_edit), docs.sparkSession
+    keep = without(docs.columns, "n_lines", "n_dropped")
     rows = write_blocks(docs.select(*[F.col(f"`{c}`") for c in keep]), "lines", keep)
     text, doc = f"c{keep.index(text_col)}", f"c{keep.index(id_col)}"
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = rows.select("node", F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    profile = f"node long, doc_id {id_type}, line int, h1 long, h2 long, words int, k0 long, k1 long, k2 long, k3 long"
-    lines = materialize(texts.mapInPandas(_profile_rows(min_words if max_edits == 1 else 1 << 62), profile), "line-profiles")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "node").cast(_ORDER.format(id=id_type))
-    keys = [F.any_value(c).alias(c) for c in ("words", "k0", "k1", "k2", "k3")]
-    distinct = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("uses"), *keys)
-    distinct = materialize(distinct, "distinct-lines")
-    if max_edits > 1:
-        near = _near_by_segments(rows, distinct, text, min_words, max_edits)
-    else:
-        near = _near(rows, distinct, text, min_words) if max_edits else distinct.select("h1", "h2").limit(0)
-    acted = distinct.where("uses > 1").select("h1", "h2", "first").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "full_outer")
-    again = lines.select("h1", "h2", "node", "line").join(acted, ["h1", "h2"])
-    is_first = (F.col("node") == F.col("first.node")) & (F.col("line") == F.col("first.line"))
-    drops = again.where(F.coalesce("near", ~is_first)).select("node", "line")
+    with recorded() as made:
+        texts = rows.select("node", F.col(doc).alias("doc_id"), F.col(text).cast("string").alias("text"))
+        lines = materialize(texts.mapInPandas(_hash_rows, f"node long, doc_id {id_type}, line int, h1 long, h2 long"), "line-hashes")
+        place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line", "node").cast(_ORDER.format(id=id_type))
+        distinct = materialize(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("uses")), "distinct-lines")
+        known = distinct.select("first", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
+        near = _near(rows, known, text, bound) if max_edits else known.select("node", "line").limit(0)
+        near = near.select(F.col("node").alias("at_node"), F.col("line").alias("at_line"), F.lit(True).alias("near"))
+        at = [F.col("first.node") == F.col("at_node"), F.col("first.line") == F.col("at_line")]
+        acted = distinct.join(near, at, "left").where("uses > 1 OR near").select("h1", "h2", "first", "near")
+        again = lines.select("h1", "h2", "node", "line").join(acted, ["h1", "h2"])
+        is_first = (F.col("node") == F.col("first.node")) & (F.col("line") == F.col("first.line"))
+        drops = again.where(F.coalesce("near", ~is_first)).select("node", "line")
+    drops = materialize(drops, "dropped-lines")
+    drop(spark, made)
 
     fields = [T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(keep)]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
@@ -259,125 +222,228 @@ def _rebuild(text: str, names: list[str]):
     return rebuild
 
 
-def _fetch_lines(text: str, keep: tuple[str, ...] = ("h1", "h2")):
+def _lines_of(rows: pa.Table, text: str, node: list[int], line: list[int]) -> list[str]:
+    """The lines wanted of a block, without blanks at their ends; wanted is sorted by node."""
+    want: dict[int, list[int]] = {}
+    for k, at in enumerate(node):
+        want.setdefault(at, []).append(k)
+    found = [""] * len(node)
+    if want:
+        rows = rows.filter(pc.is_in(rows.column("node"), value_set=pa.array(list(want), pa.int64())))
+        for at, value in zip(rows.column("node").to_pylist(), rows.column(text).to_pylist(), strict=True):
+            parts = split_lines(value)
+            for k in want[at]:
+                found[k] = parts[line[k]].strip(BLANK)
+    return found
+
+
+def _fetch_lines(text: str, keep: tuple[str, ...]):
     """The texts of the wanted lines of a block."""
 
     def fetch(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        want: dict[int, list[int]] = {}
-        for k, node in enumerate(wanted.column("node").to_pylist()):
-            want.setdefault(node, []).append(k)
-        numbers, found = wanted.column("line").to_pylist(), [None] * wanted.num_rows
-        if want:
-            rows = rows.filter(pc.is_in(rows.column("node"), value_set=pa.array(list(want), pa.int64())))
-            for node, value in zip(rows.column("node").to_pylist(), rows.column(text).to_pylist(), strict=True):
-                parts = split_lines(value)
-                for k in want[node]:
-                    found[k] = parts[numbers[k]].strip(BLANK)
+        found = _lines_of(rows, text, wanted.column("node").to_pylist(), wanted.column("line").to_pylist())
         return wanted.select(list(keep)).append_column("text", pa.array(found, pa.string()))
 
     return fetch
 
 
-def _near(rows: DataFrame, distinct: DataFrame, text: str, min_words: int) -> DataFrame:
-    """h1, h2 of the distinct lines that are one word from an earlier line."""
-    base = lambda k: F.col("words") - k // 2
-    keyed = F.array(*[F.struct(F.col(f"k{k}").alias("key"), base(k).alias("base"), F.lit(k % 2 == 0).alias("tail")) for k in range(4)])
-    half = distinct.where(F.col("words") >= min_words).select("h1", "h2", F.inline(keyed))
-    shared = half.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
-    alive = half.join(shared, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("base", "tail")).alias("where"))
-    alive = materialize(alive.join(distinct.select("h1", "h2", "first"), ["h1", "h2"]), "neighbours")
-    wanted = alive.select("h1", "h2", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
-    texts = materialize(beside_blocks(rows, wanted, _fetch_lines(text), "h1 long, h2 long, text string"), "neighbour-texts")
-    emitted = texts.join(alive.select("h1", "h2", "where"), ["h1", "h2"]).mapInPandas(_variant_rows, "key long, role int, h1 long, h2 long")
-    keyed = emitted.join(alive.select("h1", "h2", "first"), ["h1", "h2"])
-    keyed = materialize(keyed, "variants")
-    candidate = F.struct("first", "h1", "h2")
-    least = keyed.groupBy("key").agg(*[F.min(F.when(F.col("role") == r, candidate)).alias(f"least{r}") for r in (SAME, SHORT, LONG)])
-    least = least.where("least0 IS NOT NULL OR (least1 IS NOT NULL AND least2 IS NOT NULL)")
-    other = F.when(F.col("role") == SAME, F.col("least0")).when(F.col("role") == SHORT, F.col("least2")).otherwise(F.col("least1"))
-    met = keyed.join(least, "key").withColumn("other", other).where(F.col("other.first") < F.col("first"))
-    pairs = met.select("h1", "h2", F.col("other.h1").alias("o1"), F.col("other.h2").alias("o2")).distinct()
-    own = texts.select("h1", "h2", F.col("text").alias("own"))
-    earlier = texts.select(F.col("h1").alias("o1"), F.col("h2").alias("o2"), F.col("text").alias("earlier"))
-
-    @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([within_one(line_words(x), line_words(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    checked = pairs.join(own, ["h1", "h2"]).join(earlier, ["o1", "o2"]).where(near("own", "earlier"))
-    return checked.select("h1", "h2").distinct()
-
-
-def _segment_rows(text: str, edits: int):
-    """key, place and own of the keys of a block's wanted lines."""
-
-    def keys_of(rows: pa.Table, wanted: pa.Table) -> pa.Table:
-        want: dict[int, list[int]] = {}
-        for node, line in zip(wanted.column("node").to_pylist(), wanted.column("line").to_pylist(), strict=True):
-            want.setdefault(node, []).append(line)
-        out: list[tuple[int, int, int, bool]] = []
-        if want:
-            for node, value in zip(rows.column("node").to_pylist(), rows.column(text).to_pylist(), strict=True):
-                parts = split_lines(value) if node in want else []
-                for k in want.get(node, ()):
-                    out += [(key, node, k, own) for key, own in segment_keys(hashed_words(parts[k]), edits).items()]
-        key, node, line, own = zip(*out) if out else ((), (), (), ())
-        return pa.table({"key": pa.array(key, pa.int64()), "node": pa.array(node, pa.int64()), "line": pa.array(line, pa.int32()), "own": pa.array(own, pa.bool_())})
-
-    return keys_of
+_PACKED = "bucket int, crowded boolean, block long, keys binary, places binary, lines binary, own binary"
 
 
-def hashed_words(line: str) -> np.ndarray:
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in line_words(line)], np.uint64)
+def _packed_variants(text: str, bound: Bound, buckets: int, most: int):
+    """The segment variants of a block's wanted lines, a row for each bucket of keys: sorted keys, and line and row of each.
 
+    Of a key that more than `most` of the block's lines have, so many and one go to its bucket, which shows there that
+    the key is crowded; the others go anywhere, marked so. So a key's bucket gets a bounded number from each block.
+    """
 
-def _edit_rows(edits: int):
+    def pack(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        wanted = wanted.sort_by([("node", "ascending"), ("line", "ascending")])
+        node, line = (wanted.column(c).to_numpy() for c in ("node", "line"))
+        found = _lines_of(rows, text, node.tolist(), line.tolist())
+        keys, at, own, first = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)], 0
+        ends = np.cumsum([len(x) + 1 for x in found])
+        while first < len(found):
+            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + LOT)))
+            k, x, o = segment_variants("\n".join(found[first:last]).encode("utf-8", "surrogatepass"), bound)
+            keys.append(k)
+            at.append(x + first)
+            own.append(o)
+            first = last
+        keys, at, own = np.concatenate(keys), np.concatenate(at), np.concatenate(own)
+        order = np.argsort(keys, kind="stable")
+        keys, at, own = keys[order], at[order], own[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+        # An own variant among those that go to the bucket shows that the key counts.
+        own = np.maximum.reduceat(own, starts)[np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))] & (rank == 0) | own if len(keys) else own
+        block = int(node[0]) >> BLOCK_BITS if len(node) else 0
+        bucket = (keys >> np.uint64(40)).astype(np.int64) % buckets
+        out = []
+        for crowded in (False, True):
+            chosen = np.flatnonzero((rank > most) == crowded)
+            b = np.full(len(chosen), block % buckets) if crowded else bucket[chosen]
+            chosen, b = chosen[order := np.argsort(b, kind="stable")], b[order]
+            for part in np.split(chosen, np.flatnonzero(np.diff(b)) + 1) if len(chosen) else ():
+                places, numbers = node[at[part]] & ((1 << BLOCK_BITS) - 1), line[at[part]]
+                to = block % buckets if crowded else int(bucket[part[0]])
+                out.append((to, crowded, block, keys[part].tobytes(), pack_ids(places, 1, 2), pack_ids(numbers, 1), np.packbits(own[part]).tobytes()))
+        columns = list(zip(*out, strict=True)) or [()] * 7
+        kinds = [pa.int32(), pa.bool_(), pa.int64(), *[pa.binary()] * 4]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in _PACKED.split(", ")])
+
+    return pack
+
+
+def _shared_variants(most: int):
+    """Sorted by bucket: the variants of keys that several lines have and that are one of them's own; crowded if more than `most` have it."""
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, ("bucket",)):
+            packed = [rows.column(c).to_pylist() for c in ("block", "crowded", "keys", "places", "lines", "own")]
+            keys, node, line, own, crowded = [], [], [], [], []
+            for block, many, k, places, lines, o in zip(*packed, strict=True):
+                k = np.frombuffer(k, np.uint64)
+                keys.append(k)
+                node.append((np.int64(block) << BLOCK_BITS) + unpack_ids(places, 2).astype(np.int64))
+                line.append(unpack_ids(lines).astype(np.int32))
+                own.append(np.unpackbits(np.frombuffer(o, np.uint8), count=len(k)).astype(bool))
+                crowded.append(np.full(len(k), many))
+            keys, node, line, own, crowded = map(np.concatenate, (keys, node, line, own, crowded))
+            order = np.lexsort((keys, crowded))
+            keys, node, line, own, crowded = keys[order], node[order], line[order], own[order], crowded[order]
+            starts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (crowded[1:] != crowded[:-1])]))
+            size = np.diff(np.append(starts, len(keys)))
+            live = (size > 1) & np.logical_or.reduceat(own, starts) | crowded[starts]
+            live, many = np.repeat(live, size), np.repeat(size > most, size) | crowded
+            yield pa.record_batch([pa.array(keys[live].view(np.int64)), pa.array(node[live]), pa.array(line[live]), pa.array(own[live]), pa.array(many[live])], ["key", "node", "line", "own", "crowded"])
+
+    return shared
+
+
+def _near(rows: DataFrame, known: DataFrame, text: str, bound: Bound) -> DataFrame:
+    """node, line of the distinct lines that an earlier line that stays is near to."""
+    n = partitions(rows.sparkSession)
+    first = known.schema["first"].dataType
+    packed = beside_blocks(rows, known.select("node", "line"), _packed_variants(text, bound, n, MOST), _PACKED)
+    dealt = packed.repartition(n, "bucket").sortWithinPartitions("bucket")
+    shared = materialize(dealt.mapInArrow(_shared_variants(MOST), "key long, node long, line int, own boolean, crowded boolean"), "shared-variants")
+    wanted = shared.groupBy("node", "line").agg(F.bool_or("crowded").alias("crowded")).join(known, ["node", "line"])
+    fetched = T.StructType([known.schema["first"], T.StructField("crowded", T.BooleanType()), T.StructField("text", T.StringType())])
+    texts = materialize(beside_blocks(rows, wanted, _fetch_lines(text, ("first", "crowded")), fetched), "shared-texts")
+
+    crowded = texts.where("crowded").select("first", "text").repartition(n)
+    variant = T.StructType([T.StructField("key", T.LongType()), T.StructField("marked", T.ByteType()), T.StructField("gone", T.ByteType()), T.StructField("words", T.IntegerType()), T.StructField("first", first)])
+    emitted = crowded.mapInArrow(_edit_rows(bound), variant)
+    if not crowded.isEmpty():
+        emitted = materialize(emitted, "word-variants")
+
+    at = lambda c: [F.col(f"{c}.node").alias("node"), F.col(f"{c}.line").alias("line")]
+    places = texts.select(*at("first"), "first", "text")
+    few = shared.where("NOT crowded").select("key", "own", "node", "line").join(places, ["node", "line"]).select("key", "own", "first", "text")
+    listed = "node long, line int, other_node long, other_line int, more boolean"
+
+    def near_lines(most: int) -> DataFrame:
+        """The first `most` near lines before each line, for each key; more: there are others."""
+        by_segment = few.repartition(n, "key").sortWithinPartitions("key", "first").select("key", "own", F.col("first.node").alias("node"), F.col("first.line").alias("line"), "text")
+        by_word = emitted.repartition(n, "key").sortWithinPartitions("key", "first").select("key", "marked", "gone", "words", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
+        both = by_segment.mapInArrow(_compared(bound, most), listed).unionByName(by_word.mapInArrow(_met(bound, most), listed))
+        return both.groupBy("node", "line", "other_node", "other_line").agg(F.bool_or("more").alias("more"))
+
+    return _settled(near_lines)
+
+
+def _settled(near_lines) -> DataFrame:
+    """node, line of the lines that go: near to an earlier line that stays.
+
+    A line without a near line before it stays. Round by round, a line goes if one listed before it stays; it stays if all
+    of these go and it has no others; if it has others, its list is made longer. The number of rounds is the longest chain
+    of lines each of which depends on the one before. Only counts reach the driver.
+    """
+    here, there = ["node", "line"], [F.col("other_node").alias("node"), F.col("other_line").alias("line")]
+    most = LISTED
+    edges = materialize(near_lines(most), "near-lines")
+    state = materialize(edges.select(*here).distinct().withColumn("state", F.lit("open")), "line-states")
+    while state.where("state = 'open'").limit(1).count():
+        left = edges.join(state.where("state = 'open'").select(*here), here)
+        other = state.select(F.col("node").alias("other_node"), F.col("line").alias("other_line"), F.col("state").alias("other"))
+        seen = left.join(other, ["other_node", "other_line"], "left").groupBy(*here).agg(
+            F.bool_or(F.col("other").isNull() | (F.col("other") == "stays")).alias("goes"), F.bool_or(F.coalesce(F.col("other") == "open", F.lit(False))).alias("waits"), F.bool_or("more").alias("more")
+        )
+        now = F.when(F.col("goes"), "goes").when(F.col("waits"), "open").when(F.col("more"), "longer").otherwise("stays")
+        new = materialize(state.where("state <> 'open'").unionByName(seen.select(*here, now.alias("state"))), "line-states")
+        if new.where("state = 'longer'").limit(1).count():
+            most *= 16
+            edges = materialize(near_lines(most), "near-lines")
+            new = new.withColumn("state", F.when(F.col("state") == "longer", "open").otherwise(F.col("state")))
+        state = new
+    return state.where("state = 'goes'").select(*here)
+
+
+def _listing(found: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True)) or [()] * 5
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.bool_()]
+    return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["node", "line", "other_node", "other_line", "more"])
+
+
+def _compared(bound: Bound, most: int):
+    """Rows sorted by key, the earliest line first: the near lines before each line among those of a key, word by word.
+
+    Words are hashed into a count vector for each line; a pair whose counts differ by more than twice the edits is left out.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in grouped(batches, ("key",)):
+            node, line, own = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "line", "own"))
+            words = [line_words(x) for x in rows.column("text").to_pylist()]
+            counts = np.zeros((len(words), 64), np.int16)
+            for k, w in enumerate(words):
+                np.add.at(counts[k], [hash(x) & 63 for x in w], 1)
+            n, out = np.array([len(w) for w in words]), []
+            for k in range(1, len(words)):
+                edits = bound.edits(np.minimum(n[:k], n[k]))
+                fits = (own[:k] | own[k]) & (np.abs(n[:k] - n[k]) <= edits) & (np.abs(counts[:k] - counts[k]).sum(axis=1) <= 2 * edits)
+                fits &= (node[:k] != node[k]) | (line[:k] != line[k])
+                found = []
+                for j in np.flatnonzero(fits).tolist():
+                    if within(words[j], words[k], int(edits[j])):
+                        found.append(j)
+                        if len(found) > most:
+                            break
+                out += [(node[k], line[k], node[j], line[j], len(found) > most) for j in found[:most]]
+            if out:
+                yield _listing(out)
+
+    return compare
+
+
+def _met(bound: Bound, most: int):
+    """Rows sorted by key, the earliest line first: the near lines before each line among those of a variant. Only the first lines are held."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+        for batch in batches:
+            for k, marked, gone, words, node, line in zip(*[batch.column(c).to_pylist() for c in ("key", "marked", "gone", "words", "node", "line")], strict=True):
+                if k != key:
+                    key, held = k, []
+                # With one number left out on both sides, lines of a variant are alike: so many of each kind are enough.
+                able = [(b, c) for m, g, w, b, c in held if m == marked and m + g + gone <= bound.edits(min(w, words)) and (b, c) != (node, line)]
+                out += [(node, line, b, c, len(able) > most) for b, c in able[:most]]
+                if sum(m == marked and g == gone and w == words for m, g, w, _, _ in held) <= most:
+                    held.append((marked, gone, words, node, line))
+            yield _listing(out)
+            out = []
+
+    return meet
+
+
+def _edit_rows(bound: Bound):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, line in enumerate(batch.column("text").to_pylist()):
-                place = batch.select(["first"]).slice(k, 1)
-                for marked, gone, keys in edit_variants(hashed_words(line), edits):
+                place, words = batch.select(["first"]).slice(k, 1), hashed_words(line)
+                for marked, gone, keys in edit_variants(words, int(bound.edits(len(words)))):
                     same = place.take(pa.array(np.zeros(len(keys), np.int32))).column(0)
-                    yield pa.record_batch([pa.array(keys), pa.array(np.full(len(keys), marked, np.int8)), pa.array(np.full(len(keys), gone, np.int8)), same], ["key", "marked", "gone", "first"])
+                    yield pa.record_batch([pa.array(keys), *[pa.array(np.full(len(keys), x, t)) for x, t in ((marked, np.int8), (gone, np.int8), (len(words), np.int32))], same], ["key", "marked", "gone", "words", "first"])
 
     return rows
-
-
-def _near_by_segments(rows: DataFrame, distinct: DataFrame, text: str, min_words: int, edits: int, most: int = 32) -> DataFrame:
-    """h1, h2 of the distinct lines that are at most `edits` words from an earlier line.
-
-    Lines that share no key of segment_keys() are far apart. The lines of a key that at most `most` lines have are held
-    against each other, so pairs grow with the lines; those of other keys emit edit_variants(), of which each key
-    keeps its least line by what it leaves out. Both ways find every pair, and all that is found is compared by its words.
-    """
-    known = distinct.where(F.col("words") >= min_words).select("h1", "h2", "first", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
-    place = ["node", "line"]
-    keyed = materialize(beside_blocks(rows, known.select(*place), _segment_rows(text, edits), "key long, node long, line int, own boolean"), "segment-keys")
-    uses = keyed.groupBy("key").agg(F.count("*").alias("uses"), F.bool_or("own").alias("any_own")).where("uses > 1 AND any_own").select("key", "uses")
-    alive = materialize(keyed.join(uses, "key"), "shared-segments")
-    needed = alive.groupBy(*place).agg((F.max("uses") > most).alias("crowded")).join(known, place)
-    texts = materialize(beside_blocks(rows, needed, _fetch_lines(text, ("h1", "h2", "first", "crowded")), T.StructType([*known.select("h1", "h2", "first").schema, T.StructField("crowded", T.BooleanType()), T.StructField("text", T.StringType())])), "segment-texts")
-
-    few = alive.where(F.col("uses") <= most)
-    one = few.where("own").select("key", *[F.col(c).alias(f"own_{c}") for c in place])
-    met = few.select("key", *place).join(one, "key").where("node != own_node OR line != own_line")
-    a, b = F.struct(*place), F.struct(F.col("own_node").alias("node"), F.col("own_line").alias("line"))
-    pairs = met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-
-    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("marked", T.ByteType()), T.StructField("gone", T.ByteType()), T.StructField("first", texts.schema["first"].dataType)])
-    crowded = texts.where("crowded").select("first", "text").repartition(partitions(rows.sparkSession))
-    emitted = materialize(crowded.mapInArrow(_edit_rows(edits), schema), "edit-variants")
-    least = emitted.groupBy("key").agg(F.min("first").alias("low"), F.max("first").alias("high"), *[F.min(F.when(F.col("gone") == g, F.col("first"))).alias(f"least{g}") for g in range(edits + 1)]).where("low < high").drop("low", "high")
-    able = [F.when(F.col("marked") + F.col("gone") + g <= edits, F.col(f"least{g}")) for g in range(edits + 1)]
-    other = emitted.join(least, "key").withColumn("other", F.least(*able)).where(F.col("other") < F.col("first"))
-    at = lambda c: F.struct(F.col(f"{c}.node").alias("node"), F.col(f"{c}.line").alias("line"))
-    pairs = pairs.unionByName(other.select(at("first").alias("a"), at("other").alias("b"))).distinct()
-
-    @F.pandas_udf("boolean")
-    def near(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([within(line_words(p), line_words(q), edits) for p, q in zip(x, y, strict=True)], dtype=bool)
-
-    side = lambda c: texts.select(at("first").alias(c), F.struct("first", "h1", "h2").alias(f"{c}_line"), F.col("text").alias(f"{c}_text"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_text", "b_text"))
-    later = F.greatest("a_line", "b_line")
-    return checked.select(later.getField("h1").alias("h1"), later.getField("h2").alias("h2")).distinct()

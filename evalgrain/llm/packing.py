@@ -9,6 +9,8 @@ import zstandard
 
 # Unicode white space, as the pattern means it (U+001C to U+001F are none).
 WHITE_SPACE = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What keeps a text from being cut before each of its blanks: other white space than single blanks and line ends.
+ODD = tuple(c for c in map(chr, range(0x3001)) if re.match(f"[{WHITE_SPACE}]", c) and c not in " \n") + ("  ", " \n", "\n ")
 WORD = re.compile(f"[{WHITE_SPACE}]*[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+")
 
 
@@ -16,14 +18,14 @@ def squeeze(data: bytes, level: int = 5) -> bytes:
     return zstandard.ZstdCompressor(level=level).compress(data)
 
 
-def pack_ids(numbers: np.ndarray, level: int = 5) -> bytes:
-    """Numbers below 2**32 by byte planes: the high planes are nearly constant and compress away."""
-    return squeeze(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), level)
+def pack_ids(numbers: np.ndarray, level: int = 5, planes: int = 4) -> bytes:
+    """Numbers below 2**(8 * planes), planes 2 or 4, by byte planes: the high planes are nearly constant and compress away."""
+    return squeeze(numbers.astype(f"<u{planes}").view(np.uint8).reshape(-1, planes).T.tobytes(), level)
 
 
-def unpack_ids(data: bytes) -> np.ndarray:
+def unpack_ids(data: bytes, planes: int = 4) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.ascontiguousarray(raw.reshape(planes, -1).T).view(f"<u{planes}").reshape(-1)
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:

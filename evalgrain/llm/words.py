@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint64)
 _SPACE = np.array([b == 32 or 9 <= b <= 13 for b in range(256)])
@@ -44,17 +45,19 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers.up[:n], _powers.down[:n]
 
 
-def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of values[start:end] for many ranges: differences of prefix sums, moved back to the same power."""
-    up, down = powers(len(values) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[:-1])])
-    return (sums[end] - sums[start]) * down[start]
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(len(values) + 1)[0][:-1])])
+
+
+def sum_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of values[start:end] for many ranges, given prefix_sums(values): their differences, moved back to the same power."""
+    return (sums[end] - sums[start]) * powers(len(sums))[1][start]
 
 
 def _segment(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edges = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[raw], [True]])))
     start, end = edges[::2], edges[1::2]
-    return start, mix(range_hashes(_FOLD[raw], start, end) + mix((end - start).astype(np.uint64)))
+    return start, mix(sum_hashes(prefix_sums(_FOLD[raw]), start, end) + mix((end - start).astype(np.uint64)))
 
 
 def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -97,3 +100,22 @@ def many_word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         places, hashes = words_of(b"\n".join(lot))
         ends = np.cumsum([len(data) + 1 for data in lot])
         yield from np.split(hashes, np.searchsorted(places, ends[:-1]))
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple]:
+    """The key values and rows of each group of a sorted stream of batches."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if batch.num_rows > 1 else np.zeros(1, np.int64)
+        for s, e in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            part = pa.Table.from_batches([batch.slice(s, e - s)])
+            if held and any(held[0].column(k)[0] != part.column(k)[0] for k in keys):
+                rows, held = pa.concat_tables(held).combine_chunks(), []
+                yield (*[rows.column(k)[0].as_py() for k in keys], rows)
+            held.append(part)
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield (*[rows.column(k)[0].as_py() for k in keys], rows)

@@ -5,11 +5,12 @@ import re
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
 
-from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, packing, topk, words
+from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, packing, token_files, topk, words
 
 
 def noise(rng: random.Random, n: int) -> str:
@@ -31,6 +32,22 @@ def test_encoding_words_gives_what_encoding_texts_gives(ranks):
         assert [i for w in words for i in library.encode_ordinary(w)] == library.encode_ordinary(text)
 
 
+def test_token_files_encode_words_as_the_library_encodes_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        made = f.read()
+    library, rng = Tokenizer.from_file(path), random.Random(6)
+    letters = ["a", "b", "ab", "tion", "é", "漢", "1", "23", "'", "s", "'ll", ".", ",", "_", " ", " ", " ", "\n", "😀"]
+    texts = [noise(rng, n) for n in range(0, 200, 3)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(600)]
+    texts += ["", " ", "x ", " x", "a\nb c", "<|endoftext|> x", "a  b", "\n", "x\n", "\nx y"] + ["same words here and here again"] * 3
+    for _ in range(2):
+        ids, ends = token_files._ids_of(pa.array(texts), made, 2)
+        found = [x.tolist() for x in np.split(ids, ends[:-1])]
+        assert found == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+
+
 def test_packed_words_and_numbers_come_back():
     words = [b"", b"a", b"\x00\n", "é".encode() * 300]
     assert bpe._unpack_words(bpe._pack_words(words)) == words
@@ -81,7 +98,7 @@ def test_linked_sets_share_a_signature_and_pass_the_bound(num, den):
             continue
         both = len(np.intersect1d(a, b))
         assert t.linked(both, len(a) + len(b)) == (den * both >= num * (len(a) + len(b) - both))
-        bound = int(np.minimum(ngram_join.counts(a), ngram_join.counts(b)).sum())
+        bound = ngram_join.shared_at_most(ngram_join.counts(a), ngram_join.counts(b))
         assert bound >= both
         if t.linked(both, len(a) + len(b)):
             linked += 1
@@ -91,7 +108,7 @@ def test_linked_sets_share_a_signature_and_pass_the_bound(num, den):
 
 def test_tree_finds_every_pair_that_the_bound_allows():
     rng, t = np.random.default_rng(9), ngram_join.Threshold(90, 100)
-    base = rng.integers(0, 12, (20, ngram_join.GROUPS))
+    base = rng.integers(0, 12, (20, 64))
     points = np.concatenate([base + (rng.random(base.shape) < 0.03) for _ in range(12)])
     sizes = points.sum(axis=1)
     component = rng.integers(0, 3, len(points))
@@ -101,33 +118,19 @@ def test_tree_finds_every_pair_that_the_bound_allows():
         if i < j and component[i] != component[j] and 190 * np.minimum(points[i], points[j]).sum() >= 90 * (sizes[i] + sizes[j])
     }
     assert found == wanted and wanted
+    every, more = ngram_join.forest(points, sizes, component, t, None, True)
+    assert {tuple(sorted(p)) for p in every} == wanted and not more
+    few, more = ngram_join.forest(points, sizes, component, t, None, False)
+    assert {tuple(sorted(p)) for p in few} < wanted and more and len(few) <= 2
 
 
-def test_line_variants_meet_exactly_within_one_word():
-    rng = random.Random(10)
-    met = 0
-    for _ in range(1500):
-        a = [rng.choice("abcd") for _ in range(rng.randrange(4, 9))]
-        b = list(a)
-        for _ in range(rng.randrange(1, 3)):
-            k, at = rng.random(), rng.randrange(len(b))
-            if k < 0.4:
-                b[at] = rng.choice("abcd")
-            elif k < 0.7:
-                b.insert(at, rng.choice("abcd"))
-            elif len(b) > 3:
-                b.pop(at)
-        if a == b:
-            continue
-        keys = [{(k, "s" if r == line_dedup.SAME else r) for k, r in line_dedup.variants(x, [(len(x), True), (len(x), False), (len(x) - 1, True), (len(x) - 1, False)])} for x in (a, b)]
-        share = any((k, {"s": "s", 1: 2, 2: 1}[r]) in keys[1] for k, r in keys[0])
-        table = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
-        for i, j in product(range(1, len(a) + 1), range(1, len(b) + 1)):
-            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        near = table[-1][-1] <= 1
-        assert line_dedup.within_one(a, b) == near == share
-        met += near
-    assert met > 300
+def test_sorted_streams_are_cut_at_their_keys():
+    rng = random.Random(3)
+    rows = sorted((rng.randrange(6), rng.randrange(3), k) for k in range(200))
+    table = pa.table(dict(zip("abv", zip(*rows, strict=True), strict=True)))
+    for step in (1, 7, 500):
+        found = [(a, b, t.column("v").to_pylist()) for a, b, t in words.grouped(iter(table.to_batches(step)), ("a", "b"))]
+        assert [(a, b, v) for a, b, vs in found for v in vs] == rows and len(found) == len({r[:2] for r in rows})
 
 
 def test_pruning_keeps_every_row_that_reaches_the_floor():
@@ -164,26 +167,6 @@ def test_word_hashes_tell_words_apart_and_cut_as_the_pattern():
         words.SEGMENT = segment
 
 
-def test_lines_one_word_apart_share_a_half():
-    rng = random.Random(13)
-    for _ in range(400):
-        a = [rng.choice("abcdefgh") for _ in range(rng.randrange(8, 14))]
-        b = list(a)
-        at = rng.randrange(len(b))
-        kind = rng.choice(["put", "take", "change"])
-        if kind == "put":
-            b.insert(at, "x")
-        elif kind == "take":
-            b.pop(at)
-        else:
-            b[at] = "x"
-        text = "\n\n " + "  ".join(a) + "\t\n" + " ".join(b) + "\nshort"
-        at, h1, h2, n, keys = line_dedup.profile_lines(text.encode(), 7)
-        assert at.tolist() == [2, 3, 4] and n.tolist() == [len(a), len(b), 1] and keys[:, 2].tolist() == [0] * 4
-        assert set(keys[:, 0]) & set(keys[:, 1])
-        assert h1[0] != h1[1] and h2[0] != h2[1]
-
-
 def edited(rng, words, times, letters):
     out = list(words)
     for _ in range(times):
@@ -198,21 +181,24 @@ def edited(rng, words, times, letters):
 
 
 @pytest.mark.parametrize("edits", [1, 2, 3])
-def test_lines_within_a_larger_bound_share_a_segment_and_variants_are_exact(edits):
-    rng = random.Random(14)
+def test_near_lines_share_a_variant_that_is_an_own_one_and_word_variants_are_exact(edits):
+    rng, bound = random.Random(14), line_dedup.Bound(edits, 4)
     met = 0
-    for _ in range(400):
-        a = [rng.choice("abcd") for _ in range(rng.randrange(7, 11))]
+    for _ in range(500):
+        a = [rng.choice("abcd") for _ in range(rng.randrange(3, 17))]
         b = edited(rng, a, rng.randrange(1, edits + 3), "abcd")
         table = [[max(i, j) if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
         for i, j in product(range(1, len(a) + 1), range(1, len(b) + 1)):
             table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
-        near = table[-1][-1] <= edits
-        found = [{(int(k), m, g) for m, g, keys in line_dedup.edit_variants(line_dedup.hashed_words(" ".join(x)), edits, most=64) for k in keys} for x in (a, b)]
-        share = any((k, m, h) in found[1] for k, m, g in found[0] for h in range(edits + 1 - m - g))
-        assert line_dedup.within(a, b, edits) == near == share
-        if near:
-            x, y = (line_dedup.segment_keys(line_dedup.hashed_words(" ".join(v)), edits) for v in (a, b))
+        most = min(edits, min(len(a), len(b)) // 4)
+        assert bound.edits(min(len(a), len(b))) == most
+        near = table[-1][-1] <= most
+        found = [{(int(k), m, g) for m, g, keys in line_dedup.edit_variants(line_dedup.hashed_words(" ".join(x)), most, most=64) for k in keys} for x in (a, b)]
+        share = any((k, m, h) in found[1] for k, m, g in found[0] for h in range(most + 1 - m - g))
+        assert line_dedup.within(a, b, most) == near == share
+        if near and a != b:
+            keys, line, own = line_dedup.segment_variants(f"x\n{'  '.join(a)}\t\n\n{' '.join(b)}".encode(), bound)
+            x, y = ({k: o for k, n, o in sorted(zip(keys.tolist(), line.tolist(), own.tolist(), strict=True)) if n == m} for m in (1, 3))
             assert any(k in y and (x[k] or y[k]) for k in x)
             met += 1
-    assert met > 100
+    assert met > 60
