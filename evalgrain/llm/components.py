@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrain.llm.base import materialize
+from evalgrain.llm.base import drop, materialize, recorded
 
 
 def _distinct(edges: DataFrame) -> DataFrame:
@@ -30,16 +30,22 @@ def connected_components(links: DataFrame) -> DataFrame:
     """node, component (the least node of its component) for every node of links (a, b longs); none for other nodes.
 
     Links may repeat and go either way. Each round is two joins on pre-aggregated minima and is written, so lineage
-    stays short; the number of rounds grows with the logarithm of the longest path. Only a count and a checksum reach
-    the driver.
+    stays short, and the round before is dropped; the number of rounds grows with the logarithm of the longest path. Only
+    a count and a checksum reach the driver.
     """
+    spark = links.sparkSession
     ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges, last = materialize(_distinct(ordered), "links"), None
-    while True:
-        n, check = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if n == 0 or (n, check) == last:
-            break
-        last = (n, check)
-        edges = materialize(_small_star(_large_star(edges)), "stars")
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    with recorded() as made:
+        edges, last = materialize(_distinct(ordered), "links"), None
+        while True:
+            n, check = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
+            if n == 0 or (n, check) == last:
+                break
+            last = (n, check)
+            edges = materialize(_small_star(_large_star(edges)), "stars")
+            drop(spark, made, edges)
+        roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    out = materialize(found, "components")
+    drop(spark, made)
+    return out

@@ -12,14 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrain.llm.base import materialize
+from evalgrain.llm.base import drop, materialize, partitions, recorded
 from evalgrain.llm.blocks import beside_blocks, write_blocks
 from evalgrain.llm.components import connected_components
-from evalgrain.llm.words import many_word_hashes, mix, word_hashes
+from evalgrain.llm.packing import pack_ids, unpack_ids
+from evalgrain.llm.words import grouped, many_word_hashes, mix, word_hashes
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-#: Coordinates of a count vector; points in a leaf; ratio of the sizes that share a level.
-GROUPS, LEAF, RATIO = 64, 32, 1.5
+#: Least and most bits of a count vector's coordinates; points in a leaf; ratio of the sizes that share a level.
+LEAST_BITS, MOST_BITS, LEAF, RATIO = 6, 20, 32, 1.5
+#: Coordinates that a task holds at once: a tile of longer vectors is searched at a lower resolution, whose bound is looser.
+POINTS = 1 << 24
 
 
 def shingles(w: np.ndarray, n: int) -> np.ndarray:
@@ -88,20 +91,73 @@ def signatures(x: np.ndarray, t: Threshold) -> np.ndarray:
     return np.unique(np.concatenate(keys)).view(np.int64) if keys else np.empty(0, np.int64)
 
 
+def groups_of(size: int) -> int:
+    """Coordinates of the count vector of a set: the power of two from its size on, so that a group holds about one element."""
+    return 1 << max(LEAST_BITS, min(MOST_BITS, (size - 1).bit_length()))
+
+
 def counts(x: np.ndarray) -> np.ndarray:
-    return np.bincount((x >> np.uint64(8)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<i4")
+    """Elements in each group. Neighbouring groups are one at the next lower number of groups, see fold()."""
+    groups = groups_of(len(x))
+    return np.bincount((x >> np.uint64(64 - (groups.bit_length() - 1))).astype(np.int64), minlength=groups).astype(np.uint32)
+
+
+def fold(v: np.ndarray, groups: int) -> np.ndarray:
+    return v if len(v) == groups else v.reshape(groups, -1).sum(axis=1, dtype=v.dtype)
+
+
+def shared_at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """The summed minima of two count vectors, at the resolution of the coarser."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(fold(a, groups), fold(b, groups)).sum(dtype=np.int64))
+
+
+class Pieces:
+    """Which points are in one piece so far; pairs taken for links join pieces."""
+
+    def __init__(self, component: np.ndarray) -> None:
+        names, self.of = np.unique(component, return_inverse=True)
+        self.left = len(names)
+
+    def one(self, *points: np.ndarray) -> bool:
+        return all((self.of[p] == self.of[points[0][0]]).all() for p in points)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        """Takes pairs that join pieces, in order, till none of the pairs does."""
+        out = []
+        while len(open_pairs := np.flatnonzero(self.of[i] != self.of[j])):
+            i, j = i[open_pairs], j[open_pairs]
+            self.of[self.of == self.of[i[0]]] = self.of[j[0]]
+            self.left -= 1
+            out.append((int(i[0]), int(j[0])))
+        return out
+
+
+def forest(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t: Threshold, apart: np.ndarray | None, every: bool) -> tuple[list[tuple[int, int]], bool]:
+    """Pairs of points of different components that the bound lets pass, and whether there can be more.
+
+    Without `every` a pair is listed only if it joins two pieces that the pairs so far (taken for links) leave apart, so at
+    most as many pairs are listed as there are pieces. apart: numbers of tiles; pairs within one don't count.
+    """
+    pieces, out = Pieces(component), []
+    for i, j in tree_pairs(points, sizes, component, t, None if every else pieces):
+        if apart is not None:
+            crossing = apart[i] != apart[j]
+            i, j = i[crossing], j[crossing]
+        out += zip(i.tolist(), j.tolist(), strict=True) if every else pieces.join(i, j)
+    return out, bool(out) and not every
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t: Threshold) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t: Threshold, pieces: Pieces | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of points of different components whose summed coordinate minima allow a link.
 
     The tree is bulk-loaded by halving at the median of the widest coordinate; a node keeps the maxima of its
     coordinates and its least and largest size. Two nodes are left out if no sizes in them fit or if the summed minima of
-    their maxima are too small, or if both hold one and the same component only.
+    their maxima are too small, or if both hold one and the same component (with pieces: piece) only.
     """
 
     def build(at: np.ndarray):
-        node = (at, points[at].max(axis=0), int(sizes[at].min()), int(sizes[at].max()), component[at[0]] if (component[at] == component[at[0]]).all() else None)
+        node = (at, points[at].max(axis=0), int(sizes[at].min()), int(sizes[at].max()))
         if len(at) <= LEAF:
             return (*node, None)
         values = np.column_stack([points[at], sizes[at]])
@@ -109,12 +165,12 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t:
         at = at[np.argsort(values[:, by], kind="stable")]
         return (*node, (build(at[: len(at) // 2]), build(at[len(at) // 2 :])))
 
+    known = pieces or Pieces(component)
+
     def possible(a, b) -> bool:
-        if a[4] is not None and a[4] == b[4]:
-            return False
-        if min(a[3], b[3]) * t.den < max(a[2], b[2]) * t.num:
+        if min(a[3], b[3]) * t.den < max(a[2], b[2]) * t.num or known.one(a[0], b[0]):
             return False
-        return (t.num + t.den) * int(np.minimum(a[1], b[1]).sum()) >= t.needed(a[2] + b[2])
+        return (t.num + t.den) * int(np.minimum(a[1], b[1]).sum(dtype=np.int64)) >= t.needed(a[2] + b[2])
 
     root = build(np.arange(len(points)))
     stack = [(root, root)]
@@ -122,21 +178,24 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t:
         a, b = stack.pop()
         if not possible(a, b):
             continue
-        if a[5] is None and b[5] is None:
+        if a[4] is None and b[4] is None:
             i, j = a[0], b[0]
-            bound = np.minimum(points[i][:, None, :], points[j][None, :, :]).sum(axis=2)
-            fits = ((t.num + t.den) * bound >= t.needed(sizes[i][:, None] + sizes[j][None, :])) & (component[i][:, None] != component[j][None, :])
+            held = (known.of[i][:, None] != known.of[j][None, :]) & (t.den * np.minimum(sizes[i][:, None], sizes[j][None, :]) >= t.num * np.maximum(sizes[i][:, None], sizes[j][None, :]))
             if a is b:
-                fits &= np.tri(len(i), k=-1, dtype=bool)
-            p, q = np.nonzero(fits)
-            if len(p):
-                yield i[p], j[q]
+                held &= np.tri(len(i), k=-1, dtype=bool)
+            p, q = np.nonzero(held)
+            # A few rows at a time: a long vector times all pairs of two leaves would be large.
+            for k in range(0, len(p), step := max(1, (1 << 20) // points.shape[1])):
+                x, y = i[p[k : k + step]], j[q[k : k + step]]
+                fits = (t.num + t.den) * np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64) >= t.needed(sizes[x] + sizes[y])
+                if fits.any():
+                    yield x[fits], y[fits]
         elif a is b:
-            stack += [(a[5][0], a[5][0]), (a[5][0], a[5][1]), (a[5][1], a[5][1])]
-        elif b[5] is None or (a[5] is not None and len(a[0]) >= len(b[0])):
-            stack += [(c, b) for c in a[5]]
+            stack += [(a[4][0], a[4][1]), (a[4][0], a[4][0]), (a[4][1], a[4][1])]
+        elif b[4] is None or (a[4] is not None and len(a[0]) >= len(b[0])):
+            stack += [(c, b) for c in a[4]]
         else:
-            stack += [(a, c) for c in b[5]]
+            stack += [(a, c) for c in b[4]]
 
 
 def _keys(n: int, t: Threshold):
@@ -175,32 +234,39 @@ def _texts_of(rows: pa.Table, wanted: pa.Table) -> pa.Table:
 
 
 def _verify(n: int, t: Threshold):
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, other = None, np.empty(0, np.uint64)
+    """Rows sorted by (b, salt, kind): the text of b (kind 0), then those of the nodes a it is held against."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        other = np.empty(0, np.uint64)
         for batch in batches:
-            ok = np.zeros(len(batch), bool)
-            for k, (b, text_a, text_b) in enumerate(zip(batch["b"], batch["text_a"], batch["text_b"], strict=True)):
-                if b != last:
-                    last, other = b, shingles(word_hashes(text_b), n)
-                own = shingles(word_hashes(text_a), n)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                ok[k] = t.linked(both, len(own) + len(other))
-            yield batch.loc[ok, ["a", "b"]]
+            ok = np.zeros(batch.num_rows, bool)
+            for k, (a, text) in enumerate(zip(batch.column("a"), batch.column("text"), strict=True)):
+                x = shingles(word_hashes(text.as_py()), n)
+                if not a.is_valid:
+                    other = x
+                else:
+                    both = len(np.intersect1d(x, other, assume_unique=True))
+                    ok[k] = t.linked(both, len(x) + len(other))
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return verify
 
 
-def _trees(t: Threshold):
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("node").reset_index(drop=True)
-        points = np.stack([np.frombuffer(c, "<i4") for c in pdf["counts"]]).astype(np.int64)
-        node, tile = pdf["node"].to_numpy(), pdf["tile"].to_numpy()
-        out = []
-        for i, j in tree_pairs(points, pdf["n"].to_numpy(np.int64), pdf["component"].to_numpy(), t):
-            # A task with two tiles pairs one with the other; pairs within a tile are the task's that holds it alone.
-            apart = (tile[i] != tile[j]) if pdf["first"].iat[0] != pdf["second"].iat[0] else np.ones(len(i), bool)
-            out.append(pd.DataFrame({"a": np.maximum(node[i], node[j])[apart], "b": np.minimum(node[i], node[j])[apart]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+def _trees(t: Threshold, every: bool):
+    """Rows sorted by tile to candidate pairs: a row for each, with whether its tile can have more."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for members, first, second, rows in grouped(batches, ("members", "first", "second")):
+            vectors = [unpack_ids(c) for c in rows.column("counts").to_pylist()]
+            groups = min([*map(len, vectors), 1 << max(LEAST_BITS, (POINTS // len(vectors)).bit_length() - 1)])
+            points = np.stack([fold(v, groups) for v in vectors])
+            node, tile = rows.column("node").to_numpy(), rows.column("tile").to_numpy()
+            found, more = forest(points, rows.column("n").to_numpy().astype(np.int64), rows.column("component").to_numpy(), t, tile if first != second else None, every)
+            if found:
+                i, j = np.array(found, np.int64).T
+                a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
+                same = [pa.array(np.full(len(a), x), kind) for x, kind in ((members, pa.int64()), (first, pa.int32()), (second, pa.int32()))]
+                yield pa.record_batch([pa.array(a), pa.array(b), *same, pa.array(np.full(len(a), more))], ["a", "b", "members", "first", "second", "more"])
 
     return search
 
@@ -217,53 +283,72 @@ class Joined:
 def join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 4096) -> Joined:
     """Components of the documents whose sets of n-word shingles have a Jaccard similarity of num/den or more.
 
-    1. Texts are shingled and written with the set's size, hash and count vector; equal sets become one node.
+    1. Texts are shingled and written with the set's size, hash and count vector (as many groups as the set has elements,
+       up to a power of two); equal sets become one node.
     2. A node goes to one block per signature, so linked nodes meet in a block (see signatures()); blocks with the
        same members are one. A frequent signature leaves each 2,048 rows once, with the nodes that have it.
     3. In each block every node is held against the first: the count vectors bound the overlap, then the shingles are
        compared. The links' components usually make a block one piece, however many copies it holds.
     4. Blocks that are still in pieces are searched by an R-tree over count vectors for pairs across pieces; large ones
-       in tiles. The pairs left by the bound are compared, and the components found again.
+       in tiles. First a tile lists only pairs that would join its pieces (see forest()); those confirmed join them, and only
+       tiles that hold more pairs between pieces that are still apart are searched again, the second time for all of them.
 
     So no link between different pieces is lost, and no copies are paired with each other. Null and empty texts have
     the empty set and are linked with nothing; ids may repeat or be null; an empty table gives empty results; all
-    columns of docs are kept, whatever their names.
+    columns of docs are kept, whatever their names. Tables written on the way are dropped as soon as they are used.
     """
-    t = Threshold(num, den)
+    t, spark = Threshold(num, den), docs.sparkSession
     rows = _written(docs, id_col, text_col, n)
-    sets = rows.where("n > 0").select("h1", "h2", "n", "doc_id", "node")
-    classes = materialize(sets.groupBy("h1", "h2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id")), "sets")
-    texts = rows.select("block", "node", "text")
+    with recorded() as made:
+        sets = rows.where("n > 0").select("h1", "h2", "n", "doc_id", "node")
+        classes = materialize(sets.groupBy("h1", "h2", "n").agg(F.min("node").alias("node"), F.min("doc_id").alias("least_id")), "sets")
+        texts = rows.select("block", "node", "text")
+        meta = rows.select("node", "n", "counts").join(classes.select("node"), "node", "left_semi")
+        blocks = materialize(_blocks(texts, classes, n, t), "blocks")
+
+        stars = blocks.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
+        links = _checked(_bounded(stars, meta, t), texts, n, t)
+        found = connected_components(links)
+        tiles = _tiles(blocks, found, meta, tile_rows)
+        for every in (False, True):
+            dealt = tiles.repartition(4 * partitions(spark), "members", "first", "second").sortWithinPartitions("members", "first", "second", "node")
+            pairs = materialize(dealt.mapInArrow(_trees(t, every), "a long, b long, members long, first int, second int, more boolean"), "tree-pairs")
+            more = _checked(pairs.select("a", "b").distinct(), texts, n, t)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                found = connected_components(links)
+            again = pairs.where("more").select("members", "first", "second").distinct()
+            if every or again.isEmpty():
+                break
+            tiles = _tiles(blocks.join(again.select("members").distinct(), "members", "left_semi"), found, meta, tile_rows).join(again, ["members", "first", "second"], "left_semi")
+
+        named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+        labels = named.join(least, "component").select("h1", "h2", "n", "component", "component_id")
+    labels = materialize(labels, "labels")
+    drop(spark, made)
+    return Joined(rows, labels, docs.columns)
+
+
+def _blocks(texts: DataFrame, classes: DataFrame, n: int, t: Threshold) -> DataFrame:
+    """members (a number of the block), node, center: the nodes that share a signature, a row each."""
     dealt = beside_blocks(texts, classes.select("node"), _keys(n, t), "nodes array<long>, keys array<long>")
     mark = F.aggregate("nodes", F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.xxhash64(x)))
     dealt = dealt.select(F.element_at("nodes", 1).alias("first"), F.when(F.size("nodes") > 1, F.col("nodes")).alias("nodes"), mark.alias("mark"), F.explode("keys").alias("key"))
-    meta = rows.select("node", "n", "counts").join(classes.select("node"), "node", "left_semi")
-
     whole = Window.partitionBy("key")
     seen = dealt.select("first", "nodes", F.min("first").over(whole).alias("center"), F.max("first").over(whole).alias("top"), F.bit_xor("mark").over(whole).alias("members"))
     shared = seen.where("center < top OR nodes IS NOT NULL").select("members", "center", F.coalesce("nodes", F.array("first")).alias("nodes")).distinct()
-    blocks = materialize(shared.select("members", F.explode("nodes").alias("node"), "center").distinct(), "blocks")
+    return shared.select("members", F.explode("nodes").alias("node"), "center").distinct()
 
-    stars = blocks.where("node <> center").select(F.col("node").alias("a"), F.col("center").alias("b")).distinct()
-    links = materialize(_checked(stars, meta, texts, n, t, bounded=True), "star-links")
-    found = connected_components(links)
-    found = materialize(found, "components")
 
+def _tiles(blocks: DataFrame, found: DataFrame, meta: DataFrame, tile_rows: int) -> DataFrame:
+    """The nodes of blocks that are in pieces, once for each pair (first, second) of the block's tiles that theirs is in."""
     placed = blocks.join(found, "node", "left").select("members", "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("members").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-    open_rows = placed.join(split.select("members", "size"), "members").join(meta, "node")
+    rows = placed.join(split.select("members", "size"), "members").join(meta, "node")
     tiles = F.ceil(F.col("size") / F.lit(tile_rows)).cast("int")
-    open_rows = open_rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    tiled = open_rows.select("members", "node", "component", "n", "counts", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
-    pairs = tiled.groupBy("members", "first", "second").applyInPandas(_trees(t), "a long, b long").distinct()
-    more = materialize(_checked(pairs, meta, texts, n, t, bounded=False), "tree-links")
-    if not more.isEmpty():
-        found = materialize(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
-
-    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    labels = materialize(named.join(least, "component").select("h1", "h2", "n", "component", "component_id"), "labels")
-    return Joined(rows, labels, docs.columns)
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    return rows.select("members", "node", "component", "n", "counts", "tile", F.least("tile", "other").alias("first"), F.greatest("tile", "other").alias("second"))
 
 
 def _written(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
@@ -277,7 +362,7 @@ def _written(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                 x = shingles(w, n)
                 h1 = mix(x * _B).sum(dtype=np.uint64).astype(np.int64)
                 h2 = np.bitwise_xor.reduce(mix(x * _A), initial=np.uint64(0)).astype(np.int64)
-                out.append((len(x), int(h1), int(h2), counts(x).tobytes()))
+                out.append((len(x), int(h1), int(h2), pack_ids(counts(x), 1)))
             yield pd.DataFrame(out, columns=["n", "h1", "h2", "counts"])
 
     names = [f"c{k}" for k in range(len(docs.columns))]
@@ -287,27 +372,44 @@ def _written(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return write_blocks(shaped.select(*names, "doc_id", "text", "p.n", "p.h1", "p.h2", "p.counts"), "ngram", names)
 
 
-def _checked(pairs: DataFrame, meta: DataFrame, rows: DataFrame, n: int, t: Threshold, bounded: bool) -> DataFrame:
-    """The pairs (a, b) that are linked, by their shingles; the texts of pairs that pass the bound are fetched by block."""
-    if bounded:
-        side = lambda c: meta.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
-        held = pairs.join(side("a"), "a").join(side("b"), "b")
-
-        @F.pandas_udf("boolean")
-        def fits(n_a: pd.Series, counts_a: pd.Series, n_b: pd.Series, counts_b: pd.Series) -> pd.Series:
-            if not len(n_a):
-                return pd.Series([], dtype=bool)
-            x, y = (np.stack([np.frombuffer(c, "<i4") for c in s]) for s in (counts_a, counts_b))
-            both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
-            return pd.Series((t.num + t.den) * both >= t.needed(n_a.to_numpy(np.int64) + n_b.to_numpy(np.int64)))
-
-        pairs = held.where(fits("n_a", "counts_a", "n_b", "counts_b")).select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = beside_blocks(rows, needed, _texts_of, "node long, text string")
-    side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    return both.mapInPandas(_verify(n, t), "a long, b long")
+def _bounded(pairs: DataFrame, meta: DataFrame, t: Threshold) -> DataFrame:
+    """The pairs (a, b) that their count vectors allow to be linked."""
+
+    @F.pandas_udf("boolean")
+    def fits(n_a: pd.Series, counts_a: pd.Series, n_b: pd.Series, counts_b: pd.Series) -> pd.Series:
+        ok, last, y = np.zeros(len(n_a), bool), None, None
+        for k, (p, c, q, d) in enumerate(zip(n_a.tolist(), counts_a, n_b.tolist(), counts_b, strict=True)):
+            if min(p, q) * t.den >= max(p, q) * t.num:
+                last, y = (last, y) if d == last else (d, unpack_ids(d))
+                ok[k] = (t.num + t.den) * shared_at_most(unpack_ids(c), y) >= t.needed(p + q)
+        return pd.Series(ok)
+
+    side = lambda c: meta.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"counts_{c}"))
+    held = pairs.join(side("a"), "a").join(side("b"), "b")
+    return held.where(fits("n_a", "counts_a", "n_b", "counts_b")).select("a", "b")
+
+
+def _checked(pairs: DataFrame, rows: DataFrame, n: int, t: Threshold, most: int = 1024) -> DataFrame:
+    """The pairs (a, b) that are linked, by their shingles, written.
+
+    The texts are fetched by block. That of a node b goes once, not once a pair, to each lot of about `most` of its pairs, so
+    a node with many pairs is dealt over tasks, and a task streams through its lots.
+    """
+    spark = rows.sparkSession
+    with recorded() as made:
+        pairs = materialize(pairs, "pairs")
+        needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = beside_blocks(rows, needed, _texts_of, "node long, text string")
+        lots = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(most)).cast("int").alias("lots"))
+        salted = pairs.join(lots, "b").select("a", "b", F.pmod(F.xxhash64("a"), "lots").cast("int").alias("salt"))
+        ours = salted.join(texts.withColumnRenamed("node", "a"), "a").select("b", "salt", F.lit(1).alias("kind"), "a", "text")
+        theirs = lots.select("b", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("salt")).join(texts.withColumnRenamed("node", "b"), "b")
+        both = ours.unionByName(theirs.select("b", "salt", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), "text"))
+        dealt = both.repartition(partitions(spark), "b", "salt").sortWithinPartitions("b", "salt", "kind")
+        checked = dealt.select("a", "b", "text").mapInArrow(_verify(n, t), "a long, b long")
+    checked = materialize(checked, "links")
+    drop(spark, made)
+    return checked
 
 
 def components(joined: Joined) -> DataFrame:
