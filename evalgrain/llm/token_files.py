@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from array import array
@@ -18,88 +19,139 @@ from pyspark.sql import functions as F
 
 from evalgrain.llm import sharding
 from evalgrain.llm.base import materialize, new_path, partitions
-from evalgrain.llm.packing import WORD, gather, pack_ids, unpack_ids
+from evalgrain.llm.packing import ODD, WORD, gather, pack_ids, unpack_ids
 
-_MEMO, _CHARS = 700_000, 500_000
+_MEMO, _CHARS, _JOINED = 700_000, 2_000_000, 64
 
 
 class _Words(dict):
-    """Numbers of words, and the ids of each: flat[start[n] : start[n] + length[n]]."""
+    """Numbers of words, and the ids of each: flat[start[n] : start[n] + length[n]].
+
+    A word's key is what follows its blank; a word that is not one blank and what follows has a blank and itself as key.
+    """
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
-        self.flat, self.length = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.flat, self.start, self.length = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.new.append(word)
+    def __missing__(self, key: str) -> int:
+        n = self[key] = len(self)
+        self.new.append(key)
         return n
 
-    def learn(self, library) -> None:
-        """The library encodes the new words."""
+    def learn(self, library, sizes: np.ndarray) -> None:
+        """The library encodes the new words, those that begin with a blank many at once, one after another in a text.
+
+        No match crosses the start of such a word, so its ids are those between its first and its last byte; sizes has the
+        bytes of each token.
+        """
+        joins = np.array([bool(k) and not k[0].isspace() and not k[-1].isspace() for k in self.new], bool)
+        joined = [k for k, j in zip(self.new, joins.tolist(), strict=True) if j]
+        alone = [k[1:] if k[:1] == " " else " " + k for k, j in zip(self.new, joins.tolist(), strict=True) if not j]
         flat, length = array("I"), array("q")
-        for e in library.encode_batch_fast(self.new, add_special_tokens=False):
+        for e in library.encode_batch_fast([" " + " ".join(joined[k : k + _JOINED]) for k in range(0, len(joined), _JOINED)], add_special_tokens=False):
+            flat.extend(e.ids)
+        ends = np.cumsum(sizes[np.frombuffer(flat, np.uint32)])
+        wanted = np.cumsum([len(k.encode("utf-8", "surrogatepass")) + 1 for k in joined])
+        last = np.searchsorted(ends, wanted) + 1
+        if len(joined) and not np.array_equal(ends[last - 1], wanted):
+            raise ValueError("a token crosses the start of a word")
+        for e in library.encode_batch_fast(alone, add_special_tokens=False):
             ids = e.ids
             flat.extend(ids)
             length.append(len(ids))
+        own = np.empty(len(joins), np.int64)
+        own[joins], own[~joins] = np.diff(last, prepend=0), np.frombuffer(length, np.int64)
+        start = np.empty(len(joins), np.int64)
+        start[joins], start[~joins] = last - own[joins], len(ends) + np.cumsum(own[~joins]) - own[~joins]
         self.new.clear()
+        self.start = np.concatenate([self.start, start + len(self.flat)])
         self.flat = np.concatenate([self.flat, np.frombuffer(flat, np.uint32)])
-        self.length = np.concatenate([self.length, np.frombuffer(length, np.int64)])
-        self.start = np.cumsum(self.length) - self.length
+        self.length = np.concatenate([self.length, own])
+
+
+def check_tokenizer(tokenizer_json: str) -> None:
+    """Raises unless a tokenizer's texts can be encoded word by word: byte-level, its own pattern, nothing before it."""
+    read = json.loads(tokenizer_json)
+    first = read.get("pre_tokenizer") or {}
+    if read.get("normalizer") or first.get("type") != "ByteLevel" or first.get("add_prefix_space") or not first.get("use_regex", True) or read["model"].get("dropout"):
+        raise ValueError("only byte-level tokenizers with the built-in pattern, no normalizer, prefix space or dropout")
 
 
 @lru_cache(maxsize=1)
 def _library(tokenizer_json: str):
-    """The library's tokenizer, its added tokens, and a holder of the words encoded so far, kept from task to task of a worker."""
+    """The library's tokenizer, the bytes of its tokens, its added tokens, and a holder of the words encoded so far, kept from task to task of a worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_str(tokenizer_json)
-    return library, [t.content for t in library.get_added_tokens_decoder().values()], [_Words()]
+    vocabulary = library.get_vocab()
+    sizes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+    for token, n in vocabulary.items():  # a character for each byte
+        sizes[n] = len(token)
+    return library, sizes, [t.content for t in library.get_added_tokens_decoder().values()], [_Words()]
 
 
-def _ids_of(texts: list[str], tokenizer_json: str, end: int) -> Iterator[np.ndarray]:
-    """Ids of each text with the end id.
+def _ids_of(texts: pa.Array, tokenizer_json: str, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the texts with the end id after each, one after another, and where each text's ids end.
 
-    The library gets each word once (the memory is emptied at _MEMO words): no match of its pattern crosses the start of
-    a run of white space, so words are encoded apart. Texts that hold an added token's string go to it whole.
+    The library gets each word once (the memory is emptied at _MEMO words): a text without odd white space is cut before
+    its blanks, another at its runs of white space; no match of the pattern crosses these places. Texts that hold an
+    added token's string go to the library whole.
     """
-    library, added, held = _library(tokenizer_json)
+    library, sizes, added, held = _library(tokenizer_json)
     if len(held[0]) > _MEMO:
         held[0] = _Words()
-    words, last = held[0], np.array([end], np.uint32)
-    seen: list[np.ndarray | str] = []
-    for text in texts:
+    words = held[0]
+    pieces = pc.split_pattern(texts, " ")
+    first = pieces.offsets.to_numpy()
+    coded = pieces.flatten().dictionary_encode()
+    apart: dict[int, np.ndarray | str] = {}
+    for k, text in enumerate(texts.to_pylist()):
         if any(t in text for t in added):
-            seen.append(text)
-        else:
+            apart[k] = text
+        elif any(o in text for o in ODD):
             found = WORD.findall(text)
-            seen.append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
+            apart[k] = np.array([words[" " + w] for w in found], np.int64)
+    number = np.array([words[w] for w in coded.dictionary.to_pylist()], np.int64)[coded.indices.to_numpy()]
+    heads = pieces.flatten().take(pa.array(first[:-1]))
+    number[first[:-1]] = [words[" " + w] for w in heads.to_pylist()]
     if words.new:
-        words.learn(library)
-    for x in seen:
-        if isinstance(x, str):
-            ids = np.array(library.encode(x, add_special_tokens=False).ids, np.uint32)
-        else:
-            ids = gather(words.flat, words.start[x], words.length[x]) if len(x) else last[:0]
-        yield np.concatenate([ids, last])
-
-
-def _encoder(tokenizer_json: str, end_id: int, part_of):
+        words.learn(library, sizes)
+    ids = gather(words.flat, words.start[number], words.length[number])
+    counts = np.concatenate([[0], np.cumsum(words.length[number])])
+    parts, at = [], 0
+    for k, x in apart.items():
+        parts.append(ids[counts[first[at]] : counts[first[k]]])
+        whole = isinstance(x, str)
+        parts.append(np.array(library.encode(x, add_special_tokens=False).ids, np.uint32) if whole else gather(words.flat, words.start[x], words.length[x]))
+        at = k + 1
+    parts.append(ids[counts[first[at]] :])
+    length = np.diff(counts[first])
+    for k, x in zip(apart, parts[1::2], strict=True):
+        length[k] = len(x)
+    ends = np.cumsum(length)
+    return np.insert(np.concatenate(parts), ends, end).astype(np.uint32), ends + np.arange(1, len(ends) + 1)
+
+
+def _encoder(tokenizer_json: str, end_id: int, part_of, planes: int):
     """Rows (doc_id, key, tie, text) to (doc_id, tie, part, ids, n_tokens), about _CHARS characters of text at a time."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = np.cumsum(pc.utf8_length(pc.fill_null(batch.column("text"), "")).to_numpy())
+            text = pc.fill_null(batch.column("text"), "")
+            ends = np.cumsum(pc.utf8_length(text).to_numpy())
             first = 0
             while first < batch.num_rows:
                 before = ends[first - 1] if first else 0
                 last = max(first + 1, int(np.searchsorted(ends, before + _CHARS, side="right")))
                 rows = batch.slice(first, last - first)
-                ids = list(_ids_of([t or "" for t in rows.column("text").to_pylist()], tokenizer_json, end_id))
+                ids, stop = _ids_of(text.slice(first, last - first), tokenizer_json, end_id)
+                start = np.concatenate([[0], stop[:-1]])
+                packed = [pack_ids(ids[a:b], 1, planes) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
                 part = part_of(rows.column("key").to_numpy(), rows.column("tie").to_numpy())
-                out = [rows.column("doc_id"), rows.column("tie"), pa.array(part, pa.int32()), pa.array([pack_ids(x, 1) for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+                out = [rows.column("doc_id"), rows.column("tie"), pa.array(part, pa.int32()), pa.array(packed, pa.binary()), pa.array(stop - start, pa.int64())]
                 yield pa.RecordBatch.from_arrays(out, ["doc_id", "tie", "part", "ids", "n_tokens"])
                 first = last
 
@@ -108,7 +160,7 @@ def _encoder(tokenizer_json: str, end_id: int, part_of):
 
 def _writer(folder: str, width: int, batch: int, narrow: bool):
     """Writes a partition, in its order, to one file of sequences and one index of documents."""
-    kind = pa.uint16() if narrow else pa.uint32()
+    kind, planes = (pa.uint16(), 2) if narrow else (pa.uint32(), 4)
     schema = pa.schema([("input_ids", pa.list_(kind, width)), ("mask", pa.list_(pa.bool_(), width))])
     index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
@@ -141,7 +193,7 @@ def _writer(folder: str, width: int, batch: int, narrow: bool):
             index.write_batch(pa.RecordBatch.from_arrays([ids, pa.array(ends - lengths), pa.array(lengths)], schema=index_schema))
             n_docs, n_tokens = n_docs + len(pdf), int(ends[-1])
             for data in pdf["ids"]:
-                held.append(unpack_ids(data))
+                held.append(unpack_ids(data, planes))
                 waiting += len(held[-1])
                 while waiting >= full:
                     flat = np.concatenate(held)
@@ -180,18 +232,20 @@ def write_token_files(
     about equal and a task's part is bounded; rows with one id and text are dealt over the parts they span. Then texts are
     encoded once, on the way into the one exchange. Null text counts as empty (the end id only); null ids come first; rows
     with one id come in any order; an empty table writes nothing and gives an empty manifest; other columns are not used.
+    A tokenizer that can't be used word by word is refused (see check_tokenizer()).
     """
-    spark = docs.sparkSession
+    check_tokenizer(tokenizer_json)
+    spark, narrow = docs.sparkSession, vocabulary <= 1 << 16
     folder = folder or new_path(spark, "token-files")
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(sharding.LEAST)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
     parts = partitions(spark)
     sizes = rows.select("key", "tie", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
     part_of = sharding.dealt_parts(materialize(sizes, "token-keys"), parts)
-    encoded = rows.mapInArrow(_encoder(tokenizer_json, end_id, part_of), "doc_id long, tie long, part int, ids binary, n_tokens long")
+    encoded = rows.mapInArrow(_encoder(tokenizer_json, end_id, part_of, 2 if narrow else 4), "doc_id long, tie long, part int, ids binary, n_tokens long")
     ordered = encoded.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "doc_id", "tie")
     files = "path string, index_path string, place int, n_docs long, n_tokens long"
-    written = materialize(ordered.mapInPandas(_writer(folder, width, batch, vocabulary <= 1 << 16), files), "token-manifest")
+    written = materialize(ordered.mapInPandas(_writer(folder, width, batch, narrow), files), "token-manifest")
     parts, start = [], 0
     for k, r in enumerate(sorted(written.collect(), key=lambda r: r.place)):
         parts.append((k, r.path, r.index_path, r.n_docs, r.n_tokens, start))
@@ -205,6 +259,32 @@ def open_stream(uri: str) -> pa.RecordBatchStreamReader:
     return pa.ipc.open_stream(pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path))
 
 
+class Sequences:
+    """Random access to the sequences of a stream file: ids and mask of sequence i, found by arithmetic.
+
+    All batches but the last hold the same number of sequences, so their messages are of one size: batch k begins at the
+    first batch's place plus k sizes. On a local disk the file is mapped, and what comes back are views of the map.
+    """
+
+    def __init__(self, uri: str) -> None:
+        store, path = fs.FileSystem.from_uri(uri)
+        self._file = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
+        self._schema = pa.ipc.read_schema(pa.ipc.read_message(self._file))
+        self._first = self._file.tell()
+        head = pa.ipc.read_record_batch(pa.ipc.read_message(self._file), self._schema)
+        self._size, self.batch = self._file.tell() - self._first, head.num_rows
+        self.width = self._schema.field("input_ids").type.list_size
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        self._file.seek(self._first + i // self.batch * self._size)
+        rows = pa.ipc.read_record_batch(pa.ipc.read_message(self._file), self._schema)
+        at = i % self.batch * self.width
+        if i < 0 or i % self.batch >= rows.num_rows:
+            raise IndexError(i)
+        ids, mask = (rows.column(c).values.slice(at, self.width) for c in ("input_ids", "mask"))
+        return ids.to_numpy(zero_copy_only=True), mask
+
+
 def read_documents(manifest: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start (ids of all documents before it), n_tokens, ids (little-endian 32 bits).
 
