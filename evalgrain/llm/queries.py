@@ -68,8 +68,7 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = secret_scan.train(secret_scan.labelled_samples(docs))
-    out = secret_scan.scan(docs, model, out="found")
+    out = secret_scan.scan(docs, secret_scan.fit(docs), out="found")
     return out.select("doc_id", "found.n_assign", "found.n_access", "found.n_hex", "found.base_sha256", "found.spans")
 
 
