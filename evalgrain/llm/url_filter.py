@@ -9,8 +9,11 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalgrain.llm.base import without
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+FOLDS = 5
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_rows", "suffix_block_rate")
 
 
@@ -57,55 +60,78 @@ def _lexical(url: Column, host: Column, path: Column) -> list[Column]:
     ]
 
 
-def filter_urls(
-    pages: DataFrame,
-    rules: list[tuple[str, str]],
-    url_col: str = "url",
-    max_labelled: int = 20_000,
-    max_suffixes: int = 1_000,
-    trees: int = 10,
-    depth: int = 3,
-    out: str = "url_filter",
-) -> DataFrame:
-    """pages plus a struct column `out`: host, path, rule, verdict ('allow' or 'block').
-
-    A URL to which a rule applies gets the verdict of its longest rule. The trees judge the others; they are trained
-    on URLs that a rule labels, at most max_labelled of them (those with the smallest hashes: a documented bound of
-    the fit, like max_suffixes, the number of most frequent host suffixes whose label rates are features). With
-    labels of one kind only, every other URL gets that kind; without labels 'allow'.
-
-    Null URLs and URLs without '://' have empty host and path and are judged by the trees as an empty text. Repeated
-    rows are judged alike; an empty table gives an empty result; other columns pass through and one named `out` is
-    replaced. Scoring is a map: the suffix table is bounded and broadcast.
-    """
-    keep = [c for c in pages.columns if c != out]
+def _judged_by_rules(pages: DataFrame, rules: list[tuple[str, str]], url_col: str, keep: list[str]) -> DataFrame:
+    """page (the columns kept), url, host, path, rule, ruled (the rule's verdict), suffix (the host's last label) and fold of every row."""
     url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"), url.alias("url"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = {rule: verdict for verdict, rule in rules}
     ruled = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(verdicts[r])).otherwise(c), verdicts, F.lit(None).cast("string"))
-    base = base.withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -1))
+    return base.withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+
+
+def _featured(df: DataFrame, *also: str) -> DataFrame:
+    """df's url, host and path to features; it has suffix_rows and suffix_block_rate already."""
+    seen = df.select(*also, *_lexical(F.col("url"), F.col("host"), F.col("path")), "suffix_rows", "suffix_block_rate")
+    return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
+
+
+def _fitted(labelled: DataFrame, rows: DataFrame, mean: float, max_labelled: int, trees: int, depth: int, strength: float = 10.0):
+    """Trees fitted on at most max_labelled of the labelled URLs, and the suffix table they are to be used with.
+
+    A suffix has the rows of all pages and the share of its labelled URLs that are blocked, drawn to the mean by
+    `strength` URLs. For a URL that the trees are fitted on its share is that of the other folds.
+    """
+    of = lambda total, blocked: (blocked + F.lit(mean * strength)) / (total + F.lit(strength))
+    by_fold = labelled.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+    whole = by_fold.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+    sizes = rows.groupBy("suffix").agg(F.log2(F.count("*") + 1.0).alias("suffix_rows"))
+    table = sizes.join(whole, "suffix", "left").fillna({"all_n": 0, "all_b": 0.0})
+    sample = labelled.withColumn("deal", F.xxhash64("url")).orderBy("deal", "url").limit(max_labelled)
+    apart = sample.join(table, "suffix").join(by_fold, ["suffix", "fold"])
+    apart = apart.withColumn("suffix_block_rate", of(F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label", predictionCol="blocked").fit(_featured(apart, "label"))
+    return model, table.select("suffix", "suffix_rows", of(F.col("all_n"), F.col("all_b")).alias("suffix_block_rate"))
 
-    labelled = base.where("ruled IS NOT NULL").select("url", "host", "path", "suffix", (F.col("ruled") == "block").cast("double").alias("label"))
-    kinds = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+def _labelled(base: DataFrame) -> tuple[DataFrame, dict[float, int]]:
+    """The distinct URLs that a rule labels (copies of one count once), and the number of each label."""
+    labelled = base.where("ruled IS NOT NULL").select("url", "host", "path", "suffix", "fold", (F.col("ruled") == "block").cast("double").alias("label")).distinct()
+    return labelled, {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+
+
+def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", max_labelled: int = 20_000, trees: int = 20, depth: int = 4, out: str = "url_filter") -> DataFrame:
+    """pages plus a struct column `out`: host, path, rule, verdict ('allow' or 'block').
+
+    A URL to which a rule applies gets the verdict of its longest rule. The trees judge the others; they are trained
+    on distinct URLs that a rule labels, at most max_labelled of them (those with the smallest hashes: a documented bound of
+    the fit). With labels of one kind only, every other URL gets that kind; without labels 'allow'.
+
+    Null URLs and URLs without '://' have empty host and path and are judged by the trees as an empty text. Repeated
+    rows are judged alike; an empty table gives an empty result; other columns pass through and one named `out`, whatever
+    its case, is replaced. Every suffix counts, over all pages; the table of suffixes is joined, not broadcast by us.
+    """
+    keep = without(pages.columns, out)
+    base = _judged_by_rules(pages, rules, url_col, keep)
+    labelled, kinds = _labelled(base)
     if len(kinds) < 2:
         judged = base.withColumn("judged", F.lit("block" if 1.0 in kinds else "allow"))
     else:
         mean = kinds[1.0] / (kinds[0.0] + kinds[1.0])
-        common = labelled.groupBy("suffix").agg(F.count("*").alias("rows"), F.sum("label").alias("blocked"))
-        common = common.orderBy(F.desc("rows"), "suffix").limit(max_suffixes)
-        stats = common.select("suffix", F.log2(F.col("rows") + 1.0).alias("suffix_rows"), ((F.col("blocked") + mean) / (F.col("rows") + 1.0)).alias("suffix_block_rate"))
-        stats = base.sparkSession.createDataFrame(stats.collect(), "suffix string, suffix_rows double, suffix_block_rate double")
-
-        def featured(df: DataFrame, *also: str) -> DataFrame:
-            seen = df.select(*also, *[c for c in ("suffix",) if c not in also], *_lexical(F.col("url"), F.col("host"), F.col("path")))
-            seen = seen.join(F.broadcast(stats), "suffix", "left").fillna({"suffix_rows": 0.0, "suffix_block_rate": mean})
-            return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
-
-        sample = labelled.select(F.xxhash64("url").alias("deal"), "*").orderBy("deal", "url").limit(max_labelled)
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label", predictionCol="blocked").fit(featured(sample, "label"))
-        scored = model.transform(featured(base, "page", "host", "path", "rule", "ruled"))
+        model, table = _fitted(labelled, base, mean, max_labelled, trees, depth)
+        scored = model.transform(_featured(base.join(table, "suffix"), "page", "host", "path", "rule", "ruled"))
         judged = scored.withColumn("judged", F.when(F.col("blocked") > 0.5, "block").otherwise("allow"))
     verdict = F.struct("host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"))
     return judged.select(*[F.col("page").getField(c).alias(c) for c in keep], verdict.alias(out))
+
+
+def held_out(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", max_labelled: int = 20_000, trees: int = 20, depth: int = 4) -> DataFrame:
+    """label and blocked (1: block) of the labelled URLs of one fold in five, judged by trees and suffixes of the other folds."""
+    base = _judged_by_rules(pages, rules, url_col, [])
+    labelled, kinds = _labelled(base)
+    if len(kinds) < 2:
+        raise ValueError("labels of both kinds are needed")
+    mean = kinds[1.0] / (kinds[0.0] + kinds[1.0])
+    model, table = _fitted(labelled.where("fold <> 0"), base, mean, max_labelled, trees, depth)
+    return model.transform(_featured(labelled.where("fold = 0").join(table, "suffix"), "label")).select("label", "blocked")
