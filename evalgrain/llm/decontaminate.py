@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrain.llm.base import materialize
+from evalgrain.llm.base import materialize, without
 
 #: Bytes are mapped before a text is split: A-Z to a-z, digits and letters and bytes from 0x80 up stay, the rest are spaces.
 _FOLD = bytes(
@@ -19,10 +20,8 @@ _FOLD = bytes(
 )
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-RESULT = (
-    "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>,"
-    " spans array<struct<start:int,end:int>>"
-)
+FIELDS = ("n_words long", "n_hit long", "n_items long", "items_sha256 string", "contaminated boolean", "items array<string>", "spans array<struct<start:int,end:int>>")
+RESULT = ", ".join(FIELDS)
 
 
 def fold_words(text: str | None) -> list[bytes]:
@@ -37,23 +36,27 @@ def windows(words: list[bytes], size: int) -> set[bytes]:
     return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))}
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> list[list[tuple[str, str]]]:
-    """The benchmark in blocks of at most about max_bytes of text, each small enough to send to every executor."""
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks of about max_bytes of text, each small enough to send to every executor; one is on the driver at a time."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // max_bytes) + 1
-    if n == 1:
-        return [[(r.item, r.text) for r in items.collect()]]
     numbered = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(n)))
-    return [[(r.item, r.text) for r in numbered.where(F.col("part") == k).collect()] for k in range(n)]
+    if n > 1:
+        numbered = materialize(numbered.repartition(n, "part"), "benchmark")
+    for k in range(n):
+        yield [(r.item, r.text) for r in numbered.where(F.col("part") == k).collect()]
+
 
+#: The automaton that this worker used last, by a name that each block of items gets.
+_held: dict[str, object] = {}
 
-def _scan(items: list[tuple[str, str]], window: int):
-    """A function on batches of (text, hits so far) that adds the hits of one block of items."""
 
-    def automaton():
-        import ahocorasick
+def automaton(name: str, items: list[tuple[str, str]], window: int):
+    """The automaton over the windows of some items, or None without windows; kept for the worker's next task."""
+    import ahocorasick
 
+    if name not in _held:
         by_window: dict[bytes, set[str]] = {}
         for item, text in items:
             for w in windows(fold_words(text), window):
@@ -63,16 +66,22 @@ def _scan(items: list[tuple[str, str]], window: int):
             found.add_word(w.decode("latin-1"), (len(w), w.count(b" ") - 1, tuple(sorted(ids))))
         if by_window:
             found.make_automaton()
-        return found if by_window else None
+        _held.clear()
+        _held[name] = found if by_window else None
+    return _held[name]
+
+
+def _scan(shared, window: int, share: int):
+    """A function on batches of (text, hits and items so far) that adds the hits of one broadcast block of items and judges the text."""
 
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        machine = automaton()
-        for texts in batches:
+    def scan(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        machine = automaton(*shared.value, window)
+        for batch in batches:
             rows = []
-            for text in texts:
+            for text, before, known in zip(*batch, strict=True):
                 words = fold_words(text)
-                hits: list[tuple[int, int]] = []
-                found: set[str] = set()
+                hits = [(int(r["start"]), int(r["end"])) for r in before]
+                found: set[str] = set(known)
                 if machine is not None and words:
                     ends = None
                     for end, (length, count, ids) in machine.iter((b" " + b" ".join(words) + b" ").decode("latin-1")):
@@ -81,8 +90,8 @@ def _scan(items: list[tuple[str, str]], window: int):
                         first = int(np.searchsorted(ends, end - length + 1, side="right"))
                         hits.append((first, first + count))
                         found.update(ids)
-                rows.append((len(words), merged(hits), sorted(found)))
-            yield pd.DataFrame(rows, columns=["n_words", "hits", "items"])
+                rows.append(_verdict(text, len(words), merged(hits), sorted(found), share))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans", "hits"])
 
     return scan
 
@@ -98,18 +107,13 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _verdict(text: pd.Series, n_words: pd.Series, hits: pd.Series, items: pd.Series, share: pd.Series) -> pd.DataFrame:
-    rows = []
-    for t, n, ranges, ids, per in zip(text, n_words, hits, items, share, strict=True):
-        ranges = merged([(int(r["start"]), int(r["end"])) for r in ranges])
-        hit = sum(e - s for s, e in ranges)
-        spans = []
-        if ranges:
-            at = [m.span() for m in _WORD.finditer(t)]
-            spans = [{"start": at[s][0], "end": at[e - 1][1]} for s, e in ranges]
-        ids = sorted(set(ids))
-        rows.append((n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit > 0 and per * hit >= n), ids, spans))
-    return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
+def _verdict(text: str, n: int, hits: list[tuple[int, int]], ids: list[str], share: int) -> tuple:
+    hit, spans = sum(e - s for s, e in hits), []
+    if hits:
+        at = [m.span() for m in _WORD.finditer(text)]
+        spans = [{"start": at[s][0], "end": at[e - 1][1]} for s, e in hits]
+    ranges = [{"start": s, "end": e} for s, e in hits]
+    return n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and share * hit >= n, ids, spans, ranges
 
 
 def decontaminate(
@@ -129,35 +133,34 @@ def decontaminate(
     item if shorter); contaminated means n_hit > 0 and share * n_hit >= n_words. spans are code-point offsets of the hit
     ranges in the original text.
 
-    Plan: no shuffle. The items go to the executors in blocks of at most max_block_bytes of text; each block is one
-    automaton, and a document is scanned once per block. Past one block the hits so far are written between blocks.
+    Plan: no shuffle of documents. The items go to the executors in blocks of at most max_block_bytes of text, one after
+    another; each block is one automaton, which a worker builds once, and a document is scanned once per block. Past one block
+    the hits so far are written between blocks, and the block's broadcast is released.
 
     Null and empty texts have no words and no hit; items with null id are ignored, items without words match nothing;
     repeated documents are judged each for itself; repeated items count once by id; an empty table gives an empty
-    result. Other columns of docs pass through; one named like `out` is replaced.
+    result. Other columns of docs pass through; one named like `out`, whatever its case, is replaced.
     """
-    blocks = item_blocks(benchmark, item_id_col, item_text_col, max_block_bytes)
-    hit = "n_words long, hits array<struct<start:int,end:int>>, items array<string>"
-    keep = [c for c in docs.columns if c != out]
-    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"))
-    text = F.col("doc").getField(text_col)
-    for k, items in enumerate(blocks):
-        scan = F.pandas_udf(_scan_typed(_scan(items, window)), hit)
-        df = df.withColumn("now", scan(text.cast("string")))
-        df = df.withColumn("hits", F.col("now.hits") if k == 0 else F.concat("hits", "now.hits"))
-        df = df.withColumn("items", F.col("now.items") if k == 0 else F.concat("items", "now.items"))
-        df = df.withColumn("n_words", F.col("now.n_words")).drop("now")
-        if len(blocks) > 1:
-            df = materialize(df, "decontaminate")
-    df = df.withColumn("verdict", F.pandas_udf(_verdict, RESULT)(text.cast("string"), "n_words", "hits", "items", F.lit(share)))
-    return df.select(*[F.col("doc").getField(c).alias(c) for c in keep], F.col("verdict").alias(out))
+    spark, keep = docs.sparkSession, without(docs.columns, out)
+    ranges = "array<struct<start:int,end:int>>"
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.array().cast(ranges).alias("hits"), F.array().cast("array<string>").alias("items"))
+    text, waiting = F.col("doc").getField(text_col).cast("string"), None
+    for items in item_blocks(benchmark, item_id_col, item_text_col, max_block_bytes):
+        if waiting is not None:
+            df = materialize(df.select("doc", "verdict.hits", "verdict.items"), "decontaminate")
+            waiting.destroy()
+        waiting = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
+        scan = F.pandas_udf(_scan_typed(_scan(waiting, window, share)), f"{RESULT}, hits {ranges}")
+        df = df.withColumn("verdict", scan(text, "hits", "items"))
+    kept = F.struct(*[F.col("verdict").getField(c.split()[0]).alias(c.split()[0]) for c in FIELDS])
+    return df.select(*[F.col("doc").getField(c).alias(c) for c in keep], kept.alias(out))
 
 
 def _scan_typed(scan):
     """Spark reads the kind of a pandas function from its annotations."""
 
-    def typed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def typed(batches):
         yield from scan(batches)
 
-    typed.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    typed.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
     return typed
