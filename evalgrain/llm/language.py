@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evalgrain.llm.base import free_name, without
+
 UNDETERMINED = "und"
 
 
@@ -41,14 +43,35 @@ class LanguageModel:
     sizes: tuple[int, ...]
     bits: int
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not has_letter(text):
-            return UNDETERMINED, 0.0
-        grams = gram_buckets(text, self.sizes, self.bits)
-        at, times = np.unique(grams, return_counts=True) if len(grams) < self.logp.shape[1] else (slice(None), np.bincount(grams, minlength=self.logp.shape[1]))
-        total = self.prior + self.logp[:, at] @ times.astype(np.float64)
-        best = int(np.argmax(total))
-        return self.langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    def part(self, first: int, last: int) -> LanguageModel:
+        return LanguageModel(self.langs[first:last], self.logp[first:last], self.prior[first:last], self.sizes, self.bits)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        """Joint log-probability of each text (row) and language: a sparse matrix of n-gram counts times that of log-probabilities.
+
+        A lot of texts is counted at once: the rows' buckets and counts follow one another, and what each adds is summed by row.
+        """
+        width, out, lot, cells = 1 << self.bits, [], [], 0
+        for k, text in enumerate(texts):
+            lot.append(gram_buckets(text, self.sizes, self.bits))
+            cells += width + len(lot[-1])
+            if cells >= 1 << 24 or k == len(texts) - 1:
+                row = np.repeat(np.arange(len(lot)) * width, [len(g) for g in lot])
+                counts = np.bincount(row + np.concatenate(lot), minlength=len(lot) * width)
+                at = np.flatnonzero(counts)
+                start = np.searchsorted(at, np.arange(len(lot)) * width)  # no row is empty: a text has the gram of its edges
+                out.append(np.add.reduceat(self.logp.T[at % width] * counts[at, None], start, axis=0) + self.prior)
+                lot, cells = [], 0
+        return np.concatenate(out) if out else np.empty((0, len(self.langs)))
+
+    def best(self, texts: list[str | None]) -> list[tuple[str | None, float | None, float | None]]:
+        """Of each text the language that fits best, its log-probability, and that of all languages together; nulls for texts that tell none."""
+        out: list[tuple] = [(None, None, None)] * len(texts)
+        told = [k for k, t in enumerate(texts) if self.langs and has_letter(t)]
+        for k, total in zip(told, self.scores([texts[k] for k in told]), strict=True):
+            first = int(np.argmax(total))
+            out[k] = (self.langs[first], float(total[first]), float(total[first] + np.log(np.exp(total - total[first]).sum())))
+        return out
 
 
 def train(
@@ -58,12 +81,11 @@ def train(
     sizes: tuple[int, ...] = (1, 2, 3),
     bits: int = 15,
     smoothing: float = 0.5,
-    max_langs: int = 512,
 ) -> LanguageModel:
     """Counts every labelled text (rows with null text or lang are left out) and returns the model.
 
-    The counts are summed by batch, then by (lang, bucket); what reaches the driver is languages x 2**bits at most, and
-    more than max_langs languages is an error, so the size of the model doesn't grow with the corpus.
+    The counts are summed by batch, then by (lang, bucket); what reaches the driver is languages x 2**bits at most, so the
+    size of the model grows with the number of languages, not with the corpus. Repeated rows count each.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
@@ -81,8 +103,6 @@ def train(
         yield from _sparse(sums)
 
     counts = rows.mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    if rows.select("lang").distinct().limit(max_langs + 1).count() > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
     found = counts.toPandas()
     langs = tuple(sorted(found["lang"].unique()))
     code = {x: i for i, x in enumerate(langs)}
@@ -103,20 +123,34 @@ def _sparse(sums: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "n": all_counts[at]})
 
 
-def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language") -> DataFrame:
+def _judge(shared):
+    @F.pandas_udf("lang string, top double, total double")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(shared.value.best(texts.tolist()), columns=["lang", "top", "total"])
+
+    return judge
+
+
+def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language", langs_at_once: int = 256) -> DataFrame:
     """docs plus a struct column `out` with lang_pred and score.
 
     lang_pred is a learned language, or 'und' with score 0 if the text is null, has no letter, or nothing was learned;
     score is the posterior probability. Ties go to the language first in order. Every row is judged for itself, over
-    its whole text; other columns pass through, and one named like `out` is replaced. No shuffle: the matrix is broadcast.
+    its whole text; other columns pass through, and one named like `out`, whatever its case, is replaced. No shuffle: the
+    matrix is broadcast, in parts of langs_at_once languages (2**bits numbers each), whose results are put together.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double")
-    def judge(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
-
-    return docs.withColumn(out, judge(F.col(text_col).cast("string")))
+    context, keep = docs.sparkSession.sparkContext, without(docs.columns, out)
+    parts = [model.part(k, k + langs_at_once) for k in range(0, max(1, len(model.langs)), langs_at_once)]
+    judged = []
+    for part in parts:
+        judged.append(_judge(context.broadcast(part))(F.col(f"`{text_col}`").cast("string")))
+    found = docs.select(*[F.col(f"`{c}`") for c in keep], F.array(*judged).alias(made := free_name("judged", keep)))
+    higher = lambda a, b: F.when(b["top"] > a["top"], b).otherwise(a)
+    first = F.element_at(made, 1)
+    best = F.aggregate(F.slice(made, 2, max(1, len(parts) - 1)), first, higher) if len(parts) > 1 else first
+    share = F.lit(1.0) / F.aggregate(made, F.lit(0.0), lambda s, x: s + F.exp(x["total"] - best["top"]))
+    verdict = F.struct(F.coalesce(best["lang"], F.lit(UNDETERMINED)).alias("lang_pred"), F.coalesce(share, F.lit(0.0)).alias("score"))
+    return found.select(*[F.col(f"`{c}`") for c in keep], verdict.alias(out))
 
 
 def fold(doc_id) -> F.Column:
