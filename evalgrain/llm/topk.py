@@ -64,10 +64,55 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _best(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest of each query among (query, id, score) rows; ties to the smaller id."""
+    query, at, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((at, -score, query))
+    query, at, score = query[order], at[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]])) if len(query) else np.empty(0, np.int64)
+    kept = np.arange(len(query)) - np.repeat(first, np.diff(np.append(first, len(query)))) < k
+    return query[kept], at[kept], score[kept]
+
+
+def chunk_products(ids: np.ndarray, matrix: np.ndarray, norms: np.ndarray, asked: tuple, k: int, focus: int, steep: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, id, score) rows of a chunk (longest first) that hold each query's k best there, if they reach its floor.
+
+    Queries whose floor even the longest vector can't reach are left out at once. Those with a high cosine threshold prune
+    by coordinates, each for itself; all others by length: they share one product with the rows that are long enough for any.
+    """
+    query, vectors, lengths, floors = asked
+    top = lengths * norms[0]
+    open_, low = ~(floors > 0) | ~np.isfinite(floors), np.where(np.isfinite(floors), floors, 0.0)
+    able = open_ | (low <= top * (1 + _SLACK))
+    cosine = np.where(open_ | (top == 0), 0.0, low / np.where(top > 0, top, 1.0))
+    alone = np.flatnonzero(able & (cosine >= steep))
+    unit = matrix / np.where(norms > 0, norms, 1.0)[:, None] if len(alone) else matrix
+    for q in alone:
+        at = survivors(norms, unit, vectors[q], lengths[q], floors[q], focus, steep)
+        at = at[ids[at] != query[q]]
+        score = _products(matrix[at], vectors[q])
+        best = score >= low[q]
+        yield np.full(int(best.sum()), query[q]), ids[at][best], score[best]
+    flat = np.flatnonzero(able & (cosine < steep))
+    for first in range(0, len(flat), step := max(1, (1 << 21) // len(ids))):
+        some = flat[first : first + step]
+        need = np.where(open_[some] | (lengths[some] == 0), 0.0, low[some] / np.where(lengths[some] > 0, lengths[some], 1.0)).min()
+        enough = int(np.searchsorted(-norms, -need * (1 - _SLACK), side="right"))
+        score = _products(matrix[:enough], vectors[some].T)
+        kept = ids[:enough, None] != query[some][None, :]
+        if enough > k:
+            others = np.where(kept, score, np.iinfo(np.int64).min)
+            kept &= score >= np.partition(others, enough - k, axis=0)[enough - k]
+        kept &= open_[some][None, :] | (score >= low[some][None, :])
+        r, c = np.nonzero(kept)
+        yield query[some][c], ids[r], score[r, c]
+
+
 def _search(queries, k: int, focus: int, steep: float):
-    """queries: a broadcast of {dim: (ids, matrix, lengths, floors)}."""
+    """queries: a broadcast of {dim: (ids, matrix, lengths, floors)}. A task merges its chunks' results, k rows a query."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [tuple(np.empty(0, np.int64) for _ in range(3))]
         for batch in batches:
             for row in batch.itertuples():
                 if row.dim not in queries.value:
@@ -75,19 +120,10 @@ def _search(queries, k: int, focus: int, steep: float):
                 ids = np.frombuffer(row.ids, np.int64)
                 matrix = np.frombuffer(row.matrix, np.int64).reshape(row.n, row.dim)
                 norms = np.frombuffer(row.norms, np.float64)
-                unit = matrix / np.where(norms > 0, norms, 1.0)[:, None]
-                out = []
-                for q, vec, length, floor in zip(*queries.value[row.dim], strict=True):
-                    at = survivors(norms, unit, vec, length, floor, focus, steep)
-                    at = at[ids[at] != q]
-                    if len(at):
-                        score = _products(matrix[at], vec)
-                        best = np.lexsort((ids[at], -score))[:k]
-                        best = best[score[best] >= floor] if np.isfinite(floor) else best
-                        out.append((np.full(len(best), q), ids[at][best], score[best]))
-                if out:
-                    q, v, s = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
+                for found in chunk_products(ids, matrix, norms, queries.value[row.dim], k, focus, steep):
+                    held = [_best([*held, _best([found], k)], k)]
+        query, at, score = held[0]
+        yield pd.DataFrame({"query_id": query, "vec_id": at, "score": score})
 
     return search
 
@@ -111,9 +147,9 @@ def top_k(
     rows that repeat a query's id one is the query; repeated candidates count each. Sums must stay below 2**63.
 
     The vectors are grouped by length into at most max_buckets buckets, each in chunks of about bucket_rows rows (rows
-    of one length are split too), packed and written once. Queries go to the executors in blocks of query_block. For
-    each block the longest bucket gives a floor under the k-th score; then every chunk is pruned by it and the rest
-    multiplied out. Each chunk returns k rows a query at most; those are ranked by query.
+    of one length are split too), packed and written once. Queries go to the executors in blocks of query_block, one on the
+    driver at a time. For each block the longest bucket gives a floor under the k-th score; then every chunk is pruned by it
+    and the rest multiplied out. Each task returns k rows a query at most; those are ranked by query.
     """
     spark = vectors.sparkSession
     prepare = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<long>").alias("vec")).where(F.col("vec_id").isNotNull() & usable("vec"))
@@ -143,11 +179,13 @@ def top_k(
         held = {d: (np.array([x[0] for x in q]), m := np.array([x[1] for x in q], dtype=np.int64).reshape(len(q), d), np.sqrt((m.astype(np.float64) ** 2).sum(axis=1))) for d, q in by_dim.items()}
         open_floor = {d: (*x, np.full(len(x[0]), -np.inf)) for d, x in held.items()}
         top = packed.where(F.concat_ws(":", "dim", "bucket").isin([f"{d}:{longest[d]}" for d in held if d in longest]))
-        first = top.mapInPandas(_search(spark.sparkContext.broadcast(open_floor), k, focus, steep), result)
-        ranked = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
+        asking = spark.sparkContext.broadcast(open_floor)
+        ranked = top.mapInPandas(_search(asking, k, focus, steep), result).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
         floors = {r.query_id: r.score for r in ranked.collect()}
-        floored = {d: (*x, np.array([floors.get(int(q), -np.inf) for q in x[0]])) for d, x in held.items()}
-        parts.append(packed.mapInPandas(_search(spark.sparkContext.broadcast(floored), k, focus, steep), result))
+        asking.destroy()
+        asking = spark.sparkContext.broadcast({d: (*x, np.array([floors.get(int(q), -np.inf) for q in x[0]])) for d, x in held.items()})
+        parts.append(materialize(packed.mapInPandas(_search(asking, k, focus, steep), result), "topk-found"))
+        asking.destroy()
     if not parts:
         parts = [spark.createDataFrame([], result)]
     out = parts[0]
