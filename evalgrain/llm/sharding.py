@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrain.llm.base import materialize, partitions
+from evalgrain.llm.base import materialize, partitions, without
 
 LEAST = -(1 << 63)
 _TOP = 1 << 128
@@ -116,10 +116,10 @@ def shard(
     df is written once (so ties keep their place); passes over (key, tie, size) refine the splitters. A shard is
     sorted in several parts, as many in all as there are shuffle partitions, so no task holds a whole shard; rows with
     one key are split like others. One exchange moves the rows. An empty table gives an empty result; null sizes count
-    0; columns named like the new ones are replaced.
+    0; columns named like the new ones, whatever their case, are replaced.
     """
     spark = df.sparkSession
-    keep = [c for c in df.columns if c not in (shard_col, slot_col)]
+    keep = without(df.columns, shard_col, slot_col)
     rows = materialize(
         df.select(
             F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
