@@ -26,8 +26,8 @@ BLANK = " \t\r\x0b\x0c"
 _BLANK = BLANK.encode()
 _ORDER = "struct<none:boolean,doc_id:{id},line:int,node:long>"
 #: Lines of a key that are held against each other (those of a key with more emit variants of single words), characters
-#: profiled at once, and earlier lines listed for a line at first.
-MOST, LOT, LISTED = 1024, 1 << 22, 8
+#: profiled at once, and near lines that a line lists for a key.
+MOST, LOT, LISTED = 1024, 1 << 22, 4
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     line emits segment_variants(), packed by block and exchanged by hash; lines that share one are fetched and compared
     word by word with the earlier lines of the key. Keys of more than MOST lines aren't searched so: their lines emit all
     variants of single words (edit_variants()), of which a key's lines are all near. Each line lists the first LISTED near
-    lines before it, more only where all of these go; so no group is paired with itself. From these lists it follows round by
+    lines before it, and others only when all of these go; so no group is paired with itself. From these lists it follows round by
     round which lines stay (_settled()), and the lines to drop go back to the blocks.
     """
     if max_edits < 0 or words_per_edit < 1:
@@ -343,12 +343,20 @@ def _near(rows: DataFrame, known: DataFrame, text: str, bound: Bound) -> DataFra
     few = shared.where("NOT crowded").select("key", "own", "node", "line").join(places, ["node", "line"]).select("key", "own", "first", "text")
     listed = "node long, line int, other_node long, other_line int, more boolean"
 
-    def near_lines(most: int) -> DataFrame:
-        """The first `most` near lines before each line, for each key; more: there are others."""
-        by_segment = few.repartition(n, "key").sortWithinPartitions("key", "first").select("key", "own", F.col("first.node").alias("node"), F.col("first.line").alias("line"), "text")
-        by_word = emitted.repartition(n, "key").sortWithinPartitions("key", "first").select("key", "marked", "gone", "words", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
-        both = by_segment.mapInArrow(_compared(bound, most), listed).unionByName(by_word.mapInArrow(_met(bound, most), listed))
-        return both.groupBy("node", "line", "other_node", "other_line").agg(F.bool_or("more").alias("more"))
+    def near_lines(state: DataFrame | None) -> DataFrame:
+        """The first LISTED near lines before each line, for each key; more: there may be others.
+
+        Given states, only for the lines that want others, and among the lines that don't go.
+        """
+        columns = [F.col("first.node").alias("node"), F.col("first.line").alias("line")]
+        sides = [(few.select("key", "own", "text", "first", *columns), _compared), (emitted.select("key", "marked", "gone", "words", "first", *columns), _met)]
+        found = []
+        for side, function in sides:
+            known = side.withColumn("asks", F.lit(True))
+            if state is not None:
+                known = side.join(state, ["node", "line"], "left").where("state IS NULL OR state <> 'goes'").withColumn("asks", F.coalesce(F.col("state") == "longer", F.lit(False))).drop("state")
+            found.append(known.repartition(n, "key").sortWithinPartitions("key", "first").drop("first").mapInArrow(function(bound, LISTED), listed))
+        return found[0].unionByName(found[1]).groupBy("node", "line", "other_node", "other_line").agg(F.bool_or("more").alias("more"))
 
     return _settled(near_lines)
 
@@ -357,12 +365,11 @@ def _settled(near_lines) -> DataFrame:
     """node, line of the lines that go: near to an earlier line that stays.
 
     A line without a near line before it stays. Round by round, a line goes if one listed before it stays; it stays if all
-    of these go and it has no others; if it has others, its list is made longer. The number of rounds is the longest chain
-    of lines each of which depends on the one before. Only counts reach the driver.
+    of these go and there are no others; if there may be, it lists others, of those that don't go. The number of rounds is
+    the longest chain of lines each of which depends on the one before. Only counts reach the driver.
     """
-    here, there = ["node", "line"], [F.col("other_node").alias("node"), F.col("other_line").alias("line")]
-    most = LISTED
-    edges = materialize(near_lines(most), "near-lines")
+    here = ["node", "line"]
+    edges = materialize(near_lines(None), "near-lines")
     state = materialize(edges.select(*here).distinct().withColumn("state", F.lit("open")), "line-states")
     while state.where("state = 'open'").limit(1).count():
         left = edges.join(state.where("state = 'open'").select(*here), here)
@@ -371,12 +378,13 @@ def _settled(near_lines) -> DataFrame:
             F.bool_or(F.col("other").isNull() | (F.col("other") == "stays")).alias("goes"), F.bool_or(F.coalesce(F.col("other") == "open", F.lit(False))).alias("waits"), F.bool_or("more").alias("more")
         )
         now = F.when(F.col("goes"), "goes").when(F.col("waits"), "open").when(F.col("more"), "longer").otherwise("stays")
-        new = materialize(state.where("state <> 'open'").unionByName(seen.select(*here, now.alias("state"))), "line-states")
-        if new.where("state = 'longer'").limit(1).count():
-            most *= 16
-            edges = materialize(near_lines(most), "near-lines")
-            new = new.withColumn("state", F.when(F.col("state") == "longer", "open").otherwise(F.col("state")))
-        state = new
+        state = materialize(state.where("state <> 'open'").unionByName(seen.select(*here, now.alias("state"))), "line-states")
+        if state.where("state = 'longer'").limit(1).count():
+            edges = materialize(near_lines(state), "near-lines").unionByName(edges.join(state.where("state = 'open'").select(*here), here, "left_semi"))
+            listing = edges.select(*here).distinct().withColumn("lists", F.lit(True))
+            again = state.join(listing, here, "left")
+            # A line that finds no others stays.
+            state = materialize(again.select(*here, F.when(F.col("state") != "longer", F.col("state")).when(F.col("lists"), "open").otherwise("stays").alias("state")), "line-states")
     return state.where("state = 'goes'").select(*here)
 
 
@@ -387,23 +395,24 @@ def _listing(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _compared(bound: Bound, most: int):
-    """Rows sorted by key, the earliest line first: the near lines before each line among those of a key, word by word.
+    """Rows sorted by key, the earliest line first: the near lines before each line that asks among those of a key, word by word.
 
-    Words are hashed into a count vector for each line; a pair whose counts differ by more than twice the edits is left out.
+    In a larger group words are hashed into a count vector for each line; a pair whose counts differ by more than twice the
+    edits is left out.
     """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
         for _, rows in grouped(batches, ("key",)):
-            node, line, own = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "line", "own"))
+            node, line, own, asks = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("node", "line", "own", "asks"))
             words = [line_words(x) for x in rows.column("text").to_pylist()]
-            counts = np.zeros((len(words), 64), np.int16)
-            for k, w in enumerate(words):
-                np.add.at(counts[k], [hash(x) & 63 for x in w], 1)
-            n, out = np.array([len(w) for w in words]), []
-            for k in range(1, len(words)):
+            n = np.array([len(w) for w in words])
+            counts = np.array([np.bincount([hash(x) & 63 for x in w], minlength=64) for w in words], np.int16) if len(words) > 4 else None
+            for k in np.flatnonzero(asks[1:]) + 1:
                 edits = bound.edits(np.minimum(n[:k], n[k]))
-                fits = (own[:k] | own[k]) & (np.abs(n[:k] - n[k]) <= edits) & (np.abs(counts[:k] - counts[k]).sum(axis=1) <= 2 * edits)
-                fits &= (node[:k] != node[k]) | (line[:k] != line[k])
+                fits = (own[:k] | own[k]) & (np.abs(n[:k] - n[k]) <= edits) & ((node[:k] != node[k]) | (line[:k] != line[k]))
+                if counts is not None:
+                    fits &= np.abs(counts[:k] - counts[k]).sum(axis=1) <= 2 * edits
                 found = []
                 for j in np.flatnonzero(fits).tolist():
                     if within(words[j], words[k], int(edits[j])):
@@ -411,24 +420,26 @@ def _compared(bound: Bound, most: int):
                         if len(found) > most:
                             break
                 out += [(node[k], line[k], node[j], line[j], len(found) > most) for j in found[:most]]
-            if out:
+            if len(out) > 10_000:
                 yield _listing(out)
+                out = []
+        yield _listing(out)
 
     return compare
 
 
 def _met(bound: Bound, most: int):
-    """Rows sorted by key, the earliest line first: the near lines before each line among those of a variant. Only the first lines are held."""
+    """Rows sorted by key, the earliest line first: the near lines before each line that asks among those of a variant. Only the first lines are held."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, out = None, [], []
         for batch in batches:
-            for k, marked, gone, words, node, line in zip(*[batch.column(c).to_pylist() for c in ("key", "marked", "gone", "words", "node", "line")], strict=True):
+            for k, marked, gone, words, node, line, asks in zip(*[batch.column(c).to_pylist() for c in ("key", "marked", "gone", "words", "node", "line", "asks")], strict=True):
                 if k != key:
                     key, held = k, []
-                # With one number left out on both sides, lines of a variant are alike: so many of each kind are enough.
-                able = [(b, c) for m, g, w, b, c in held if m == marked and m + g + gone <= bound.edits(min(w, words)) and (b, c) != (node, line)]
+                able = [(b, c) for m, g, w, b, c in held if asks and m == marked and m + g + gone <= bound.edits(min(w, words)) and (b, c) != (node, line)]
                 out += [(node, line, b, c, len(able) > most) for b, c in able[:most]]
+                # Lines of a variant with one number of words left out are alike: so many of each kind are enough.
                 if sum(m == marked and g == gone and w == words for m, g, w, _, _ in held) <= most:
                     held.append((marked, gone, words, node, line))
             yield _listing(out)
