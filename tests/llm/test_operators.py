@@ -74,6 +74,16 @@ def test_sharding_query_moves_whole_texts(spark, sf_dir, monkeypatch):
     for r in queries.op1_histogram_sort_shards(spark, sf_dir).collect():
         raw = (before[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32) == (len(raw) + 1, zlib.crc32(raw))
+    sums: dict[int, int] = {}
+    slots: dict[int, list[int]] = {}
+    for r in queries.op1_histogram_sort_shards(spark, sf_dir).collect():
+        sums[r.shard] = sums.get(r.shard, 0) + len((before[r.doc_id] or "").encode()) + 1
+        slots.setdefault(r.shard, []).append(r.slot)
+        assert (r.law, r.grown_shard) == ("bytes", None)
+    # No shard is further from an equal share than its largest text and the tolerance.
+    most, share = max(len((t or "").encode()) + 1 for t in before.values()), sum(sums.values()) / 16
+    assert set(sums) == set(range(16)) and all(abs(x - share) <= most + 0.0005 * share for x in sums.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and sum(map(len, slots.values())) == len(before)
     # The digest is of what the operator gives: another text there is another digest.
     shard = sharding.shard
     monkeypatch.setattr(sharding, "shard", lambda *a, **b: shard(*a, **b).withColumn("text", F.concat("text", F.lit("!"))))
@@ -432,6 +442,44 @@ def test_entropy(spark):
     assert got[""] == 0 and got["abcd"] == pytest.approx(2) and got["aab"] == pytest.approx(0.9182958)
 
 
+def test_columns_named_like_results_in_another_case_are_replaced(spark):
+    df = spark.createDataFrame([(1, "some words of a line here", "x", "y", "z")], "doc_id long, text string, SHARD string, Found string, N_Lines string")
+    out = sharding.shard(df, F.col("doc_id"), F.lit(1), shards=2)
+    assert out.columns == ["doc_id", "text", "Found", "N_Lines", "shard", "slot"] and out.count() == 1
+    bench = spark.createDataFrame([(1, "some words of a line")], "item_id long, text string")
+    assert decontaminate.decontaminate(df, bench, out="found").select("found.n_hit", "SHARD").first().n_hit == 5
+    lines = line_dedup.dedup_lines(df)
+    assert lines.columns == ["doc_id", "text", "SHARD", "Found", "n_lines", "n_dropped"] and lines.first().n_lines == 1
+    model = secret_scan.MarkovModel(())
+    assert secret_scan.scan(df, model, out="FOUND").columns == ["doc_id", "text", "SHARD", "N_Lines", "FOUND"]
+    assert language.predict(df, language.train(df.withColumn("lang", F.lit("en"))), out="found").columns == ["doc_id", "text", "SHARD", "N_Lines", "found"]
+    urls = df.withColumnRenamed("text", "url")
+    assert url_filter.filter_urls(urls, [("block", "com/")], out="found").columns == ["doc_id", "url", "SHARD", "N_Lines", "found"]
+
+
+def test_tables_on_the_way_are_dropped(spark):
+    df = spark.range(5).withColumn("block", F.col("id") % 2)
+    with base.recorded() as made:
+        kept = base.materialize(df, "kept")
+        with base.recorded() as inner:
+            base.materialize_by_block(df, "gone", 2)
+            base.materialize(df, "gone-too")
+            assert len(inner) == 2
+            base.drop(spark, inner)
+        assert inner == [] and len(made) == 1
+    base.drop(spark, made, in_use=kept)
+    assert len(made) == 1 and kept.count() == 5
+    base.drop(spark, made)
+    assert made == [] and not [t for t in spark.catalog.listTables() if t.name.startswith("evalgrain_gone")]
+
+
+def test_decontamination_holds_one_block_at_a_time(spark):
+    bench = spark.createDataFrame([(k, f"alpha{k} beta{k} gamma{k}") for k in range(30)], "item_id long, text string")
+    blocks = decontaminate.item_blocks(bench, "item_id", "text", 100)
+    first = next(blocks)
+    assert 0 < len(first) < 30 and len(first) + sum(map(len, blocks)) == 30
+
+
 def test_shared_folder_is_the_clusters(spark):
     assert base.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
