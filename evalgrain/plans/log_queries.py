@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalgrain.operators import consensus, geo, planning, trajectory
 from evalgrain.plans.fixtures import rounded, table
 from evalgrain.plans.registry import query
+from evalgrain.plans.text_queries import _TERMS
 from evalgrain.sources.scratch import scratch_path
 from evalgrain.streaming import live
 
@@ -70,7 +71,15 @@ def exact_repeats(spark, sf_dir):
     return trajectory.exact_repeats(_turns(spark, sf_dir).withColumnRenamed("content", "query")).select("conv_id", "pos", "redundant")
 
 
-@query("win_04_novelty")
+_NOVEL = f"""t AS (SELECT conv_id, turn AS pos, role, text, {_TERMS} AS terms, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+ r AS (SELECT conv_id, pos, n, len(terms) = 0 AS redundant, CASE WHEN len(terms) > 0 THEN [terms] ELSE [] END AS accepted, [array_to_string(terms, ' ')] AS seen FROM t WHERE n = 1
+  UNION ALL SELECT conv_id, pos, n, x, CASE WHEN x THEN accepted ELSE list_append(accepted, terms) END, list_append(seen, key) FROM (
+   SELECT t.conv_id, t.pos, t.n, t.terms, r.accepted, r.seen, array_to_string(t.terms, ' ') AS key, len(t.terms) = 0 OR list_contains(r.seen, array_to_string(t.terms, ' '))
+    OR len(list_filter(r.accepted, lambda a: len(list_intersect(a, t.terms)) >= 0.9 * (len(a) + len(t.terms) - len(list_intersect(a, t.terms))) AND len(a) + len(t.terms) - len(list_intersect(a, t.terms)) >= 5)) > 0 AS x
+   FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n + 1))"""
+
+
+@query("win_04_novelty", f"WITH RECURSIVE {_NOVEL} SELECT conv_id, pos, redundant FROM r")
 def novelty(spark, sf_dir):
     return trajectory.novelty(_turns(spark, sf_dir).withColumnRenamed("content", "query")).select("conv_id", "pos", "redundant")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalgrain.operators import consensus, discovery, evidence, fusion, leaks, ledger, planning, trajectory
 from evalgrain.plans.fixtures import table, trials, with_trials
-from evalgrain.plans.log_queries import _questions, _turns
+from evalgrain.plans.log_queries import _NOVEL, _questions, _turns
 from evalgrain.plans.registry import query
 from evalgrain.plans.text_queries import _LINES, _log_lines
 from evalgrain.sources import trial_logs
@@ -33,7 +33,9 @@ def failed_lists(spark, sf_dir):
     return fusion.list_status(lists)
 
 
-@query("win_05_redundant_streaks")
+@query("win_05_redundant_streaks", f"""WITH RECURSIVE {_NOVEL}, a AS (SELECT r.conv_id, r.pos, redundant, role || '|' || text AS act FROM r JOIN t ON t.conv_id = r.conv_id AND t.n = r.n),
+ l AS (SELECT *, last_value(CASE WHEN NOT redundant THEN act END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM a), g AS (SELECT *, redundant OR coalesce(last = act, false) AS again FROM l),
+ i AS (SELECT *, sum(CASE WHEN again THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY pos) AS island FROM g) SELECT conv_id, pos AS step, CAST(sum(CASE WHEN again THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, island ORDER BY pos) AS BIGINT) AS streak FROM i""")
 def redundant_streaks(spark, sf_dir):
     """Turns are searches for what is said; a turn whose query repeats, or nearly repeats, an earlier one goes on with a streak."""
     t = _turns(spark, sf_dir).select("conv_id", F.col("pos").alias("step"), F.col("role").alias("action"), F.col("content").alias("payload"))

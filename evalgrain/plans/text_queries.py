@@ -183,7 +183,19 @@ def extracted(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "sha256", "title", F.size("links").alias("n_links"))
 
 
-@query("prj_08_page_links")
+_PLAIN = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&')"
+_ARTICLE = _PLAIN.format("regexp_replace(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>', ' ', 'g')")
+_A = "'<a href=\"([^\"]*)\">([^<]*)</a>'"
+
+
+@query("prj_08_page_text", rf"SELECT page_id, sha256(array_to_string(regexp_extract_all({_ARTICLE}, '[\p{{L}}\p{{N}}]+'), ' ')) AS words FROM pages")
+def page_text(spark, sf_dir):
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), 0)
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", F.sha2(F.array_join(words, " "), 256).alias("words"))
+
+
+@query("prj_08_page_links", f"""WITH l AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*') AS base, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS said, unnest(range(0, len(regexp_extract_all(html, {_A})))) AS i FROM pages),
+ u AS (SELECT page_id, base || {_PLAIN.format('href')} AS link, {_PLAIN.format('said')} AS text, i FROM l), f AS (SELECT page_id, link, min(i) AS i, arg_min(text, i) AS text FROM u GROUP BY page_id, link), r AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place, link, text FROM f) SELECT * FROM r WHERE place <= 80""")
 def page_links(spark, sf_dir):
     return pages.links(pages.extract(table(spark, sf_dir, "pages")))
 
