@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalgrain.functions.stats import exact_sign_pvalue, is_exact_pvalue
+from evalgrain.functions.stats import exact_sign_pvalue
 
 KEY = ("source_index", "attempt")
 #: What must be equal in two runs' locks for their results to compare.
@@ -57,7 +57,7 @@ def contingency(pairs: DataFrame) -> DataFrame:
     cells = cells.withColumn("left_accuracy", left).withColumn("right_accuracy", right)
     cells = cells.withColumn("accuracy_difference", F.col("left_accuracy") - F.col("right_accuracy"))
     a, b = F.col("left_only_correct"), F.col("right_only_correct")
-    return cells.withColumn("pvalue", exact_sign_pvalue(a, b)).withColumn("pvalue_is_exact", is_exact_pvalue(a, b))
+    return cells.withColumn("pvalue", exact_sign_pvalue(a, b))
 
 
 def mean_differences(pairs: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def paired_keys(spark, sf_dir):
  SELECT *, round((both_correct + left_only_correct) / n::DOUBLE, 6) AS left_accuracy, round((both_correct + right_only_correct) / n::DOUBLE, 6) AS right_accuracy,
  round((left_only_correct - right_only_correct) / n::DOUBLE, 6) AS accuracy_difference,
  round(least(1.0, (SELECT 2 * sum(exp(lgamma(left_only_correct + right_only_correct + 1) - lgamma(i + 1) - lgamma(left_only_correct + right_only_correct - i + 1) - (left_only_correct + right_only_correct) * ln(2.0)))
-  FROM range(0, least(left_only_correct, right_only_correct) + 1) r(i))), 6) AS pvalue, true AS pvalue_is_exact FROM t"""))
+  FROM range(0, least(left_only_correct, right_only_correct) + 1) r(i))), 6) AS pvalue FROM t"""))
 def contingency(spark, sf_dir):
     return rounded(compare.contingency(_pairs(spark, sf_dir)), "left_accuracy", "right_accuracy", "accuracy_difference", "pvalue")
 

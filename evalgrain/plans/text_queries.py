@@ -289,7 +289,22 @@ def relevance(spark, sf_dir):
     return d.join(b.withColumnRenamed("text", "question"), "item_id").select("doc_id", evidence.page_matches_question(F.col("question"), F.col("text")).alias("relevant"))
 
 
-@query("txt_12_13_mirrors")
+def _mirror_sql(question: str, path: str) -> str:
+    terms = lambda x: "list_filter(" + _TERMS.replace("text", x) + f", lambda w: NOT list_contains({_STOP}, w))"
+    q, p, spaced = terms(question), terms(f"replace({path}, '-', ' ')"), f"replace({path}, '-', ' ')"
+    both = f"len(list_intersect({q}, {p}))"
+    jobs = f"((contains(lower({path}), '-jobs') OR contains(lower({path}), '/jobs/')) AND length({path}) >= 60 AND len({terms(path)}) >= 7)"
+    solver = f"regexp_matches(lower({spaced}), 'crossword solver|crossword clue|question answer')"
+    long = f"(len({q}) >= 7 AND length({spaced}) >= 80 AND len({p}) >= 8 AND {both} >= 8)"
+    return f"({jobs} OR ({long} AND ({both} >= 0.5 * len({q}) OR {both} >= 0.65 * len({p}) OR ({solver} AND {both} >= 0.5 * len({p})))))"
+
+
+_ASKED, _SLUG = _TERMS.replace("text", "question"), "list_distinct(regexp_extract_all(lower(slug), '[a-z0-9]+'))"
+_SHORT = f"len({_ASKED}) >= 5 AND len({_SLUG}) >= 5 AND len(list_intersect({_ASKED}, {_SLUG})) >= greatest(5, 0.65 * len({_ASKED}))"
+
+
+@query("txt_12_13_mirrors", f"""WITH s AS (SELECT page_id, url, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS question FROM pages), u AS (SELECT *, '/' || regexp_replace(lower(question), '[^a-z0-9]+', '-', 'g') AS slug, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM s)
+ SELECT page_id, {_mirror_sql('question', 'slug')} AS mirror, {_mirror_sql('question', 'path')} AS own_url, {_SHORT} AS path_mirror FROM u""")
 def mirrors(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("question"))
     slug = F.concat(F.lit("https://seo.example/"), F.regexp_replace(F.lower("question"), "[^a-z0-9]+", "-"))

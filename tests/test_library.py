@@ -7,7 +7,7 @@ from evalgrain.functions import stats
 from evalgrain.functions import terms as T
 from evalgrain.functions import texts as X
 from evalgrain.functions import urls as U
-from evalgrain.operators import compare, consensus, evidence, fusion, geo, grading, leaks, ledger, metrics, pages, planning, trajectory
+from evalgrain.operators import compare, conformance, consensus, evidence, fusion, geo, grading, guides, leaks, ledger, metrics, pages, planning, trajectory
 from evalgrain.schemas import TRIALS
 from evalgrain.sources import trial_logs
 from evalgrain.streaming import live
@@ -299,3 +299,82 @@ def test_passages_meet_queries_by_terms(spark):
     assert {r.k: r.overlap for r in out.collect()} == {1: 2, 2: 2, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0}
     docs = spark.createDataFrame([(1, 1, "x")], "group int, doc_id int, text string")
     assert not lists(pages.passages(docs, spark.createDataFrame(q, "group int, query string")))
+
+
+def test_sign_test_in_one_form(spark):
+    import math
+
+    for a, b in ((0, 0), (0, 1), (1, 1), (3, 9), (40, 60), (15, 16), (500, 450), (0, 40)):
+        n = a + b
+        wanted = min(1.0, 2 * sum(math.comb(n, i) for i in range(min(a, b) + 1)) / 2**n) if n else 1.0
+        assert one(spark, stats.exact_sign_pvalue(F.lit(a), F.lit(b)).alias("p")).p == pytest.approx(wanted, rel=1e-9)
+    a, b = 2_000_000, 2_004_000
+    z = (b - a - 1) / math.sqrt(a + b)
+    assert one(spark, stats.exact_sign_pvalue(F.lit(a), F.lit(b)).alias("p")).p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = {"a": rng.normal(size=30_001), "b": np.concatenate([np.full(9_000, 7.0), rng.integers(0, 20, 5_000)]), "c": np.array([3.0])}
+    rows = [(k, float(v)) for k, x in values.items() for v in x] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "run_id string, v double").repartition(5)
+    out = {r.run_id: (r.p1, r.p50, r.p95) for r in metrics.exact_quantiles(df, "v", {"p1": 0.01, "p50": 0.5, "p95": 0.95}).collect()}
+    assert set(out) == {"a", "b", "c"}
+    for k, x in values.items():
+        assert out[k] == pytest.approx(tuple(np.quantile(x, [0.01, 0.5, 0.95])), rel=1e-12)
+
+
+def test_bootstrap_interval_is_that_of_the_binomial(spark):
+    import math
+
+    t = trials(spark, *[{"item_id": str(k), "correct": k % 10 < 7} for k in range(200)])
+    r = metrics.bootstrap_accuracy(t, 10_000).first()
+    below = lambda k: sum(math.comb(200, i) * 0.7**i * 0.3 ** (200 - i) for i in range(k + 1))
+    low = next(k for k in range(201) if below(k) >= 0.025)
+    high = next(k for k in range(201) if below(k) >= 0.975)
+    assert abs(r.bootstrap_low * 200 - low) <= 1 and abs(r.bootstrap_high * 200 - high) <= 1
+
+
+def test_find_in_pages_places_every_match(spark):
+    import re
+
+    texts = ["", "Token é token TOKEN", "no", "token", "x" * 600 + "password" + "y" * 600, " ".join(["token"] * 30), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted((int(r.key), r.place, r.offset, r.found, r.context) for r in pages.find_in_pages(df, "password|token").collect())
+    wanted = [(k, n, m.start(), m.group(), t[max(0, m.start() - 500) : m.end() + 500]) for k, t in enumerate(texts) if t for n, m in enumerate(list(re.finditer("(?i)password|token", t))[:20], start=1)]
+    assert out == wanted
+
+
+def test_active_trials_are_not_revived_by_late_events(spark, tmp_path):
+    batches = [[(1, 5, "view"), (2, 1, "view")], [(1, 9, "purchase")], [(1, 7, "view"), (2, 4, "click")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "user_id long, event_id long, action string").coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+    stream = spark.readStream.schema("user_id long, event_id long, action string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*")
+    out = live.latest(live.run_to_end(live.active(stream), "update"), "user_id", ("event_id", "action", "active"))
+    assert {r.user_id: (r.event_id, r.action, r.active) for r in out.collect()} == {1: (9, "purchase", False), 2: (4, "click", True)}
+
+
+def test_alerts_wait_for_their_confirmations(spark, tmp_path):
+    schema = "run_id string, ts timestamp, state string"
+    batches = [[("a", "2024-01-01 00:00:00", "running"), ("b", "2024-01-01 00:00:00", "running")], [("c", "2024-01-01 02:00:00", "running")], [("b", "2024-01-01 02:30:00", "running")], [("c", "2024-01-01 02:40:00", "running")]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, "run_id string, ts string, state string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in{k}")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in*").withWatermark("ts", "1 minute")
+    once = live.run_to_end(live.stale_alerts(read(), 3600), "append").collect()
+    twice = live.run_to_end(live.stale_alerts(read(), 3600, confirmations=2, check_seconds=1800), "append").collect()
+    # b is heard again before its second check.
+    assert {r.run_id for r in once} == {"a"} | ({"b"} & {r.run_id for r in once}) and {r.run_id for r in twice} == {"a"}
+
+
+def test_calls_reviews_and_plans_of_odd_rows(spark):
+    log = spark.createDataFrame([(None, None), ("search", ""), ("search", "{broken"), ("open", '{"urls":[]}')], "name string, arguments string")
+    got = [(r.tool, r.canonical, r.invalid) for r in conformance.canonical_calls(log, ("search", "open", "open_many")).collect()]
+    assert got == [("", None, "unknown tool"), ("search", "{}", None), ("search", None, "no object"), ("open_many", '{"urls":[]}', None)]
+    said = spark.createDataFrame([(None, True), ("", None), ('{"verdict": 3}', True), ('{"a": {"verdict": "pass"}}', True)], "content string, ok boolean")
+    assert [(r.verdict, r.usable) for r in conformance.review_verdicts(said).collect()] == [("BLOCK", False), ("BLOCK", False), ("BLOCK", False), ("PASS", True)]
+    plans = spark.createDataFrame([(None,), ("",), ('{"queries": null}',)], "text string")
+    assert {r.fault for r in conformance.plan_quality(plans).collect()} == {"no plan"}
+    empty = spark.createDataFrame([], "item_id long, attempt int, pos int, step_id string, instruction string, allowed_actions array<string>")
+    assert guides.guide_faults(empty).count() == 0
