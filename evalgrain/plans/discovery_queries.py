@@ -68,10 +68,13 @@ def source_constraints(spark, sf_dir):
 
 @query("src_06_citations", """SELECT page_id AS query_id, url, 1 AS rank FROM pages UNION ALL SELECT page_id, 'https://b.example/' || page_id, 2 FROM pages""")
 def citations(spark, sf_dir):
-    c = lambda u: F.concat(F.lit('{"url_citation":{"url":"'), u, F.lit('","title":"A page","content":"some text of its own"}}'))
+    """A link twice, one without a body, another, and a page made of the query, which goes."""
+    asked = "northern harbour engineer designed iron bridge flood market"
+    c = lambda u, title="A page", said="some text of its own": F.concat(F.lit('{"url_citation":{"url":"'), u, F.lit(f'","title":"{title}","content":"{said}"}}}}'))
     p = table(spark, sf_dir, "pages")
-    body = F.concat(F.lit('{"choices":[{"message":{"annotations":['), c(F.col("url")), F.lit(","), c(F.col("url")), F.lit(",{},"), c(F.concat(F.lit("https://b.example/"), "page_id")), F.lit("]}}]}"))
-    return discovery.citation_hits(p.select(F.col("page_id").alias("query_id"), F.lit("a query of five words").alias("query"), body.alias("payload")), 10, 200).select("query_id", "url", "rank")
+    own, other, mirror = F.col("url"), F.concat(F.lit("https://b.example/"), "page_id"), F.lit(f"https://seo.example/{asked.replace(' ', '-')}")
+    body = F.concat(F.lit('{"choices":[{"message":{"annotations":['), c(mirror, asked, asked), F.lit(","), c(own), F.lit(","), c(own), F.lit(",{},"), c(other), F.lit("]}}]}"))
+    return discovery.citation_hits(p.select(F.col("page_id").alias("query_id"), F.lit(asked).alias("query"), body.alias("payload")), 10, 200).select("query_id", "url", "rank")
 
 
 def _locks(spark, sf_dir):

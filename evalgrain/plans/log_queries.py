@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -229,17 +231,24 @@ def query_pairs(spark, sf_dir):
     return planning.query_pairs(planning.anchors(_questions(spark, sf_dir)))
 
 
-@query("prj_01_items", """SELECT item_id AS source_index, item_id // 2 AS subset_rank, printf('item-%03d-row-%04d', item_id // 2, item_id) AS name FROM benchmark WHERE item_id % 2 = 1""")
+@query("prj_01_items", """SELECT item_id AS source_index, item_id * 7 % 1000 AS subset_rank, printf('item-%03d-row-%04d', item_id * 7 % 1000, item_id) AS name FROM benchmark""")
 def items(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_index"), "text")
-    ranks = b.where("source_index % 2 = 1").select("source_index", F.floor(F.col("source_index") / 2).alias("subset_rank"))
+    ranks = b.select("source_index", (F.col("source_index") * 7 % 1000).alias("subset_rank"))
     return planning.select_items(b, ranks).select("source_index", "subset_rank", F.col("item_id").alias("name"))
 
 
-@query("prj_02_subset_checks", "SELECT unnest(['size', 'repeats', 'range']) AS check, unnest([(SELECT count(*) FROM benchmark) = 40, true, true]) AS ok")
+_FIRST_40 = sha256(",".join(map(str, range(40))).encode()).hexdigest()
+
+
+@query("prj_02_subset_checks", f"""WITH r AS (SELECT item_id AS i FROM benchmark UNION ALL SELECT 3 UNION ALL SELECT 250000), s AS (SELECT 'all' AS list, item_id AS i FROM benchmark UNION ALL SELECT 'odd', i FROM r),
+ c AS (SELECT list, count(*) AS n, count(DISTINCT i) AS d, min(i) AS low, max(i) AS high, sha256(string_agg(i, ',' ORDER BY i)) AS digest FROM s GROUP BY list)
+ SELECT list, unnest(['size', 'repeats', 'range', 'digest']) AS check, unnest([n = 40, n = d, low >= 0 AND high < 100000, digest = '{_FIRST_40}']) AS ok FROM c""")
 def subset_checks(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark")
-    return planning.subset_checks(b.select(F.col("item_id").alias("subset_rank"), F.col("item_id").alias("source_index")), 40, 100_000)
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("subset_rank"), F.col("item_id").alias("source_index"))
+    odd = b.unionByName(spark.createDataFrame([(3, 3), (250_000, 250_000)], b.schema))
+    check = lambda df, name: planning.subset_checks(df, 40, 100_000, _FIRST_40).select(F.lit(name).alias("list"), "check", "ok")
+    return check(b, "all").unionByName(check(odd, "odd"))
 
 
 @query("prj_04_ranges", "SELECT DISTINCT CAST(i AS INTEGER) AS index FROM (SELECT unnest(range(item_id * 3, item_id * 3 + 5)) AS i FROM benchmark UNION ALL SELECT item_id * 7 FROM benchmark) WHERE i < 120")

@@ -121,10 +121,12 @@ def ledger_summary(spark, sf_dir):
     return rounded(out, "accuracy_among_attempted", "full_set_correct_coverage")
 
 
-@query("agg_12_version_counts", with_trials("""SELECT count(*) AS terminal_record_versions, count(*) FILTER (status = 'completed' AND correct IS NOT NULL) AS graded_record_versions,
- count(*) FILTER (NOT (status = 'completed' AND correct IS NOT NULL)) AS unscored_record_versions, 0::BIGINT AS quarantined_record_versions FROM trials"""))
+@query("agg_12_version_counts", with_trials("""SELECT count(*) FILTER (event_id % 13 > 0 AND event_id % 17 > 0) AS terminal_record_versions, count(*) FILTER (status = 'completed' AND correct IS NOT NULL AND event_id % 13 > 0 AND event_id % 17 > 0) AS graded_record_versions,
+ count(*) FILTER (NOT (status = 'completed' AND correct IS NOT NULL)) AS unscored_record_versions, count(*) FILTER (event_id % 13 = 0 OR event_id % 17 = 0) AS quarantined_record_versions FROM trials"""))
 def version_counts(spark, sf_dir):
-    return ledger.version_counts(trials(spark, sf_dir))
+    t = trials(spark, sf_dir)
+    t = t.withColumn("finished_at", F.when(F.col("event_id") % 13 > 0, F.col("finished_at"))).withColumn("subset_rank", F.when(F.col("event_id") % 17 > 0, F.col("subset_rank")))
+    return ledger.version_counts(t)
 
 
 _PAIRS = """, a AS (SELECT * FROM trials WHERE run_id = 'run_a'), b AS (SELECT * FROM trials WHERE run_id = 'run_b'),

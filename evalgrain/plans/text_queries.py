@@ -70,14 +70,14 @@ def audit_sample(spark, sf_dir):
 
 
 def _hits(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").withColumn("query_id", F.col("page_id") % 10)
+    p = table(spark, sf_dir, "pages").withColumn("query_id", (F.col("page_id") / 50).cast("long"))
     a = p.where("page_id % 2 = 0 OR page_id % 3 = 0").withColumn("list", F.lit(0))
     b = p.where("page_id % 2 = 1 OR page_id % 3 = 0").withColumn("list", F.lit(1))
     return a.unionByName(b).select("query_id", "list", F.col("page_id").alias("rank"), "url")
 
 
-_HITS = """hits AS (SELECT page_id % 10 AS query_id, 0 AS list, page_id AS rank, url FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0
- UNION ALL SELECT page_id % 10, 1, page_id, url FROM pages WHERE page_id % 2 = 1 OR page_id % 3 = 0)"""
+_HITS = """hits AS (SELECT page_id // 50 AS query_id, 0 AS list, page_id AS rank, url FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0
+ UNION ALL SELECT page_id // 50, 1, page_id, url FROM pages WHERE page_id % 2 = 1 OR page_id % 3 = 0)"""
 _KEY = "lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), '^www\\.', '') || regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') || CASE WHEN contains(split_part(url, '#', 1), '?') THEN regexp_extract(url, '(\\?[^#]*)', 1) ELSE '' END"
 
 
@@ -97,11 +97,11 @@ def candidates(spark, sf_dir):
     return fusion.candidates(_hits(spark, sf_dir), 15)
 
 
-@query("win_03_unopened", f"""WITH {_CANDIDATES}, k AS (SELECT c.query_id, c.url, choice, o.url IS NOT NULL AS opened FROM c LEFT JOIN (SELECT DISTINCT page_id % 10 AS query_id, url FROM pages WHERE page_id % 4 = 0) o ON o.query_id = c.query_id AND o.url = c.url),
+@query("win_03_unopened", f"""WITH {_CANDIDATES}, k AS (SELECT c.query_id, c.url, choice, o.url IS NOT NULL AS opened FROM c LEFT JOIN (SELECT DISTINCT page_id // 50 AS query_id, url FROM pages WHERE page_id % 4 = 0) o ON o.query_id = c.query_id AND o.url = c.url),
  w AS (SELECT *, bool_or(NOT opened) OVER (PARTITION BY query_id) AS any_new FROM k), r AS (SELECT query_id, url, row_number() OVER (PARTITION BY query_id ORDER BY choice) AS place, NOT any_new AS fallback FROM w WHERE NOT opened OR NOT any_new)
  SELECT * FROM r WHERE place <= 10""")
 def unopened(spark, sf_dir):
-    opened = table(spark, sf_dir, "pages").where("page_id % 4 = 0").select((F.col("page_id") % 10).alias("query_id"), "url")
+    opened = table(spark, sf_dir, "pages").where("page_id % 4 = 0").select((F.col("page_id") / 50).cast("long").alias("query_id"), "url")
     return fusion.unopened(fusion.candidates(_hits(spark, sf_dir), 1_000_000), opened, 10)
 
 
@@ -140,19 +140,21 @@ def host_penalty(spark, sf_dir):
     return fusion.host_penalty(table(spark, sf_dir, "pages"), ["cheap-pills.example.com", "example.net"]).select("page_id", "penalty")
 
 
-@query("agg_19_search_audit", f"""WITH {_HITS} SELECT 'list' || list AS provider, count(*) AS n_results, 0::BIGINT AS filtered_mirrors, count(*) FILTER (rank % 9 = 0) AS unusable_snippets,
- CAST(sum(CASE WHEN rank % 9 = 0 THEN 0 ELSE length(url) END) AS BIGINT) AS snippet_chars FROM hits GROUP BY list""")
+@query("agg_19_search_audit", f"""WITH {_HITS} SELECT 'list' || list AS provider, count(*) AS n_results, count(*) FILTER (rank % 4 = 1) AS filtered_mirrors, count(*) FILTER (rank % 9 = 0 AND rank % 4 <> 1) AS unusable_snippets,
+ CAST(sum(CASE WHEN rank % 9 = 0 OR rank % 4 = 1 THEN 0 ELSE length(url) END) AS BIGINT) AS snippet_chars FROM hits GROUP BY list""")
 def search_audit(spark, sf_dir):
     snippet = F.when(F.col("rank") % 9 == 0, F.lit("loading")).otherwise(F.col("url"))
-    h = _hits(spark, sf_dir).select(F.concat(F.lit("list"), "list").alias("provider"), "url", snippet.alias("snippet"), F.lit("short question").alias("question"))
+    asked = "which engineer of the northern harbour town designed an iron bridge before the great flood destroyed its market"
+    url = F.when(F.col("rank") % 4 == 1, F.lit(f"https://seo.example/{asked.replace(' ', '-')}")).otherwise(F.col("url"))
+    h = _hits(spark, sf_dir).select(F.concat(F.lit("list"), "list").alias("provider"), url.alias("url"), snippet.alias("snippet"), F.lit(asked).alias("question"))
     return fusion.audit(h)
 
 
-@query("win_10_host_diverse", """WITH s AS (SELECT page_id % 10 AS item_id, url, (page_id * 7919) % 1000 AS score, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages),
+@query("win_10_host_diverse", """WITH s AS (SELECT page_id // 50 AS item_id, url, (page_id * 7919) % 1000 AS score, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages),
  o AS (SELECT *, row_number() OVER (PARTITION BY item_id, url ORDER BY score DESC) AS n FROM s), p AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) AS place, row_number() OVER (PARTITION BY item_id, host ORDER BY score DESC, url) AS of_host FROM o WHERE n = 1),
  c AS (SELECT item_id, url, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, url) AS choice FROM p WHERE place <= 2 OR of_host = 1) SELECT * FROM c WHERE choice <= 8""")
 def host_diverse(spark, sf_dir):
-    s = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("item_id"), "url", ((F.col("page_id") * 7919) % 1000).alias("score"))
+    s = table(spark, sf_dir, "pages").select((F.col("page_id") / 50).cast("long").alias("item_id"), "url", ((F.col("page_id") * 7919) % 1000).alias("score"))
     return fusion.host_diverse(s, 8)
 
 
@@ -410,12 +412,12 @@ def cache_latest(spark, sf_dir):
     return trial_logs.latest_entries(log)
 
 
-@query("src_05_payloads", """SELECT page_id % 10 AS query_id, CASE page_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'organic' ELSE 'results' END AS provider, 't' || page_id AS title, url, 's' AS snippet, CASE WHEN page_id % 3 = 1 THEN 4 ELSE 2 END AS rank FROM pages""")
+@query("src_05_payloads", """SELECT page_id // 50 AS query_id, CASE page_id % 3 WHEN 0 THEN 'web' WHEN 1 THEN 'organic' ELSE 'results' END AS provider, 't' || page_id AS title, url, 's' AS snippet, CASE WHEN page_id % 3 = 1 THEN 4 ELSE 2 END AS rank FROM pages""")
 def payloads(spark, sf_dir):
     hit = lambda u, s, more="": F.concat(F.lit('[{"title":"x","' + u + '":""},{"title":"t'), "page_id", F.lit('","' + u + '":"'), "url", F.lit('","' + s + '":"s"' + more + "}]"))
     k = F.col("page_id") % 3
     text = F.when(k == 0, F.concat(F.lit('{"web":{"results":'), hit("url", "description"), F.lit("}}"))).when(k == 1, F.concat(F.lit('{"organic":'), hit("link", "snippet", ',"position":4'), F.lit("}"))).otherwise(F.concat(F.lit('{"results":'), hit("url", "content"), F.lit("}")))
-    p = table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("query_id"), F.when(k == 0, "web").when(k == 1, "organic").otherwise("results").alias("provider"), F.lit(0).alias("offset"), text.alias("payload"))
+    p = table(spark, sf_dir, "pages").select((F.col("page_id") / 50).cast("long").alias("query_id"), F.when(k == 0, "web").when(k == 1, "organic").otherwise("results").alias("provider"), F.lit(0).alias("offset"), text.alias("payload"))
     return fusion.read_payloads(p, 10)
 
 
