@@ -211,13 +211,10 @@ def related_links(page_links: DataFrame, queries: DataFrame, opened: DataFrame,
     rows = rows.join(opened.select(group, F.col("url").alias("link")), [group, "link"], "left_anti")
     said = F.concat_ws(" ", "at.text", F.regexp_replace(urls.path(F.col("link")), "/", " "))
     rows = rows.withColumn("terms", T.terms(said, T.LINK_STOPWORDS))
-    asked = queries.groupBy(group).agg(F.collect_set(F.array_sort(T.terms(F.col("query"), T.LINK_STOPWORDS))).alias("asked"))
-    rows = rows.join(asked, group, "left")
-    shared = F.coalesce(F.array_max(F.transform("asked", lambda q: F.size(F.array_intersect(q, F.col("terms"))))), F.lit(0))
-    research = T.overlap(F.col("terms"), T.words_array(T.RESEARCH_TERMS))
+    rows = with_best_overlap(rows.withColumn("research", T.overlap(F.col("terms"), T.words_array(T.RESEARCH_TERMS))), queries, group)
     same = urls.host(F.col("at.page_url")) == urls.host(F.col("link"))
-    rows = rows.withColumn("shared", shared).withColumn("research", research).withColumn("same", same)
-    rows = rows.where("shared >= 2 OR (same AND research >= 2)").withColumn("score", F.col("shared") * 10 + F.col("research") * 3 + F.when(F.col("same"), 2).otherwise(0))
+    rows = rows.withColumn("same", same)
+    rows = rows.where("overlap >= 2 OR (same AND research >= 2)").withColumn("score", F.col("overlap") * 10 + F.col("research") * 3 + F.when(F.col("same"), 2).otherwise(0))
     place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), "order"))
     return rows.withColumn("place", place).where(F.col("place") <= limit).select(group, "link", "score", "place")
 

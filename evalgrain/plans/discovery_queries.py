@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalgrain.operators import compare, discovery, geo, leaks
 from evalgrain.plans.fixtures import rounded, table, trials, with_trials
-from evalgrain.plans.log_queries import _anchors, _places, _routed
+from evalgrain.plans.log_queries import _ROUTED, _anchors, _places, _routed
 from evalgrain.plans.registry import query
 
 _LOW = ["cheap-pills.example.com", "example.net"]
@@ -107,7 +107,9 @@ def label_leaks(spark, sf_dir):
     return leaks.label_leaks(said, w.unionByName(w.select("item_id", F.lit("1843").alias("alias"))), w.select("item_id", F.lit("?").alias("question")))
 
 
-@query("agg_28_geo_verdicts")
+@query("agg_28_geo_verdicts", f"""WITH {_ROUTED}, found AS (SELECT question_id, anchor_id, brand AS label, expected IS NOT NULL AS e FROM r), asked AS (SELECT question_id, min(label) AS answer FROM found GROUP BY question_id),
+ held_by AS (SELECT question_id, answer, count(DISTINCT CASE WHEN e THEN anchor_id END) AS anchors, count(DISTINCT CASE WHEN e AND label = answer THEN anchor_id END) AS held FROM asked JOIN found USING (question_id) GROUP BY question_id, answer)
+ SELECT question_id, answer, CASE WHEN anchors < 2 THEN 'too few anchors' WHEN held < 2 THEN 'answer not near enough anchors' ELSE 'ok' END AS verdict FROM held_by""")
 def geo_verdicts(spark, sf_dir):
     routed = _routed(spark, sf_dir).join(_anchors(spark, sf_dir).select("anchor_id", "question_id"), "anchor_id")
     found = routed.join(_places(spark, sf_dir).select("place_id", F.col("brand").alias("label")), "place_id").select("question_id", "anchor_id", "label", F.col("expected_distance_miles").isNotNull().alias("has_expected"))

@@ -351,14 +351,32 @@ def abstentions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.is_abstention(answer).alias("abstains"))
 
 
-@query("win_09_top_04_passages")
+_LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+_BUSY = lambda x: f"list_filter({_TERMS.replace('text', x)}, lambda w: NOT list_contains({_STOP}, w))"
+
+
+@query("win_09_top_04_passages", f"""WITH d AS (SELECT doc_id % 20 AS g, doc_id, string_split_regex(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n+') AS parts FROM documents),
+ r AS (SELECT g, doc_id, unnest(parts) AS raw, unnest(range(0, len(parts))) AS passage_no FROM d), p AS (SELECT g, doc_id, passage_no, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS passage FROM r),
+ f AS (SELECT *, {_BUSY('passage')} AS terms, regexp_extract(passage, '(?i)\\b(?:according to|attributed to|credited (?:to|with)|documented by|described by|reported by|written by)\\b(.{{0,120}})', 1) AS said FROM p
+  WHERE length(passage) >= 40 AND len(regexp_extract_all(lower(regexp_replace(passage, '\\[[^\\]]+\\]\\([^)]+\\)', ' ', 'g')), '[a-z0-9]+')) >= 8 AND len(regexp_extract_all(lower(regexp_replace(passage, '\\[[^\\]]+\\]\\([^)]+\\)', ' ', 'g')), '[a-z0-9]+')) * 3 >= len(regexp_extract_all(lower(passage), '[a-z0-9]+'))),
+ q AS (SELECT item_id % 20 AS g, {_BUSY('text')} AS asked FROM benchmark), o AS (SELECT f.g, doc_id, passage_no, max(len(list_intersect(terms, asked))) AS overlap FROM f JOIN q ON q.g = f.g GROUP BY ALL),
+ s AS (SELECT f.*, coalesce(overlap, 0) AS overlap, len(list_intersect(terms, {_LIST(T.SIGNAL_TERMS)})) AS signal, len(list_intersect(terms, {_LIST(T.RESEARCH_TERMS)})) AS research, regexp_matches(said, '\\b[A-Z][A-Za-z''’-]+(?:\\s+[A-Z][A-Za-z''’-]+)+\\b') AS named FROM f LEFT JOIN o USING (g, doc_id, passage_no)),
+ c AS (SELECT *, overlap * 10 + signal * 24 + research * 2 + CASE WHEN named THEN 80 ELSE 0 END AS score FROM s WHERE overlap >= 2 OR signal > 0), n AS (SELECT *, row_number() OVER (PARTITION BY g, doc_id ORDER BY score DESC, passage_no) AS nth FROM c),
+ k AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, doc_id, passage_no) AS strength FROM n WHERE nth <= 2)
+ SELECT g AS "group", doc_id, passage_no, score, row_number() OVER (PARTITION BY g ORDER BY strength DESC) AS place, CASE WHEN length(passage) <= 1600 THEN passage ELSE left(passage, 770) || chr(10) || '...[' || (length(passage) - 1540) || ' chars omitted]...' || chr(10) || right(passage, 770) END AS passage FROM k WHERE strength <= 6""")
 def passages(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("group"), "doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
     q = table(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).alias("group"), F.col("text").alias("query"))
     return pages.passages(d, q)
 
 
-@query("top_03_related_links")
+@query("top_03_related_links", f"""WITH l AS (SELECT page_id, url AS page_url, regexp_extract(url, '^[a-z]+://[^/?#]*') AS base, unnest(regexp_extract_all(html, {_A}, 1)) AS href, unnest(regexp_extract_all(html, {_A}, 2)) AS said, unnest(range(0, len(regexp_extract_all(html, {_A})))) AS i FROM pages),
+ u AS (SELECT page_id, page_url, base || {_PLAIN.format('href')} AS link, {_PLAIN.format('said')} AS text, i FROM l), f AS (SELECT page_id, page_url, link, min(i) AS i, arg_min(text, i) AS text FROM u GROUP BY page_id, page_url, link),
+ r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS place FROM f), e AS (SELECT page_id % 10 AS g, page_url, regexp_replace(link, '#.*$', '') AS link, text, page_id * 1000 + place AS o FROM r WHERE place <= 80),
+ b AS (SELECT g, link, min(o) AS o, arg_min(page_url, o) AS page_url, arg_min(text, o) AS text FROM e GROUP BY g, link), a AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM pages WHERE page_id % 4 = 0 AND page_id % 10 = g AND url = link)),
+ t AS (SELECT *, text || ' ' || replace(regexp_extract(link, '://[^/?#]*([^?#]*)', 1), '/', ' ') AS words FROM a), w AS (SELECT *, {_BUSY('words')} AS terms FROM t), q AS (SELECT item_id % 10 AS g, {_BUSY('text')} AS asked FROM benchmark),
+ s AS (SELECT w.g, w.link, any_value(w.o) AS o, coalesce(max(len(list_intersect(w.terms, q.asked))), 0) AS shared, any_value(len(list_intersect(w.terms, {_LIST(T.RESEARCH_TERMS)}))) AS research FROM w LEFT JOIN q ON q.g = w.g GROUP BY w.g, w.link),
+ k AS (SELECT *, shared * 10 + research * 3 + 2 AS score FROM s WHERE shared >= 2 OR research >= 2), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY score DESC, o) AS place FROM k) SELECT g AS "group", link, score, place FROM n WHERE place <= 12""")
 def related_links(spark, sf_dir):
     ex = pages.links(pages.extract(table(spark, sf_dir, "pages"))).join(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("page_url")), "page_id")
     rows = ex.select((F.col("page_id") % 10).alias("group"), "page_url", "link", "text", (F.col("page_id") * 1000 + F.col("place")).alias("order"))
