@@ -21,12 +21,12 @@ def _hits(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     url = F.concat(F.lit("https://s"), F.col("doc_id") % 50, F.when(F.col("doc_id") % 7 == 0, ".example.net/").otherwise(".example.org/"), "doc_id")
     n = table(spark, sf_dir, "benchmark").count()
-    return d.select((F.col("doc_id") % n).alias("item_id"), (F.col("doc_id") % 30 + 1).alias("rank"), url.alias("url"), F.left("text", F.lit(40)).alias("title"), F.left("text", F.lit(300)).alias("snippet"), F.col("doc_id").alias("page_id"), "text")
+    return d.select((F.col("doc_id") % n).alias("item_id"), (F.col("doc_id") % 30 + 1).alias("rank"), url.alias("url"), F.lit("page").alias("title"), F.coalesce("text", F.lit("")).alias("snippet"), F.col("doc_id").alias("page_id"), "text")
 
 
 _TERMS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
 _HITS = f"""i AS (SELECT item_id, text AS question, array_to_string(string_split(text, ' ')[1:2], ' ') AS alias FROM benchmark),
- h AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS item_id, doc_id % 30 + 1 AS rank, 'https://s' || doc_id % 50 || CASE WHEN doc_id % 7 = 0 THEN '.example.net/' ELSE '.example.org/' END || doc_id AS url, left(text, 40) || ' ' || left(text, 300) AS said, doc_id AS page_id, text FROM documents)"""
+ h AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS item_id, doc_id % 30 + 1 AS rank, 'https://s' || doc_id % 50 || CASE WHEN doc_id % 7 = 0 THEN '.example.net/' ELSE '.example.org/' END || doc_id AS url, 'page ' || coalesce(text, '') AS said, doc_id AS page_id, text FROM documents)"""
 
 
 @query("join_13_top_02_hits", f"""WITH {_HITS}, s AS (SELECT item_id, url, rank, round(CASE WHEN alias <> '' AND contains(lower(said), lower(alias)) THEN 35.0 ELSE 0.0 END + 3.0 * least(len(list_intersect({_TERMS.format('said')}, {_TERMS.format('question')})), 12)

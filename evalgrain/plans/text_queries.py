@@ -344,10 +344,10 @@ def verdicts(spark, sf_dir):
     return evidence.verdicts(*_evidence(spark, sf_dir))
 
 
-@query("txt_14_abstentions", """SELECT doc_id, regexp_matches(trim(CASE doc_id % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'insufficient evidence to say' WHEN 2 THEN 'no answer' ELSE left(text, 20) END), '(?i)^(unknown|none|n/?a|inconclusive|undetermined|insufficient evidence|no answer)(\\b.*)?$') AS abstains FROM documents""")
+@query("txt_14_abstentions", """SELECT doc_id, regexp_matches(trim(CASE doc_id % 4 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'insufficient evidence to say' WHEN 2 THEN 'no answer' ELSE text END), '(?i)^(unknown|none|n/?a|inconclusive|undetermined|insufficient evidence|no answer)(\\b.*)?$') AS abstains FROM documents""")
 def abstentions(spark, sf_dir):
     k = F.col("doc_id") % 4
-    answer = F.when(k == 0, "Unknown").when(k == 1, "insufficient evidence to say").when(k == 2, "no answer").otherwise(F.left("text", F.lit(20)))
+    answer = F.when(k == 0, "Unknown").when(k == 1, "insufficient evidence to say").when(k == 2, "no answer").otherwise(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", evidence.is_abstention(answer).alias("abstains"))
 
 
