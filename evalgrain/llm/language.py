@@ -55,7 +55,7 @@ class LanguageModel:
         for k, text in enumerate(texts):
             lot.append(gram_buckets(text, self.sizes, self.bits))
             cells += width + len(lot[-1])
-            if cells >= 1 << 24 or k == len(texts) - 1:
+            if cells >= 1 << 21 or k == len(texts) - 1:
                 row = np.repeat(np.arange(len(lot)) * width, [len(g) for g in lot])
                 counts = np.bincount(row + np.concatenate(lot), minlength=len(lot) * width)
                 at = np.flatnonzero(counts)
@@ -128,7 +128,8 @@ def _judge(shared):
     def judge(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(shared.value.best(texts.tolist()), columns=["lang", "top", "total"])
 
-    return judge
+    # So that a filter on the result doesn't make Spark judge every text twice.
+    return judge.asNondeterministic()
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", out: str = "language", langs_at_once: int = 256) -> DataFrame:
