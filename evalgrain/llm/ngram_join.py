@@ -22,7 +22,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Least and most bits of a count vector's coordinates; points in a leaf; ratio of the sizes that share a level.
 LEAST_BITS, MOST_BITS, LEAF, RATIO = 6, 20, 32, 1.5
 #: Coordinates that a task holds at once: a tile of longer vectors is searched at a lower resolution, whose bound is looser.
-POINTS = 1 << 24
+POINTS = 1 << 22
 
 
 def shingles(w: np.ndarray, n: int) -> np.ndarray:
@@ -157,13 +157,14 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t:
     """
 
     def build(at: np.ndarray):
-        node = (at, points[at].max(axis=0), int(sizes[at].min()), int(sizes[at].max()))
+        high, least, most = points[at].max(axis=0), int(sizes[at].min()), int(sizes[at].max())
         if len(at) <= LEAF:
-            return (*node, None)
-        values = np.column_stack([points[at], sizes[at]])
-        by = int(np.argmax(values.max(axis=0) - values.min(axis=0)))
-        at = at[np.argsort(values[:, by], kind="stable")]
-        return (*node, (build(at[: len(at) // 2]), build(at[len(at) // 2 :])))
+            return at, high, least, most, None
+        spread = high - points[at].min(axis=0)
+        by = int(np.argmax(spread))
+        value = sizes[at] if most - least > spread[by] else points[at, by]
+        at = at[np.argsort(value, kind="stable")]
+        return at, high, least, most, (build(at[: len(at) // 2]), build(at[len(at) // 2 :]))
 
     known = pieces or Pieces(component)
 
@@ -185,7 +186,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, component: np.ndarray, t:
                 held &= np.tri(len(i), k=-1, dtype=bool)
             p, q = np.nonzero(held)
             # A few rows at a time: a long vector times all pairs of two leaves would be large.
-            for k in range(0, len(p), step := max(1, (1 << 20) // points.shape[1])):
+            for k in range(0, len(p), step := max(1, (1 << 19) // points.shape[1])):
                 x, y = i[p[k : k + step]], j[q[k : k + step]]
                 fits = (t.num + t.den) * np.minimum(points[x], points[y]).sum(axis=1, dtype=np.int64) >= t.needed(sizes[x] + sizes[y])
                 if fits.any():
@@ -257,11 +258,13 @@ def _trees(t: Threshold, every: bool):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for members, first, second, rows in grouped(batches, ("members", "first", "second")):
-            vectors = [unpack_ids(c) for c in rows.column("counts").to_pylist()]
-            groups = min([*map(len, vectors), 1 << max(LEAST_BITS, (POINTS // len(vectors)).bit_length() - 1)])
-            points = np.stack([fold(v, groups) for v in vectors])
+            n = rows.column("n").to_numpy().astype(np.int64)
+            groups = min(groups_of(int(n.min())), 1 << max(LEAST_BITS, (POINTS // len(n)).bit_length() - 1))
+            points = np.empty((len(n), groups), np.uint32)
+            for k, packed in enumerate(rows.column("counts")):
+                points[k] = fold(unpack_ids(packed.as_py()), groups)
             node, tile = rows.column("node").to_numpy(), rows.column("tile").to_numpy()
-            found, more = forest(points, rows.column("n").to_numpy().astype(np.int64), rows.column("component").to_numpy(), t, tile if first != second else None, every)
+            found, more = forest(points, n, rows.column("component").to_numpy(), t, tile if first != second else None, every)
             if found:
                 i, j = np.array(found, np.int64).T
                 a, b = np.maximum(node[i], node[j]), np.minimum(node[i], node[j])
