@@ -9,17 +9,19 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrain.llm.base import materialize_by_block, partitions
-from evalgrain.llm.packing import WORD, gather, pack_ids, squeeze, unpack_ids
+from evalgrain.llm.packing import WHITE_SPACE, WORD, gather, pack_ids, squeeze, unpack_ids
 
 
 class Numbers(dict):
@@ -95,6 +97,17 @@ def _cut(block_chars: int, buckets: int):
     return cut
 
 
+def check_pattern(pattern: str) -> None:
+    """Raises if a match of the pattern goes on past the start of white space in any of the probes: all kinds of characters, in
+    runs of one to three, before and after runs of all kinds of white space. Texts could then not be cut there."""
+    kinds = ["a", "Z", "é", "漢", "7", "٣", "'", "'s", ".", "_", "😀", "\u0301", "", "\n", " ", "\t", "\xa0", "\u2028"]
+    crosses = regex.compile(f"[^{WHITE_SPACE}][{WHITE_SPACE}]")
+    compiled = regex.compile(pattern)
+    for a, space, b in product((k * n for k in kinds for n in (1, 2, 3)), [" ", "  ", "\n", " \n", "\n ", "\t", "\xa0", "   "], kinds):
+        if any(crosses.search(m.group()) for m in compiled.finditer(a + space + b)):
+            raise ValueError("a match of this pattern can go on past the start of white space")
+
+
 @lru_cache(maxsize=1)
 def _library(pattern: str, tokens: tuple[bytes, ...]):
     import tiktoken
@@ -161,8 +174,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
        the token-byte table alone), which saves passing them to Python twice.
 
     Null text counts as empty (no ids); repeated rows each give a row; null ids are kept; an empty table gives an empty
-    result; other columns of docs are not used. `ranks` (from 0 on, without a gap) is broadcast: its size is the vocabulary's.
+    result; other columns of docs are not used; a pattern whose matches cross white space is refused (check_pattern()). `ranks` (from 0 on, without a gap) is broadcast: its size is the vocabulary's.
     """
+    check_pattern(pattern)
     spark = docs.sparkSession
     n = partitions(spark)
     kind = docs.schema[id_col].dataType.simpleString()

@@ -48,6 +48,13 @@ def test_token_files_encode_words_as_the_library_encodes_texts():
         assert found == [library.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
+def test_patterns_that_cross_white_space_are_refused():
+    bpe.check_pattern(public_tokenizers.PATTERN)
+    for pattern in (r"\w+\s?|\W", r".+", r"[a-z]+ [a-z]+|."):
+        with pytest.raises(ValueError):
+            bpe.check_pattern(pattern)
+
+
 def test_packed_words_and_numbers_come_back():
     words = [b"", b"a", b"\x00\n", "é".encode() * 300]
     assert bpe._unpack_words(bpe._pack_words(words)) == words
