@@ -8,6 +8,8 @@ from evalgrain.operators import compare, discovery, geo, leaks
 from evalgrain.plans.fixtures import rounded, table, trials, with_trials
 from evalgrain.plans.log_queries import _ROUTED, _anchors, _places, _routed
 from evalgrain.plans.registry import query
+from evalgrain.plans.text_queries import _STOP
+from evalgrain.plans.text_queries import _TERMS as _ALL_TERMS
 
 _LOW = ["cheap-pills.example.com", "example.net"]
 
@@ -36,7 +38,14 @@ def scored(spark, sf_dir):
     return rounded(out, "score", digits=4)
 
 
-@query("txt_22_agg_24_verified")
+_NEAR = "substring(text, greatest(center - 1200, 0) + 1, center + 1200 - greatest(center - 1200, 0))"
+_SET = lambda x: f"list_filter({_ALL_TERMS.replace('text', x)}, lambda w: NOT list_contains({_STOP}, w))"
+
+
+@query("txt_22_agg_24_verified", f"""WITH {_HITS}, j AS (SELECT *, greatest(coalesce(instr(lower(text), lower(alias)), 0) - 1, 0) AS center FROM h JOIN i USING (item_id)),
+ s AS (SELECT item_id, page_id, alias <> '' AND contains(lower(text), lower(alias)) AS held, len(list_intersect({_ALL_TERMS.replace('text', f"coalesce({_NEAR.replace('text', 'j.TEXT')}, '')")}, list_filter({_SET('question')}, lambda w: NOT list_contains({_ALL_TERMS.replace('text', 'alias')}, w)))) AS shared FROM j),
+ r AS (SELECT item_id, CASE WHEN page_id % 7 = 0 THEN 'host' WHEN NOT held THEN 'no alias' WHEN shared < 2 THEN 'context' END AS reason FROM s)
+ SELECT item_id, count(*) AS fetched, count(*) FILTER (reason IS NULL) AS verified, count(*) FILTER (reason = 'host') AS rejected_host, count(*) FILTER (reason = 'no alias') AS rejected_alias, count(*) FILTER (reason = 'context') AS rejected_context, count(*) FILTER (reason IS NULL) AS selected FROM r GROUP BY item_id""")
 def verified(spark, sf_dir):
     out = discovery.verified_pages(_hits(spark, sf_dir).select("item_id", "page_id", "url", "text"), _items(spark, sf_dir), _LOW)
     return discovery.discovery_metrics(out, out.where("reason IS NULL"))
