@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
+from evalgrain.llm import bpe, conversations, decontaminate, language, line_dedup, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
 from evalgrain.llm.base import utf8_crc32
 
 #: The rules of the URL query.
@@ -83,6 +83,15 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(ngram_join.join(docs, n=3, num=90, den=100))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations")
+    done = conversations.repair(conversations.damage(rows))
+    whole = rows.select(F.col("conv_id").alias("conv")).distinct().unionByName(done.report, allowMissingColumns=True).unionByName(conversations.digests(done.messages()), allowMissingColumns=True)
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    out = whole.groupBy(F.col("conv").alias("conv_id")).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.max("sha256").alias("sha256"))
+    return out.select("conv_id", *counts, "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 OPERATORS = (
     op1_histogram_sort_shards,
     op2_byte_bpe,
@@ -94,6 +103,7 @@ OPERATORS = (
     op8_ngram_jaccard,
     op9_language_id,
     op10_url_filter,
+    op12_conversation_repair,
 )
 
 
