@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrain.llm import bpe, conversations, decontaminate, language, line_dedup, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
+from evalgrain.llm import bpe, conversations, decontaminate, hard_negatives, language, line_dedup, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
 from evalgrain.llm.base import utf8_crc32
 
 #: The rules of the URL query.
@@ -83,6 +83,13 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(ngram_join.join(docs, n=3, num=90, den=100))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where(F.col("label").isNotNull() & topk.usable("embedding"))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    whole = rows.select("vec_id", label.alias("label"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("vec"))
+    return hard_negatives.mine(whole, whole.where("vec_id % 100 = 0"), positives=5, negatives=10, low_percent=30, high_percent=90)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations")
     done = conversations.repair(conversations.damage(rows))
@@ -103,6 +110,7 @@ OPERATORS = (
     op8_ngram_jaccard,
     op9_language_id,
     op10_url_filter,
+    op11_hard_negatives,
     op12_conversation_repair,
 )
 
@@ -112,4 +120,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": sql.OP3, "op6_exact_topk": sql.OP6, "op8_ngram_jaccard": sql.OP8}
+    return {"op3_benchmark_decontamination": sql.OP3, "op6_exact_topk": sql.OP6, "op8_ngram_jaccard": sql.OP8, "op11_hard_negatives": sql.OP11}
