@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrain.llm import bpe, conversations, decontaminate, hard_negatives, language, line_dedup, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
+from evalgrain.llm import bpe, conversations, decontaminate, hard_negatives, language, line_dedup, lm_scoring, ngram_join, secret_scan, sharding, sql, token_files, topk, url_filter
 from evalgrain.llm.base import utf8_crc32
 
 #: The rules of the URL query.
@@ -99,6 +99,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", *counts, "audit", F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 2, F.lit(False))
+    learned_from = docs.where(~held_out)
+    counts = lm_scoring.count_words(learned_from)
+    out = lm_scoring.score(docs, lm_scoring.train(learned_from, counts), counts, out="lm")
+    return out.select("doc_id", held_out.alias("held_out"), "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
+
+
 OPERATORS = (
     op1_histogram_sort_shards,
     op2_byte_bpe,
@@ -112,6 +121,7 @@ OPERATORS = (
     op10_url_filter,
     op11_hard_negatives,
     op12_conversation_repair,
+    op13_lm_scoring,
 )
 
 
