@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evalgrain.operators.containment import contained
+
 # Keys whose values are secret, endings of such keys, and what is exempt.
 SECRET_KEYS = (
     "api_key authorization password secret client_secret token access_token auth_token admin_token bearer_token"
@@ -46,46 +48,6 @@ def redact(column: Column, kind: T.DataType) -> Column:
     return column
 
 
-#: Lengths from which a pattern without a whole word inside is cut into pieces, and their width: 2w - 1 characters always hold a whole aligned piece of w.
-CLASSES = ((20, 10), (7, 4), (5, 3), (3, 2), (1, 1))
-WORD = "[A-Za-z0-9]+"
-
-
-def inner_word(pattern: Column) -> Column:
-    """The longest word with other characters on both sides of it in the pattern, so a text with the pattern has it as a whole word; null if there is none."""
-    inside = F.regexp_extract_all(pattern, F.lit(f"(?<=[^A-Za-z0-9]){WORD}(?=[^A-Za-z0-9])"), 0)
-    longest = F.array_sort(inside, lambda x, y: F.when(F.length(x) != F.length(y), F.length(y) - F.length(x)).when(x < y, -1).when(x > y, 1).otherwise(0))
-    return F.try_element_at(longest, F.lit(1))
-
-
-def contained(texts: DataFrame, patterns: DataFrame, by_words: bool = True) -> DataFrame:
-    """(text_id, pattern_id) for patterns that occur in texts: texts (text_id, text), patterns (pattern_id, pattern).
-
-    Candidates come from an equi-join, at any number of patterns: the distinct words of the texts with the longest word inside
-    each pattern. Patterns without a word inside (with by_words false: all) are found by pieces: texts are cut into aligned
-    pieces of w characters, patterns into the pieces at offsets 0 to w - 1, and an occurrence holds a whole aligned piece.
-    Only ids and keys are exploded; the candidates' texts are fetched once, and `contains` confirms. Empty and null patterns
-    match nothing.
-    """
-    keyed = patterns.where("char_length(pattern) > 0").select("pattern_id", "pattern", (inner_word(F.col("pattern")) if by_words else F.lit(None).cast("string")).alias("key"))
-    words = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("key"))
-    pairs = [words.join(keyed.where("key IS NOT NULL").select("pattern_id", "key"), "key").select("text_id", "pattern_id")]
-    whole, most = keyed.where("key IS NULL"), None
-    if not whole.isEmpty():
-        for least, width in CLASSES:
-            some = whole.where(F.char_length("pattern") >= least)
-            some = some if most is None else some.where(F.char_length("pattern") < most)
-            most = least
-            pieces = some.select("pattern_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda at: F.substring("pattern", at, F.lit(width))))).alias("piece"))
-            blocks = texts.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{{width}}}"), 0))).alias("piece"))
-            pairs.append(blocks.join(pieces, "piece").select("text_id", "pattern_id"))
-    found = pairs[0]
-    for more in pairs[1:]:
-        found = found.unionByName(more)
-    held = found.distinct().join(keyed.select("pattern_id", "pattern"), "pattern_id").join(texts.select("text_id", "text"), "text_id")
-    return held.where(F.contains("text", "pattern")).select("text_id", "pattern_id").distinct()
-
-
 def leak_findings(texts: DataFrame, items: DataFrame, canary: str) -> DataFrame:
     """text_id, kind, item_id: questions of 20 characters or more, answers of 4 or more, and the canary."""
     asked = items.where("char_length(question) >= 20").select(F.concat(F.lit("question|"), F.col("item_id").cast("string")).alias("pattern_id"), F.col("question").alias("pattern"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalgrain.functions import terms as T
 from evalgrain.functions import texts as X
 from evalgrain.functions import urls as U
-from evalgrain.operators import evidence, fusion, grading, leaks, pages
+from evalgrain.operators import containment, evidence, fusion, grading, leaks, pages
 from evalgrain.plans.fixtures import rounded, table, trials, with_trials
 from evalgrain.plans.registry import query
 from evalgrain.sources import trial_logs
@@ -246,7 +246,7 @@ def leak_scan(spark, sf_dir):
 def block_join(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     patterns = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pattern_id"), F.col("text").alias("pattern"))
-    return leaks.contained(docs, patterns, by_words=False)
+    return containment.contained(docs, patterns, by_words=False)
 
 
 @query("agg_26_verification", "SELECT 'question' AS check, CAST(count(*) AS VARCHAR) AS detail FROM documents d JOIN benchmark b ON length(b.text) >= 20 AND contains(d.text, b.text) HAVING count(*) > 0")
@@ -317,7 +317,7 @@ def _evidence(spark, sf_dir):
     """Each benchmark item is a trial; documents that hold an item's whole text are the pages it opened."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("trial_id"), F.col("text").alias("question"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("answer"))
     d = table(spark, sf_dir, "documents")
-    hits = leaks.contained(d.select(F.col("doc_id").alias("text_id"), "text"), b.select(F.col("trial_id").alias("pattern_id"), F.col("question").alias("pattern")))
+    hits = containment.contained(d.select(F.col("doc_id").alias("text_id"), "text"), b.select(F.col("trial_id").alias("pattern_id"), F.col("question").alias("pattern")))
     url = F.concat(F.lit("https://d/"), "doc_id")
     opened = hits.select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("trial_id")).join(d.select("doc_id", F.col("text").alias("page")), "doc_id")
     opened = opened.select("trial_id", F.col("doc_id").alias("page_id"), url.alias("requested_url"), F.concat(F.lit("http://www.d/"), "doc_id", F.lit("/")).alias("final_url"), "page")

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -16,3 +16,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     base = base or f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
     return f"{base.rstrip('/')}/evalgrain-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new folder there and read back, so that what follows neither repeats nor depends on the work before."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

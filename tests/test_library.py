@@ -7,7 +7,7 @@ from evalgrain.functions import stats
 from evalgrain.functions import terms as T
 from evalgrain.functions import texts as X
 from evalgrain.functions import urls as U
-from evalgrain.operators import compare, conformance, consensus, evidence, fusion, geo, grading, guides, leaks, ledger, metrics, pages, planning, trajectory
+from evalgrain.operators import compare, conformance, consensus, containment, evidence, fusion, geo, grading, guides, leaks, ledger, metrics, pages, planning, trajectory
 from evalgrain.schemas import TRIALS
 from evalgrain.sources import trial_logs
 from evalgrain.streaming import live
@@ -174,7 +174,7 @@ def test_contained_by_pieces_equals_the_loop(spark):
     t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string")
     p = spark.createDataFrame(list(enumerate(patterns)), "pattern_id long, pattern string")
     wanted = {(i, j) for i, x in enumerate(texts) for j, y in enumerate(patterns) if y and y in x}
-    assert {tuple(r) for r in leaks.contained(t, p, by_words=False).collect()} == wanted == {tuple(r) for r in leaks.contained(t, p).collect()}
+    assert {tuple(r) for r in containment.contained(t, p, by_words=False).collect()} == wanted == {tuple(r) for r in containment.contained(t, p).collect()}
 
 
 def test_label_leaks_and_manifest(spark, tmp_path):
