@@ -43,105 +43,110 @@ def _forms(vocabulary: DataFrame, kind: int, lengths: list[int]) -> DataFrame:
 
 
 def _found(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """words (pattern_id, at, kind, form) with each word of the texts that it may be part of, and that one's document frequency."""
+    """words (pattern_id, n, at, kind, form) with each word of the texts that it may be part of, and that one's document frequency."""
     out = [words.where(F.col("kind") == WHOLE).join(vocabulary.withColumn("form", F.col("word")), "form")]
     used = words.where(F.col("kind") != WHOLE).groupBy("kind").agg(F.sort_array(F.collect_set(F.length("form"))).alias("lengths")).collect()
     out += [words.where(F.col("kind") == r.kind).join(_forms(vocabulary, r.kind, r.lengths), "form") for r in used]
-    return reduce(DataFrame.unionByName, [d.select("pattern_id", "at", "word", "df") for d in out])
+    return reduce(DataFrame.unionByName, [d.select("pattern_id", "n", "at", "word", "df") for d in out])
 
 
-def _shape(n: Column, left: Column, right: Column) -> Column:
-    return F.struct(n.cast("int").alias("n"), left.cast("int").alias("left"), right.cast("int").alias("right"))
+#: As many characters of a word that is cut in the pattern go into the key of a run: 3, or 1 of shorter ones.
+_CUTS = (3, 1)
 
 
-def _run(shape) -> Callable[[Column], Column]:
-    """The hash of the run of that shape from a place on."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once for a row: inside a function of an array's elements Spark would repeat it for each."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
-    def run(at: Column) -> Column:
-        words = F.slice("words", at, F.lit(shape.n))
-        first, last = F.element_at(words, 1), F.element_at(words, -1)
-        first = first if shape.left < 0 else F.right(first, F.lit(shape.left))
-        last = last if shape.right < 0 else F.left(last, F.lit(shape.right))
-        return F.xxhash64(F.lit(shape.n), F.lit(shape.left), F.lit(shape.right), first, F.slice(words, 2, max(0, shape.n - 2)), last)
 
-    return run
+def _doubled(words: Column, length: int) -> Column:
+    """Hashes of all runs of `length` (a power of two) words."""
+    if length == 1:
+        return F.transform(words, lambda w: F.xxhash64(w))
+    half = length // 2
+    both = lambda runs: lambda i: F.xxhash64(F.get(runs, i), F.get(runs, i + half))
+    every = lambda runs: F.when(F.size(runs) > half, F.transform(F.sequence(F.lit(0), F.greatest(F.size(runs) - 1 - half, F.lit(0))), both(runs))).otherwise(F.array().cast("array<bigint>"))
+    return _let(_doubled(words, half), every)
 
 
-def _grams(texts: DataFrame, shapes: list) -> DataFrame:
-    """text_id and hash of each run of n words, of the first only the last `left` characters, of the last the first `right` (-1: the whole word)."""
-    cut = [F.when(F.size("words") >= s.n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - s.n + 1, F.lit(1))), _run(s))).otherwise(F.array().cast("array<bigint>")) for s in shapes]
-    held = texts.select("text_id", _words(F.col("text")).alias("words"))
-    return held.select("text_id", F.explode(F.array_distinct(F.concat(*cut))).alias("gram"))
+def _key(k: int | Column, left: Column, right: Column, before: Column, first: Column, last: Column, after: Column) -> Column:
+    """Hash of k whole words (as their first and last runs of a power of two) and `left` and `right` characters of the words before and after them."""
+    return F.xxhash64(k, left, right, F.when(left > 0, F.right(before, left)), first, last, F.when(right > 0, F.left(after, right)))
+
+
+def _grams(texts: DataFrame, half: int, shapes: list) -> DataFrame:
+    """text_id and hash of each place's run of each shape (k whole words, half <= k <= 2 * half or 0, and the cuts before and after them).
+
+    Each place is a row (the word before, the first and last runs of k words, the word after), so that hashing is compiled code.
+    """
+    held = texts.where(F.col("text").rlike(WORD)).select("text_id", "text")
+    out, rest = [], F.lit(1 << 30)
+    for k in sorted({s.k for s in shapes}):
+        runs = (lambda words: _doubled(words, half)) if k else (lambda words: F.transform(words, lambda w: F.lit(None).cast("bigint")))
+        beside = lambda words, k=k: F.concat(F.array(F.lit(None).cast("string")), words)
+        zipped = _let(_words(F.col("text")), _zipped(k, half, runs, beside, rest))
+        rows = held.select("text_id", F.inline(zipped)).toDF("text_id", "before", "first", "last", "after")
+        keys = [_key(F.lit(k), F.lit(s.left), F.lit(s.right), F.col("before"), F.col("first"), F.col("last"), F.col("after")) for s in shapes if s.k == k]
+        out.append(rows.select("text_id", F.explode(F.array(*keys)).alias("gram")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _zipped(k: int, half: int, runs, beside, rest: Column) -> Callable[[Column], Column]:
+    return lambda words: _let(runs(words), lambda r: F.arrays_zip(beside(words), r, F.slice(r, F.lit(max(0, k - half) + 1), rest), F.slice(words, F.lit(k + 1), rest)))
 
 
 def _pattern_grams(hard: DataFrame, length: int) -> DataFrame:
     """pattern_id, shape, gram, last: of each pattern the runs of `length` whole words, or, where it has no more of those, all its words at once (last)."""
-    left, right = F.when(F.col("open_left"), F.length(F.element_at("words", 1))).otherwise(-1), F.when(F.col("open_right"), F.length(F.element_at("words", -1))).otherwise(-1)
+    half = length // 2
+    size = lambda side, word: F.when(~F.col(side), 0).when(F.length(word) >= _CUTS[0], _CUTS[0]).otherwise(_CUTS[1])
+    left, right = size("open_left", F.element_at("words", 1)), size("open_right", F.element_at("words", -1))
     whole = F.slice("words", F.when(F.col("open_left"), 2).otherwise(1), F.greatest(F.lit(0), F.size("words") - F.col("open_left").cast("int") - F.col("open_right").cast("int")))
-    key = lambda n, a, b, w: F.xxhash64(n, a, b, F.element_at(w, 1), F.slice(w, F.lit(2), F.greatest(n - 2, F.lit(0))), F.element_at(w, -1))
-    none = F.lit(-1)
-    inner = F.transform(F.sequence(F.lit(1), F.size("whole") - length + 1), lambda i: F.struct(_shape(F.lit(length), none, none).alias("shape"), key(F.lit(length), none, none, F.slice("whole", i, length)).alias("gram")))
-    all_ = F.array(F.struct(_shape(F.size("words"), F.col("l"), F.col("r")).alias("shape"), key(F.size("words"), F.col("l"), F.col("r"), F.col("words")).alias("gram")))
-    able = F.size("whole") >= length
-    out = hard.withColumn("whole", whole).withColumn("l", left.cast("int")).withColumn("r", right.cast("int"))
-    return out.select("pattern_id", (~able).alias("last"), F.inline(F.when(able, inner).otherwise(all_)))
+    out = hard.select("*", whole.alias("whole"), left.alias("l"), right.alias("r")).withColumn("k", F.size("whole")).withColumn("runs", _doubled(F.col("whole"), half))
+    shape = lambda k, a, b: F.struct(k.cast("int").alias("k"), a.cast("int").alias("left"), b.cast("int").alias("right"))
+    nothing = F.lit(None).cast("string")
+    inner = F.transform(F.sequence(F.lit(0), F.col("k") - length), lambda i: F.struct(shape(F.lit(length), F.lit(0), F.lit(0)).alias("shape"), _key(F.lit(length), F.lit(0), F.lit(0), nothing, F.get("runs", i), F.get("runs", i + half), nothing).alias("gram")))
+    at_end = F.when(F.col("k") > 0, F.get("runs", F.col("k") - half))
+    at_start = F.when(F.col("k") > 0, F.get("runs", F.lit(0)))
+    all_ = F.array(F.struct(shape(F.col("k"), F.col("l"), F.col("r")).alias("shape"), _key(F.col("k"), F.col("l"), F.col("r"), F.element_at("words", 1), at_start, at_end, F.element_at("words", -1)).alias("gram")))
+    return out.select("pattern_id", (F.col("k") < length).alias("last"), F.inline(F.when(F.col("k") >= length, inner).otherwise(all_)))
 
 
-def word_candidates(texts: DataFrame, patterns: DataFrame, most: int = 64) -> DataFrame:
+def word_candidates(texts: DataFrame, patterns: DataFrame, most: int = 256, per_text: int = 8) -> DataFrame:
     """(text_id, pattern_id) pairs that may match, for patterns with a word: of each pattern the rarest key decides.
 
-    1. The texts' document frequencies by word. A pattern's inner words are whole words of a text that holds it; its first
+    1. The texts' words are written by word, and counted. A pattern's inner words are whole words of a text that holds it; its first
        and last ones may be ends and beginnings of longer ones, which are looked up among the texts' distinct words. A pattern with a
        word that no text has matches none.
     2. A pattern whose rarest word is in at most `most` texts is joined to those by it: at most `most` pairs.
     3. All others go on with runs of 2, 4, 8, ... whole words, until the rarest run is in at most `most` texts or the run would be
-       longer than the pattern; then all its words at once, the first and last cut as in the pattern, are the key.
+       longer than the pattern; then all its words at once, the first and last cut near the pattern's, are the key. Where all others
+       together make no more than `per_text` pairs for each text, their rarest words so far do.
+
+    So there are at most `most` pairs a pattern, `per_text` a text, and those of texts that hold all of a pattern's words in a row.
     """
-    posted = texts.select("text_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word"))
+    posted = written(texts.select("text_id", F.explode(F.array_distinct(_words(F.col("text")))).alias("word")).repartition("word"), "postings")
     vocabulary = written(posted.groupBy("word").agg(F.count("*").alias("df")), "vocabulary")
     parts = _parts(patterns).where(F.size("words") > 0)
-    each = parts.select("pattern_id", "words", "open_left", "open_right", F.posexplode("words").alias("at", "form"))
-    each = each.select("pattern_id", "at", _kind(F.col("at")).alias("kind"), "form")
-
-    def rarest(found: DataFrame) -> DataFrame:
-        by_part = found.groupBy("pattern_id", "at").agg(F.sum("df").alias("df"))
-        return by_part.groupBy("pattern_id").agg(F.min(F.struct("df", "at")).alias("best"), F.count("*").alias("n"))
-
-    inner = each.where(F.col("kind") == WHOLE)
-    need = inner.groupBy("pattern_id").agg(F.count("*").alias("need"))
-    whole = _found(inner, vocabulary) if not inner.isEmpty() else None
-    edges = each.where(F.col("kind") != WHOLE)
-    if whole is not None:
-        told = written(rarest(whole).join(need, "pattern_id", "right"), "rarest")  # a pattern of which a word is missing is out
-        edges = edges.join(told.where((F.col("n") < F.col("need")) | F.col("n").isNull() | (F.col("best.df") <= most)), "pattern_id", "left_anti")
-    at_edges = written(_found(edges, vocabulary), "edges")
-    all_edges = edges.groupBy("pattern_id").agg(F.count("*").alias("need_edges"))
-    by_edge = rarest(at_edges).withColumnsRenamed({"best": "edge", "n": "n_edges"})
-    best = all_edges.join(by_edge, "pattern_id", "left").where("n_edges = need_edges").select("pattern_id", "edge")
-    if whole is None:
-        chosen = best.select("pattern_id", F.col("edge.df").alias("df"), F.col("edge.at").alias("at"))
-    else:
-        able = told.where("n = need").select("pattern_id", "best")
-        pair = able.join(all_edges.select("pattern_id", F.lit(True).alias("asked")), "pattern_id", "full_outer").join(best, "pattern_id", "left").where("asked IS NULL OR edge IS NOT NULL")
-        least = F.least("best", "edge")
-        chosen = pair.select("pattern_id", least["df"].alias("df"), least["at"].alias("at"))
-    chosen = written(chosen, "chosen")
-    single = parts.where(F.size("words") == 1).select("pattern_id")
-    hard = chosen.where(F.col("df") > most).join(single, "pattern_id", "left_anti")
-    easy = chosen.join(hard, "pattern_id", "left_anti")
-    found = at_edges.select("pattern_id", "at", "word")
-    if whole is not None:
-        found = found.unionByName(inner.select("pattern_id", "at", F.col("form").alias("word")))
-    keys = easy.join(found, ["pattern_id", "at"]).select("pattern_id", "word")
-    out = [posted.join(keys, "word").select("text_id", "pattern_id")]
+    each = parts.select("pattern_id", F.size("words").alias("n"), "words", "open_left", "open_right", F.posexplode("words").alias("at", "form"))
+    found = written(_found(each.select("pattern_id", "n", "at", _kind(F.col("at")).alias("kind"), "form"), vocabulary), "found")
+    by_part = found.groupBy("pattern_id", "n", "at").agg(F.sum("df").alias("df"))
+    chosen = by_part.groupBy("pattern_id", "n").agg(F.min(F.struct("df", "at")).alias("best"), F.count("*").alias("met")).where("met = n")
+    common, few = (F.col("best.df") > most) & (F.col("n") > 1), per_text * texts.count()
+    going_on = (chosen.where(common).agg(F.sum("best.df")).first()[0] or 0) > few
+    easy = (chosen.where(~common) if going_on else chosen).select("pattern_id", "best.at")
+    out = [posted.join(easy.join(found, ["pattern_id", "at"]).select("pattern_id", "word"), "word").select("text_id", "pattern_id")]
+    if not going_on:
+        return out[0].distinct()
+    hard = chosen.where(common).select("pattern_id")
     left, length = written(parts.join(hard, "pattern_id", "left_semi"), "common"), 2
     while not left.isEmpty():
         grams = written(_pattern_grams(left, length), "pattern-grams")
         shapes = [r["shape"] for r in grams.select("shape").distinct().collect()]
-        held = written(_grams(texts, shapes).join(grams.select("gram").distinct(), "gram", "left_semi"), "grams")
+        held = written(_grams(texts, length // 2, shapes).join(grams.select("gram").distinct(), "gram", "left_semi").distinct(), "grams")
         df = held.groupBy("gram").agg(F.count("*").alias("df"))
         best = written(grams.join(df, "gram", "left").groupBy("pattern_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("best"), F.bool_or("last").alias("last")), "gram-best")
-        rare = best.where((F.col("best.df") <= most) | F.col("last"))
+        common = (F.col("best.df") > most) & ~F.col("last")
+        rare = best.where(~common) if (best.where(common).agg(F.sum("best.df")).first()[0] or 0) > few else best
         out.append(held.join(rare.select("pattern_id", F.col("best.gram").alias("gram")), "gram").select("text_id", "pattern_id"))
         left, length = written(left.join(rare, "pattern_id", "left_anti"), "common"), 2 * length
     return reduce(DataFrame.unionByName, out).distinct()
@@ -176,7 +181,7 @@ def piece_candidates(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, out).distinct() if out else texts.select("text_id").crossJoin(patterns.select("pattern_id")).where("false")
 
 
-def contained(texts: DataFrame, patterns: DataFrame, by_words: bool = True, most: int = 64) -> DataFrame:
+def contained(texts: DataFrame, patterns: DataFrame, by_words: bool = True, most: int = 256, per_text: int = 8) -> DataFrame:
     """(text_id, pattern_id) for patterns that occur in texts: texts (text_id, text), patterns (pattern_id, pattern).
 
     Candidates come from equi-joins on rare keys, at any number of patterns (word_candidates(), and piece_candidates() for
@@ -185,7 +190,7 @@ def contained(texts: DataFrame, patterns: DataFrame, by_words: bool = True, most
     """
     some = patterns.where("char_length(pattern) > 0").select("pattern_id", "pattern")
     worded = F.col("pattern").rlike(WORD)
-    pairs = [word_candidates(texts, some.where(worded), most)] if by_words else []
+    pairs = [word_candidates(texts, some.where(worded), most, per_text)] if by_words else []
     rest = some.where(~worded) if by_words else some
     if not by_words or not rest.isEmpty():
         pairs.append(piece_candidates(texts, rest))

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrain.functions import terms as T
 from evalgrain.functions import urls as U
-
-# Fixed value: words of answers, with inner apostrophes and hyphens.
-ANSWER_WORD = r"[^\W_]+(?:['’-][^\W_]+)*"
+from evalgrain.operators import phrases
 
 # Fixed value: answers that give none.
 ABSTENTION = (
@@ -76,41 +70,25 @@ def cited_pages(trials: DataFrame, opened: DataFrame, key: str = "trial_id") ->
     return cites.join(pages, [key, "url_key"]).select(key, "page_id").distinct()
 
 
+def _matches(q: Column, page_terms: Column) -> Column:
+    need = F.least(F.size(q), F.lit(8), F.greatest(F.lit(2), F.floor((F.size(q) + 5) / 6).cast("int")))
+    return (F.size(q) > 0) & (T.overlap(q, page_terms) >= need)
+
+
 def page_matches_question(question: Column, page: Column) -> Column:
     """At least min(|Q|, 8, max(2, (|Q| + 5) div 6)) of the question's terms are on the page."""
-    q = T.terms(question, T.LINK_STOPWORDS)
-    need = F.least(F.size(q), F.lit(8), F.greatest(F.lit(2), F.floor((F.size(q) + 5) / 6).cast("int")))
-    return (F.size(q) > 0) & (T.overlap(q, T.terms(page)) >= need)
+    return _matches(T.terms(question, T.LINK_STOPWORDS), T.terms(page))
 
 
-def answer_windows(pairs: DataFrame, around: int = 24) -> DataFrame:
-    """pairs (key, question, answer, page_id, page) with `windows`: the text `around` words about each place of the answer.
+def answer_windows(pairs: DataFrame, pages: DataFrame, around: int = 24, key: str = "trial_id") -> DataFrame:
+    """key, page_id, start, window: the text `around` words about each place of a trial's answer on a page, a row each.
 
-    Only pairs whose page holds the answer's first run of ASCII letters and digits (if it has one) go to Python, by a native
-    test before; the others have no windows.
+    pairs: key, page_id, answer; pages: page_id, page, each page once. Words are compared without case. An answer without a word has no place.
     """
-    start = F.regexp_extract(F.lower(F.coalesce("answer", F.lit(""))), "[a-z0-9]+", 0)
-    able = F.contains(F.lower(F.coalesce("page", F.lit(""))), start)
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        word = regex.compile(ANSWER_WORD)
-        for batch in batches:
-            out = []
-            for answer, page in zip(batch["answer"], batch["page"], strict=True):
-                wanted = [w.casefold() for w in word.findall(answer or "")]
-                at = [m.span() for m in word.finditer(page or "")]
-                have = [page[a:b].casefold() for a, b in at]
-                found = []
-                for i in range(len(have) - len(wanted) + 1 if wanted else 0):
-                    if have[i : i + len(wanted)] == wanted:
-                        first, last = max(0, i - around), min(len(at), i + len(wanted) + around) - 1
-                        found.append(page[at[first][0] : at[last][1]])
-                out.append(found)
-            yield batch.assign(windows=out)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    none = pairs.where(~able).withColumn("windows", F.array().cast("array<string>"))
-    return pairs.where(able).mapInPandas(cut, f"{fields}, windows array<string>").unionByName(none)
+    asked = pairs.select(key, "page_id", phrases.phrase_words(F.col("answer")).alias("phrase"))
+    places = phrases.word_places(pages)
+    found = phrases.windows(places, phrases.phrase_places(places, asked), around)
+    return asked.join(found, ["page_id", "phrase"]).select(key, "page_id", "start", "window")
 
 
 def relation_terms(question: Column, answer: Column) -> Column:
@@ -118,22 +96,30 @@ def relation_terms(question: Column, answer: Column) -> Column:
     return F.array_except(T.terms(question, [*T.LINK_STOPWORDS, *T.QUESTION_WORDS]), T.terms(answer))
 
 
-def judged_pages(windowed: DataFrame) -> DataFrame:
-    """windowed with contradicts, supports and relevant for each (trial, page)."""
-    w = windowed.withColumn("relation", relation_terms(F.col("question"), F.col("answer")))
+def judged_pages(pairs: DataFrame, pages: DataFrame, around: int = 24, key: str = "trial_id") -> DataFrame:
+    """key, page_id, n_windows, contradicts, supports, relevant for each pair (key, page_id, question, answer); pages: page_id, page, each once.
+
+    A window that denies something contradicts the answer if it names anything that the question says of it (or the question says nothing);
+    one that doesn't supports it if it names two such things (all, if there is one).
+    """
     stop = [*T.LINK_STOPWORDS, *T.QUESTION_WORDS]
-    said_not = lambda x: x.rlike(T.CONTRADICTION)
-    about = lambda x: F.size(F.array_intersect(F.col("relation"), T.terms(x, stop)))
-    contradicts = F.exists("windows", lambda x: said_not(x) & ((F.size("relation") == 0) | (about(x) > 0)))
-    need = F.when(F.size("relation") == 1, 1).otherwise(2)
-    supports = (F.size("relation") > 0) & F.exists("windows", lambda x: ~said_not(x) & (about(x) >= need))
-    return w.withColumn("contradicts", contradicts).withColumn("supports", supports).withColumn("relevant", page_matches_question(F.col("question"), F.col("page")))
+    asked = pairs.select(key, "page_id", relation_terms(F.col("question"), F.col("answer")).alias("relation"))
+    held = answer_windows(pairs, pages, around, key).join(asked, [key, "page_id"])
+    denied, n = F.col("window").rlike(T.CONTRADICTION), F.size("relation")
+    about = F.size(F.array_intersect(F.col("relation"), T.terms(F.col("window"), stop)))
+    contradicts = denied & ((n == 0) | (about > 0))
+    supports = ~denied & (n > 0) & (about >= F.when(n == 1, 1).otherwise(2))
+    told = held.groupBy(key, "page_id").agg(F.count("*").alias("n_windows"), F.bool_or(contradicts).alias("contradicts"), F.bool_or(supports).alias("supports"))
+    terms = pages.select("page_id", T.terms(F.col("page")).alias("page_terms"))
+    rows = pairs.join(terms, "page_id").select(key, "page_id", _matches(T.terms(F.col("question"), T.LINK_STOPWORDS), F.col("page_terms")).alias("relevant"))
+    flag = lambda c: F.coalesce(c, F.lit(False)).alias(c)
+    return rows.join(told, [key, "page_id"], "left").select(key, "page_id", F.coalesce("n_windows", F.lit(0)).alias("n_windows"), flag("contradicts"), flag("supports"), "relevant")
 
 
 def verdicts(trials: DataFrame, opened: DataFrame, key: str = "trial_id") -> DataFrame:
     """The first rule that a trial's evidence fails, or 'ok'.
 
-    trials: key, question, answer, citations; opened: key, page_id, requested_url, final_url, page. Rules in order: no
+    trials: key, question, answer, citations; opened: key, page_id, requested_url, final_url, page (of a page_id one text). Rules in order: no
     valid citation, a citation that mirrors the question, none of them opened, no searchable answer, contradicted,
     not supported, too few relevant pages (two, or one that states the relation directly).
     """
@@ -144,10 +130,10 @@ def verdicts(trials: DataFrame, opened: DataFrame, key: str = "trial_id") -> Dat
         F.bool_or(U.evidence_key(F.col("citation")) != "").alias("valid"),
         F.bool_or(query_mirror(F.col("question"), F.col("citation"))).alias("mirror"),
     )
-    pages = cited_pages(trials, opened, key).join(opened.select(key, "page_id", "page"), [key, "page_id"])
-    held = judged_pages(answer_windows(pages.join(trials.select(key, "question", "answer"), key)))
-    by_trial = held.groupBy(key).agg(
-        F.count("*").alias("n_pages"), F.bool_or(F.size("windows") > 0).alias("stated"), F.bool_or("contradicts").alias("contradicted"),
+    pairs = cited_pages(trials, opened, key).join(trials.select(key, "question", "answer"), key)
+    pages = opened.select("page_id", "page").dropDuplicates(["page_id"])
+    by_trial = judged_pages(pairs, pages, key=key).groupBy(key).agg(
+        F.count("*").alias("n_pages"), F.bool_or(F.col("n_windows") > 0).alias("stated"), F.bool_or("contradicts").alias("contradicted"),
         F.bool_or("supports").alias("supported"), F.count_if("relevant").alias("n_relevant"),
     )
     searchable = F.regexp_extract_all("answer", F.lit(r"(?U)[\w&&[^_]]+"), 0)

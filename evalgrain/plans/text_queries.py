@@ -314,12 +314,13 @@ def mirrors(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    """Each benchmark item is a trial; documents that hold an item's whole text are the pages it opened."""
+    """Each benchmark item is a trial; documents that hold an item's whole text are the pages it opened. Every fourth page denies something at each comma."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("trial_id"), F.col("text").alias("question"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("answer"))
     d = table(spark, sf_dir, "documents")
+    said = F.when(F.col("doc_id") % 4 == 1, F.replace("text", F.lit(", "), F.lit(" is not "))).otherwise(F.col("text"))
     hits = containment.contained(d.select(F.col("doc_id").alias("text_id"), "text"), b.select(F.col("trial_id").alias("pattern_id"), F.col("question").alias("pattern")))
     url = F.concat(F.lit("https://d/"), "doc_id")
-    opened = hits.select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("trial_id")).join(d.select("doc_id", F.col("text").alias("page")), "doc_id")
+    opened = hits.select(F.col("text_id").alias("doc_id"), F.col("pattern_id").alias("trial_id")).join(d.select("doc_id", said.alias("page")), "doc_id")
     opened = opened.select("trial_id", F.col("doc_id").alias("page_id"), url.alias("requested_url"), F.concat(F.lit("http://www.d/"), "doc_id", F.lit("/")).alias("final_url"), "page")
     cited = opened.groupBy("trial_id").agg(F.collect_set("final_url").alias("found"))
     trial = b.join(cited, "trial_id", "left").withColumn("citations", F.concat(F.coalesce("found", F.array().cast("array<string>")), F.array(F.lit("https://d/none"))))
@@ -331,15 +332,36 @@ def cited_pages(spark, sf_dir):
     return evidence.cited_pages(*_evidence(spark, sf_dir))
 
 
-@query("txt_09_11_windows")
+def _judged_sql() -> str:
+    """Windows about answers by positions in lists, and what they say, for the pages of _evidence."""
+    word, fold = "[\\p{L}\\p{N}]+(?:[''’-][\\p{L}\\p{N}]+)*", lambda x: f"lower(replace({x}, 'ß', 'ss'))"
+    rest, stop = "[^\\p{L}\\p{N}]+$", "[" + ", ".join(f"'{w}'" for w in [*T.LINK_STOPWORDS, *T.QUESTION_WORDS]) + "]"
+    terms = lambda x: _TERMS.replace("text", x)
+    told = f"list_filter({terms('win')}, lambda t: NOT list_contains({stop}, t))"
+    denied = "regexp_matches(regexp_replace(win, '(?i)\\bnot\\sonly\\b', 'only', 'g'), '(?i)\\b(?:did|does|do|is|are|was|were|has|have|had|can|could|would)\\s+not\\s+|\\bnever\\b|\\b(?:incorrectly|falsely)\\s+(?:attributed|credited|identified|reported)\\b|\\b(?:misattributed|disputed)\\b')"
+    return f"""o AS (SELECT item_id AS trial_id, doc_id AS page_id, b.text AS question, array_to_string(string_split(b.text, ' ')[1:4], ' ') AS answer, CASE WHEN doc_id % 4 = 1 THEN replace(d.text, ', ', ' is not ') ELSE d.text END AS page
+  FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+ x AS (SELECT *, regexp_extract_all(page, '{word}[^\\p{{L}}\\p{{N}}]*') AS pieces, list_transform(regexp_extract_all(answer, '{word}'), lambda t: {fold("t")}) AS a FROM o),
+ y AS (SELECT *, list_transform(pieces, lambda t: {fold(f"regexp_replace(t, '{rest}', '')")}) AS w FROM x),
+ z AS (SELECT trial_id, page_id, pieces, len(a) AS n, list_filter(list_filter({terms("question")}, lambda t: NOT list_contains({stop}, t)), lambda t: NOT list_contains({terms("answer")}, t)) AS relation, unnest(list_filter(range(1, len(w) - len(a) + 2), lambda i: w[i:i + len(a) - 1] = a)) AS i FROM y WHERE len(a) > 0),
+ v AS (SELECT trial_id, page_id, relation, regexp_replace(array_to_string(pieces[greatest(1, i - 24):i + n + 23], ''), '{rest}', '') AS win FROM z),
+ u AS (SELECT trial_id, page_id, {denied} AS denied, len(relation) AS n, len(list_intersect(relation, {told})) AS about FROM v),
+ t AS (SELECT trial_id, page_id, count(*) AS n_windows, bool_or(denied AND (n = 0 OR about > 0)) AS contradicts, bool_or(NOT denied AND n > 0 AND about >= least(n, 2)) AS supports FROM u GROUP BY ALL),
+ q AS (SELECT trial_id, page_id, list_filter({terms("question")}, lambda t: NOT list_contains({_STOP}, t)) AS q, {terms("page")} AS p, answer FROM o),
+ judged AS (SELECT trial_id, page_id, answer, coalesce(n_windows, 0) AS n_windows, coalesce(contradicts, false) AS contradicts, coalesce(supports, false) AS supports,
+  len(q) > 0 AND len(list_intersect(q, p)) >= least(len(q), 8, greatest(2, (len(q) + 5) // 6)) AS relevant FROM q LEFT JOIN t USING (trial_id, page_id))"""
+
+
+@query("txt_09_11_windows", f"WITH {_judged_sql()} SELECT trial_id, page_id, n_windows, contradicts, supports, relevant FROM judged")
 def judged_windows(spark, sf_dir):
     trial, opened = _evidence(spark, sf_dir)
-    pairs = opened.select("trial_id", "page_id", "page").join(trial.select("trial_id", "question", "answer"), "trial_id")
-    out = evidence.judged_pages(evidence.answer_windows(pairs))
-    return out.select("trial_id", "page_id", F.size("windows").alias("n_windows"), "contradicts", "supports", "relevant")
+    pairs = opened.select("trial_id", "page_id").join(trial.select("trial_id", "question", "answer"), "trial_id")
+    return evidence.judged_pages(pairs, opened.select("page_id", "page").dropDuplicates(["page_id"]))
 
 
-@query("agg_27_verdicts")
+@query("agg_27_verdicts", f"""WITH {_judged_sql()}, s AS (SELECT trial_id, count(*) AS n_pages, bool_or(n_windows > 0) AS stated, bool_or(contradicts) AS contradicted, bool_or(supports) AS supported, count(*) FILTER (relevant) AS n_relevant FROM judged GROUP BY trial_id)
+ SELECT b.item_id AS trial_id, CASE WHEN n_pages IS NULL THEN 'no cited page opened' WHEN NOT regexp_matches(array_to_string(string_split(text, ' ')[1:4], ' '), '[\\p{{L}}\\p{{N}}]') THEN 'no searchable answer'
+  WHEN contradicted THEN 'contradicted' WHEN NOT stated THEN 'not supported' WHEN n_relevant < 2 AND NOT supported THEN 'too few relevant pages' ELSE 'ok' END AS verdict FROM benchmark b LEFT JOIN s ON s.trial_id = b.item_id""")
 def verdicts(spark, sf_dir):
     return evidence.verdicts(*_evidence(spark, sf_dir))
 

@@ -31,7 +31,7 @@ def test_equals_the_loop_for_words_cut_anywhere(spark, most):
     patterns = [t[i : i + n] for t in texts[:40] for i, n in ((rng.randrange(30), n) for n in (1, 2, 3, 6, 11, 25, 60))]
     patterns += [None, "", " ", ".", "the of in a", "of the", "e o", "thé", "ât", "w1", "not there at all", " the ", "THE", "zzz the", "of w", ", the"]
     t, p = frames(spark, texts, patterns)
-    assert pairs(containment.contained(t, p, most=most)) == loop(texts, patterns)
+    assert pairs(containment.contained(t, p, most=most, per_text=0)) == loop(texts, patterns)
 
 
 def test_common_words_do_not_make_all_pairs(spark):
@@ -42,8 +42,8 @@ def test_common_words_do_not_make_all_pairs(spark):
     patterns += [" ".join(texts[k].split()[5:9]) for k in range(100)] + [" ".join(["the", "of", "and", "the", "the", "of", "of", "and"][k % 8 :] + ["the", "of", "and"] * 3) for k in range(50)]
     t, p = frames(spark, texts, patterns)
     hits = loop(texts, patterns)
-    some = containment.word_candidates(t, p, most=20)
-    assert pairs(containment.contained(t, p, most=20)) == hits
+    some = containment.word_candidates(t, p, most=20, per_text=0)
+    assert pairs(containment.contained(t, p, most=20, per_text=0)) == hits
     assert hits <= pairs(some) and some.count() <= 3 * (len(hits) + len(patterns)) < len(texts) * len(patterns) / 10
 
 
