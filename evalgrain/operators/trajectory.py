@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrain.functions import terms as T
 from evalgrain.functions.texts import truncate_middle
+from evalgrain.sources.scratch import written
 
 BUDGETS = ("searches", "opens", "finds", "chars")
 
@@ -21,38 +21,57 @@ def exact_repeats(queries: DataFrame, group: str = "conv_id") -> DataFrame:
     return keyed.withColumn("redundant", (F.col("term_key") == "") | (n > 1)).drop("term_key")
 
 
+def near_sets(sets: DataFrame, group: str, jaccard: float, least_union: int) -> DataFrame:
+    """early, late: pairs of nodes of a group whose term sets are near. sets: group, node, place (what orders a group's nodes), terms (distinct).
+
+    Two near sets share one of the first |Q| - ceil(jaccard |Q|) + 1 terms of either, whatever order all terms have; with
+    the rarest first those keys meet few others. Sets too small to differ in a term and still be near have no partner.
+    """
+    able = sets.where(F.size("terms") * (1 - jaccard) >= jaccard - 1e-9) if jaccard < 1 else sets.limit(0)
+    each = able.select("node", F.explode("terms").alias("term"))
+    df = each.groupBy("term").agg(F.count("*").alias("df"))
+    order = each.join(df, "term").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("by_rarity"))
+    n = F.size("terms")
+    keys = able.join(order, "node").withColumn("keys", F.slice("by_rarity", F.lit(1), n - F.ceil(jaccard * n - 1e-9).cast("int") + 1))
+    rows = keys.select(F.col(group).alias("of"), "node", "place", "terms", F.explode(F.transform("keys", lambda k: k["term"])).alias("key"))
+    a, b = (rows.select(*[F.col(c).alias(f"{c}_{side}") for c in rows.columns]) for side in ("a", "b"))
+    sizes = [F.size("terms_a"), F.size("terms_b")]
+    met = F.col("of_a").eqNullSafe(F.col("of_b")) & (F.col("key_a") == F.col("key_b"))
+    both = a.join(b, met).where(F.col("place_a") < F.col("place_b")).where(F.least(*sizes) >= jaccard * F.greatest(*sizes) - 1e-9)
+    shared = F.size(F.array_intersect("terms_a", "terms_b"))
+    union = sizes[0] + sizes[1] - shared
+    return both.where((union >= least_union) & (shared >= jaccard * union)).select(F.col("node_a").alias("early"), F.col("node_b").alias("late")).distinct()
+
+
+def first_come(near: DataFrame) -> DataFrame:
+    """node of those that an earlier accepted node rules out: near (early, late), without cycles.
+
+    In each round the nodes that nothing undecided is before are accepted, what is near them goes, and so do the pairs of what went. Rounds
+    are as many as the longest chain of turns; each writes the pairs that are left, so no group is gathered and lineage stays short.
+    """
+    left, gone = written(near, "near"), []
+    while not left.isEmpty():
+        heads = left.select(F.col("early").alias("node")).join(left.select(F.col("late").alias("node")), "node", "left_anti").distinct()
+        out = written(left.join(heads.withColumnRenamed("node", "early"), "early").select(F.col("late").alias("node")).distinct(), "gone")
+        gone.append(out)
+        for side in ("early", "late"):
+            left = left.join(out.withColumnRenamed("node", side), side, "left_anti")
+        left = written(left.select("early", "late"), "near")
+    return reduce(DataFrame.unionByName, gone) if gone else left.select(F.col("early").alias("node"))
+
+
 def novelty(queries: DataFrame, group: str = "conv_id", jaccard: float = 0.9, least_union: int = 5) -> DataFrame:
-    """queries with redundant: also near repeats of an earlier query that was itself accepted.
+    """queries with redundant: no terms, the term set of an earlier query of the group, or near an earlier query that was itself accepted.
 
-    Exact repeats are told natively first and don't go to Python; the greedy rest runs over a group's distinct term
-    sets, one row at a time from a sorted partition, holding that group's accepted sets only.
+    Near sets are found by an equi-join on rare terms (near_sets()), then settled in order (first_come()): a group of any length
+    is spread over the tasks. Of queries at one position the one whose terms come first in order is the earlier.
     """
     keyed = queries.withColumn("terms", F.array_sort(T.terms(F.col("query")))).withColumn("term_key", F.array_join("terms", " "))
     first = keyed.where("term_key <> ''").groupBy(group, "term_key").agg(F.min("pos").alias("first_pos"), F.any_value("terms").alias("terms"))
-
-    def greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted, by_term = object(), [], {}
-        for batch in batches:
-            out = []
-            for g, key, terms in zip(batch[group], batch["term_key"], batch["terms"], strict=True):
-                if g != current:
-                    current, accepted, by_term = g, [], {}
-                own = set(terms)
-                seen: dict[int, int] = {}
-                for t in own:
-                    for k in by_term.get(t, ()):
-                        seen[k] = seen.get(k, 0) + 1
-                near = any(len(own) + len(accepted[k]) - n >= least_union and n >= jaccard * (len(own) + len(accepted[k]) - n) for k, n in seen.items())
-                if not near:
-                    for t in own:
-                        by_term.setdefault(t, []).append(len(accepted))
-                    accepted.append(own)
-                out.append((g, key, near))
-            yield pd.DataFrame(out, columns=[group, "term_key", "near"])
-
-    kind = queries.schema[group].dataType.simpleString()
-    judged = first.repartition(group).sortWithinPartitions(group, "first_pos").mapInPandas(greedy, f"{group} {kind}, term_key string, near boolean")
-    out = keyed.join(first.select(group, "term_key", "first_pos"), [group, "term_key"], "left").join(judged, [group, "term_key"], "left")
+    first = written(first.withColumn("node", F.monotonically_increasing_id()), "first-queries")
+    gone = first_come(near_sets(first.withColumn("place", F.struct("first_pos", "term_key")), group, jaccard, least_union))
+    judged = first.join(gone.withColumn("near", F.lit(True)), "node", "left").select(group, "term_key", "first_pos", "near")
+    out = keyed.join(judged.withColumnRenamed(group, "__group").withColumnRenamed("term_key", "__key"), F.col(group).eqNullSafe(F.col("__group")) & (F.col("term_key") == F.col("__key")), "left")
     redundant = (F.col("term_key") == "") | (F.col("pos") > F.col("first_pos")) | F.coalesce("near", F.lit(False))
     return out.withColumn("redundant", redundant).select(*queries.columns, "redundant")
 
