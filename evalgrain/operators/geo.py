@@ -89,11 +89,17 @@ def route_candidates(near: DataFrame, anchors: DataFrame, max_results: int, pool
     rows = near.join(anchors.select("anchor_id", "expected_distance_miles"), "anchor_id")
     expected = F.col("expected_distance_miles")
     by = Window.partitionBy("anchor_id")
-    rows = rows.withColumn("n", F.row_number().over(by.orderBy("straight_line_miles", "place_id"))).withColumn("size", F.count("*").over(by))
-    likely = F.row_number().over(by.orderBy(F.col("n") > nearest, F.when(F.col("n") > nearest, F.abs(F.col("straight_line_miles") - expected * 0.8)), "straight_line_miles", "place_id"))
-    rows = rows.withColumn("likely", likely)
-    keep = F.when(expected.isNull(), F.col("n") <= max_results).otherwise((F.col("size") <= pool) | (F.col("likely") <= pool))
-    return rows.where(keep).drop("n", "size", "likely")
+    in_order = ["straight_line_miles", "place_id"]
+    # No window over all places of an anchor: each task hands on the first rows of an order only, one more than `pool` tells that there are more.
+    first = rows.withColumn("n", F.row_number().over(by.orderBy(*in_order))).where(F.col("n") <= max(pool + 1, max_results))
+    first = first.withColumn("more", F.max("n").over(by) > pool)
+    kept = first.where(F.when(expected.isNull(), F.col("n") <= max_results).otherwise(~F.col("more") | (F.col("n") <= nearest)))
+    apart = F.abs(F.col("straight_line_miles") - expected * 0.8)
+    likely = rows.where(expected.isNotNull()).withColumn("likely", F.row_number().over(by.orderBy(apart, *in_order))).where(F.col("likely") <= pool)
+    crowded = first.where(F.col("more") & expected.isNotNull() & (F.col("n") <= nearest)).select("anchor_id", "place_id")
+    others = likely.join(crowded.select("anchor_id").distinct(), "anchor_id", "left_semi").join(crowded, ["anchor_id", "place_id"], "left_anti")
+    others = others.withColumn("left", F.row_number().over(by.orderBy("likely"))).where(F.col("left") <= pool - nearest)
+    return kept.select(*rows.columns).unionByName(others.select(*rows.columns))
 
 
 def with_routes(candidates: DataFrame, routes: DataFrame) -> DataFrame:

@@ -219,22 +219,34 @@ def related_links(page_links: DataFrame, queries: DataFrame, opened: DataFrame,
     return rows.withColumn("place", place).where(F.col("place") <= limit).select(group, "link", "score", "place")
 
 
+#: Characters of private use that mark the beginning and the end of a match; in texts they count as a third one meanwhile.
+_MARKS, _THIRD = ("\ue000", "\ue001"), "\ue002"
+
+
+def _java_pattern(spark, pattern: str) -> str:
+    """pattern, or, if it is no valid expression, the plain text that it is."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception:  # noqa: BLE001  whatever the Java side throws, the pattern isn't one
+        return r"\Q" + pattern.replace(r"\E", r"\E\\E\Q") + r"\E"
+    return pattern
+
+
 def find_in_pages(pages: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", limit: int = 20, around: int = 500) -> DataFrame:
     """key, place, offset, found and the text around it: up to `limit` case-insensitive matches of each page, in order.
 
-    Java's patterns; one that can match nothing finds nothing there. Offsets are the summed lengths of what is before a match.
+    Java's patterns; what is no valid one is searched as plain text. A match may be empty, as those of `a*` between other
+    letters are, and counts as one. Matches are marked in place, so offsets hold whatever a pattern looks at beside its match.
     """
-    said = f"(?i){pattern}"
+    said = f"(?i){_java_pattern(pages.sparkSession, pattern)}"
     rows = pages.where(F.col(text).rlike(said)).select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    rows = rows.withColumn("m", F.slice(F.filter(F.regexp_extract_all("text", F.lit(said), 0), lambda x: x != ""), 1, limit)).withColumn("p", F.split("text", said, limit + 1))
-    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("at"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["end"] + F.char_length(x["p"])
-        return F.struct((begin + F.char_length(x["m"])).alias("end"), F.concat(state["at"], F.array(begin)).alias("at"))
-
-    offsets = F.aggregate(F.filter(F.arrays_zip("m", "p"), lambda x: x["m"].isNotNull()), start, step, lambda s: s["at"])
-    found = rows.select("key", "text", F.posexplode(F.arrays_zip(F.col("m").alias("found"), offsets.alias("offset"))).alias("place", "x"))
+    plain = F.translate("text", "".join(_MARKS), _THIRD * 2)
+    parts = F.split(F.regexp_replace(plain, F.lit(said), F.lit(f"{_MARKS[0]}$0{_MARKS[1]}")), _MARKS[0], limit + 2)
+    # Of each part its match and what follows; the last holds the rest, with matches beyond the limit.
+    cut = F.transform(F.slice(parts, 2, limit), lambda x: F.struct(F.char_length(F.substring_index(x, _MARKS[1], 1)).alias("size"), (F.char_length(x) - 1).alias("all")))
+    start = F.struct(F.char_length(F.element_at(parts, 1)).alias("next"), F.array().cast("array<struct<offset:int,size:int>>").alias("at"))
+    step = lambda s, x: F.struct((s["next"] + x["all"]).alias("next"), F.concat(s["at"], F.array(F.struct(s["next"].alias("offset"), x["size"].alias("size")))).alias("at"))
+    found = rows.select("key", "text", F.posexplode(F.aggregate(cut, start, step, lambda s: s["at"])).alias("place", "x"))
     first = F.greatest(F.col("x.offset") - around, F.lit(0))
-    context = F.substring("text", first + 1, F.col("x.offset") + F.char_length("x.found") + around - first)
-    return found.select("key", (F.col("place") + 1).alias("place"), F.col("x.offset").alias("offset"), F.col("x.found").alias("found"), context.alias("context"))
+    context = F.substring("text", first + 1, F.col("x.offset") + F.col("x.size") + around - first)
+    return found.select("key", (F.col("place") + 1).alias("place"), F.col("x.offset").alias("offset"), F.substring("text", F.col("x.offset") + 1, F.col("x.size")).alias("found"), context.alias("context"))

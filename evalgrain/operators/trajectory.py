@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrain.functions import terms as T
+from evalgrain.functions.replies import first_json_object, payload_fault
 from evalgrain.functions.texts import truncate_middle
 from evalgrain.sources.scratch import written
 
@@ -227,22 +228,9 @@ def compact(messages: DataFrame, limit: int, keep_last: int = 8, notes: int = 20
 
 
 def parse_actions(log: DataFrame, allowed: tuple[str, ...], text: str = "text") -> DataFrame:
-    """log with action, payload (JSON) and invalid: the reason why a row is no action, or null.
-
-    A text that is one JSON object (fences allowed) is read natively; of other texts the span from the first '{' to the
-    last '}' is tried.
-    """
-    bare = F.regexp_replace(F.trim(F.col(text)), r"(?s)^```(?:json)?\s*|\s*```$", "")
-    span = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    body = F.coalesce(F.when(F.get_json_object(bare, "$.action").isNotNull(), bare), F.when(F.get_json_object(span, "$.action").isNotNull(), span))
-    action = F.get_json_object(body, "$.action")
-    queries = F.coalesce(F.get_json_object(body, "$.query"), F.get_json_object(body, "$.queries"))
-    url = F.coalesce(F.get_json_object(body, "$.url"), F.get_json_object(body, "$.urls"))
-    answer = F.coalesce(F.get_json_object(body, "$.exact_answer"), F.lit(""))
-    invalid = (
-        F.when(body.isNull(), "no action").when(~action.isin(*allowed), "unknown action")
-        .when(action.isin("search", "search_many") & (F.coalesce(queries, F.lit("")) == ""), "no query")
-        .when(action.isin("open", "open_many") & ~F.coalesce(url, F.lit("")).contains("http"), "no url")
-        .when((action == "final") & (F.trim(answer) == ""), "no answer")
-    )
-    return log.select("*", action.alias("action"), body.alias("payload"), invalid.alias("invalid"))
+    """log with action (lower-cased), payload (the first JSON object of the text) and invalid: the reason why a row is no action, or null."""
+    rows = log.withColumn("payload", first_json_object(F.col(text)))
+    action = F.lower(F.btrim(F.get_json_object("payload", "$.action"), F.lit(" \t\r\n")))
+    action = F.when(F.col("payload").isNotNull(), F.coalesce(action, F.lit("")))
+    invalid = F.when(F.col("payload").isNull(), "no action").when(~action.isin(*allowed), "unknown action").otherwise(payload_fault(action, F.col("payload")))
+    return rows.select(*log.columns, action.alias("action"), "payload", invalid.alias("invalid"))

@@ -162,15 +162,20 @@ def partials(spark, sf_dir):
 
 
 @query("txt_05_actions", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'search' WHEN event_type = 'view' THEN 'open' WHEN event_type = 'purchase' THEN 'final' WHEN event_type = 'signup' THEN 'dance' END AS action,
- CASE WHEN event_type = 'error' THEN 'no action' WHEN event_type = 'signup' THEN 'unknown action' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'no query' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'no url' WHEN event_type = 'purchase' AND event_id % 3 = 0 THEN 'no answer' END AS invalid FROM events""")
+ CASE WHEN event_type = 'error' THEN 'no action' WHEN event_type = 'signup' THEN 'unknown action' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'no query' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'no url' END AS invalid,
+ CASE event_type WHEN 'click' THEN '{"action":" Search","query":"' || CASE WHEN event_id % 3 = 0 THEN ' ' ELSE json_extract_string(props, '$.k') || ' {x}' END || '"}' WHEN 'view' THEN '{"action":"open","url":"' || CASE WHEN event_id % 3 = 0 THEN '' ELSE 'p/' || json_extract_string(props, '$.k') END || '"}'
+  WHEN 'purchase' THEN '{"action":"final","exact_answer":"' || CASE WHEN event_id % 3 = 0 THEN '' ELSE json_extract_string(props, '$.k') END || '","more":{"a":1}}' WHEN 'signup' THEN '{"action":"dance","with":' || props || '}' END AS payload FROM events""")
 def actions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    k = F.when(F.col("event_id") % 3 == 0, "").otherwise("http value")
+    k, odd = F.get_json_object("props", "$.k"), F.col("event_id") % 3 == 0
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
     said = (
-        F.when(F.col("event_type") == "click", F.concat(F.lit('```json\n{"action":"search","query":"'), k, F.lit('"}\n```'))).when(F.col("event_type") == "view", F.concat(F.lit('I will look {"action":"open","url":"'), k, F.lit('"} now')))
-        .when(F.col("event_type") == "purchase", F.concat(F.lit('{"action":"final","exact_answer":"'), k, F.lit('"}'))).when(F.col("event_type") == "signup", '{"action":"dance"}').otherwise("I give up {")
+        F.when(F.col("event_type") == "click", say('```json\n{"action":" Search","query":"', F.when(odd, " ").otherwise(F.concat(k, F.lit(" {x}"))), '"}\n```'))
+        .when(F.col("event_type") == "view", say('use {braces} and {"a": then ', '{"action":"open","url":"', F.when(odd, "").otherwise(F.concat(F.lit("p/"), k)), '"} or {"x":1} }'))
+        .when(F.col("event_type") == "purchase", say('{"action":"final","exact_answer":"', F.when(odd, "").otherwise(k), '","more":{"a":1}}{"action":"note"}'))
+        .when(F.col("event_type") == "signup", say('{"action":"dance","with":', F.col("props"), "}")).otherwise(say('I give up {"action":"final","exact_answer":"', k))
     )
-    return trajectory.parse_actions(e.select("event_id", said.alias("text")), ("search", "open", "final")).select("event_id", "action", "invalid")
+    return trajectory.parse_actions(e.select("event_id", said.alias("text")), ("search", "open", "final")).select("event_id", "action", "invalid", "payload")
 
 
 @query("agg_18_consensus", """WITH r AS (SELECT user_id AS item_id, event_id AS request_id, event_type AS answer, value AS confidence FROM events WHERE event_type <> 'error'),
