@@ -94,9 +94,11 @@ def chunk_products(ids: np.ndarray, matrix: np.ndarray, norms: np.ndarray, asked
         best = score >= low[q]
         yield np.full(int(best.sum()), query[q]), ids[at][best], score[best]
     flat = np.flatnonzero(able & (cosine < steep))
+    needs = np.where(open_ | (lengths == 0), 0.0, low / np.where(lengths > 0, lengths, 1.0))
+    flat = flat[np.argsort(-needs[flat], kind="stable")]  # a lot is pruned by the least need in it
     for first in range(0, len(flat), step := max(1, (1 << 21) // len(ids))):
         some = flat[first : first + step]
-        need = np.where(open_[some] | (lengths[some] == 0), 0.0, low[some] / np.where(lengths[some] > 0, lengths[some], 1.0)).min()
+        need = needs[some].min()
         enough = int(np.searchsorted(-norms, -need * (1 - _SLACK), side="right"))
         score = _products(matrix[:enough], vectors[some].T)
         kept = ids[:enough, None] != query[some][None, :]
@@ -109,7 +111,7 @@ def chunk_products(ids: np.ndarray, matrix: np.ndarray, norms: np.ndarray, asked
 
 
 def _search(queries, k: int, focus: int, steep: float):
-    """queries: a broadcast of {dim: (ids, matrix, lengths, floors)}. A task merges its chunks' results, k rows a query."""
+    """queries: a broadcast of {dim: (ids, matrix, lengths, floors)}. A task merges its results once a chunk, k rows a query."""
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = [tuple(np.empty(0, np.int64) for _ in range(3))]
@@ -120,8 +122,8 @@ def _search(queries, k: int, focus: int, steep: float):
                 ids = np.frombuffer(row.ids, np.int64)
                 matrix = np.frombuffer(row.matrix, np.int64).reshape(row.n, row.dim)
                 norms = np.frombuffer(row.norms, np.float64)
-                for found in chunk_products(ids, matrix, norms, queries.value[row.dim], k, focus, steep):
-                    held = [_best([*held, _best([found], k)], k)]
+                found = chunk_products(ids, matrix, norms, queries.value[row.dim], k, focus, steep)
+                held = [_best([*held, *(_best([some], k) for some in found)], k)]
         query, at, score = held[0]
         yield pd.DataFrame({"query_id": query, "vec_id": at, "score": score})
 
