@@ -122,13 +122,14 @@ def unify_status(rows: DataFrame) -> DataFrame:
     return rows.select("run_id", done.alias("done"), F.coalesce("failed", F.lit(0)).alias("failed"), remaining.alias("remaining"), state.alias("state"), F.col("updated_at").alias("ts"))
 
 
-def run_to_end(stream: DataFrame, mode: str, schema_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, mode: str, schema_of: Callable[[DataFrame], DataFrame] | None = None, out: str | None = None) -> DataFrame:
     """Run a stream over what is there and return every row it emitted, with the number of its micro-batch as `epoch`.
 
-    Each micro-batch is written to its own folder, so a repeated batch replaces itself: exactly once.
+    Each micro-batch is written to its own folder, so a repeated batch replaces itself: exactly once. With the folder `out` of an earlier
+    run the stream goes on from that run's state and source position.
     """
     spark: SparkSession = stream.sparkSession
-    out = scratch_path(spark, "stream")
+    out = out or scratch_path(spark, "stream")
 
     def write(batch: DataFrame, epoch: int) -> None:
         rows = schema_of(batch) if schema_of else batch
