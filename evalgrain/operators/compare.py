@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrain.functions.stats import exact_sign_pvalue
+from evalgrain.operators import draws
+from evalgrain.sources.scratch import written
 
 KEY = ("source_index", "attempt")
 #: What must be equal in two runs' locks for their results to compare.
@@ -66,19 +64,18 @@ def mean_differences(pairs: DataFrame) -> DataFrame:
 
 
 def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
-    """low and high of the resampled accuracy difference, by interpolated percentiles; one multinomial draw a replicate."""
-    cells = contingency(pairs).select("n", "left_only_correct", "right_only_correct")
-    grid = cells.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for r, n, a, b in zip(batch["replicate"], batch["n"], batch["left_only_correct"], batch["right_only_correct"], strict=True):
-                x, y, _ = np.random.default_rng([seed, int(r)]).multinomial(n, [a / n, b / n, (n - a - b) / n])
-                out.append((x - y) / n)
-            yield pd.DataFrame({"difference": out})
-
-    drawn = grid.mapInPandas(draw, "difference double")
+    """low and high of the resampled accuracy difference, by interpolated percentiles; one multinomial draw a replicate.
+
+    A replicate's pairs right on the left only are one binomial draw, those right on the right only another of what is left of the pairs.
+    """
+    cells = contingency(pairs).select("n", F.col("left_only_correct").alias("a"), F.col("right_only_correct").alias("b")).where("n > 0")
+    grid = cells.select(F.lit(0).alias("law"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("id"))
+    left = draws.binomial_draws(grid.withColumn("u", draws.uniform(seed, "id", F.lit("left"))), cells.select(F.lit(0).alias("law"), "n", (F.col("a") / F.col("n")).alias("p")))
+    left = written(left.select("id", F.col("draw").alias("x")), "left-draws")
+    others = left.select(F.col("x").alias("law")).distinct().join(F.broadcast(cells), F.lit(True))
+    laws = others.select("law", (F.col("n") - F.col("law")).alias("n"), F.coalesce(F.try_divide("b", F.col("n") - F.col("a")), F.lit(0.0)).alias("p"))
+    right = draws.binomial_draws(left.select(F.col("x").alias("law"), "id", draws.uniform(seed, "id", F.lit("right")).alias("u")), laws)
+    drawn = right.join(F.broadcast(cells), F.lit(True)).select(((F.col("law") - F.col("draw")) / F.col("n")).alias("difference"))
     alpha = (1 - confidence) / 2
     at = lambda q: F.coalesce(F.percentile("difference", q), F.lit(0.0))
     return drawn.agg(at(alpha).alias("difference_low"), at(1 - alpha).alias("difference_high"))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrain.functions.stats import wilson_bounds
+from evalgrain.operators import draws
 
 CALLS = ("search_calls", "page_opens", "find_calls", "steps", "retrieved_chars")
 
@@ -148,26 +145,17 @@ def pass_at_k(trials: DataFrame) -> DataFrame:
     return solved.withColumn("within", running).join(early, "run_id", "left").select("run_id", F.col("k").cast("long").alias("k"), ((F.col("within") + F.coalesce("early", F.lit(0))) / F.col("items")).alias("pass_at_k"))
 
 
-def _draws(seed: int):
-    """Share of a binomial draw for each replicate, a pure function of (seed, replicate, n, k)."""
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            share = [np.random.default_rng([seed, int(r)]).binomial(n, k / n) / n for r, n, k in zip(batch["replicate"], batch["n"], batch["k"], strict=True)]
-            yield pd.DataFrame({"run_id": batch["run_id"], "replicate": batch["replicate"], "estimate": share})
-
-    return draw
-
-
 def bootstrap_accuracy(trials: DataFrame, replicates: int = 10_000, confidence: float = 0.95, seed: int = 0) -> DataFrame:
     """run_id, bootstrap_low, bootstrap_high: order statistics of the resampled accuracy at fixed positions.
 
-    A resampled accuracy depends on the run's counts only, so each replicate is one binomial draw: the cost doesn't
-    grow with the number of trials, and the draw doesn't depend on partitioning.
+    A resampled accuracy depends on the run's counts only, so each replicate is one binomial draw (a function of seed and replicate):
+    the cost grows with the root of the number of trials, and the draw doesn't depend on partitioning.
     """
     counts = trials.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if("correct").alias("k"))
-    grid = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate"))
-    drawn = grid.mapInPandas(_draws(seed), "run_id string, replicate int, estimate double")
+    laws = counts.select(F.col("run_id").alias("law"), "n", (F.col("k") / F.col("n")).alias("p"))
+    grid = counts.select(F.col("run_id").alias("law"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("id"))
+    drawn = draws.binomial_draws(grid.withColumn("u", draws.uniform(seed, "id")), laws).join(laws, "law")
+    drawn = drawn.select(F.col("law").alias("run_id"), F.col("id").alias("replicate"), (F.col("draw") / F.col("n")).alias("estimate"))
     alpha = (1 - confidence) / 2
     low, high = max(0, int(alpha * replicates)), min(replicates - 1, int((1 - alpha) * replicates) - 1)
     place = F.row_number().over(Window.partitionBy("run_id").orderBy("estimate", "replicate")) - 1

@@ -80,7 +80,27 @@ def wilson(spark, sf_dir):
     return rounded(out.select("run_id", "wilson_low", "wilson_high"), "wilson_low", "wilson_high")
 
 
-@query("agg_08_bootstrap")
+def _binomial_sql(name: str, laws: str, points: str) -> str:
+    """CTEs: `name`(law, id, draw), the inverse of the binomial laws (law, n, p) at points (law, id, u), by counting table rows below u."""
+    return f"""{name}_l AS (SELECT law, n, p, CASE WHEN p >= 1 THEN n ELSE greatest(0, floor(n * p - 12 * sqrt(n * p * (1 - p)) - 12)) END::BIGINT AS low,
+  CASE WHEN p <= 0 THEN 0 ELSE least(n, ceil(n * p + 12 * sqrt(n * p * (1 - p)) + 12)) END::BIGINT AS high FROM ({laws})),
+ {name}_j AS (SELECT law, n, p, low, unnest(range(least(low, high), high + 1)) AS j FROM {name}_l),
+ {name}_w AS (SELECT law, low, j, sum(CASE WHEN j > low THEN ln((n - j + 1) / j) + ln(p / (1 - p)) ELSE 0.0::DOUBLE END) OVER (PARTITION BY law ORDER BY j) AS w FROM {name}_j),
+ {name}_e AS (SELECT law, low, j, exp(w - max(w) OVER (PARTITION BY law)) AS e FROM {name}_w),
+ {name}_c AS (SELECT law, low, j, sum(e) OVER (PARTITION BY law ORDER BY j) / sum(e) OVER (PARTITION BY law) AS cdf FROM {name}_e),
+ {name} AS (SELECT q.law, q.id, min(c.j) + count(*) FILTER (c.cdf < q.u) AS draw FROM ({points}) q JOIN {name}_c c ON c.law = q.law GROUP BY q.law, q.id)"""
+
+
+def _uniform_sql(said: str) -> str:
+    return f"('0x' || substr(md5('0:' || {said}), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
+
+
+_ACCURACY = _binomial_sql("d", "SELECT run_id AS law, n, k / n::DOUBLE AS p FROM g", f"SELECT run_id AS law, id, {_uniform_sql('id')} AS u FROM g, range(10000) r(id)")
+
+
+@query("agg_08_bootstrap", with_trials(f""", g AS (SELECT run_id, count(*) AS n, count(*) FILTER (correct) AS k FROM trials GROUP BY run_id), {_ACCURACY},
+ o AS (SELECT law AS run_id, draw / n::DOUBLE AS e, row_number() OVER (PARTITION BY law ORDER BY draw, id) - 1 AS place FROM d JOIN g ON g.run_id = d.law)
+ SELECT run_id, max(e) FILTER (place = 250) AS bootstrap_low, max(e) FILTER (place = 9749 - 1) AS bootstrap_high FROM o GROUP BY run_id"""))
 def bootstrap(spark, sf_dir):
     return metrics.bootstrap_accuracy(trials(spark, sf_dir))
 
@@ -149,9 +169,15 @@ def contingency(spark, sf_dir):
     return rounded(compare.contingency(_pairs(spark, sf_dir)), "left_accuracy", "right_accuracy", "accuracy_difference", "pvalue")
 
 
-@query("agg_15_paired_bootstrap")
+_LEFT = _binomial_sql("l", "SELECT 0 AS law, n, a / n::DOUBLE AS p FROM t", f"SELECT 0 AS law, id, {_uniform_sql("id || ':left'")} AS u FROM range(10000) r(id)")
+_RIGHT = _binomial_sql("r", "SELECT DISTINCT draw AS law, n - draw AS n, coalesce(b / nullif(n - a, 0)::DOUBLE, 0) AS p FROM l, t", f"SELECT draw AS law, id, {_uniform_sql("id || ':right'")} AS u FROM l")
+
+
+@query("agg_15_paired_bootstrap", with_trials(f"""{_PAIRS}, t AS (SELECT count(*) AS n, count(*) FILTER (x AND NOT y) AS a, count(*) FILTER (NOT x AND y) AS b FROM c), {_LEFT}, {_RIGHT},
+ f AS (SELECT (law - draw) / n::DOUBLE AS difference FROM r, t)
+ SELECT round(quantile_cont(difference, 0.025), 9) AS difference_low, round(quantile_cont(difference, 0.975), 9) AS difference_high FROM f"""))
 def paired_bootstrap(spark, sf_dir):
-    return compare.paired_bootstrap(_pairs(spark, sf_dir))
+    return rounded(compare.paired_bootstrap(_pairs(spark, sf_dir)), "difference_low", "difference_high", digits=9)
 
 
 @query("agg_16_mean_differences", with_trials(_PAIRS + " SELECT round(avg(ds), 6) AS mean_seconds_difference, round(avg(dc), 6) AS mean_cost_difference FROM c"))
