@@ -134,7 +134,7 @@ def step_conformance(actions: DataFrame, contracts: DataFrame, key: list[str]) -
     query = lambda x: F.lower(squeeze(x))
     within = lambda needed, one, many, plain: F.size(F.array_except(F.transform(_given(needed), plain), F.transform(F.concat(_given(F.array(one)), _given(many)), plain))) == 0
     rules = [
-        ("action", F.coalesce(F.array_contains(F.transform(_given(F.col("allowed_actions")), F.trim), action), F.lit(False))), ("batch", batch_ok), ("task_mode", mode_ok), ("tags", tags_ok),
+        ("action", F.coalesce(F.array_contains(F.transform(_given(F.col("allowed_actions")), lambda a: F.trim(a)), action), F.lit(False))), ("batch", batch_ok), ("task_mode", mode_ok), ("tags", tags_ok),
         ("urls", within(F.col("required_urls"), F.col("p.url"), F.col("p.urls"), url)), ("queries", within(F.col("required_queries"), F.col("p.query"), F.col("p.queries"), query)),
     ]
     fault = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules])

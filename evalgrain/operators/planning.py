@@ -131,7 +131,7 @@ def anchors(questions: DataFrame, key: str = "item_id", text: str = "question",
     plain = lambda x: F.transform(x, lambda v: F.btrim(squeeze(v), F.lit(" ,;:.?\"'()[]")))
     said = F.filter(plain(F.concat(quoted, names, given)), lambda v: F.contains(F.lower(squeeze(F.col(text))), F.lower(v)))
     tagged = lambda x, exact: F.transform(x, lambda v: F.struct(v.alias("anchor"), F.lit(exact).alias("exact")))
-    every = F.concat(tagged(said, True), tagged(plain(F.transform(segments(F.col(text)), compressed)), False))
+    every = F.concat(tagged(said, True), tagged(plain(F.transform(segments(F.col(text)), lambda s: compressed(s))), False))
     rows = questions.select(key, F.posexplode(every).alias("pos", "a")).select(key, "pos", "a.*").where((F.col("anchor") != "") & is_informative(F.col("anchor")))
     first = rows.groupBy(key, F.lower("anchor").alias("folded")).agg(F.min_by("anchor", "pos").alias("anchor"), F.min("pos").alias("pos"), F.bool_or("exact").alias("exact"))
     first = first.withColumn("score", phrase_score(F.col("anchor")))

@@ -226,12 +226,44 @@ def phrase_scores(spark, sf_dir):
     return q.select("item_id", F.size(planning.content_words(F.col("question"))).alias("n_words"), F.round(planning.phrase_score(F.col("question")), 4).alias("score"))
 
 
-@query("txt_18_top_05_anchors")
+def _content(x: str) -> str:
+    return f"list_filter(regexp_extract_all(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '[A-Za-z0-9]+(?:[.''’-][A-Za-z0-9]+)*'), lambda w: NOT list_contains({_LISTED(planning.STOPWORDS)}, lower(w)) AND length(w) > 1)"
+
+
+_PART = f"""(CASE WHEN regexp_matches(w, '[0-9]') THEN 6.0::DOUBLE WHEN list_contains({_LISTED(planning.WEAK_WORDS)}, lower(w)) THEN 0.6 WHEN length(w) >= 9 THEN 3.2 WHEN length(w) >= 6 THEN 2.3 ELSE 1.3 END
+  + CASE WHEN regexp_matches(w, '^[A-Z]') AND NOT list_contains({_LISTED(planning.GENERIC_LEADS)}, lower(w)) THEN 0.8::DOUBLE ELSE 0.0 END)"""
+
+
+def _phrase_sql(x: str) -> str:
+    """The score of a list of content words."""
+    return f"CASE WHEN len({x}) = 0 THEN -100.0::DOUBLE ELSE list_sum(list_transform({x}, lambda w: {_PART})) + CASE WHEN len({x}) >= 2 THEN least(len({x}), 6) * 0.8::DOUBLE WHEN NOT regexp_matches({x}[1], '[0-9]') THEN -4.0 ELSE 0.0 END END"
+
+
+_INFORMATIVE = lambda x: f"(len({x}) >= 2 AND len(list_filter({x}, lambda w: NOT list_contains({_LISTED(planning.WEAK_WORDS)}, lower(w)))) > 0)"
+_NAME = "[A-Z][A-Za-z0-9''’&-]*"
+_CUT = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(question, '\\s+', ' ', 'g')), '([.!?;])\\s+', '\\1' || chr(1), 'g'), '\\s+-\\s+([A-Z])', chr(1) || '\\1', 'g'), '\\s+(\\d+[.)]\\s+)', chr(1) || '\\1', 'g')"
+_BARE = "trim(trim(regexp_replace(v, '\\s+', ' ', 'g')), ' ,;:.?\"''()[]')"
+_ANCHORS = f"""{_QUESTIONS},
+ s AS (SELECT item_id, question, list_concat(regexp_extract_all(question, '["“]([^"”]{{4,120}})["”]', 1), list_transform(regexp_extract_all(question, '\\b{_NAME}(?:\\s+(?:(?:of|the|and|for|in|on|at|to|&|de|la|van|von)\\s+)?{_NAME}){{1,7}}\\b'),
+   lambda v: regexp_replace(v, '^(?i:{"|".join(planning.GENERIC_LEADS)})\\s+', ''))) AS told, list_filter(list_transform(string_split({_CUT}, chr(1)), lambda x: trim(x, ' -')), lambda x: len({_content("x")}) >= 2) AS parts FROM q),
+ e AS (SELECT item_id, list_concat(list_transform(list_filter(list_transform(told, lambda v: {_BARE}), lambda v: contains(lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))), lower(v))), lambda v: {{'anchor': v, 'exact': true}}),
+   list_transform(parts, lambda v: {{'anchor': v, 'exact': false}})) AS every FROM s),
+ u AS (SELECT item_id, unnest(every) AS x, unnest(range(0, len(every))) AS pos FROM e), k AS (SELECT item_id, pos, x.exact AS exact, x.anchor AS anchor, {_content("x.anchor")} AS ws FROM u),
+ i AS (SELECT item_id, pos, unnest(ws) AS w, unnest(range(0, len(ws))) AS i FROM k WHERE NOT exact), o AS (SELECT item_id, pos, w, i, row_number() OVER (PARTITION BY item_id, pos ORDER BY {_PART} + CASE WHEN regexp_matches(w, '[0-9]') THEN 0.0 ELSE -4.0 END DESC, i) AS n FROM i),
+ z AS (SELECT item_id, pos, string_agg(w, ' ' ORDER BY i) AS v FROM o WHERE n <= 9 GROUP BY item_id, pos), y AS (SELECT item_id, pos, exact, anchor FROM k WHERE exact UNION ALL SELECT item_id, pos, false, {_BARE} FROM z),
+ h AS (SELECT item_id, pos, exact, anchor, {_content("anchor")} AS ws FROM y WHERE anchor <> ''), f AS (SELECT item_id, arg_min(anchor, pos) AS anchor, min(pos) AS pos, bool_or(exact) AS exact, arg_min(ws, pos) AS ws FROM h WHERE {_INFORMATIVE("ws")} GROUP BY item_id, lower(anchor)),
+ g AS (SELECT item_id, anchor, exact, pos, ws, {_phrase_sql("ws")} AS score FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, length(anchor) DESC, pos) AS place FROM g),
+ anchors AS (SELECT item_id, anchor, round(score, 6) AS score, place, exact, list_transform(ws, lambda w: lower(w)) AS low FROM r WHERE place <= 14)"""
+
+
+@query("txt_18_top_05_anchors", f"WITH {_ANCHORS} SELECT item_id, anchor, score, place, exact FROM anchors")
 def anchors(spark, sf_dir):
     return planning.anchors(_questions(spark, sf_dir))
 
 
-@query("txt_19_query_pairs")
+@query("txt_19_query_pairs", f"""WITH {_ANCHORS}, p AS (SELECT a.item_id, '"' || a.anchor || '" "' || b.anchor || '"' AS query, a.score + b.score AS score, a.place AS i, b.place AS j FROM anchors a JOIN anchors b ON a.item_id = b.item_id AND a.place < b.place AND NOT list_has_any(a.low, b.low)),
+ t AS (SELECT *, row_number() OVER (PARTITION BY item_id, lower(array_to_string({_content("query")}, ' ')) ORDER BY i, j) AS n FROM p WHERE length(query) <= 280), l AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, i, j) AS place FROM t WHERE n = 1)
+ SELECT item_id, query, place FROM l WHERE place <= 7""")
 def query_pairs(spark, sf_dir):
     return planning.query_pairs(planning.anchors(_questions(spark, sf_dir)))
 

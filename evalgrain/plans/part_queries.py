@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalgrain.operators import consensus, discovery, evidence, fusion, leaks, ledger, planning, trajectory
 from evalgrain.plans.fixtures import table, trials, with_trials
-from evalgrain.plans.log_queries import _NOVEL, _questions, _turns
+from evalgrain.plans.log_queries import _ANCHORS, _content, _NOVEL, _questions, _turns
 from evalgrain.plans.registry import query
 from evalgrain.plans.text_queries import _LINES, _log_lines
 from evalgrain.sources import trial_logs
@@ -130,7 +130,17 @@ def answer_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", evidence.restates_category(asked, said).alias("restates"), F.array_join(evidence.surface_faults(asked, said), ",").alias("faults"))
 
 
-@query("txt_19_rungs")
+_RUNGS = f"""{_ANCHORS}, n AS (SELECT *, CASE WHEN exact THEN '"' || anchor || '"' ELSE anchor END AS said FROM anchors),
+ m AS (SELECT item_id, 1 AS rung, CASE WHEN exact THEN 0 ELSE 1 END AS a, place AS b, said AS query FROM n WHERE NOT exact OR len(regexp_extract_all(trim(regexp_replace(anchor, '\\s+', ' ', 'g')), '[A-Za-z0-9]+(?:[.''’-][A-Za-z0-9]+)*')) <= 7
+  UNION ALL SELECT x.item_id, 2, x.place, y.place, x.said || ' ' || y.said FROM n x JOIN n y ON x.item_id = y.item_id AND x.place < y.place AND y.place <= 8 AND NOT list_has_any(x.low, y.low)
+  UNION ALL SELECT item_id, 3, place, t.k, said || ' ' || t.term FROM n, (VALUES (0, 'official archive record'), (1, 'local directory')) t(k, term) WHERE place <= 5
+  UNION ALL SELECT item_id, 1, 1048576, 0, 'site:example.org Northern Bridge Museum 1890' FROM q),
+ v AS (SELECT item_id, rung, a, b, trim(regexp_replace(query, '\\s+', ' ', 'g')) AS query FROM m), sets AS (SELECT *, list_sort(list_distinct(list_transform({_content("query")}, lambda w: lower(w)))) AS words FROM v),
+ once AS (SELECT *, row_number() OVER (PARTITION BY item_id, rung, words ORDER BY a, b) AS nth FROM sets WHERE len(words) >= 2), ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, rung ORDER BY a, b) AS place FROM once WHERE nth = 1)
+ SELECT item_id, rung, left(query, 280) AS query, place FROM ranked WHERE place <= 7"""
+
+
+@query("txt_19_rungs", f"WITH {_RUNGS}")
 def query_rungs(spark, sf_dir):
     q = _questions(spark, sf_dir)
     terms = q.select("item_id", F.array(F.lit("official archive record"), F.lit("local directory")).alias("source_terms"))

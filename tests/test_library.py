@@ -177,6 +177,12 @@ def test_contained_by_pieces_equals_the_loop(spark):
     assert {tuple(r) for r in containment.contained(t, p, by_words=False).collect()} == wanted == {tuple(r) for r in containment.contained(t, p).collect()}
 
 
+def test_anchors_keep_the_best_nine_words_of_every_segment(spark):
+    q = spark.createDataFrame([(1, "Harbor lights glow. Seven grey towers stand near old northern docks while quiet sailors mend torn canvas sails. Bells ring daily.")], "item_id int, question string")
+    got = {r.anchor: r.place for r in planning.anchors(q).collect()}
+    assert got == {"Seven grey towers stand near old northern sailors canvas": 1, "Harbor lights glow": 2, "Bells ring daily": 3}
+
+
 def test_label_leaks_and_manifest(spark, tmp_path):
     c = spark.createDataFrame([(1, "look for Ada Lovelace at https://x/Byron"), (2, "Bob")], "item_id int, text string")
     a = spark.createDataFrame([(1, "ada lovelace"), (1, "Byron"), (1, "1843"), (2, "bob")], "item_id int, alias string")
