@@ -34,12 +34,11 @@ def _kind(at: Column) -> Column:
 
 def _forms(vocabulary: DataFrame, kind: int, lengths: list[int]) -> DataFrame:
     """word, df and each end, beginning or inner piece (form) of it that is as long as one of lengths."""
-    long_enough = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("word"))
+    rows = vocabulary.select("word", "df", F.explode(F.array(*map(F.lit, lengths))).alias("n")).where(F.col("n") <= F.length("word"))
     if kind == INSIDE:
-        pieces = F.flatten(F.transform(long_enough, lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda at: F.substring("word", at, n))))
-    else:
-        pieces = F.transform(long_enough, lambda n: F.substring("word", F.lit(1), n) if kind == BEGINS else F.substring("word", F.length("word") - n + 1, n))
-    return vocabulary.select("word", "df", F.explode(F.array_distinct(pieces)).alias("form"))
+        rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("n") + 1)).alias("at"))
+        return rows.select("word", "df", F.substring("word", F.col("at"), F.col("n")).alias("form")).distinct()
+    return rows.select("word", "df", (F.left if kind == BEGINS else F.right)("word", "n").alias("form"))
 
 
 def _found(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

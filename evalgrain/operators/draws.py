@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Standard deviations (and as many whole numbers more) about a mean beyond which a binomial law has nothing left in double precision.
-_REACH = 12
+_REACH = 9
 
 
 def uniform(seed: int, *counters: Column | str) -> Column:

@@ -82,8 +82,8 @@ def wilson(spark, sf_dir):
 
 def _binomial_sql(name: str, laws: str, points: str) -> str:
     """CTEs: `name`(law, id, draw), the inverse of the binomial laws (law, n, p) at points (law, id, u), by counting table rows below u."""
-    return f"""{name}_l AS (SELECT law, n, p, CASE WHEN p >= 1 THEN n ELSE greatest(0, floor(n * p - 12 * sqrt(n * p * (1 - p)) - 12)) END::BIGINT AS low,
-  CASE WHEN p <= 0 THEN 0 ELSE least(n, ceil(n * p + 12 * sqrt(n * p * (1 - p)) + 12)) END::BIGINT AS high FROM ({laws})),
+    return f"""{name}_l AS (SELECT law, n, p, CASE WHEN p >= 1 THEN n ELSE greatest(0, floor(n * p - 9 * sqrt(n * p * (1 - p)) - 9)) END::BIGINT AS low,
+  CASE WHEN p <= 0 THEN 0 ELSE least(n, ceil(n * p + 9 * sqrt(n * p * (1 - p)) + 9)) END::BIGINT AS high FROM ({laws})),
  {name}_j AS (SELECT law, n, p, low, unnest(range(least(low, high), high + 1)) AS j FROM {name}_l),
  {name}_w AS (SELECT law, low, j, sum(CASE WHEN j > low THEN ln((n - j + 1) / j) + ln(p / (1 - p)) ELSE 0.0::DOUBLE END) OVER (PARTITION BY law ORDER BY j) AS w FROM {name}_j),
  {name}_e AS (SELECT law, low, j, exp(w - max(w) OVER (PARTITION BY law)) AS e FROM {name}_w),
