@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 EARTH_M, MILE_M, MAX_RADIUS_M = 6_371_008.8, 1_609.344, 25_000
 #: Height of a cell in degrees, and width at the equator: over the largest radius, so a circle touches three bands at most.
 CELL = 0.25
+#: Places that a cell holds at most. Fuller ones are split into four again and again, down to CELL / 2**DEPTH (7 metres); what is
+#: still fuller there is dealt by hash.
+FULL, DEPTH = 4096, 12
 
 # What tags make a category.
 CATEGORIES = {
@@ -56,31 +59,96 @@ def _cells_in(band: Column) -> Column:
 
 
 def with_radius(anchors: DataFrame) -> DataFrame:
-    """anchors with radius_m clipped to 100 to 25,000 and widened to 1.15 times an expected distance."""
-    asked = F.greatest(F.lit(100), F.least(F.coalesce("radius_m", F.lit(5_000)).cast("int"), F.lit(MAX_RADIUS_M)))
-    need = F.coalesce(F.least(F.lit(MAX_RADIUS_M), F.ceil(F.col("expected_distance_miles") * MILE_M * 1.15).cast("int")), F.lit(0))
+    """anchors with radius_m (5,000 if null or 0) clipped to 100 to 25,000 and, where a distance is expected, widened to 1.15 times that."""
+    asked = F.greatest(F.lit(100), F.least(F.coalesce(F.nullif("radius_m", F.lit(0)), F.lit(5_000)).cast("int"), F.lit(MAX_RADIUS_M)))
+    # least() passes over nulls, so what isn't expected must not come to it.
+    expected = F.col("expected_distance_miles")
+    need = F.when(expected.isNotNull(), F.least(F.lit(MAX_RADIUS_M), F.ceil(expected * MILE_M * 1.15).cast("int"))).otherwise(0)
     return anchors.withColumn("radius_m", F.greatest(asked, need))
 
 
-def places_near(anchors: DataFrame, places: DataFrame) -> DataFrame:
-    """(anchor_id, place_id, straight_line_miles) of places within each anchor's radius: an equi-join on grid cells.
+def _node(row: Column, col: Column, up: Column | int) -> list[Column]:
+    """row and col of the cell that is `up` levels above a cell."""
+    up = F.lit(up) if isinstance(up, int) else up
+    return [F.call_function("shiftright", row, up).alias("row"), F.call_function("shiftright", col, up).alias("col")]
+
+
+def _column(lon: Column, n: Column) -> Column:
+    """Number of the cell among n around the globe, not yet brought into 0 to n - 1."""
+    return F.floor((lon + 180) / 360 * n).cast("long")
+
 
-    An anchor goes to every cell its circle can touch, a place to one; the exact distance decides.
+def split_cells(fine: DataFrame, full: int = FULL) -> DataFrame:
+    """(row, col, level, parts) of the finest cells that lie in a base cell with over `full` places; fine: row, col of each place.
+
+    level is that of the cell which keeps them: the first on the way down with no more than `full` places. parts is over 1 where
+    a finest cell itself has more. Only counts are exchanged, so neither a full cell nor a full place is one task.
     """
+    counts = fine.groupBy("row", "col").agg(F.count("*").alias("n"))
+    base = counts.groupBy(*_node(F.col("row"), F.col("col"), DEPTH)).agg(F.sum("n").alias("n")).where(F.col("n") > full)
+    up = lambda x: F.call_function("shiftright", F.col(x), F.lit(DEPTH))
+    hot = counts.withColumns({"b_row": up("row"), "b_col": up("col")}).join(base.select(F.col("row").alias("b_row"), F.col("col").alias("b_col")), ["b_row", "b_col"], "left_semi")
+    nodes = hot.select("n", F.col("row").alias("f_row"), F.col("col").alias("f_col"), F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("level"))
+    nodes = nodes.withColumns(dict(zip(("row", "col"), _node(F.col("f_row"), F.col("f_col"), DEPTH - F.col("level")), strict=True)))
+    fuller = nodes.groupBy("level", "row", "col").agg(F.sum("n").alias("all")).where(F.col("all") > full).drop("all")
+    below = nodes.join(fuller, ["level", "row", "col"], "left_semi").groupBy("f_row", "f_col").agg(F.max("level").alias("last"), F.first("n").alias("n"))
+    parts = F.when(F.col("last") == DEPTH, F.ceil(F.col("n") / full)).otherwise(1).cast("int")
+    return below.select(F.col("f_row").alias("row"), F.col("f_col").alias("col"), F.least(F.col("last") + 1, F.lit(DEPTH)).alias("level"), parts.alias("parts"))
+
+
+def _by_cell(places: DataFrame, full: int) -> tuple[DataFrame, DataFrame]:
+    """Places with level, row, col, part of the cell that keeps each, and these cells but for unsplit ones (level 0)."""
+    band = _band(F.col("lat"))
+    n = _cells_in(band) * (1 << DEPTH)
+    row = F.floor((F.col("lat") + 90) / CELL * (1 << DEPTH)).cast("long")
+    p = places.select("place_id", "lat", "lon", row.alias("row"), F.pmod(_column(F.col("lon"), n), n).alias("col")).where("row IS NOT NULL AND col IS NOT NULL")
+    split = split_cells(p, full)
+    level = F.coalesce("level", F.lit(0))
+    part = F.pmod(F.xxhash64("place_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    p = p.join(split, ["row", "col"], "left").select("place_id", "lat", "lon", level.alias("level"), *_node(F.col("row"), F.col("col"), DEPTH - level), part.alias("part"))
+    cells = split.select("level", *_node(F.col("row"), F.col("col"), DEPTH - F.col("level")), "parts").distinct()
+    return p, cells.select("level", "row", "col", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
+def _circles(anchors: DataFrame) -> DataFrame:
+    """anchor_id, a_lat, a_lon, radius_m with each cell (fit, row, col) that the circle can touch, of the level `fit`
+    whose cells are just higher than the circle's radius: three or four bands, whatever the radius."""
     a = with_radius(anchors)
     reach = F.degrees(F.col("radius_m") / EARTH_M) * 1.001
-    bands = F.sequence(F.greatest(_band(F.col("lat") - reach), F.lit(0)), F.least(_band(F.col("lat") + reach), F.lit(int(180 / CELL))))
-    a = a.select("anchor_id", "radius_m", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), F.explode(bands).alias("band"), reach.alias("reach"))
-    n = _cells_in(F.col("band"))
-    widest = F.least(F.lit(89.9), F.abs("a_lat") + F.col("reach"))
-    side = F.least(F.lit(180.0), F.col("reach") / F.cos(F.radians(widest)))
-    cell = lambda lon: F.floor((lon + 180) / 360 * n).cast("int")
-    cells = F.array_distinct(F.transform(F.sequence(cell(F.col("a_lon") - side), cell(F.col("a_lon") + side)), lambda c: F.pmod(c, n)))
-    a = a.withColumn("cell", F.explode(cells))
-    p = places.select("place_id", "lat", "lon", _band(F.col("lat")).alias("band"))
-    p = p.withColumn("cell", F.pmod(F.floor((F.col("lon") + 180) / 360 * _cells_in(F.col("band"))).cast("int"), _cells_in(F.col("band"))))
+    a = a.select("anchor_id", "radius_m", F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), reach.alias("reach"))
+    fit = F.greatest(F.lit(0), F.least(F.lit(DEPTH), F.floor(F.log2(CELL / F.col("reach"))))).cast("int")
+    a = a.withColumn("fit", fit).withColumn("per_cell", F.call_function("shiftleft", F.lit(1), F.col("fit")))
+    row = lambda lat: F.floor((lat + 90) / CELL * F.col("per_cell")).cast("long")
+    low, high = F.greatest(row(F.col("a_lat") - F.col("reach")), F.lit(0)), F.least(row(F.col("a_lat") + F.col("reach")), row(F.lit(90.0)))
+    a = a.withColumn("row", F.explode(F.sequence(low, high)))
+    n = _cells_in(F.call_function("shiftright", F.col("row"), F.col("fit"))) * F.col("per_cell")
+    # A circle that comes near a pole may hold any longitude.
+    widest = F.abs("a_lat") + F.col("reach")
+    side = F.when(widest >= 89.9, 180.0).otherwise(F.least(F.lit(180.0), F.col("reach") / F.cos(F.radians(widest))))
+    cols = F.array_distinct(F.transform(F.sequence(_column(F.col("a_lon") - side, n), _column(F.col("a_lon") + side, n)), lambda c: F.pmod(c, n)))
+    return a.select("anchor_id", "radius_m", "a_lat", "a_lon", "fit", "row", F.explode(cols).alias("col"))
+
+
+def places_near(anchors: DataFrame, places: DataFrame, full: int = FULL) -> DataFrame:
+    """(anchor_id, place_id, straight_line_miles) of places within each anchor's radius: an equi-join on grid cells.
+
+    A place lies in one cell of a quadtree, none of which keeps more than about `full` places. An anchor's circle is laid over
+    cells of its own size; it goes to what keeps places above those, on the way up, and to what keeps them below,
+    which the split cells' ancestors tell. The exact distance decides.
+    """
+    p, cells = _by_cell(places, full)
+    circles = _circles(anchors)
+    anchor = ["anchor_id", "radius_m", "a_lat", "a_lon"]
+    above = circles.withColumn("level", F.explode(F.sequence(F.lit(0), F.col("fit"))))
+    above = above.select(*anchor, "level", *_node(F.col("row"), F.col("col"), F.col("fit") - F.col("level")), F.lit(0).alias("part")).distinct()
+    deeper = cells.withColumn("fit", F.explode(F.sequence(F.lit(0), F.col("level") - 1)))
+    x = dict(zip(("f_row", "f_col"), _node(F.col("row"), F.col("col"), F.col("level") - F.col("fit")), strict=True))
+    deeper = deeper.withColumns(x).withColumnsRenamed({"row": "k_row", "col": "k_col"})
+    met = circles.withColumnsRenamed({"row": "f_row", "col": "f_col"}).join(deeper, ["fit", "f_row", "f_col"])
+    below = met.select(*anchor, "level", F.col("k_row").alias("row"), F.col("k_col").alias("col"), "part")
     meters = haversine_m(F.col("a_lat"), F.col("a_lon"), F.col("lat"), F.col("lon"))
-    return a.join(p, ["band", "cell"]).withColumn("m", meters).where("m <= radius_m").select("anchor_id", "place_id", F.round(F.col("m") / MILE_M, 3).alias("straight_line_miles"))
+    near = above.unionByName(below).join(p, ["level", "row", "col", "part"]).withColumn("m", meters).where("m <= radius_m")
+    return near.select("anchor_id", "place_id", F.round(F.col("m") / MILE_M, 3).alias("straight_line_miles"))
 
 
 def route_candidates(near: DataFrame, anchors: DataFrame, max_results: int, pool: int = 500, nearest: int = 100) -> DataFrame:

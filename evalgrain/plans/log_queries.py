@@ -314,7 +314,7 @@ def _places(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "supplier").select(k.alias("place_id"), F.col("s_name").alias("name"), F.concat(F.lit("Brand "), k % 5).alias("brand"), F.lit("1").alias("house"), F.lit(" Main ").alias("street"), ((k * 37) % 1200 / 10 - 60 + 0.01).alias("lat"), ((k * 91) % 3600 / 10 - 180 + 0.01).alias("lon"))
 
 
-_GEO = """a AS (SELECT c_custkey AS anchor_id, c_custkey % 50 AS question_id, (c_custkey * 37) % 1200 / 10.0::DOUBLE - 60 AS lat, (c_custkey * 91) % 3600 / 10.0::DOUBLE - 180 AS lon, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 12)::DOUBLE END AS expected, greatest(greatest(100, least((c_custkey % 30) * 1000, 25000)), coalesce(least(25000, ceil(CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 12)::DOUBLE END * 1609.344 * 1.15)), 0)) AS radius FROM customer),
+_GEO = """a AS (SELECT c_custkey AS anchor_id, c_custkey % 50 AS question_id, (c_custkey * 37) % 1200 / 10.0::DOUBLE - 60 AS lat, (c_custkey * 91) % 3600 / 10.0::DOUBLE - 180 AS lon, CASE WHEN c_custkey % 2 = 0 THEN (c_custkey % 12)::DOUBLE END AS expected, greatest(100, least(coalesce(nullif((c_custkey % 30) * 1000, 0), 5000), 25000), CASE WHEN c_custkey % 2 = 0 THEN least(25000, ceil((c_custkey % 12)::DOUBLE * 1609.344 * 1.15)) ELSE 0 END) AS radius FROM customer),
  p AS (SELECT s_suppkey AS place_id, s_name AS name, 'Brand ' || s_suppkey % 5 AS brand, (s_suppkey * 37) % 1200 / 10.0::DOUBLE - 60 + 0.01 AS lat, (s_suppkey * 91) % 3600 / 10.0::DOUBLE - 180 + 0.01 AS lon FROM supplier),
  d AS (SELECT anchor_id, question_id, expected, place_id, name, brand, radius, 2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians(p.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(p.lat)) * pow(sin(radians(p.lon - a.lon) / 2), 2)))) AS m FROM a, p),
  n AS (SELECT *, round(m / 1609.344, 3) AS straight_line_miles FROM d WHERE m <= radius)"""
