@@ -162,19 +162,55 @@ def url_safety(pages: DataFrame, url: str = "url") -> DataFrame:
     return out.withColumn("rejection", F.coalesce("rejection", F.when(F.col("bad"), "address"))).drop("literal", "bad")
 
 
+#: Terms of a group that the most pairs of row and query share: bits of a mask instead of keys of a join.
+COMMON = 8
+
+
+def term_masks(told: DataFrame, asked: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides (group, terms and others) with `mask`, which of the group's COMMON terms are there, and `rare`, the other terms.
+
+    Common are the terms with the largest product of the numbers of sets on both sides; groups that share no term are left out.
+    """
+    counted = lambda df, n: df.select(group, F.explode("terms").alias("term")).groupBy(group, "term").agg(F.count("*").alias(n))
+    met = counted(told, "told").join(counted(asked, "asked"), [group, "term"])
+    first = met.withColumn("n", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.col("told") * F.col("asked")), "term"))).where(F.col("n") <= COMMON)
+    common = first.groupBy(group).agg(*[F.max(F.when(F.col("n") == k + 1, F.col("term"))).alias(f"common{k}") for k in range(COMMON)])
+    names = [f"common{k}" for k in range(COMMON)]
+    has = lambda k: F.when(F.array_contains("terms", F.col(names[k])), 1 << k).otherwise(0)
+    mask = has(0)
+    for k in range(1, COMMON):
+        mask = mask.bitwiseOR(has(k))
+    split = lambda df: df.join(common, group).withColumns({"mask": mask, "rare": F.array_except("terms", F.array(*names))}).drop(*names)
+    return split(told), split(asked)
+
+
+def rare_meetings(told: DataFrame, asked: DataFrame, group: str) -> DataFrame:
+    """group, said, mask, query_key, asked_mask and shared, the number of rare terms, of every pair that shares a rare term."""
+    left = told.select(group, "said", "mask", F.explode("rare").alias("term"))
+    right = asked.select(group, "query_key", F.col("mask").alias("asked_mask"), F.explode("rare").alias("term"))
+    return left.join(right, [group, "term"]).groupBy(group, "said", "mask", "query_key", "asked_mask").agg(F.count("*").alias("shared"))
+
+
 def with_best_overlap(rows: DataFrame, queries: DataFrame, group: str) -> DataFrame:
     """rows with overlap instead of terms: the most terms shared with one query of the group, 0 without any.
 
-    Terms meet terms by an equi-join and are counted by pair, so no group's queries are listed and only pairs that
-    share a term are made. Rows of a group with equal terms are counted once.
+    The COMMON terms of a group are bits of a mask on both sides. Pairs that share another term are joined by it and
+    counted, the masks giving what they share besides; for all other pairs the masks alone decide, and of those a group
+    has 2**COMMON at most. So no group's queries are listed, and the pairs made don't grow with a group's commonest
+    terms. Rows of a group with equal terms are counted once.
     """
     key = lambda c: F.unhex(F.md5(F.array_join(c, " ")))
-    told = rows.withColumn("said", key(F.array_sort("terms")))
-    asked = queries.select(group, F.array_sort(T.terms(F.col("query"), T.LINK_STOPWORDS)).alias("asked")).distinct()
-    asked = asked.select(group, key(F.col("asked")).alias("query_key"), F.explode("asked").alias("term"))
-    met = told.select(group, "said", F.explode("terms").alias("term")).join(asked, [group, "term"]).distinct()
-    best = met.groupBy(group, "said", "query_key").agg(F.count("*").alias("shared")).groupBy(group, "said").agg(F.max("shared").cast("int").alias("overlap"))
-    return told.drop("terms").join(best, [group, "said"], "left").drop("said").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    rows = rows.withColumn("said", key(F.array_sort("terms")))
+    told = rows.select(group, "said", F.array_sort("terms").alias("terms")).distinct()
+    asked = queries.select(group, F.array_sort(T.terms(F.col("query"), T.LINK_STOPWORDS)).alias("terms")).distinct().withColumn("query_key", key(F.col("terms")))
+    told, asked = term_masks(told, asked, group)
+    both = F.bit_count(F.col("mask").bitwiseAND(F.col("asked_mask")))
+    by_rare = rare_meetings(told, asked, group).groupBy(group, "said").agg(F.max(F.col("shared") + both).alias("by_rare"))
+    masks = told.select(group, "mask").distinct().join(asked.select(group, F.col("mask").alias("asked_mask")).distinct(), group)
+    by_mask = masks.groupBy(group, "mask").agg(F.max(both).alias("by_mask"))
+    best = told.select(group, "said", "mask").join(by_rare, [group, "said"], "left").join(by_mask, [group, "mask"], "left")
+    best = best.select(group, "said", F.greatest("by_rare", "by_mask").cast("int").alias("overlap"))
+    return rows.drop("terms").join(best, [group, "said"], "left").drop("said").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
 
 
 def passages(docs: DataFrame, queries: DataFrame, key: str = "doc_id", group: str = "group", per_page: int = 2, limit: int = 6) -> DataFrame:
