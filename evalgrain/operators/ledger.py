@@ -39,17 +39,35 @@ def ledgers(trials: DataFrame, carry: tuple[str, ...] = ("run_id", "attempt", "s
     return listed.select("subset_rank", "x.policy", *[F.col(f"x.row.{c}").alias(c) for c in carry])
 
 
-def ledger_summary(ledger: DataFrame, total_questions: int) -> DataFrame:
-    """Counts by policy; the list of ranks is as long as the question set."""
+def ledger_summary(ledger: DataFrame, total_questions: int, listed: bool = True) -> DataFrame:
+    """Counts by policy. With `listed` also the ranks, a list as long as the question set; rank_ranges() gives them as rows."""
     n, right = F.count("*"), F.count_if("correct")
+    ranks = [F.array_join(F.sort_array(F.collect_list("subset_rank")), ",").alias("subset_ranks")] if listed else []
     return ledger.groupBy("policy").agg(
         n.alias("attempted"), right.alias("correct"), (n - right).alias("incorrect"), (right / n).alias("accuracy_among_attempted"),
         F.greatest(F.lit(total_questions) - n, F.lit(0)).alias("questions_without_terminal_record"),
-        F.try_divide(right, F.lit(total_questions)).alias("full_set_correct_coverage"),
-        F.array_join(F.sort_array(F.collect_list("subset_rank")), ",").alias("subset_ranks"),
+        F.try_divide(right, F.lit(total_questions)).alias("full_set_correct_coverage"), *ranks,
     )
 
 
+def rank_ranges(ledger: DataFrame, block: int = 4096) -> DataFrame:
+    """(policy, low, high): the ranks of each policy as ranges without gaps.
+
+    Ranges are found within blocks of ranks; only those that touch a block's border, two a block at most, meet in one
+    task a policy to be put together.
+    """
+    rows = ledger.select("policy", F.col("subset_rank").cast("long").alias("rank")).where("rank IS NOT NULL").distinct()
+    rows = rows.withColumn("start", F.col("rank") - F.pmod("rank", F.lit(block)))
+    island = F.col("rank") - F.row_number().over(Window.partitionBy("policy", "start").orderBy("rank"))
+    found = rows.withColumn("island", island).groupBy("policy", "start", "island").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
+    border = (F.col("low") == F.col("start")) | (F.col("high") == F.col("start") + block - 1)
+    in_order = Window.partitionBy("policy").orderBy("low")
+    begins = F.when(F.lag("high").over(in_order) == F.col("low") - 1, 0).otherwise(1)
+    touching = found.where(border).withColumn("begins", begins).withColumn("chain", F.sum("begins").over(in_order))
+    whole = touching.groupBy("policy", "chain").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return found.where(~border).select("policy", "low", "high").unionByName(whole.drop("chain"))
+
+
 def version_counts(trials: DataFrame) -> DataFrame:
     t = terminal_identity()
     return trials.agg(

@@ -288,6 +288,14 @@ def subset_checks(spark, sf_dir):
     return check(b, "all").unionByName(check(odd, "odd"))
 
 
+@query("prj_02_list_digest", """WITH r AS (SELECT doc_id AS pos, doc_id * 7 % 1009 AS i FROM documents), l AS (SELECT min(pos) AS low FROM r),
+ c AS (SELECT (pos - low) // 256 AS k, sha256(string_agg(i, ',' ORDER BY pos, i)) AS h FROM r, l GROUP BY k)
+ SELECT CASE WHEN count(*) = 1 THEN min(h) ELSE sha256(string_agg(h, ',' ORDER BY k)) END AS digest FROM c""")
+def list_digest(spark, sf_dir):
+    ranks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("subset_rank"), (F.col("doc_id") * 7 % 1009).alias("source_index"))
+    return planning.list_digest(ranks, 256)
+
+
 @query("prj_04_ranges", "SELECT DISTINCT CAST(i AS INTEGER) AS index FROM (SELECT unnest(range(item_id * 3, item_id * 3 + 5)) AS i FROM benchmark UNION ALL SELECT item_id * 7 FROM benchmark) WHERE i < 120")
 def ranges(spark, sf_dir):
     k = F.col("item_id") * 3

@@ -141,6 +141,12 @@ def ledger_summary(spark, sf_dir):
     return rounded(out, "accuracy_among_attempted", "full_set_correct_coverage")
 
 
+@query("agg_12_rank_ranges", with_trials(_LEDGER + """, i AS (SELECT policy, subset_rank, subset_rank - row_number() OVER (PARTITION BY policy ORDER BY subset_rank) AS island FROM ledger)
+ SELECT policy, min(subset_rank) AS low, max(subset_rank) AS high FROM i GROUP BY policy, island"""))
+def rank_ranges(spark, sf_dir):
+    return ledger.rank_ranges(ledger.ledgers(trials(spark, sf_dir)), 64)
+
+
 @query("agg_12_version_counts", with_trials("""SELECT count(*) FILTER (event_id % 13 > 0 AND event_id % 17 > 0) AS terminal_record_versions, count(*) FILTER (status = 'completed' AND correct IS NOT NULL AND event_id % 13 > 0 AND event_id % 17 > 0) AS graded_record_versions,
  count(*) FILTER (NOT (status = 'completed' AND correct IS NOT NULL)) AS unscored_record_versions, count(*) FILTER (event_id % 13 = 0 OR event_id % 17 = 0) AS quarantined_record_versions FROM trials"""))
 def version_counts(spark, sf_dir):
