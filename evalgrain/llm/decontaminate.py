@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrain.llm.base import materialize, without
@@ -36,16 +36,39 @@ def windows(words: list[bytes], size: int) -> set[bytes]:
     return {b" " + b" ".join(words[i : i + size]) + b" " for i in range(max(1, len(words) - size + 1))}
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks of about max_bytes of text, each small enough to send to every executor; one is on the driver at a time."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // max_bytes) + 1
-    numbered = items.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(n)))
-    if n > 1:
-        numbered = materialize(numbered.repartition(n, "part"), "benchmark")
-    for k in range(n):
-        yield [(r.item, r.text) for r in numbered.where(F.col("part") == k).collect()]
+#: What stands between words, as a Java pattern, and the number of windows in a piece of an item.
+_APART, PIECE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", 4096
+
+
+def item_pieces(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Distinct (item, text) of items with words: an item's words joined by blanks, in pieces of PIECE windows.
+
+    A piece begins with the words that its predecessor ends with, so every window is whole in one piece.
+    """
+    words = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), _APART), lambda w: w != "")
+    items = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), words.alias("words")).where("item IS NOT NULL AND size(words) > 0")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - window, F.lit(0)), F.lit(PIECE))
+    text = F.transform(starts, lambda s: F.array_join(F.slice("words", s + 1, F.lit(PIECE + window - 1)), " "))
+    return items.select("item", F.explode(text).alias("text")).distinct()
+
+
+def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, max_bytes: int, window: int = 13) -> Iterator[list[tuple[str, str]]]:
+    """The benchmark in blocks to send to every executor; one is on the driver at a time. At least one, if an empty one.
+
+    A block has at most max_bytes of text and one piece (item_pieces()) more, whatever the items: pieces are dealt to bins by hash,
+    and a bin is cut where its running sum of bytes passes max_bytes, so neither a long item nor an id with many rows makes a large block.
+    """
+    pieces = item_pieces(benchmark, id_col, text_col, window)
+    total = pieces.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    if total <= max_bytes:
+        yield [(r.item, r.text) for r in pieces.collect()]
+        return
+    bins = 2 * int(total // max_bytes) + 1
+    before = F.sum(F.octet_length("text") + 1).over(Window.partitionBy("bin").orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1))
+    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("item", "text"), F.lit(bins))).withColumn("cut", F.floor(F.coalesce(before, F.lit(0)) / max_bytes))
+    dealt = materialize(dealt, "benchmark")
+    for bin_, cut in sorted(map(tuple, dealt.select("bin", "cut").distinct().collect())):
+        yield [(r.item, r.text) for r in dealt.where((F.col("bin") == bin_) & (F.col("cut") == cut)).collect()]
 
 
 #: The automaton that this worker used last, by a name that each block of items gets.
@@ -133,8 +156,8 @@ def decontaminate(
     item if shorter); contaminated means n_hit > 0 and share * n_hit >= n_words. spans are code-point offsets of the hit
     ranges in the original text.
 
-    Plan: no shuffle of documents. The items go to the executors in blocks of at most max_block_bytes of text, one after
-    another; each block is one automaton, which a worker builds once, and a document is scanned once per block. Past one block
+    Plan: no shuffle of documents. The items go to the executors in blocks of max_block_bytes of text and one piece of an
+    item more at most, one after another; each block is one automaton, which a worker builds once, and a document is scanned once per block. Past one block
     the hits so far are written between blocks, and the block's broadcast is released.
 
     Null and empty texts have no words and no hit; items with null id are ignored, items without words match nothing;
@@ -145,7 +168,7 @@ def decontaminate(
     ranges = "array<struct<start:int,end:int>>"
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("doc"), F.array().cast(ranges).alias("hits"), F.array().cast("array<string>").alias("items"))
     text, waiting = F.col("doc").getField(text_col).cast("string"), None
-    for items in item_blocks(benchmark, item_id_col, item_text_col, max_block_bytes):
+    for items in item_blocks(benchmark, item_id_col, item_text_col, max_block_bytes, window):
         if waiting is not None:
             df = materialize(df.select("doc", "verdict.hits", "verdict.items"), "decontaminate")
             waiting.destroy()

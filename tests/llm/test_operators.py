@@ -480,6 +480,18 @@ def test_decontamination_holds_one_block_at_a_time(spark):
     assert 0 < len(first) < 30 and len(first) + sum(map(len, blocks)) == 30
 
 
+def test_decontamination_blocks_are_bounded(spark, monkeypatch):
+    """One id with 2,000 texts and one item of 3,000 words: no block over the limit and a piece, no window lost."""
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    items = [(1, f"one{k} two{k}, three{k}") for k in range(2000)] + [(2, " ".join(f"w{k}" for k in range(3000)))] + [(3, "same words"), (3, "Same  words"), (4, "?!"), (5, " ".join(f"v{k}" for k in range(13)))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate.item_blocks(bench, "item_id", "text", 5000))
+    sizes = [sum(len(t) + 1 for _, t in b) for b in blocks]
+    assert len(blocks) > 10 and max(sizes) <= 5000 + 62 * 6
+    made = {(i, w) for b in blocks for i, t in b for w in decontaminate.windows(decontaminate.fold_words(t), 13)}
+    assert made == {(str(i), w) for i, t in items for w in decontaminate.windows(decontaminate.fold_words(t), 13)}
+
+
 def test_shared_folder_is_the_clusters(spark):
     assert base.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
 
