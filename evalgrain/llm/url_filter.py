@@ -14,9 +14,7 @@ from evalgrain.llm.base import without
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 FOLDS = 5
-#: What has statistics of its own: the host's last label, and the first part of the path.
-KEYS = ("suffix", "segment")
-FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", *[f"{k}_{x}" for k in KEYS for x in ("rows", "block_rate")])
+FEATURES = ("length", "depth", "digit_ratio", "entropy", "n_params", "n_labels", "n_hyphens", "suffix_rows", "suffix_block_rate")
 
 
 def host_of(url: Column) -> Column:
@@ -63,52 +61,41 @@ def _lexical(url: Column, host: Column, path: Column) -> list[Column]:
 
 
 def _judged_by_rules(pages: DataFrame, rules: list[tuple[str, str]], url_col: str, keep: list[str]) -> DataFrame:
-    """page (the columns kept), url, host, path, rule, ruled (the rule's verdict), KEYS and fold of every row."""
+    """page (the columns kept), url, host, path, rule, ruled (the rule's verdict), suffix (the host's last label) and fold (of the host) of every row."""
     url = F.coalesce(F.col(f"`{url_col}`").cast("string"), F.lit(""))
     base = pages.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("page"), url.alias("url"))
     base = base.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     base = base.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdicts = {rule: verdict for verdict, rule in rules}
     ruled = reduce(lambda c, r: F.when(F.col("rule") == r, F.lit(verdicts[r])).otherwise(c), verdicts, F.lit(None).cast("string"))
-    base = base.withColumn("segment", F.regexp_extract("path", "^/([^/]*)", 1))
-    return base.withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)))
+    return base.withColumn("ruled", ruled).withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
 
 
 def _featured(df: DataFrame, *also: str) -> DataFrame:
-    """df's url, host and path to features; it has those of KEYS already."""
-    seen = df.select(*also, *_lexical(F.col("url"), F.col("host"), F.col("path")), *[f"{k}_{x}" for k in KEYS for x in ("rows", "block_rate")])
+    """df's url, host and path to features; it has those of the suffix already."""
+    seen = df.select(*also, *_lexical(F.col("url"), F.col("host"), F.col("path")), "suffix_rows", "suffix_block_rate")
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(seen)
 
 
 def _fitted(labelled: DataFrame, rows: DataFrame, mean: float, max_labelled: int, trees: int, depth: int, strength: float = 10.0):
-    """Trees fitted on at most max_labelled of the labelled URLs, and the tables of KEYS that they are to be used with.
+    """Trees fitted on at most max_labelled of the labelled URLs, and the table of suffixes that they are to be used with.
 
-    A suffix (or segment) has the rows of all pages and the share of its labelled URLs that are blocked, drawn to the mean by
-    `strength` URLs. For a URL that the trees are fitted on its share is that of the other folds.
+    A suffix has the rows of all pages and the share of its labelled URLs that are blocked, drawn to the mean by `strength`
+    URLs. For a URL that the trees are fitted on its share is that of the other folds, so of other hosts.
     """
-    of = lambda total, blocked: (blocked + F.lit(mean * strength)) / (total + F.lit(strength))
-    apart = labelled.withColumn("deal", F.xxhash64("url")).orderBy("deal", "url").limit(max_labelled)
-    tables = {}
-    for key in KEYS:
-        by_fold = labelled.groupBy(key, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
-        whole = by_fold.groupBy(key).agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
-        table = rows.groupBy(key).agg(F.log2(F.count("*") + 1.0).alias(f"{key}_rows")).join(whole, key, "left").fillna({"all_n": 0, "all_b": 0.0})
-        held = apart.join(table, key).join(by_fold, [key, "fold"]).withColumn(f"{key}_block_rate", of(F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")))
-        apart = held.drop("all_n", "all_b", "n", "b")
-        tables[key] = table.select(key, f"{key}_rows", of(F.col("all_n"), F.col("all_b")).alias(f"{key}_block_rate"))
+    rate = lambda total, blocked: ((blocked + F.lit(mean * strength)) / (total + F.lit(strength))).alias("suffix_block_rate")
+    by_fold = labelled.groupBy("suffix", "fold").agg(F.count("*").alias("n"), F.sum("label").alias("b"))
+    whole = by_fold.groupBy("suffix").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+    table = rows.groupBy("suffix").agg(F.log2(F.count("*") + 1.0).alias("suffix_rows")).join(whole, "suffix", "left").fillna({"all_n": 0, "all_b": 0.0})
+    apart = labelled.withColumn("deal", F.xxhash64("url")).orderBy("deal", "url").limit(max_labelled).join(table, "suffix").join(by_fold, ["suffix", "fold"])
+    apart = apart.select("url", "host", "path", "label", "suffix_rows", rate(F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b")))
     model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, featuresCol="features", labelCol="label", predictionCol="blocked").fit(_featured(apart, "label"))
-    return model, tables
-
-
-def _with_tables(df: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    for key, table in tables.items():
-        df = df.join(table, key)
-    return df
+    return model, table.select("suffix", "suffix_rows", rate(F.col("all_n"), F.col("all_b")))
 
 
 def _labelled(base: DataFrame) -> tuple[DataFrame, dict[float, int]]:
     """The distinct URLs that a rule labels (copies of one count once), and the number of each label."""
-    labelled = base.where("ruled IS NOT NULL").select("url", "host", "path", *KEYS, "fold", (F.col("ruled") == "block").cast("double").alias("label")).distinct()
+    labelled = base.where("ruled IS NOT NULL").select("url", "host", "path", "suffix", "fold", (F.col("ruled") == "block").cast("double").alias("label")).distinct()
     return labelled, {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
 
 
@@ -121,7 +108,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
 
     Null URLs and URLs without '://' have empty host and path and are judged by the trees as an empty text. Repeated
     rows are judged alike; an empty table gives an empty result; other columns pass through and one named `out`, whatever
-    its case, is replaced. Every suffix and first part of a path counts, over all pages; their tables are joined, not broadcast by us.
+    its case, is replaced. Every suffix counts, over all pages; their table is joined, not broadcast by us.
     """
     keep = without(pages.columns, out)
     base = _judged_by_rules(pages, rules, url_col, keep)
@@ -130,19 +117,19 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "
         judged = base.withColumn("judged", F.lit("block" if 1.0 in kinds else "allow"))
     else:
         mean = kinds[1.0] / (kinds[0.0] + kinds[1.0])
-        model, tables = _fitted(labelled, base, mean, max_labelled, trees, depth)
-        scored = model.transform(_featured(_with_tables(base, tables), "page", "host", "path", "rule", "ruled"))
+        model, suffixes = _fitted(labelled, base, mean, max_labelled, trees, depth)
+        scored = model.transform(_featured(base.join(suffixes, "suffix"), "page", "host", "path", "rule", "ruled"))
         judged = scored.withColumn("judged", F.when(F.col("blocked") > 0.5, "block").otherwise("allow"))
     verdict = F.struct("host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"))
     return judged.select(*[F.col("page").getField(c).alias(c) for c in keep], verdict.alias(out))
 
 
 def held_out(pages: DataFrame, rules: list[tuple[str, str]], url_col: str = "url", max_labelled: int = 20_000, trees: int = 20, depth: int = 4) -> DataFrame:
-    """label and blocked (1: block) of the labelled URLs of one fold in five, judged by trees and suffixes of the other folds."""
+    """label and blocked (1: block) of the labelled URLs of one fold of hosts in five, judged by trees and suffixes of the other hosts."""
     base = _judged_by_rules(pages, rules, url_col, [])
     labelled, kinds = _labelled(base)
     if len(kinds) < 2:
         raise ValueError("labels of both kinds are needed")
     mean = kinds[1.0] / (kinds[0.0] + kinds[1.0])
-    model, tables = _fitted(labelled.where("fold <> 0"), base, mean, max_labelled, trees, depth)
-    return model.transform(_featured(_with_tables(labelled.where("fold = 0"), tables), "label")).select("label", "blocked")
+    model, suffixes = _fitted(labelled.where("fold <> 0"), base, mean, max_labelled, trees, depth)
+    return model.transform(_featured(labelled.where("fold = 0").join(suffixes, "suffix"), "label")).select("label", "blocked")
