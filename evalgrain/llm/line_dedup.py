@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evalgrain.llm.base import drop, materialize, partitions, recorded, without
-from evalgrain.llm.blocks import BLOCK_BITS, beside_blocks, write_blocks
+from evalgrain.llm.base import drop, materialize, materialize_by_block, partitions, recorded, without
+from evalgrain.llm.blocks import BLOCK_BITS, beside_blocks, block_of, write_blocks
 from evalgrain.llm.packing import pack_ids, unpack_ids
 from evalgrain.llm.words import grouped, lots, mix, powers, prefix_sums, sum_hashes, words_of
 
@@ -330,7 +330,8 @@ def _near(rows: DataFrame, known: DataFrame, text: str, bound: Bound) -> DataFra
     shared = materialize(dealt.mapInArrow(_shared_variants(MOST), "key long, node long, line int, own boolean, crowded boolean"), "shared-variants")
     wanted = shared.groupBy("node", "line").agg(F.bool_or("crowded").alias("crowded")).join(known, ["node", "line"])
     fetched = T.StructType([known.schema["first"], T.StructField("crowded", T.BooleanType()), T.StructField("text", T.StringType())])
-    texts = materialize(beside_blocks(rows, wanted, _fetch_lines(text, ("first", "crowded")), fetched), "shared-texts")
+    texts = beside_blocks(rows, wanted, _fetch_lines(text, ("first", "crowded")), fetched)
+    texts = materialize_by_block(texts.withColumn("block", block_of(F.col("first.node"))), "shared-texts", n)
 
     crowded = texts.where("crowded").select("first", "text").repartition(n)
     variant = T.StructType([T.StructField("key", T.LongType()), T.StructField("marked", T.ByteType()), T.StructField("gone", T.ByteType()), T.StructField("words", T.IntegerType()), T.StructField("first", first)])
@@ -338,9 +339,9 @@ def _near(rows: DataFrame, known: DataFrame, text: str, bound: Bound) -> DataFra
     if not crowded.isEmpty():
         emitted = materialize(emitted, "word-variants")
 
-    at = lambda c: [F.col(f"{c}.node").alias("node"), F.col(f"{c}.line").alias("line")]
-    places = texts.select(*at("first"), "first", "text")
-    few = shared.where("NOT crowded").select("key", "own", "node", "line").join(places, ["node", "line"]).select("key", "own", "first", "text")
+    few = shared.where("NOT crowded").select("key", "own", "node", "line")
+    many = emitted.select("key", "marked", "gone", "words", "first", F.col("first.node").alias("node"), F.col("first.line").alias("line"))
+    told = T.StructType([*few.schema, T.StructField("asks", T.BooleanType()), known.schema["first"], T.StructField("text", T.StringType())])
     listed = "node long, line int, other_node long, other_line int, more boolean"
 
     def near_lines(state: DataFrame | None) -> DataFrame:
@@ -348,19 +349,37 @@ def _near(rows: DataFrame, known: DataFrame, text: str, bound: Bound) -> DataFra
 
         Given states, only for the lines that want others, and among the lines that don't go.
         """
-        columns = [F.col("first.node").alias("node"), F.col("first.line").alias("line")]
-        sides = [(few.select("key", "own", "text", "first", *columns), _compared), (emitted.select("key", "marked", "gone", "words", "first", *columns), _met)]
-        found = []
-        for side, function in sides:
-            known = side.withColumn("asks", F.lit(True))
-            if state is not None:
-                known = side.join(state, ["node", "line"], "left").where("state IS NULL OR state <> 'goes'").withColumn("asks", F.coalesce(F.col("state") == "longer", F.lit(False))).drop("state")
-            found.append(known.repartition(n, "key").sortWithinPartitions("key", "first").drop("first").mapInArrow(function(bound, LISTED), listed))
+        sides = [(beside_blocks(texts, _asking(few, state), _beside_lines([f.name for f in told]), told), _compared), (_asking(many, state), _met)]
+        found = [side.repartition(n, "key").sortWithinPartitions("key", "first").drop("first").mapInArrow(function(bound, LISTED), listed) for side, function in sides]
         return found[0].unionByName(found[1]).groupBy("node", "line", "other_node", "other_line").agg(F.bool_or("more").alias("more"))
 
     return _settled(near_lines)
 
 
+def _asking(side: DataFrame, state: DataFrame | None) -> DataFrame:
+    """The rows (key, node, line and others) of the keys that a line which wants others has, without lines that go; asks: whether a row is such a line's."""
+    if state is None:
+        return side.withColumn("asks", F.lit(True))
+    here = ["node", "line"]
+    keys = side.join(state.where("state = 'longer'").select(*here), here, "left_semi").select("key").distinct()
+    known = side.join(keys, "key", "left_semi").join(state, here, "left").where("state IS NULL OR state <> 'goes'")
+    return known.withColumn("asks", F.coalesce(F.col("state") == "longer", F.lit(False))).select(*side.columns, "asks")
+
+
+def _beside_lines(names: list[str]):
+    """The variants of a block with the places and texts of their lines."""
+
+    def beside(lines: pa.Table, variants: pa.Table) -> pa.Table:
+        at: dict[tuple[int, int], int] = {}
+        if variants.num_rows:
+            at = {(x["node"], x["line"]): k for k, x in enumerate(lines.column("first").to_pylist())}
+        own = zip(variants.column("node").to_pylist(), variants.column("line").to_pylist(), strict=True)
+        found = lines.take(pa.array([at[x] for x in own], pa.int64()))
+        return variants.append_column("first", found.column("first")).append_column("text", found.column("text")).select(names)
+
+    return beside
+
+
 def _settled(near_lines) -> DataFrame:
     """node, line of the lines that go: near to an earlier line that stays.
 

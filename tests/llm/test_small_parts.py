@@ -209,3 +209,12 @@ def test_near_lines_share_a_variant_that_is_an_own_one_and_word_variants_are_exa
             assert any(k in y and (x[k] or y[k]) for k in x)
             met += 1
     assert met > 60
+
+
+def test_lines_that_want_others_are_held_against_lines_of_their_keys_only(spark):
+    """Later listings of near lines take no key that no line asks for, and no line that goes."""
+    side = spark.createDataFrame([(k, n, n % 2, f"t{n}") for k, n in ((1, 1), (1, 2), (1, 3), (2, 3), (2, 4), (3, 5), (3, 6))], "key long, node long, line int, other string")
+    state = spark.createDataFrame([(2, 0, "goes"), (3, 1, "longer"), (4, 0, "open"), (5, 1, "open"), (6, 0, "stays")], "node long, line int, state string")
+    got = sorted((r.key, r.node, r.asks) for r in line_dedup._asking(side, state).collect())
+    assert got == [(1, 1, False), (1, 3, True), (2, 3, True), (2, 4, False)]
+    assert line_dedup._asking(side, None).where("asks").count() == 7
