@@ -22,6 +22,8 @@ from evalgrain.llm.words import many_word_hashes
 END = np.uint64(0)
 #: Tokens that a task holds at once.
 LOT = 1 << 21
+#: Lanes of a window in which a task learns: in wider ones numpy's cost of a step falls on more tokens.
+LANES = 512
 FIELDS = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -110,7 +112,7 @@ def train(
     classes: int = 32,
     width: int = 32,
     hidden: int = 16,
-    rounds: tuple[int, ...] = (1, 3, 8),
+    rounds: tuple[int, ...] = (4, 12, 48),
     of: int = 64,
     rate: float = 0.02,
     seed: int = 0,
@@ -118,13 +120,15 @@ def train(
     """A model of docs, whose tokens `counts` counts: classes * width - 2 words, one token for all others, and the end of a text.
 
     All counts go into the vocabulary, the shares that the model starts from and the other words' probabilities. Its recurrent weights
-    learn from sum(rounds) of `of` texts (by a hash of the text: a share of a corpus of any size, not a number): in a round every task starts from the same
-    model and passes once over the whole of its texts; their weights' means, by tokens, are the next round's model. Of a
+    learn from every text once: by a hash of the text each belongs to one of the rounds, which have rounds[k] of `of` texts each and all of them together. In a
+    round every task starts from the same model and passes once over the whole of its texts; their weights' means, by tokens, are the next round's model. Of a
     model the driver gets its weights only, tens of thousands of numbers.
     """
+    if sum(rounds) != of:
+        raise ValueError("the rounds have all texts together: their sum is `of`")
     spark = docs.sparkSession
     model = _start(counts, classes, width, hidden, seed)
-    texts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).where("text IS NOT NULL").withColumn("at", F.pmod(F.xxhash64("text"), F.lit(of)))
+    texts = docs.select(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")).withColumn("at", F.pmod(F.xxhash64("text"), F.lit(of)))
     first = 0
     for share in rounds:
         shared = spark.sparkContext.broadcast(model)
@@ -145,7 +149,7 @@ def _learn(shared, rate: float):
         model = shared.value
         own, optimizer, n = model.recurrent.with_flat(model.recurrent.flat()), Adam(rate), 0
         for lot in _lots(batches):
-            own.learn([model.tokens(words) for words in lot], model.end, optimizer)
+            own.learn([model.tokens(words) for words in lot], model.end, optimizer, LANES)
             n += sum(map(len, lot))
         if n:
             flat = own.flat().astype(np.float64)

@@ -79,6 +79,11 @@ def _softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     return told - np.log(total)
 
 
+def _order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """Their stable order. Numbers below `most`; those of 16 bits are sorted by digits, which is faster."""
+    return np.argsort(numbers.astype(np.uint16) if most <= 1 << 16 else numbers, kind="stable")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place of x."""
     np.negative(x, out=x)
@@ -161,7 +166,7 @@ class Recurrent:
         w = self.weights
         width = w["token_bias"].shape[1]
         kind, within = np.divmod(tokens, width)
-        order = np.argsort(kind, kind="stable")  # by class, so that each class is one product
+        order = _order(kind, len(w["class_bias"]))  # by class, so that each class is one product
         kind, within, by_class = kind[order], within[order], states[order]
         p = w["class_weight"].T @ by_class.T
         p += w["class_bias"][:, None]
@@ -249,7 +254,7 @@ class Recurrent:
             if fresh[t].any():
                 carried = carried * ~fresh[t][:, None]
         flat, tokens = d_in.reshape(-1, 3 * h), before.reshape(-1)
-        order = np.argsort(tokens, kind="stable")
+        order = _order(tokens, len(self.weights["embedding"]))
         first = np.flatnonzero(np.diff(tokens[order], prepend=-1))
         by_token, own = np.add.reduceat(flat[order], first, axis=0), tokens[order][first]
         grads["embedding"][own] += by_token @ self.weights["into"].T

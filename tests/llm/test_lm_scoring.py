@@ -135,3 +135,26 @@ def test_query(spark, sf_dir):
     held = out["held_out"]
     assert held.tolist() == [zlib.crc32(str(i).encode()) % 7 == 2 for i in table["doc_id"]]
     assert out["score"][held].sum() > out["base_score"][held].sum()
+
+
+def test_learns_from_every_text_once(spark, monkeypatch):
+    """Weights come from all texts, null ones (one end) too, not from a share of them."""
+    seen, learn = spark.sparkContext.accumulator(0), lm_scoring._learn
+
+    def counted(shared, rate):
+        inner = learn(shared, rate)
+
+        def run(batches):
+            def told():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+
+            return inner(told())
+
+        return run
+
+    monkeypatch.setattr(lm_scoring, "_learn", counted)
+    docs = spark.createDataFrame([(k, f"text number {k} of many") for k in range(300)] + [(300, None)], "doc_id long, text string")
+    lm_scoring.train(docs, lm_scoring.count_words(docs), classes=4, width=4, hidden=4)
+    assert seen.value == 301
