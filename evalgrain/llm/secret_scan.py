@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ BASE = (
 MODEL_KIND = "markov"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _PAIRS = r"(?=([A-Za-z0-9+/_=-]{2}))"
+#: Folds of the texts, and letters of a piece on which the threshold is measured.
+FOLDS, PIECE = 5, 24
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -45,8 +48,16 @@ def train(samples: DataFrame, text_col: str = "text", random_col: str = "is_rand
     a letter outside the alphabet are not counted; rows with null text or label are left out. Without samples of both
     labels the model is untrained and finds nothing.
     """
-    pairs = samples.where(F.col(random_col).isNotNull()).select(F.col(random_col).alias("label"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_PAIRS), 1)).alias("pair"))
-    counts = {(r.label, r.pair): r.n for r in pairs.groupBy("label", "pair").agg(F.count("*").alias("n")).collect()}
+    return _model({(label, pair): n for (label, _, pair), n in _counts(samples, text_col, random_col, F.lit(0)).items()}, floor)
+
+
+def _counts(samples: DataFrame, text_col: str, random_col: str, fold: Column) -> dict[tuple[bool, int, str], int]:
+    """How often each pair occurs, by label, fold and pair."""
+    pairs = samples.where(F.col(random_col).isNotNull()).select(F.col(random_col).alias("label"), fold.alias("fold"), F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_PAIRS), 1)).alias("pair"))
+    return {(r.label, r.fold, r.pair): r.n for r in pairs.groupBy("label", "fold", "pair").agg(F.count("*").alias("n")).collect()}
+
+
+def _model(counts: dict[tuple[bool, str], int], floor: float) -> MarkovModel:
     if len({label for label, _ in counts}) < 2:
         return MarkovModel(())
     after = {(label, a): sum(counts.get((label, a + b), 0) for b in ALPHABET) for label in (True, False) for a in ALPHABET}
@@ -55,18 +66,18 @@ def train(samples: DataFrame, text_col: str = "text", random_col: str = "is_rand
 
 
 def random_strings(spark: SparkSession, n: int = 20_000, seed: int = 7) -> DataFrame:
-    """text, held_out: strings of random bytes from a seed, 16 to 64 characters long: hex, base64, base62, digits, UUID. A fifth is held out."""
+    """text, fold: strings of random bytes from a seed, 16 to 64 characters long: hex, base64, base62, digits, UUID. Folds are 0 to FOLDS - 1."""
     row = spark.range(n).withColumn("hex", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256))
     b64 = F.base64(F.unhex("hex"))
     groups = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
     kinds = [F.col("hex"), b64, F.regexp_replace(b64, "[+/=]", ""), F.regexp_replace("hex", "[a-f]", ""), F.concat_ws("-", *[F.substring("hex", a, k) for a, k in groups])]
     kind = F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int"))
-    return row.select(F.left(kind, (F.conv(F.right("hex", F.lit(3)), 16, 10).cast("int") % 49 + 16)).alias("text"), (F.crc32(F.encode("hex", "UTF-8")) % 5 == 0).alias("held_out"))
+    return row.select(F.left(kind, (F.conv(F.right("hex", F.lit(3)), 16, 10).cast("int") % 49 + 16)).alias("text"), (F.crc32(F.encode("hex", "UTF-8")) % FOLDS).cast("int").alias("fold"))
 
 
 def ordinary_identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """text, held_out: what the base patterns leave of each text as one long identifier, its words joined as in names and paths
-    (snake, kebab, path or camel case, by the text's checksum); numbers that stand alone are no part of it. A fifth of the texts is held out."""
+    """text, fold: what the base patterns leave of each text as one long identifier, its words joined as in names and paths
+    (snake, kebab, path or camel case, by the text's checksum); numbers that stand alone are no part of it. Equal texts are in one fold of 0 to FOLDS - 1."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rest = text
     for kind, pattern, least in BASE:
@@ -76,38 +87,59 @@ def ordinary_identifiers(docs: DataFrame, text_col: str = "text") -> DataFrame:
     made = F.regexp_replace(F.initcap("rest"), between, "")
     for k, sign in enumerate("_-/"):
         made = F.when(F.col("style") == k, F.regexp_replace("rest", between, sign)).otherwise(made)
-    return docs.select(rest.alias("rest"), (deal % 4).alias("style"), (deal % 5 == 0).alias("held_out")).select(made.alias("text"), "held_out")
+    return docs.select(rest.alias("rest"), (deal % 4).alias("style"), (deal % FOLDS).cast("int").alias("fold")).select(made.alias("text"), "fold")
 
 
-def fit(docs: DataFrame, text_col: str = "text", strings: int = 20_000, pieces: int = 20_000, false_rate: float = 0.001) -> MarkovModel:
-    """A model of random strings against the ordinary identifiers of all docs, and its threshold from samples that it was not trained on.
+def fit(docs: DataFrame, text_col: str = "text", strings: int = 20_000, false_rate: float = 0.001, floor: float = 0.01) -> MarkovModel:
+    """A model of random strings against the ordinary identifiers of all docs, and its threshold from all their pieces of 24 letters.
 
-    The threshold is the ratio that a share of false_rate of the held-out ordinary pieces of 24 letters is over, 0 at least.
-    `strings` random strings are made; the threshold sees at most `pieces` pieces, those with the smallest hashes: both
-    are bounds of the fit.
+    The model counts every text. Its threshold is the ratio that a share of false_rate of all pieces is over, 0 at least; a
+    piece is held against the counts of the other FOLDS - 1 folds, so none against a model that its own text has trained. `strings` random strings are
+    made, which are no input; of docs nothing is left out.
     """
     random, ordinary = random_strings(docs.sparkSession, strings), ordinary_identifiers(docs, text_col)
     labelled = random.withColumn("is_random", F.lit(True)).unionByName(ordinary.withColumn("is_random", F.lit(False)))
-    model = train(labelled.where("NOT held_out"))
+    counts = _counts(labelled, "text", "is_random", F.col("fold"))
+
+    def made(left_out: int | None) -> MarkovModel:
+        some: dict[tuple[bool, str], int] = {}
+        for (label, fold, pair), n in counts.items():
+            if fold != left_out:
+                some[label, pair] = some.get((label, pair), 0) + n
+        return _model(some, floor)
+
+    model = made(None)
     if not model.ratios:
         return model
-    held = held_out_pieces(ordinary, pieces)
-    over = held.agg(F.percentile_approx(ratio(F.col("text"), model), 1 - false_rate, 10_000)).first()[0]
-    return replace(model, threshold=max(0.0, over or 0.0))
+    tables = [made(k).ratios or model.ratios for k in range(FOLDS)]  # with all texts in one fold there is no other model
+    pieces = ordinary.select("fold", F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z0-9+/_=-]{{{PIECE}}}"), 0)).alias("piece"))
+    over = pieces.select(_mean_ratio(F.col("piece"), [x for table in tables for x in table], F.col("fold") * len(ALPHABET) ** 2).alias("ratio"))
+    return replace(model, threshold=max(0.0, threshold(over, false_rate)))
 
 
-def held_out_pieces(samples: DataFrame, most: int) -> DataFrame:
-    """At most `most` pieces of 24 letters of the held-out samples, each text's by the hash of piece and place."""
-    pieces = samples.where("held_out").select(F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9+/_=-]{24}"), 0)).alias("at", "text"))
-    return pieces.orderBy(F.xxhash64("text", "at")).limit(most).select("text")
+def threshold(ratios: DataFrame, false_rate: float) -> float:
+    """The least thousandth that at most a share of false_rate of the ratios is over; 0 without ratios. Exact: the driver gets a count for each thousandth."""
+    counts = sorted((r.at, r.n) for r in ratios.groupBy(F.ceil(F.col("ratio") * 1000).alias("at")).agg(F.count("*").alias("n")).collect())
+    left = sum(n for _, n in counts)
+    most = false_rate * left
+    for at, n in counts:
+        left -= n
+        if left <= most:
+            return at / 1000
+    return 0.0
 
 
 def ratio(text: Column, model: MarkovModel) -> Column:
     """Mean log-likelihood ratio over a string's pairs; 0 if it has none."""
-    table = F.split(F.lit(",".join(map(str, model.ratios))), ",").cast("array<double>")
+    return _mean_ratio(text, model.ratios, F.lit(0))
+
+
+def _mean_ratio(text: Column, ratios: Sequence[float], offset: Column) -> Column:
+    """As ratio(), by the table that begins at `offset` of the ratios."""
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     at = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = F.regexp_extract_all(text, F.lit(_PAIRS), 1)
-    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(table, at(F.substring(p, 1, 1)) * len(ALPHABET) + at(F.substring(p, 2, 1)) + 1))
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(table, offset + at(F.substring(p, 1, 1)) * len(ALPHABET) + at(F.substring(p, 2, 1)) + 1))
     return F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(0.0)
 
 

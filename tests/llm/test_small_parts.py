@@ -9,8 +9,9 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, packing, token_files, topk, words
+from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, packing, secret_scan, token_files, topk, words
 
 
 def noise(rng: random.Random, n: int) -> str:
@@ -218,3 +219,14 @@ def test_lines_that_want_others_are_held_against_lines_of_their_keys_only(spark)
     got = sorted((r.key, r.node, r.asks) for r in line_dedup._asking(side, state).collect())
     assert got == [(1, 1, False), (1, 3, True), (2, 3, True), (2, 4, False)]
     assert line_dedup._asking(side, None).where("asks").count() == 7
+
+
+def test_secret_threshold_is_measured_on_every_piece(spark, monkeypatch):
+    """All pieces of all texts count for the threshold, more than 20,000 too, and the share over it is exact."""
+    texts = ["".join(random.Random(k).choice("ghijkmnp") for _ in range(24 * 25)) for k in range(900)]
+    docs, seen, real = spark.createDataFrame([(t,) for t in texts], "text string"), [], secret_scan.threshold
+    monkeypatch.setattr(secret_scan, "threshold", lambda ratios, rate: seen.append(ratios.count()) or real(ratios, rate))
+    secret_scan.fit(docs, strings=100)
+    assert seen == [900 * 25]
+    ratios = spark.range(30_000).select((F.col("id") / 1000).alias("ratio"))
+    assert real(ratios, 0.001) == 29.969 and real(ratios.limit(0), 0.001) == 0.0
