@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrain.llm.base import without
+from evalgrain.llm.base import drop, materialize, recorded, without
 
 #: The kinds in order, and what each finds; a match shorter than the third value (in group 2 or 0) is dropped.
 BASE = (
@@ -22,6 +23,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _PAIRS = r"(?=([A-Za-z0-9+/_=-]{2}))"
 #: Folds of the texts, and letters of a piece on which the threshold is measured.
 FOLDS, PIECE = 5, 24
+#: Letters of a piece that are read as one number, 8 bits each, so that a pair of them is 16 of its bits.
+AT_ONCE = 7
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -95,9 +98,17 @@ def fit(docs: DataFrame, text_col: str = "text", strings: int = 20_000, false_ra
 
     The model counts every text. Its threshold is the ratio that a share of false_rate of all pieces is over, 0 at least; a
     piece is held against the counts of the other FOLDS - 1 folds, so none against a model that its own text has trained. `strings` random strings are
-    made, which are no input; of docs nothing is left out.
+    made, which are no input; of docs nothing is left out. The identifiers are written to the shared folder, since both
+    counts and pieces are taken from them, and removed again.
     """
-    random, ordinary = random_strings(docs.sparkSession, strings), ordinary_identifiers(docs, text_col)
+    with recorded() as made:
+        model = _fitted(random_strings(docs.sparkSession, strings), materialize(ordinary_identifiers(docs, text_col), "identifiers"), false_rate, floor)
+    drop(docs.sparkSession, made)
+    return model
+
+
+def _fitted(random: DataFrame, ordinary: DataFrame, false_rate: float, floor: float) -> MarkovModel:
+    """The model and threshold of fit(), from text and fold of random strings and of ordinary identifiers."""
     labelled = random.withColumn("is_random", F.lit(True)).unionByName(ordinary.withColumn("is_random", F.lit(False)))
     counts = _counts(labelled, "text", "is_random", F.col("fold"))
 
@@ -112,9 +123,29 @@ def fit(docs: DataFrame, text_col: str = "text", strings: int = 20_000, false_ra
     if not model.ratios:
         return model
     tables = [made(k).ratios or model.ratios for k in range(FOLDS)]  # with all texts in one fold there is no other model
-    pieces = ordinary.select("fold", F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z0-9+/_=-]{{{PIECE}}}"), 0)).alias("piece"))
-    over = pieces.select(_mean_ratio(F.col("piece"), [x for table in tables for x in table], F.col("fold") * len(ALPHABET) ** 2).alias("ratio"))
-    return replace(model, threshold=max(0.0, threshold(over, false_rate)))
+    return replace(model, threshold=max(0.0, threshold(_piece_ratios(ordinary, tables), false_rate)))
+
+
+def _piece_ratios(ordinary: DataFrame, tables: Sequence[Sequence[float]]) -> DataFrame:
+    """ratio: the mean log-likelihood ratio of every piece of PIECE letters, by the table of its text's fold.
+
+    What ratio() says, in plain expressions: each pair is looked up by its bits in a table of one fold, joined to the texts.
+    """
+    last = ord(max(ALPHABET))
+    places = [(ord(a) << 8) + ord(b) for a in ALPHABET for b in ALPHABET]
+    listed = []
+    for ratios in tables:
+        at = dict(zip(places, ratios, strict=True))
+        listed.append(F.lit(",".join(str(at.get(k, 0.0)) for k in range((last << 8) + last + 1))))
+    fold = F.col("id").cast("int")
+    by_fold = ordinary.sparkSession.range(0, len(tables), 1, 1).select(fold.alias("fold"), F.split(F.get(F.array(*listed), fold), ",").cast("array<double>").alias("table"))
+    pieces = ordinary.join(F.broadcast(by_fold), "fold").select("table", F.explode(F.regexp_extract_all("text", F.lit(f"[A-Za-z0-9+/_=-]{{{PIECE}}}"), 0)).alias("piece"))
+    # A number begins with the last letter of the one before, so no pair falls between two.
+    starts = range(0, PIECE - 1, AT_ONCE - 1)
+    numbers = pieces.select("table", *[F.conv(F.hex(F.substring("piece", k + 1, AT_ONCE)), 16, 10).cast("long").alias(f"n{k}") for k in starts])
+    pairs = [F.shiftright(f"n{k}", 8 * left).bitwiseAND(F.lit(0xFFFF)) for k in starts for left in reversed(range(min(AT_ONCE, PIECE - k) - 1))]
+    total = reduce(lambda s, pair: s + F.get("table", pair.cast("int")), pairs, F.lit(0.0))
+    return numbers.select((total / len(pairs)).alias("ratio"))
 
 
 def threshold(ratios: DataFrame, false_rate: float) -> float:
@@ -131,15 +162,10 @@ def threshold(ratios: DataFrame, false_rate: float) -> float:
 
 def ratio(text: Column, model: MarkovModel) -> Column:
     """Mean log-likelihood ratio over a string's pairs; 0 if it has none."""
-    return _mean_ratio(text, model.ratios, F.lit(0))
-
-
-def _mean_ratio(text: Column, ratios: Sequence[float], offset: Column) -> Column:
-    """As ratio(), by the table that begins at `offset` of the ratios."""
-    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
+    table = F.split(F.lit(",".join(map(str, model.ratios))), ",").cast("array<double>")
     at = lambda c: F.instr(F.lit(ALPHABET), c) - 1
     pairs = F.regexp_extract_all(text, F.lit(_PAIRS), 1)
-    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(table, offset + at(F.substring(p, 1, 1)) * len(ALPHABET) + at(F.substring(p, 2, 1)) + 1))
+    total = F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.element_at(table, at(F.substring(p, 1, 1)) * len(ALPHABET) + at(F.substring(p, 2, 1)) + 1))
     return F.when(F.size(pairs) > 0, total / F.size(pairs)).otherwise(0.0)
 
 

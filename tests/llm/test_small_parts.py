@@ -1,5 +1,6 @@
 """The small helpers against plain definitions."""
 
+import os
 import random
 import re
 from itertools import product
@@ -12,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from evalgrain.llm import bpe, decontaminate, language, line_dedup, ngram_join, packing, secret_scan, token_files, topk, words
+from evalgrain.llm.base import recorded
 
 
 def noise(rng: random.Random, n: int) -> str:
@@ -230,3 +232,29 @@ def test_secret_threshold_is_measured_on_every_piece(spark, monkeypatch):
     assert seen == [900 * 25]
     ratios = spark.range(30_000).select((F.col("id") / 1000).alias("ratio"))
     assert real(ratios, 0.001) == 29.969 and real(ratios.limit(0), 0.001) == 0.0
+
+
+def test_secret_pieces_are_judged_by_other_folds_in_plain_expressions(spark, monkeypatch):
+    """Each piece has the mean ratio that ratio() gives it by the counts of the other folds; no lambda runs over its letters, and identifiers are made once."""
+    rng, seen, real = random.Random(5), [], secret_scan.threshold
+    texts = [None, "", "a" * 23, "b" * 24, "c" * 25, "é" * 30, "+/_=-" * 20, *("".join(rng.choice(secret_scan.ALPHABET + " é") for _ in range(rng.randrange(400))) for _ in range(40))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+
+    def spy(ratios, rate):
+        seen.append((ratios._jdf.queryExecution().optimizedPlan().toString(), sorted(r.ratio for r in ratios.collect())))
+        return real(ratios, rate)
+
+    monkeypatch.setattr(secret_scan, "threshold", spy)
+    with recorded() as made:
+        secret_scan.fit(docs, strings=300)
+    assert len(made) == 1 and not os.path.exists(made[0].removeprefix("file://"))
+    ordinary = [(r.text, r.fold) for r in secret_scan.ordinary_identifiers(docs).collect()]
+    rows = [(t, f, True) for t, f in ((r.text, r.fold) for r in secret_scan.random_strings(spark, 300).collect())] + [(t, f, False) for t, f in ordinary]
+    expected = []
+    for k in range(secret_scan.FOLDS):
+        model = secret_scan.train(spark.createDataFrame([(t, is_random) for t, fold, is_random in rows if fold != k], "text string, is_random boolean"))
+        pieces = [p for t, fold in ordinary if fold == k for p in re.findall(f"[A-Za-z0-9+/_=-]{{{secret_scan.PIECE}}}", t)]
+        assert pieces
+        expected += [r.ratio for r in spark.createDataFrame([(p,) for p in pieces], "piece string").select(secret_scan.ratio(F.col("piece"), model).alias("ratio")).collect()]
+    assert seen[0][1] == sorted(expected)
+    assert "lambda" not in seen[0][0] and "regexp_replace" not in seen[0][0]
