@@ -160,6 +160,11 @@ def test_texts_of_pages_resolve_whole_references_only():
     assert pages.read_page("<a href='/x?a=1&copy=2&amp;b=3'>a&lt</a>")[2] == [("/x?a=1&copy=2&b=3", "a&lt")]
 
 
+def test_titles_that_are_cut_within_a_reference(spark):
+    df = spark.createDataFrame([(1, "u", "<title>a &amp;&amp  b&amp</title><article>x</article>"), (2, "u", "<title>&lt;c&gt; &am</title>")], "page_id long, url string, html string")
+    assert [r.title for r in pages.extract(df).orderBy("page_id").collect()] == ["a &&amp b&amp", "<c> &am"]
+
+
 def test_page_links_are_absolute_and_once(spark):
     html = "<a href='/x'>X</a><a href='y?z'></a><a href='https://h.com/x'>again</a><a href='mailto:a'>m</a><a href='//o.org/p'>o</a>"
     df = spark.createDataFrame([(1, "https://h.com/d/e.html", html)], "page_id long, url string, html string")
