@@ -64,9 +64,13 @@ def terminal_ask(question: Column) -> Column:
     return F.when(last.endswith("?"), last).otherwise(F.coalesce(asking, last, squeeze(question)))
 
 
-def answer_contract(questions: DataFrame, text: str = "question", fallback: str = "other_short_string") -> DataFrame:
-    """questions with terminal_ask, answer_type and the least and largest number of answers (null: any)."""
-    rows = questions.withColumn("terminal_ask", terminal_ask(F.col(text)))
+def answer_contract(questions: DataFrame, text: str = "question", fallback: str = "other_short_string", ask: str | None = None) -> DataFrame:
+    """questions with terminal_ask, answer_type and the least and largest number of answers (null: any).
+
+    ask names a column with the part of the question that asks, where it is told apart from the clues: question words among the
+    clues are not taken for the ask then.
+    """
+    rows = questions.withColumn("terminal_ask", terminal_ask(F.col(ask or text)))
     ask = F.lower("terminal_ask")
     kinds = [F.when(ask.rlike(p), kind) for p, kind in ANSWER_TYPES]
     clock = F.when(F.lower(text).rlike("12-hour clock|24-hour clock"), "time")

@@ -242,6 +242,14 @@ def test_questions(spark):
     assert {r.check: r.ok for r in checks.collect()} == {"size": True, "repeats": False, "range": False}
 
 
+def test_asks_told_apart_from_clues(spark):
+    clues = ["It was thin what there was.", "no end of a clue"]
+    df = spark.createDataFrame([(k, None if c is None else f"{c} List names and both people.", "List names and both people.") for k, c in enumerate([*clues, None])], "item_id int, question string, ask string")
+    out = planning.answer_contract(df, ask="ask").orderBy("item_id").collect()
+    assert [(r.terminal_ask, r.answer_type, r.minimum, r.maximum) for r in out] == [("List names and both people.", "other_short_string", 1, None)] * 3
+    assert planning.answer_contract(df).orderBy("item_id").first().terminal_ask == clues[0]
+
+
 def test_places_on_both_sides_of_the_date_line_and_near_a_pole(spark):
     import math
     import random
