@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,12 +201,28 @@ def select_items(rows: DataFrame, ranks: DataFrame, prefix: str = "item") -> Dat
 CHUNK = 4096
 
 
-def list_digest(ranks: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _joined_digest(parts: DataFrame) -> DataFrame:
+    """One row, digest: sha256 over the comma-joined hashes `said` in order of `at`, that of a single one being itself. What one
+    hash takes in is sequential, so the hashes stream through one task, a batch at a time; none of its rows holds them all."""
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole, n, first = hashlib.sha256(), 0, None
+        for batch in batches:
+            for said in batch["said"]:
+                whole.update(f"{',' if n else ''}{said}".encode())
+                n, first = n + 1, said if first is None else first
+        yield pd.DataFrame({"digest": [first if n == 1 else whole.hexdigest()]})
+
+    return parts.repartition(1).sortWithinPartitions("at").select("said").mapInPandas(stream, "digest string")
+
+
+def list_digest(ranks: DataFrame, chunk: int = CHUNK, flat: bool = False) -> DataFrame:
     """One row, digest: sha256 over the indices of a rank list (subset_rank, source_index) in order of (rank, index).
 
     Lists that span at most `chunk` ranks have the digest of their comma-joined indices. Longer ones are a tree: each range of
     `chunk` ranks is hashed so, then each `chunk` of these hashes in the same way, up to one. A list in a task is no longer than
-    a range's entries. An empty list has the digest of the empty string.
+    a range's entries. flat: the hashes of the ranges are joined as one list, however many they are, so a digest has two levels at
+    most. An empty list has the digest of the empty string.
     """
     low, high = ranks.agg(F.min("subset_rank"), F.max("subset_rank")).first()
     rows = ranks.where("subset_rank IS NOT NULL").select((F.col("subset_rank").cast("long") - (low or 0)).alias("at"), F.col("source_index").cast("string").alias("said"), F.col("source_index").alias("index"))
@@ -214,6 +234,8 @@ def list_digest(ranks: DataFrame, chunk: int = CHUNK) -> DataFrame:
             return rows.agg(F.sha2(listed, 256).alias("digest"))
         digest = F.sha2(listed, 256)
         rows = rows.groupBy(F.floor(F.col("at") / chunk).alias("range")).agg(digest.alias("said")).select(F.col("range").alias("at"), "said", F.lit(0).alias("index"))
+        if flat:
+            return _joined_digest(rows)
 
 
 def subset_checks(ranks: DataFrame, expected_rows: int, source_rows: int, digest: str | None = None) -> DataFrame:

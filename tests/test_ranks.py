@@ -38,6 +38,15 @@ def test_digests_of_lists_of_any_length(spark):
     assert checks["size"] and checks["range"] and checks["digest"]
 
 
+def test_flat_digests_join_all_ranges(spark):
+    rng = random.Random(5)
+    for n in (0, 3, 4, 5, 70):
+        ranks = [(k + 3, rng.randrange(1000)) for k in range(n)]
+        by = [_sha([i for _, i in ranks[k : k + 4]]) for k in range(0, n, 4)]
+        df = spark.createDataFrame(rng.sample(ranks, n), "subset_rank int, source_index int").repartition(3)
+        assert planning.list_digest(df, 4, flat=True).first().digest == (by[0] if len(by) == 1 else _sha(by))
+
+
 def test_ranges_across_blocks(spark):
     rng = random.Random(4)
     ranks = {("a", k) for k in range(-5, 40)} | {("b", rng.randrange(200)) for _ in range(120)} | {("c", k) for k in (7, 8, 15, 16, 24)}
