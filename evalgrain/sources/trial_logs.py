@@ -50,20 +50,31 @@ def strict_lines(lines: DataFrame) -> DataFrame:
     return rows.select("source", "line_no", checked.alias("record"))
 
 
+def _as_filed(table: DataFrame) -> bool:
+    """Whether a table's rows come from files with nothing but projections and filters in between."""
+    node = table._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() in ("Project", "Filter"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "_metadata" in {c.name() for c in (node.metadataOutput().apply(k) for k in range(node.metadataOutput().size()))}
+
+
 def csv_checks(table: DataFrame, required: tuple[str, ...], expected_rows: int) -> DataFrame:
     """check, detail: one row for each check that a source table fails: columns, row count, and empty required fields with the
     numbers (from 0) of the first 10 rows that have them. A row's number is the rows of the parts before it, by one count a
-    part, and its place in its part."""
+    part, and its place in its part. The parts of a table as it is filed are stretches of files in the order of their names, as Spark deals
+    them to partitions by size; those of any other table are its partitions."""
     spark = table.sparkSession
     missing = [c for c in required if c not in table.columns]
     if missing:
         return spark.createDataFrame([("missing_columns", ", ".join(missing))], "check string, detail string")
     empty = F.exists(F.array(*[F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in required]), lambda x: x)
-    marked = table.select(empty.alias("empty"), F.monotonically_increasing_id().alias("id")).withColumn("part", F.shiftright("id", 33)).withColumn("at", F.col("id").bitwiseAND(F.lit((1 << 33) - 1)))
-    parts = marked.groupBy("part").agg(F.count("*").alias("n"))
-    before = parts.alias("a").join(parts.select(F.col("part").alias("earlier"), F.col("n").alias("m")), F.col("earlier") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    id = F.monotonically_increasing_id()
+    stretch = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")) if _as_filed(table) else F.shiftright(id, 33)
+    marked = table.select(empty.alias("empty"), id.alias("id"), stretch.alias("part"))
+    parts = marked.groupBy("part").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    before = parts.alias("a").join(parts.select(F.col("part").alias("earlier"), F.col("n").alias("m")), F.col("earlier") < F.col("part"), "left").groupBy("part").agg((F.coalesce(F.sum("m"), F.lit(0)) - F.first("low")).alias("before"))
     counts = marked.agg(F.count("*").alias("rows"), F.count_if("empty").alias("n_empty"))
-    first = marked.where("empty").orderBy("id").limit(10).join(before, "part").agg(F.array_join(F.array_sort(F.collect_list(F.col("before") + F.col("at"))).cast("array<string>"), ", ").alias("first"))
+    first = marked.where("empty").orderBy("part", "id").limit(10).join(before, "part").agg(F.array_join(F.array_sort(F.collect_list(F.col("before") + F.col("id"))).cast("array<string>"), ", ").alias("first"))
     wrong = counts.where(F.col("rows") != expected_rows).select(F.lit("row_count").alias("check"), F.concat(F.col("rows").cast("string"), F.lit(f" rows, not {expected_rows}")).alias("detail"))
     gaps = counts.where("n_empty > 0").join(first).select(F.lit("empty_fields").alias("check"), F.concat(F.col("n_empty").cast("string"), F.lit(" rows: "), "first").alias("detail"))
     return wrong.unionByName(gaps)

@@ -283,6 +283,18 @@ def test_csv_checks(spark):
     assert trial_logs.csv_checks(df, ("canary",), 2).first().check == "missing_columns"
 
 
+def test_rows_are_numbered_in_order_of_files_not_of_their_sizes(spark, tmp_path):
+    for k, n in enumerate((3, 400, 4000)):
+        rows = [("" if i == 1 else f"text {i * 7919 % 10007}", "c") for i in range(n)]
+        spark.createDataFrame(rows, "problem string, answer string").coalesce(1).write.parquet(str(tmp_path / f"part={k}"))
+    df = spark.read.parquet(str(tmp_path))
+    detail = {r.check: r.detail for r in trial_logs.csv_checks(df, ("problem", "answer"), 4403).collect()}
+    assert detail == {"empty_fields": "3 rows: 1, 4, 404"}
+    # Sorted rows are no longer in the files' order.
+    detail = {r.check: r.detail for r in trial_logs.csv_checks(df.orderBy("problem"), ("problem", "answer"), 4403).collect()}
+    assert detail == {"empty_fields": "3 rows: 0, 1, 2"}
+
+
 def test_stale_alerts_on_a_stream(spark, tmp_path):
     schema = "run_id string, ts timestamp, state string"
     batches = [[("a", "2024-01-01 00:00:00", "running"), ("b", "2024-01-01 00:00:00", "running")], [("b", "2024-01-01 02:00:00", "completed"), ("c", "2024-01-01 05:00:00", "running")], [("c", "2024-01-01 05:10:00", "running")]]
